@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .near_dup import near_dup
 from .packing import pack_documents
+from .substring_dedup import drop_repeats
 from .token_counts import count_tokens
 from .warc import warc_round_trip
 
@@ -21,10 +23,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +47,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_warc, op7_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op4_warc, op6_near_dup, op7_packing, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": """
