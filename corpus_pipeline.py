@@ -1,7 +1,90 @@
-"""The corpus pipeline (stages are added as their operators land)."""
-STAGES = []
-ORACLE_SQL = None
+"""The corpus pipeline: from raw documents to packed training sequences.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs. All but the last return the
+columns of documents, extra ones included. Decisions are carried by (doc_id, text),
+so null and repeated ids are safe; rows that repeat both count as one document.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfield.llm import toxicity
+from wayfield.llm.common import saved, table
+from wayfield.llm.decontamination import contaminated
+from wayfield.llm.exact_dedup import digests, tree_merge
+from wayfield.llm.near_dup import near_dup
+from wayfield.llm.packing import pack_documents
+from wayfield.llm.queries import tokenizer_file
+
+TOXIC_FROM = 0.3
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, text) only: what an operator needs, without any extra column."""
+    return docs.select(row_key().alias("key"), "text")
+
+
+def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` rows whose key is (left_semi) or isn't (left_anti) in ``keys``."""
+    name = "matched_row_key_"
+    return docs.join(keys.select(F.col("key").alias(name)), row_key() == F.col(name), how)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches TOXIC_FROM go; map only."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_column(docs, model, docs.schema, docs.columns.index("text"), [], keep_below=TOXIC_FROM)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    rows = saved(digests(docs), "digests")
+    merged = tree_merge(rows, "largest").filter("row != keep_row AND NOT (doc_id <=> keep_id)").select("doc_id", "digest").distinct()
+    gone, own = merged.select(F.col("doc_id").alias("gone_id_"), F.col("digest").alias("gone_digest_")), F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id_")) & (own == F.col("gone_digest_")), "left_anti")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least doc_id stays."""
+    kept = near_dup(docs).filter("kept").select("doc_id", "text_hash")
+    keys = kept.select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_text_"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")) & (own == F.col("kept_text_")), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    hits = contaminated(keyed(docs), table(spark, sf_dir, "benchmark"), id_col="key")
+    return by_key(docs, saved(hits.select(F.col("doc_id").alias("key")).distinct(), "hits"), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+ORACLE_SQL = None  # the network, the banded join and the tokenizer have no SQL form; tests hold each stage against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .license_scan import scan
+from .lm_scoring import lm_scores
 from .near_dup import near_dup
 from .packing import pack_documents
 from .substring_dedup import drop_repeats
 from .token_counts import count_tokens
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
@@ -27,12 +31,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"), window=20)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+    return near_dup(table(spark, sf_dir, "documents"), n=5, threshold=0.8).drop("text_hash")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +55,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op4_warc, op6_near_dup, op7_packing, op9_exact_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_substring_dedup, op3_lm_scores, op4_warc, op5_license_scan, op6_near_dup, op7_packing,
+        op8_decontamination, op9_exact_dedup, op10_toxicity,
+    )
+}
 
 ORACLES = {
     "op9_exact_dedup": """
