@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
-from .license_scan import scan
+from .license_scan import PHRASES, TEMPLATES, THRESHOLD, scan
 from .lm_scoring import lm_scores
 from .near_dup import near_dup
 from .packing import pack_documents
@@ -36,7 +36,7 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_round_trip(table(spark, sf_dir, "pages"))
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("stored_bytes")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,49 @@ QUERIES = {
     )
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, t in TEMPLATES)
+    return f"""
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS ws FROM d),
+        phrase(p, label) AS (VALUES {phrases}),
+        spot AS (SELECT doc_id, label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(p) - 1] = p)) - 1 AS i FROM w CROSS JOIN phrase),
+        base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS l FROM spot GROUP BY 1),
+        template(label, t) AS (VALUES {templates}),
+        line AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORDS}')) AS s FROM w),
+        hit AS (SELECT doc_id, label, len(list_intersect(s, t)) / len(t) AS c FROM line CROSS JOIN template WHERE len(list_intersect(s, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+        best AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS l FROM hit GROUP BY 1)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, b AS last_word,
+            coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
+            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(best.l, [])))), ','), '') AS labels,
+            CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.c, 0) END AS score
+        FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id"""
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * g + 1}, 5))::INT >> {s}) & 31) + 1)::INT, 1)" for g in range(8) for s in (15, 10, 5, 0)
+)
+
 ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS passage FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+        late AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j.j AS at FROM late CROSS JOIN range(20) j(j)),
+        word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS at, unnest(ws) AS word FROM w),
+        kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.at) AS t, count(*) AS n FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.at = word.at GROUP BY 1)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to FROM p""",
+    "op5_license_scan": _license_sql(),
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
