@@ -5,8 +5,9 @@
    window alone, so equal windows have equal anchors). A run of windows with
    its words is a passage.
 2. Anchors that come once hold no repeated window. The others' passages are
-   fetched; equal ones are merged at once, before any shuffle brings them together,
-   with their first place.
+   fetched - by a second scan that holds the repeated anchors if they are at most
+   SENT_ANCHORS, else by joins - and equal ones are merged before a shuffle
+   brings them together, with their first place.
 3. Passages are dealt to shards by anchor. An anchor with more than
    ``hot_passages`` different passages is dealt by single windows instead, again
    merged first, so no shard holds an unbounded group.
@@ -34,6 +35,7 @@ from .fm_index import FMIndex
 GRAM = 8
 HOT_PASSAGES = 4096
 SHARD_PASSAGES = 16_384
+SENT_ANCHORS = 4_000_000  # repeated anchors sent to the executors at most (8 bytes each); beyond that they are joined by a shuffle
 _NO_ID = -(1 << 63)
 _PLACE_BITS = 24
 _BLOCK = 1 << 22
@@ -101,6 +103,40 @@ def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, RUNS)
 
 
+def _anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                anchor = window_runs(words.split(*buffers(batch.column(2))), window, gram)[3]
+                a, n = np.unique(anchor.astype(np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], names=["a", "n"])
+
+    return docs.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+
+
+def _passages_of(docs: DataFrame, window: int, gram: int, anchors: np.ndarray) -> DataFrame:
+    """The passages of the given anchors (sorted), straight from the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                w = words.split(*buffers(batch.column(2)))
+                doc, first, n, anchor = window_runs(w, window, gram)
+                at = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
+                hit = np.flatnonzero(anchors[at] == anchor) if len(anchor) else np.zeros(0, np.int64)
+                doc, first, n, anchor = doc[hit], first[hit], n[hit], anchor[hit]
+                ids, tx = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                begin, raw = w.first[doc] + first, w.data.tobytes()
+                spans = zip(w.start[begin].tolist(), w.end[begin + n + window - 2].tolist(), strict=True)
+                text = [b" ".join(raw[s:e].split()) for s, e in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.astype(np.uint64).view(np.int64)), pa.array(text, pa.binary()), pa.array(ids[doc]), pa.array(tx[doc]), pa.array(first * 32 + n)],
+                    names=["a", "passage", "id", "tx", "place"],
+                )
+
+    return docs.mapInArrow(run, PASSAGES)
+
+
 def _fetch(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` with a column ``runs`` (a, place): the passages' words."""
 
@@ -216,10 +252,15 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
 def repeated_places(docs: DataFrame, window: int, gram: int, hot_passages: int, shard_passages: int) -> DataFrame:
     """(id, tx, place, mask): the repeated windows of each run that has any."""
     key = ["id", "tx", "place"]
-    runs = saved(_runs(docs, window, gram), "runs")
-    again = saved(runs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"), "anchors")
-    wanted = runs.join(again, "a").groupBy("id", "tx").agg(F.collect_list(F.struct("a", "place")).alias("runs"))
-    found = saved(_fetch(docs.join(wanted, ["id", "tx"]), window), "passages")
+    again = saved(_anchor_counts(docs, window, gram).filter("n > 1").select("a"), "anchors")
+    if again.count() <= SENT_ANCHORS:
+        anchors = np.sort(again.toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))
+        found = _passages_of(docs, window, gram, anchors if len(anchors) else np.zeros(1, np.uint64))
+    else:
+        runs = saved(_runs(docs, window, gram), "runs")
+        wanted = runs.join(again, "a").groupBy("id", "tx").agg(F.collect_list(F.struct("a", "place")).alias("runs"))
+        found = _fetch(docs.join(wanted, ["id", "tx"]), window)
+    found = saved(found, "passages")
     first = found.groupBy("a", "passage").agg(F.min(F.struct(*key)).alias("at0")).select("a", "passage", "at0.*")
     first = saved(first, "first")
     crowded = saved(first.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_passages).select("a"), "crowded")
