@@ -255,9 +255,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_byt
     """The bounded sample: of each label the ``per_label`` documents with the least hash among rows outside the held-out fold."""
     rows = id_text(docs, id_col, text_col).filter((F.octet_length("text") <= most_bytes) & ~held_out("doc_id"))
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    both = rows.join(known.filter(~held_out("doc_id")).dropDuplicates(["doc_id"]), "doc_id").withColumn("rank", F.xxhash64("doc_id", F.lit(11)))
-    take = [both.filter(F.col("toxic") == y).orderBy("rank", "text").limit(per_label) for y in (0, 1)]
-    got = take[0].unionByName(take[1]).select("doc_id", "text", "toxic").collect()  # at most 2 * per_label short texts
+    both = rows.select("doc_id").join(known.filter(~held_out("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rank = F.xxhash64("doc_id", F.lit(11))
+    take = [both.filter(F.col("toxic") == y).orderBy(rank, "doc_id").limit(per_label) for y in (0, 1)]
+    sample = take[0].unionByName(take[1])  # at most 2 * per_label ids, so it can be broadcast and the texts stay where they are
+    got = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in got], np.array([r.toxic for r in got], F32)
 
