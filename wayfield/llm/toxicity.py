@@ -6,8 +6,8 @@ computed once per distinct word of a chunk. All overlapping windows of a text
 are scored and the text's score is that of its worst window.
 
 Training takes a bounded, documented sample of the labelled rows: at most
-``sample_per_label`` documents of each label, the ones with the least hash of
-their id, of at most ``sample_bytes`` bytes each. Everything else covers all rows.
+SAMPLE_TOXIC documents of label 1 and SAMPLE_OTHER of label 0, the ones with the
+least hash of their id, of at most SAMPLE_BYTES bytes each. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ HIDDEN, WORD_ROWS, CHAR_ROWS = 8, 1 << 15, 1 << 15
 INPUT = 12
 CHAR_GRAMS = (3, 4, 5)
 LONGEST_WORD = 24  # bytes of a word that its character n-grams cover
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES = 1500, 5000, 4000
+LEAST_STEPS = 600
 F32 = np.float32
 SCORES = "doc_id long, score double"
 
@@ -182,8 +183,12 @@ class Model:
         return g
 
 
-def train(text: list[str], label: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Model:
-    """Fit by Adam on whole documents: a document's logit is that of its worst window."""
+def train(text: list[str], label: np.ndarray, epochs: int | None = None, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Model:
+    """Fit by Adam on whole documents: a document's logit is that of its worst window.
+
+    Without ``epochs``, 5 passes, or on a small sample as many as make LEAST_STEPS steps (30 at most).
+    """
+    epochs = epochs or min(30, max(5, -(-LEAST_STEPS * batch // max(1, len(text)))))
     model, r = Model(seed), np.random.default_rng(seed)
     if not len(text) or label.min() == label.max():
         model.p["c"][:] = -3 if not len(text) or label.max() == 0 else 3
@@ -251,14 +256,14 @@ def score_texts(model: Model, text: pa.Array, lanes: int = 8192) -> np.ndarray:
     return _sigmoid(out)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
-    """The bounded sample: of each label the ``per_label`` documents with the least hash among rows outside the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, most_bytes: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
+    """The bounded sample: of each label the documents with the least hash among rows outside the held-out fold."""
     rows = id_text(docs, id_col, text_col).filter((F.octet_length("text") <= most_bytes) & ~held_out("doc_id"))
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     both = rows.select("doc_id").join(known.filter(~held_out("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id", F.lit(11))
-    take = [both.filter(F.col("toxic") == y).orderBy(rank, "doc_id").limit(per_label) for y in (0, 1)]
-    sample = take[0].unionByName(take[1])  # at most 2 * per_label ids, so it can be broadcast and the texts stay where they are
+    take = [both.filter(F.col("toxic") == y).orderBy(rank, "doc_id").limit(n) for y, n in ((0, other_docs), (1, toxic_docs))]
+    sample = take[0].unionByName(take[1])  # at most toxic_docs + other_docs ids, so it can be broadcast and the texts stay where they are
     got = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in got], np.array([r.toxic for r in got], F32)
@@ -269,8 +274,11 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return train(*training_sample(docs, labels, per_label, most_bytes, id_col, text_col))
+def fit(
+    docs: DataFrame, labels: DataFrame, toxic_docs: int = SAMPLE_TOXIC, other_docs: int = SAMPLE_OTHER, most_bytes: int = SAMPLE_BYTES,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> Model:
+    return train(*training_sample(docs, labels, toxic_docs, other_docs, most_bytes, id_col, text_col))
 
 
 def score_column(docs: DataFrame, model: Model, schema, text_at: int, out_names: list[str], keep_below: float | None = None) -> DataFrame:
