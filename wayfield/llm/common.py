@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import saved, shared_folder
+
+__all__ = ["buffers", "id_text", "saved", "shared_folder", "slices", "table"]
+
 CHUNK_BYTES = 2 << 20  # text handled at once inside a task
 
 
@@ -19,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (local runs only) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def saved(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so clashing extra columns can't matter; null text becomes empty."""
     return df.select(
@@ -73,13 +58,3 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(at, to - at)
         at = to
 
-
-def strings(batch: pa.RecordBatch, column: str) -> list[str]:
-    return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-
-
-def as_batches(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in schema],
-        schema=schema,
-    )
