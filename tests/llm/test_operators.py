@@ -315,6 +315,19 @@ def test_lm_scores(spark, docs, edge, none):
     assert lm_scoring.lm_scores(none).count() == 0
 
 
+def test_lm_keeps_repeated_ngrams_of_a_large_corpus(spark):
+    rows = [(i, "a " * 90_000) for i in range(30)] + [(100 + i, t) for i, t in enumerate(["p q r s", "p q r s", "q r t", "p q"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")  # over 2**21 tokens
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(df).collect()}
+    assert got == {x[0]: pytest.approx(x[5], rel=1e-6) for x in lm_brute(rows)}
+
+
+def test_lm_without_training_rows(spark):
+    df = spark.createDataFrame([(d, t) for d in range(40) if zlib.crc32(str(d).encode()) % 5 == 1 for t in (None, " a  b ", "c", "x y z")], "doc_id long, text string")
+    got = collections.Counter((r.n_tokens, r.n_known, r.train_tokens, r.score) for r in lm_scoring.lm_scores(df).collect())
+    assert set(got) == {(n, 0, 0, 0.0) for n in (1, 3, 2, 4)} and sum(got.values()) == df.count()
+
+
 def test_lm_root_sums_to_one():
     keys = np.sort(np.array([5, 9, int(lm_scoring.END)], np.uint64))
     a = lm_scoring.Automaton([lm_scoring.Arcs(keys)], [np.array([3, 2, 4])], 9, 3)

@@ -1,10 +1,8 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counting: unigrams over all training documents, exactly, by word hash. Longer
-n-grams level by level: an n-gram is counted if both (n-1)-grams in it were kept,
-and kept if its count reaches max(2, N / max_states) - so at most ``max_states``
-n-grams of each order can be kept whatever the corpus' size, which bounds what
-is broadcast. Rarer n-grams score through the failure arcs.
+Counting: n-grams of every order over all training documents, exactly, by 64-bit
+hash. An n-gram is kept if it comes at least LEAST times, whatever the corpus'
+size; its context and its suffix then come as often, so they are kept too.
 
 Model: interpolated absolute discounting in backoff form. A kept n-gram is an
 arc with its full probability and, as a context, a state; a state's failure
@@ -12,16 +10,18 @@ arc carries the mass that discounting freed. The root gives
 (c + 0.5) / (N + 0.5 * (V + 1)), for unseen words with c = 0; the end of a text is a token and also
 what stands before a text.
 
-Scoring: one left-to-right traversal, many documents in lockstep; each keeps
-its state, takes the arc of the next word or falls back, and accumulates. Words
-too rare to be arcs of the root get their exact counts by a join, and only
-their root terms are added there.
+Scoring: the path of a text takes for each token the failure arcs down to the longest kept
+n-gram that ends there, then its arc. In logarithms that is a sum over all n-grams of the
+text: a kept one adds what its arc exceeds the same step through its failure arc by, and
+its own failure weight as a context. So the automaton is a saved table of one number a
+kept n-gram, and scores are a shuffled join of the texts' n-grams with it; nothing is
+broadcast and no table comes to the driver. ``Automaton`` is the same model in memory.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +32,38 @@ from . import words
 from .common import buffers, id_text, saved, slices
 
 ORDER = 3
-MAX_STATES = 1 << 20
+LEAST = 2  # times an n-gram must come to be kept, at every size
 DISCOUNT = 0.75
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; a word's hash is mixed and meets it by chance only
 FLUSH = 2_000_000
-TRAVERSED = (
-    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, model_part double, rare array<long>"
-)
+OCCURRENCES = "row long, k long, times long, doc_id long, n_tokens long"  # the last two beside the end token only
 
 
 class Tally:
-    """Counts of 64-bit keys, merged now and then; ``parts`` flushes what grows past FLUSH keys."""
+    """Counts of 64-bit keys with their context and suffix, merged now and then; what grows past FLUSH keys is flushed."""
 
     def __init__(self):
         self.keys, self.size = [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys):
-            self.keys.append(np.unique(keys, return_counts=True))
-            self.size += len(self.keys[-1][0])
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            k, at, n = np.unique(columns[0], return_index=True, return_counts=True)
+            self.keys.append((n, k, *(c[at] for c in columns[1:])))
+            self.size += len(k)
         if self.size > FLUSH:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.keys:
             return
-        k, n = (np.concatenate(x) for x in zip(*self.keys, strict=True))
+        n, k, *more = (np.concatenate(x) for x in zip(*self.keys, strict=True))
         order = np.argsort(k, kind="stable")
         k, n = k[order], n[order]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(k[head].view(np.int64)), pa.array(np.add.reduceat(n, head))], names=["k", "n"])
+        columns = [k[head], *(c[order][head] for c in more)]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c.view(np.int64)) for c in columns), pa.array(np.add.reduceat(n, head))], names=["k", "ctx", "suf"][: len(columns)] + ["n"]
+        )
         self.keys, self.size = [], 0
 
 
@@ -97,38 +99,33 @@ def pair(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (state.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
 
 
-def kept_numbers(levels: list[Arcs], h: np.ndarray) -> list[np.ndarray]:
-    """For each order, the number of the kept n-gram that ends at each place, or -1."""
-    word = levels[0].find(h)
-    out = [word]
-    for level in levels[1:]:
-        before = np.full(len(h), -1, np.int64)
-        before[1:] = out[-1][:-1]
-        good = (before >= 0) & (word >= 0)
-        now = np.full(len(h), -1, np.int64)
-        now[good] = level.find(pair(before[good], word[good]))
-        out.append(now)
-    return out
+def places(h: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+    """Where an n-gram of this order begins that lies inside one document."""
+    inside = np.ones(max(0, len(h) - order + 1), bool)
+    for k in range(1, order):
+        over = first[1:] - k
+        inside[over[(over >= 0) & (over < len(inside))]] = False
+    return np.flatnonzero(inside)
 
 
-def _count_level(docs: DataFrame, levels: list[Arcs]) -> DataFrame:
-    """Counts of the n-grams whose two parts are kept, keyed by (number of the first part, number of the last word)."""
-    order = len(levels) + 1
+def keys_of(h: np.ndarray, order: int) -> np.ndarray:
+    return h if order == 1 else words.grams(h, order)
+
+
+def _count_level(docs: DataFrame, order: int) -> DataFrame:
+    """(k, ctx, suf, n): counts of all n-grams of this order, with the keys of the n-gram without its last and without its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for whole in batches:
             for batch in slices(whole, "text"):
                 h, first = with_ends(_split(batch.column(0)))
-                kept = kept_numbers(levels, h)
-                inside = np.ones(len(h), bool)
-                for k in range(order - 1):
-                    inside[np.minimum(first[:-1] + k, len(h) - 1)] = False
-                at = np.flatnonzero(inside[1:] & (kept[-1][:-1] >= 0) & (kept[-1][1:] >= 0)) + 1
-                yield from tally.add(pair(kept[-1][at - 1], kept[0][at]))
+                at, part = places(h, first, order), keys_of(h, order - 1)
+                yield from tally.add(keys_of(h, order)[at], part[at], part[at + 1])
         yield from tally.flush()
 
-    return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "k long, ctx long, suf long, n long")
+    return found.groupBy("k").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.sum("n").alias("n"))
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
@@ -143,15 +140,6 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order, and their counts; at most MAX_STATES rows by the threshold."""
-    t = df.toArrow()
-    k = t.column("k").to_numpy().view(np.uint64) if t.num_rows else np.zeros(0, np.uint64)
-    n = t.column("n").to_numpy() if t.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(k)
-    return k[order], n[order]
-
-
 class Automaton:
     """States: the root (0), then the kept n-grams of every order but the last. Arcs: kept n-grams; failures: to the context without its first word."""
 
@@ -239,34 +227,51 @@ class Automaton:
         return out, word
 
 
-def _traversed(docs: DataFrame, model: Automaton) -> DataFrame:
+def _occurrences(docs: DataFrame, order: int) -> DataFrame:
+    """The n-grams of each document, of all orders; the end before a text is a context only, that after it a word only, so END is there once and carries the row's id and size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, sizes = [], []
-            for part in slices(batch, "text"):
-                h, first = with_ends(_split(part.column(3)))
-                keep = np.ones(len(h), bool)
-                keep[first[:-1]] = False  # the traversal starts in the state of END
-                hashes.append(h[keep])
-                sizes.append(np.diff(first) - 1)
-            h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            first = np.concatenate([[0], np.cumsum(size)])
-            score, word = model.traverse(h, first)
-            doc = np.repeat(np.arange(len(size)), size)
-            known = word >= 0
-            base = np.bincount(doc[known], model.base[word[known]], minlength=len(size))
-            rare = np.flatnonzero(~known)
-            offsets = np.searchsorted(doc[rare], np.arange(len(size) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array(size), pa.array(np.bincount(doc[known], minlength=len(size))),
-                    pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[rare].view(np.int64))),
-                ],
-                names=[x.split()[0] for x in TRAVERSED.split(", ")],
-            )
-
-    return docs.mapInArrow(run, TRAVERSED)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                h, first = with_ends(_split(batch.column(2)))
+                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                for n in range(1, order + 1):
+                    at = places(h, first, n)
+                    if n == 1:
+                        at = np.delete(at, first[:-1])
+                    k, d = keys_of(h, n)[at], doc[at]
+                    _, one, times = np.unique(k ^ words.mix(d.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+                    k, d = k[one], d[one]
+                    ends = (k == END) & (n == 1)
+                    size = pa.array((np.diff(first) - 1)[d], mask=~ends)
+                    at_end = pa.array(np.where(ends, d, 0), mask=~ends)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(d)), pa.array(k.view(np.int64)), pa.array(times), batch.column(1).take(at_end), size],
+                        names=["row", "k", "times", "doc_id", "n_tokens"],
+                    )
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, OCCURRENCES)
+
+
+def weights(training: DataFrame, unigrams: DataFrame, order: int, norm: float) -> DataFrame:
+    """(k, value, base): what an n-gram adds to a text's score, and a word to its base score; null base for longer ones."""
+    p = (F.col("n") + 0.5) / F.lit(norm)
+    below = unigrams.select("k", "n", p.alias("p"), F.log10(p).alias("own"), F.log10(p).alias("base"))
+    out = []
+    for n in range(2, order + 1):
+        level = saved(_count_level(training, n).filter(F.col("n") >= LEAST), f"grams{n}")
+        taken = saved(level.groupBy(F.col("ctx").alias("k")).agg(F.sum(F.col("n") - DISCOUNT).alias("taken")), "taken")
+        freed = F.greatest(F.lit(1e-9), F.least(F.lit(1.0), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("n")))
+        below = saved(below.join(taken, "k", "left").withColumn("freed", freed).drop("taken"), "states")
+        out.append(below.select("k", (F.col("own") + F.log10("freed")).alias("value"), "base"))
+        context = below.filter(F.col("n") >= LEAST).select(F.col("k").alias("ctx"), F.col("n").alias("c"), "freed")
+        # each join reads saved tables, so AQE can split a hot context or suffix
+        level = saved(level.join(context, "ctx"), "contexts")
+        level = level.join(below.filter(F.col("n") >= LEAST).select(F.col("k").alias("suf"), F.col("p").alias("lower")), "suf")
+        full, back = (F.col("n") - DISCOUNT) / F.col("c") + F.col("freed") * F.col("lower"), F.col("freed") * F.col("lower")
+        below = saved(level.select("k", "n", full.alias("p"), (F.log10(full) - F.log10(back)).alias("own"), F.lit(None).cast("double").alias("base")), "arcs")
+    out.append(below.select("k", F.col("own").alias("value"), "base"))
+    return saved(reduce(DataFrame.unionByName, out), "weights")
 
 
 def held_out(id_col: str):
@@ -274,35 +279,31 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, max_states: int = MAX_STATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text is empty: its one token is the end. A null id belongs to no fold
     and is learnt from. Repeated rows are scored alike and learnt from as often as they come. Without
-    training rows all counts are 0. Words are counted by 64-bit hashes.
+    training rows all counts are 0. N-grams are counted by 64-bit hashes.
     """
     rows = id_text(docs, id_col, text_col).withColumn("held_out", held_out("doc_id"))
     training = rows.filter(~F.col("held_out"))
     unigrams = saved(_count_words(training), "words")
     total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(2, math.ceil(total / max_states))
-    keys, counts = _collected(unigrams.filter(F.col("n") >= least))
-    levels, numbers = [Arcs(keys)], [counts]
-    for _ in range(order - 1):
-        if not len(levels[-1].keys):
-            break
-        keys, counts = _collected(_count_level(training, levels).filter(F.col("n") >= least))
-        levels.append(Arcs(keys)), numbers.append(counts)
-    model = Automaton(levels, numbers, total, distinct)
-    scored = saved(
-        _traversed(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text"), model), "traversed"
-    )
-    rare = scored.select("row", F.explode("rare").alias("k")).join(unigrams, "k", "left")
-    term = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(model.norm)))
-    rare = rare.groupBy("row").agg(F.sum(term).alias("terms"), F.count("n").alias("seen"))
-    both = scored.drop("rare").join(rare, "row", "left")
-    terms = F.coalesce("terms", F.lit(0.0))
-    return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_part") + terms).alias("base_score"), (F.col("model_part") + terms).alias("score"),
+    if not total:  # nothing learnt: each token has probability 1
+        counted = rows.withColumn("n_tokens", F.size(F.split(F.concat(F.lit("x "), "text"), r"[\x20\x09-\x0D]+(?=[^\x20\x09-\x0D])")).cast("long"))
+        zero, none = F.lit(0).cast("long"), F.lit(0.0)
+        return counted.select("doc_id", "held_out", "n_tokens", zero.alias("n_known"), zero.alias("train_tokens"), none.alias("base_score"), none.alias("score"))
+    norm = total + 0.5 * (distinct + 1)
+    known = weights(training, unigrams, order, norm)
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    times = F.col("times")
+    sums = _occurrences(numbered, order).join(known, "k").groupBy("row").agg(  # END is always known, so no row is lost
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("value") * times).alias("value"),
+        F.sum(F.col("base") * times).alias("base"), F.sum(F.when(F.col("base").isNotNull(), times)).alias("n_known"),
+    )
+    unseen = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(0.5 / norm))
+    return sums.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + unseen).alias("base_score"), (F.col("value") + unseen).alias("score"),
     )
