@@ -440,6 +440,28 @@ def test_decontamination(spark, docs, edge, none):
     assert contaminated(edge, odd).count() == 0 and contaminated(none, bench).count() == 0 and contaminated(docs, odd.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_alignment(spark):
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(25)]
+    items = [(i if i else None, " ".join(r.choice(common) if r.random() < 0.4 else f"i{r.randint(0, 400)}" for _ in range(n))) for i, n in enumerate([17, 40, 17, 40, 17, 40])]
+    items += [(50, "solo pair"), (51, "three word item")]
+    docs = [(900, "only solo here"), (901, "a solo pair here"), (902, "pair solo")]
+    for rate in (0.15, 0.25, 0.3, 0.35):
+        for i, (_, t) in enumerate(items[:6]):
+            for k in range(6):
+                w = [x for v in t.split() for x in (([v], [f"e{r.randint(0, 99)}"], [v, r.choice(common)], [])[r.randint(1, 3) if r.random() < rate else 0])]
+                docs.append((len(docs), " ".join([*r.choices(common, k=30), *w, *r.choices(common, k=30)])))
+    got = {(x.doc_id, x.item_id): x.score for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for i, t in items:
+        a = t.split()
+        for d, u in docs:
+            score = brute_alignment(a, u.split()) / (2 * len(a))
+            if score >= (0.4 if len(a) >= 3 else 1):
+                want[d, i] = score
+    assert got == pytest.approx(want) and (901, 50) in got and sum(i is None for _, i in got) > 10
+
+
 def test_network_gradients():
     m = toxicity.Model(3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}

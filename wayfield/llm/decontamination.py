@@ -1,10 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: an exact word filter joins passages to test items, Smith-Waterman alignment scores them.
 
 The items are a stated query set: they are taken in blocks of at most
 ``items_per_block``, so what a block sends to the executors has a fixed bound,
-and each block is held against all documents. Pass 1 counts every item n-gram
-over all documents; an item's seeds are its rarest n-grams. Pass 2 finds the
-seeds in the documents and aligns the words around them with the whole item.
+and each block is held against all documents. Pass 1 counts every item word
+over all documents. Pass 2 finds the places that can hold an alignment and aligns
+the words there with the whole item.
+
+The filter loses nothing. An alignment of at least ``threshold`` of an item of m words has at
+least M = ceil(threshold * m) matched words and spans at most (3 - 2 * threshold) * m words of the
+text, as each word besides the matched ones costs 1 of their 2. An item's seeds are its words but
+the most frequent ones, of which at most half of M places are left out; so at least the other half
+of M seeds stand within that span. And of the places so found those stay where the words of some stretch
+reach the score at 2 for each that stands anywhere in the item and -1 for each other.
 """
 
 from __future__ import annotations
@@ -22,10 +29,10 @@ from . import words
 from .common import buffers, id_text, slices
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-GRAM = 3
-SEED_SHARE = 0.75
+GRAM = 3  # an item of fewer words must stand whole
 ITEMS_PER_BLOCK = 20_000
 ALIGN_CELLS = 1 << 22  # matrix cells aligned at once
+PLACE_WORDS = 1 << 19  # words of places bounded at once
 HITS = "doc_id long, item_id long, score double, first_word long, last_word long, aligned_words long, n_places long"
 
 
@@ -34,7 +41,7 @@ def _word_hashes(text: pa.Array) -> words.Words:
 
 
 class Seeds:
-    """Item n-grams of one block, found in documents through a bit table and a sorted array."""
+    """Item words of one block, found in documents through a bit table and a sorted array."""
 
     def __init__(self, values: np.ndarray):
         self.values = np.unique(values)
@@ -42,21 +49,15 @@ class Seeds:
         self.table = np.zeros(1 << 22, bool)
         self.table[(self.values >> self.shift).astype(np.int64)] = True
 
-    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``grams`` that hold a seed, and which."""
-        at = np.flatnonzero(self.table[(grams >> self.shift).astype(np.int64)])
-        which = np.searchsorted(self.values, grams[at])
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` that hold a seed, and which."""
+        at = np.flatnonzero(self.table[(hashes >> self.shift).astype(np.int64)])
+        which = np.searchsorted(self.values, hashes[at])
         good = which < len(self.values)
-        good[good] = self.values[which[good]] == grams[at[good]]
+        good[good] = self.values[which[good]] == hashes[at[good]]
         return at[good], which[good]
 
 
-def inside(w: words.Words, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of word places: which begin an n-gram inside one document, and that document."""
-    doc = np.searchsorted(w.first, at, "right") - 1
-    return at + n <= w.first[doc + 1], doc
-
-
 def align(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman over a batch with linear gaps: best score, and the text place after its last word.
 
@@ -81,44 +82,78 @@ def align(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np
     return best, end
 
 
-def _count_seeds(docs: DataFrame, seeds: np.ndarray, gram: int) -> DataFrame:
+def _count_seeds(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Seeds(seeds)
         totals = np.zeros(len(found.values), np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                w = _word_hashes(batch.column(1))
-                at, which = found.find(words.grams(w.hash, gram))
-                good, _ = inside(w, at, gram)
-                totals += np.bincount(which[good], minlength=len(totals))
+                totals += np.bincount(found.find(_word_hashes(batch.column(1)).hash)[1], minlength=len(totals))
         hit = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(found.values[hit].view(np.int64)), pa.array(totals[hit])], names=["seed", "n"])
 
     return docs.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
 
 
-def _item_arrays(rows: list) -> tuple[np.ndarray, list[np.ndarray]]:
+def _item_arrays(rows: list) -> tuple[list[int | None], list[np.ndarray]]:
     w = _word_hashes(pa.array([r.text for r in rows], pa.string()))
-    return np.array([r.doc_id for r in rows], np.int64), [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
+    return [r.doc_id for r in rows], [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
+
+
+class Members:
+    """Which words stand in which items: a bit table of both; what it takes for a member by chance only raises a bound."""
+
+    def __init__(self, item_words: list[np.ndarray]):
+        owner = np.repeat(np.arange(len(item_words)), [len(w) for w in item_words])
+        self.table = np.zeros(1 << 22, bool)
+        self.table[self.at(np.concatenate(item_words), owner)] = True
+
+    @staticmethod
+    def at(hashes: np.ndarray, item: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((hashes ^ (item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)).astype(np.int64)
+
+    def bound(self, hashes: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """At least the best alignment score of each item with the words from ``low`` to ``high`` (never empty)."""
+        out, size, at = np.zeros(len(item), np.int64), high - low, 0
+        ends = np.cumsum(size)
+        while at < len(item):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACE_WORDS, "right")))
+            n = size[at:to]
+            first = np.cumsum(n) - n
+            place = np.arange(n.sum()) + np.repeat(low[at:to] - first, n)
+            value = np.where(self.table[self.at(hashes[place], np.repeat(item[at:to], n))], MATCH, GAP)
+            total = np.cumsum(value)
+            apart = np.repeat(np.arange(to - at) * (4 * len(value) + 4), n)  # each place's sums lie below those before it
+            least = np.minimum.accumulate(total - value - apart) + apart
+            out[at:to] = np.maximum.reduceat(total - least, first)
+            at = to
+        return out
 
 
-def _search(docs: DataFrame, ids: np.ndarray, item_words: list[np.ndarray], counts: dict[int, int], gram: int, share: float, threshold: float) -> DataFrame:
-    seed, owner, offset = [], [], []
+def item_seeds(w: np.ndarray, frequency: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """Distinct words of an item without the most frequent ones, and how many of ``least`` matched words must be among them."""
+    seed, times = np.unique(w, return_counts=True)
+    order = np.argsort(-frequency[np.searchsorted(w, seed, sorter=np.argsort(w))], kind="stable")
+    left_out = np.cumsum(times[order])
+    n = int(np.searchsorted(left_out, least // 2, "right"))
+    return seed[order[n:]], least - int(left_out[n - 1] if n else 0)
+
+
+def _search(docs: DataFrame, ids: list[int | None], item_words: list[np.ndarray], counts: dict[int, int], gram: int, threshold: float) -> DataFrame:
+    sizes = np.array([len(w) for w in item_words])
+    share = np.where(sizes < gram, 1.0, threshold)
+    span = ((3 - 2 * share) * sizes + 1e-9).astype(np.int64)
+    need = np.ones(len(sizes), np.int64)
+    seed, owner = [], []
     for k, w in enumerate(item_words):
-        n = min(gram, len(w))
-        if not n:
-            continue
-        g = words.grams(w, n)
-        df = np.array([counts.get(int(x), 0) for x in g.view(np.int64)])
-        rare = np.argsort(df, kind="stable")[: math.ceil(share * len(g))]
-        seed.append(g[rare]), owner.append(np.full(len(rare), k)), offset.append(rare)
-    if not seed:
-        return docs.sparkSession.createDataFrame([], HITS)
-    seed, owner, offset = map(np.concatenate, (seed, owner, offset))
+        if len(w):
+            s, need[k] = item_seeds(w, np.array([counts.get(int(x), 0) for x in w.view(np.int64)]), max(1, math.ceil(share[k] * len(w) - 1e-9)))
+            seed.append(s), owner.append(np.full(len(s), k))
+    seed, owner = map(np.concatenate, (seed, owner))
     order = np.argsort(seed, kind="stable")
-    seed, owner, offset = seed[order], owner[order], offset[order]
-    sizes = np.array([len(w) for w in item_words])
-    need = np.where(np.bincount(owner, minlength=len(sizes)) > 3, 2, 1)  # two different seeds near each other, one for very short items
+    seed, owner = seed[order], owner[order]
+    members = Members(item_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Seeds(seed)
@@ -133,32 +168,32 @@ def _search(docs: DataFrame, ids: np.ndarray, item_words: list[np.ndarray], coun
 
     def chunk(batch: pa.RecordBatch, found: Seeds, begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple]:
         w = _word_hashes(batch.column(1))
-        at, which = found.find(words.grams(w.hash, gram))
-        good, doc = inside(w, at, gram)
-        at, which, doc = at[good], which[good], doc[good]
-        if not len(at):
-            return
+        at, which = found.find(w.hash)
         many = stop[which] - begin[which]
         k = np.repeat(begin[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at, doc, item, off = np.repeat(at, many), np.repeat(doc, many), owner[k], offset[k]
-        # places where the item would begin; hits of one (document, item) whose begins lie within the item's length form a candidate
-        start = at - off
-        order = np.lexsort((start, item, doc))
-        doc, item, start, off = doc[order], item[order], start[order], off[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > np.maximum(4, sizes[item[1:]] // 2))
-        group = np.cumsum(new) - 1
+        at, item = np.repeat(at, many), owner[k]
+        pair = (np.searchsorted(w.first, at, "right") - 1) * len(sizes) + item
+        order = np.argsort(pair, kind="stable")
+        at, item, pair = at[order], item[order], pair[order]
+        # so many seeds of one (document, item) as an alignment needs, no further apart than it can be long
+        to = np.arange(len(at)) + need[item] - 1
+        head = np.flatnonzero(to < len(at))
+        to = to[head]
+        good = (pair[to] == pair[head]) & (at[to] - at[head] < span[item[head]])
+        head, to = head[good], to[good]
+        if not len(head):
+            return
+        pair, item_h = pair[head], item[head]
+        low, high = at[to] - span[item_h] + 1, at[head] + span[item_h]
+        new = np.ones(len(head), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (low[1:] > high[:-1])
         head = np.flatnonzero(new)
-        different = np.unique(group * (1 << 32) + off)
-        kinds = np.bincount(different >> 32, minlength=len(head))
-        last = np.append(head[1:], len(doc)) - 1
-        keep = kinds >= need[item[head]]
-        head, last = head[keep], last[keep]
-        doc_h, item_h = doc[head], item[head]
-        slack = sizes[item_h] // 2 + 4
-        low = np.maximum(w.first[doc_h], start[head] - slack)
-        high = np.minimum(w.first[doc_h + 1], start[last] + sizes[item_h] + slack)
-        # a long chain of repeats is cut into overlapping stretches, so a matrix stays small
+        last = np.append(head[1:], len(new)) - 1
+        doc_h, item_h = np.divmod(pair[head], len(sizes))
+        low, high = np.maximum(w.first[doc_h], low[head]), np.minimum(w.first[doc_h + 1], high[last])
+        good = members.bound(w.hash, item_h, low, high) >= MATCH * share[item_h] * sizes[item_h] - 1e-9
+        doc_h, item_h, low, high = doc_h[good], item_h[good], low[good], high[good]
+        # a long place is cut into stretches that overlap by what an alignment can span, so a matrix stays small
         jobs = []
         for d, it, lo, hi in zip(doc_h.tolist(), item_h.tolist(), low.tolist(), high.tolist(), strict=True):
             stretch = 4 * int(sizes[it]) + 64
@@ -166,7 +201,7 @@ def _search(docs: DataFrame, ids: np.ndarray, item_words: list[np.ndarray], coun
                 jobs.append((d, it, lo, min(hi, lo + stretch)))
                 if lo + stretch >= hi:
                     break
-                lo += stretch - 2 * int(sizes[it])
+                lo += stretch - int(span[it])
         jobs.sort(key=lambda j: (int(sizes[j[1]]), j[3] - j[2]))
         best: dict[tuple[int, int], list] = {}
         k = 0
@@ -178,7 +213,8 @@ def _search(docs: DataFrame, ids: np.ndarray, item_words: list[np.ndarray], coun
                     break
                 n += 1
             part, k = jobs[k : k + n], k + n
-            lengths = np.array([sizes[j[1]] for j in part])
+            of = np.array([j[1] for j in part])
+            lengths = sizes[of]
             items = np.zeros((n, int(lengths.max())), np.uint64)
             texts = np.zeros((n, room), np.uint64)
             for r, (_, it, lo, hi) in enumerate(part):
@@ -186,7 +222,7 @@ def _search(docs: DataFrame, ids: np.ndarray, item_words: list[np.ndarray], coun
                 texts[r, : hi - lo] = w.hash[lo:hi]
             score, end = align(items, lengths, texts)
             value = score / (MATCH * lengths)
-            hit = np.flatnonzero(value >= threshold)
+            hit = np.flatnonzero(value >= share[of])
             if not len(hit):
                 continue
             # the first word: the same alignment backwards from the last one
@@ -205,35 +241,34 @@ def _search(docs: DataFrame, ids: np.ndarray, item_words: list[np.ndarray], coun
                     known[0] = row
         names = batch.column(0).to_pylist()
         for (d, it), (row, places) in sorted(best.items()):
-            yield (names[d], int(ids[it]), *row, len(places))
+            yield (names[d], ids[it], *row, len(places))
 
     return docs.mapInArrow(run, HITS)
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, gram: int = GRAM, seed_share: float = SEED_SHARE,
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, gram: int = GRAM,
     items_per_block: int = ITEMS_PER_BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
 ) -> DataFrame:
     """One row per (document, item) whose best local alignment reaches ``threshold`` of a full match.
 
     doc_id, item_id, score (0 to 1), first_word, last_word and aligned_words of
     the best place (the first of equal ones), n_places. Words are runs of ASCII letters and digits
-    (lower-cased) and of all above ASCII. A candidate needs two different seeds
-    near each other; items with at most three seeds need one. Null texts and texts without words match nothing;
-    repeated rows and items give repeated pairs; empty tables give none.
+    (lower-cased) and of all above ASCII. An item of fewer than ``gram`` words
+    must stand whole, as one word of it would reach the threshold. Null texts and texts without words match nothing;
+    repeated rows and items give repeated pairs, an item without id a null one; empty tables give none.
     """
     rows = id_text(docs, id_col, text_col)
     items = id_text(benchmark, item_col, text_col)
     blocks = max(1, math.ceil(items.count() / items_per_block))
     out = []
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k).filter("doc_id IS NOT NULL")
+        block = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
         ids, item_words = _item_arrays(block.collect())  # a block's size is bounded by items_per_block
-        grams = [words.grams(w, min(gram, len(w))) for w in item_words if len(w)]
-        if not grams:
+        if not sum(map(len, item_words)):
             continue
-        counts = {r.seed: r.n for r in _count_seeds(rows, np.concatenate(grams), gram).collect()}  # at most one row per seed
-        out.append(_search(rows, ids, item_words, counts, gram, seed_share, threshold))
+        counts = {r.seed: r.n for r in _count_seeds(rows, np.concatenate(item_words)).collect()}  # at most one row per word
+        out.append(_search(rows, ids, item_words, counts, gram, threshold))
     if not out:
         return docs.sparkSession.createDataFrame([], HITS)
     return reduce(DataFrame.unionByName, out)
