@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of documents, extra ones included. Decisions are carried by (doc_id, text),
-so null and repeated ids are safe; rows that repeat both count as one document.
+columns of documents, extra ones included. The two deduplication stages decide by row
+and keep one row of a group, even of rows that repeat id and text; contamination is
+decided by (doc_id, text), so null and repeated ids are safe.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from wayfield.llm.packing import pack_documents
 from wayfield.llm.queries import tokenizer_file
 
 TOXIC_FROM = 0.3
+ROW = "stage_row_"
 
 
 def row_key() -> Column:
@@ -43,20 +45,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_column(docs, model, docs.schema, docs.columns.index("text"), [], keep_below=TOXIC_FROM)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique row number, written once, so it is the same in every later read."""
+    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    rows = saved(digests(docs), "digests")
-    merged = tree_merge(rows, "largest").filter("row != keep_row AND NOT (doc_id <=> keep_id)").select("doc_id", "digest").distinct()
-    gone, own = merged.select(F.col("doc_id").alias("gone_id_"), F.col("digest").alias("gone_digest_")), F.sha2(F.coalesce("text", F.lit("")), 256)
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id_")) & (own == F.col("gone_digest_")), "left_anti")
+    """Of equal texts one row with the largest doc_id stays."""
+    rows = numbered(docs)
+    merged = tree_merge(saved(digests(rows, row_col=ROW), "digests"), "largest")
+    return rows.join(merged.filter("row = keep_row").select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id stays."""
-    kept = near_dup(docs).filter("kept").select("doc_id", "text_hash")
-    keys = kept.select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_text_"))
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id_")) & (own == F.col("kept_text_")), "left_semi")
+    """Of each class of near copies one row with the least doc_id stays."""
+    rows = numbered(docs)
+    return rows.join(near_dup(rows, row_col=ROW).filter("kept").select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,16 @@ def test_near_copies(spark, docs):
     assert sorted(ids(out)) == sorted(set(jaccard_classes(rows_of(docs)).values())) and out.columns == docs.columns
 
 
+def test_repeated_rows_and_null_ids_stay_once(spark):
+    texts = [f"text {i} of its own with some words {i * 7}" for i in range(5)]
+    rows = [(d, t) for i, t in enumerate(texts) for d in (i, i, None, None, None)] + [(None, "only null ids here")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for stage in (P.drop_exact_copies, P.drop_near_copies):
+        out = stage(spark, df, DATA)
+        assert out.columns == df.columns
+        assert collections.Counter(r.text for r in out.collect()) == collections.Counter({t: 1 for _, t in rows}), stage
+
+
 def test_contaminated(spark, docs):
     items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     out = set(ids(P.drop_contaminated(spark, docs, DATA)))

@@ -21,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator needs, so clashing extra columns can't matter; null text becomes empty."""
+def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """Only the two columns an operator needs (and ``more``), so clashing extra columns can't matter; null text becomes empty."""
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 

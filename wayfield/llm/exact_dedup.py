@@ -30,11 +30,12 @@ def runs_of(n_rows: int, rows_per_run: int = ROWS_PER_RUN, fan_bits: int = FAN_B
     return max(1, math.ceil(math.log2(max(2, n_rows / rows_per_run)) / fan_bits))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, n_bytes, second (the key), and a row number that breaks ties of repeated ids."""
-    return id_text(docs, id_col, text_col).select(
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, digest, n_bytes, second (the key), and a row number (``row_col`` if there is one) that breaks ties of repeated ids."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return id_text(docs, id_col, text_col, row.alias("row")).select(
         "doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"),
-        F.xxhash64("text").alias("second"), F.monotonically_increasing_id().alias("row"),
+        F.xxhash64("text").alias("second"), "row",
     )
 
 

@@ -212,9 +212,9 @@ def block_links(sets: list[np.ndarray], label: np.ndarray, threshold: float, col
 
 def near_dup(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links, class_size, kept, text_hash.
+    """One row per input row: doc_id, class_id, n_links, class_size, kept, text_hash, and ``row_col`` (a unique number) if there is one.
 
     ``class_id``: the least doc_id of the documents connected by links between
     word n-gram sets with a Jaccard similarity of at least ``threshold``. ``n_links``:
@@ -225,8 +225,9 @@ def near_dup(
     text are equal. A null id comes before all others.
     """
     bands, rows = banding(threshold, target_recall)
-    keyed = id_text(docs, id_col, text_col).select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("tx"), "text"
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    keyed = id_text(docs, id_col, text_col, row.alias("row")).select(
+        "row", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("tx"), "text"
     )
     signed = saved(_signed(keyed, n, bands, rows), "signed")
     member = F.struct("row", "id", "tx")
@@ -263,4 +264,5 @@ def near_dup(
     return out.select(
         null_id("id").alias("doc_id"), null_id("class_id").alias("class_id"), "n_links", "class_size",
         (F.col("row") == F.col("class_row")).alias("kept"), F.col("tx").alias("text_hash"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
