@@ -1,12 +1,17 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets verify them.
 
-Equal n-gram sets are one class member from the start, so copies are never
-paired. In a bucket (one band hash) every member is held against the bucket's
-pivot, its most central member - the one whose buckets are largest, as those of
-an original are among its edited copies; that grows with the bucket's size and not with
-the square. Only where the verified links leave the members of a bucket in
-different components are the pairs across them compared too, in blocks, so
-that what shares a bucket and is similar ends in one class.
+Equal n-gram sets are one node from the start, so copies are never paired.
+
+1. A few pivot rounds: in each bucket (one band hash) that holds several components, the
+   most central member - the one whose buckets are largest, as those of an original are
+   among its edited copies - is the pivot. A node is held against one pivot a round, the most
+   central one it hasn't met, so a round makes at most one pair a node; what is linked is
+   contracted before the next.
+2. Buckets that still hold several components are settled exactly. What such buckets connect
+   is a cluster; a cluster of few sets is one task, of a larger one each bucket is, and a
+   bucket past the bound is cut into blocks. A task compares by matrix products and returns a
+   spanning forest of the components it joins, never its pairs.
+3. Links are counted inside each class in the same way: no pair leaves a task.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ from pyspark.sql import functions as F
 from . import words
 from .common import buffers, id_text, saved, slices
 
-SENT_NODES = 1_000_000  # rows broadcast at most
-BLOCK = 256  # sets compared with each other at once
+PIVOT_ROUNDS = 2  # fewer or more change the work of the exact step after them, not the result
+BLOCK = 1024  # sets of a block at most, on average; a task holds two blocks
+BLOCK_GRAMS = 1 << 21  # and their n-grams
 _NO_ID = -(1 << 63)
-SIGNED = "row long, id long, tx long, s1 long, s2 long, bands array<long>"
+SIGNED = "row long, id long, tx long, s1 long, s2 long, n_grams long, bands array<long>"
 
 
 def banding(threshold: float, target_recall: float, rows_per_band: int = 5) -> tuple[int, int]:
@@ -103,8 +109,8 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 flat = pa.array(hashes[~empty].ravel().view(np.int64))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k) for k in range(3)), *map(pa.array, sums), pa.ListArray.from_arrays(offsets, flat)],
-                    names=["row", "id", "tx", "s1", "s2", "bands"],
+                    [*(batch.column(k) for k in range(3)), *map(pa.array, sums), pa.array(np.diff(uf).astype(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
+                    names=["row", "id", "tx", "s1", "s2", "n_grams", "bands"],
                 )
 
     return docs.mapInArrow(run, SIGNED)
@@ -122,11 +128,11 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, jaccard) of the pairs at or above the threshold; both joins read plain tables, so AQE can split a hot pivot."""
+    """(u, v) of the pairs at or above the threshold; both joins read plain tables, so AQE can split a hot pivot."""
     left, right = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "uv")
     both = pairs.join(right, "v").join(left, "u")
     common = F.size(F.array_intersect("gu", "gv"))
-    return both.select("u", "v", (common / (F.size("gu") + F.size("gv") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return both.withColumn("common", common).filter(F.col("common") / (F.size("gu") + F.size("gv") - F.col("common")) >= threshold).select("u", "v")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -144,70 +150,145 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, pivots: DataFrame, labels: DataFrame, grams: DataFrame, threshold: float) -> DataFrame | None:
-    """Links across components whose members share a bucket, or None if no bucket is mixed.
+def _placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the component each node is in so far."""
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return saved(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
 
-    Members of mixed buckets fall into clusters (connected by such buckets). A
-    cluster is cut into blocks of about BLOCK sets, a large component into blocks
-    of its own, and each pair of blocks that can hold a link is one task: its
-    set intersections come from matrix products and only links leave it.
-    """
-    placed = saved(members.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label")), "placed")
-    mixed = placed.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("h")
-    left = saved(placed.join(saved(mixed, "mixed"), "h"), "left")
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(h, pivot): the buckets that hold several components, and the most central node of each."""
+    top = F.max(F.struct("weight", (-F.col("node")).alias("first")))
+    mixed = placed.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), top.alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
+    return saved(mixed.filter("a != b").select("h", (-F.col("top.first")).alias("pivot"), F.col("top.weight").alias("pivot_weight"), "n", "g"), "mixed")
+
+
+def _offers(placed: DataFrame, mixed: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(u, v): each node with the most central pivot of its mixed buckets that it hasn't met."""
+    offers = placed.join(mixed, "h").filter("node != pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"), "node", "pivot", "pivot_weight")
+    if tried is not None:
+        offers = offers.join(tried, ["u", "v"], "left_anti")
+    best = offers.groupBy("node").agg(F.max(F.struct("pivot_weight", (-F.col("pivot")).alias("first"), "u", "v")).alias("o"))
+    return saved(best.select("o.u", "o.v").distinct(), "pairs")
+
+
+def _dealt(groups: DataFrame, key: str, n: str, g: str) -> DataFrame:
+    """``groups`` rows with task, block and own (count pairs inside the block here): one task, or every two blocks of a group past the bound."""
+    blocks = F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(g) / BLOCK_GRAMS))
+    cut = groups.withColumn("blocks", F.when(blocks <= 2, F.lit(1)).otherwise(blocks))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), "blocks"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    )
+    cut = cut.withColumn("other", F.explode(others))
+    task = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
+    return cut.withColumn("task", task).withColumn("own", (F.col("blocks") == 1) | (F.pmod(F.col("block") + 1, F.col("blocks")) == F.col("other")))
+
+
+def _settled(placed: DataFrame, mixed: DataFrame, grams: DataFrame, threshold: float) -> DataFrame | None:
+    """Links that join the components which buckets still hold apart though two of their members are similar; None without such buckets."""
+    left = saved(placed.join(mixed, "h").select("h", "node", "label", "n_grams", "pivot", "n", "g"), "left")
     if not left.limit(1).count():
         return None
-    spokes = left.join(pivots, "h").filter("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    spokes = left.filter("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     clusters = components(spokes).withColumnRenamed("label", "cluster")
-    nodes = saved(left.select("node", "label").distinct().join(clusters, "node"), "clustered")
-    parts = saved(nodes.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")), "parts")
-    rest = parts.filter(F.col("n") < BLOCK // 2).groupBy("cluster").agg(F.sum("n").alias("rest"))
-    plan = parts.join(rest, "cluster", "left").select(
-        "cluster", "label", (F.col("n") >= BLOCK // 2).alias("own"),
-        F.ceil(F.when(F.col("n") >= BLOCK // 2, F.col("n")).otherwise(F.col("rest")) / BLOCK).alias("blocks"),
-    )
-    dealt = F.pmod(F.when(F.col("own"), F.xxhash64("node")).otherwise(F.xxhash64("label")), "blocks")
-    block = F.struct(F.when(F.col("own"), F.col("label")).otherwise(-1).alias("of"), dealt.alias("k"))
-    nodes = saved(nodes.join(saved(plan, "plan"), ["cluster", "label"]).select("cluster", "node", "label", block.alias("block")), "blocks")
-    blocks = nodes.select("cluster", "block").distinct()
-    i, j = blocks.select("cluster", F.col("block").alias("i")), blocks.select("cluster", F.col("block").alias("j"))
-    tasks = i.join(j, "cluster").filter("i <= j AND (i.of != j.of OR i.of = -1)")
-    tasks = saved(tasks.select("cluster", "i", "j", F.xxhash64("cluster", "i", "j").alias("task")), "tasks")
-    ends = tasks.select("cluster", "task", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    sent = saved(nodes.join(ends, ["cluster", "block"]).select("task", "node", "label"), "sent")
-    loaded = sent.join(grams, "node")
+    nodes = saved(left.select("node", "label", "n_grams").distinct().join(clusters, "node"), "clustered")
+    sizes = saved(nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("cn"), F.sum("n_grams").alias("cg")), "clusters")
+    nodes = saved(nodes.join(sizes, "cluster").withColumn("small", (F.col("cn") <= 2 * BLOCK) & (F.col("cg") <= 2 * BLOCK_GRAMS)), "sized")
+    whole = nodes.filter("small").select(F.xxhash64("cluster", F.lit(1)).alias("task"), "node", "label")
+    apart = left.join(nodes.filter("NOT small").select("node"), "node")
+    sent = saved(whole.unionByName(_dealt(apart, "h", "n", "g").select("task", "node", "label")), "sent")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v, jaccard = block_links(pdf["grams"].tolist(), pdf["label"].to_numpy(), threshold)
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame({"u": node[u], "v": node[v], "jaccard": jaccard})
-
-    found = loaded.groupBy("task").applyInPandas(verify, "u long, v long, jaccard double")
-    return saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "jaccard").dropDuplicates(["u", "v"]), "more")
-
-
-def block_links(sets: list[np.ndarray], label: np.ndarray, threshold: float, columns: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of sets of different labels at or above the threshold, by matrix products over the shared values."""
-    size = np.array([len(x) for x in sets])
-    row = np.repeat(np.arange(len(sets)), size)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    number = np.cumsum(count > 1) - 1
-    row, column = row[shared], number[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
-        lo, hi = np.searchsorted(column, [at, at + columns])
-        part = np.zeros((len(sets), columns), np.float32)
-        part[row[lo:hi], column[lo:hi] - at] = 1
+        node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
+        u, v = forest(similar(pdf["grams"].tolist(), threshold), label)
+        return pd.DataFrame({"u": np.minimum(node[u], node[v]), "v": np.maximum(node[u], node[v])})
+
+    return saved(sent.join(grams, "node").groupBy("task").applyInPandas(verify, "u long, v long").distinct(), "more")
+
+
+def _counted(classes: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """(node, n): rows of the other sets at or above the threshold; ``classes`` (label, node, size, n_grams) holds nodes with a link."""
+    sizes = saved(classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g")), "class_sizes")
+    sent = saved(_dealt(classes.join(sizes, "label"), "label", "n", "g").select("task", "node", "size", "block", "own"), "counted")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = similar(pdf["grams"].tolist(), threshold)
+        block = pdf["block"].to_numpy()
+        near &= (block[:, None] != block[None, :]) | pdf["own"].to_numpy()[:, None]
+        return pd.DataFrame({"node": pdf["node"], "n": near @ pdf["size"].to_numpy()})
+
+    return sent.join(grams, "node").groupBy("task").applyInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def similar(sets: list[np.ndarray], threshold: float, columns: int = 4096, rows: int = 256) -> np.ndarray:
+    """For each two sets, whether they reach the threshold (never a set with itself).
+
+    Values that many of the sets hold are counted by matrix products, rare ones pair by pair.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.float64)
+    row = np.repeat(np.arange(n), size.astype(np.int64))
+    _, column, count = np.unique(np.concatenate(sets) if n else np.zeros(0), return_inverse=True, return_counts=True)
+    common = np.zeros((n, n), np.float32)
+    many = count > max(8, n // 16)
+    number = np.cumsum(many) - 1
+    dense = many[column]
+    r, c = row[dense], number[column[dense]]
+    order = np.argsort(c, kind="stable")
+    r, c = r[order], c[order]
+    for at in range(0, int(many.sum()), columns):
+        lo, hi = np.searchsorted(c, [at, at + columns])
+        part = np.zeros((n, columns), np.float32)
+        part[r[lo:hi], c[lo:hi] - at] = 1
         common += part @ part.T
-    jaccard = common / np.maximum(1, size[:, None] + size[None, :] - common)
-    u, v = np.nonzero(np.triu(jaccard >= threshold - 1e-6, 1) & (label[:, None] != label[None, :]))
-    inter = common[u, v].astype(np.float64)
-    exact = inter / (size[u] + size[v] - inter)
-    good = exact >= threshold
-    return u[good], v[good], exact[good]
+    few = (count > 1) & ~many
+    keep = few[column]
+    r, c = row[keep], column[keep]
+    order = np.argsort(c, kind="stable")
+    r, c = r[order], c[order]
+    ahead = 1
+    while len(c) > ahead:  # the next, next but one, ... holder of the same value
+        same = np.flatnonzero(c[ahead:] == c[:-ahead])
+        if not len(same):
+            break
+        u, v = r[same], r[same + ahead]
+        for x, y in ((u, v), (v, u)):
+            at, times = np.unique(x * n + y, return_counts=True)
+            common.reshape(-1)[at] += times.astype(np.float32)
+        ahead += 1
+    out = np.zeros((n, n), bool)
+    for at in range(0, n, rows):
+        inter = common[at : at + rows].astype(np.float64)
+        out[at : at + rows] = inter / np.maximum(1, size[at : at + rows, None] + size[None, :] - inter) >= threshold
+    np.fill_diagonal(out, False)
+    return out
+
+
+def forest(near: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``near`` that join the labels it connects: one fewer than the labels of each tree."""
+    names, group = np.unique(label, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    us, vs = [], []
+    for u in range(len(label)):
+        partners = np.flatnonzero(near[u, :u] & (group[:u] != group[u]))
+        if not len(partners):
+            continue
+        _, one = np.unique(group[partners], return_index=True)
+        for v in partners[one].tolist():
+            a, b = root(int(group[u])), root(int(group[v]))
+            if a != b:
+                parent[a] = b
+                us.append(u), vs.append(v)
+    return np.array(us, np.int64), np.array(vs, np.int64)
 
 
 def near_dup(
@@ -218,11 +299,10 @@ def near_dup(
 
     ``class_id``: the least doc_id of the documents connected by links between
     word n-gram sets with a Jaccard similarity of at least ``threshold``. ``n_links``:
-    verified links of the document's set with other sets (those that hold the
-    class together, not all pairs in it). Texts of fewer than n words
-    are one shorter n-gram; ``kept`` marks one row of each class, that of the
+    how many other rows the document has such a link with; every row of an equal set is one. Texts
+    of fewer than n words are one shorter n-gram, very long ones are taken whole; ``kept`` marks one row of each class, that of the
     least doc_id (of several, the first). All texts without words (null, empty) have equal sets. Rows that repeat id and
-    text are equal. A null id comes before all others.
+    text are equal. A null id comes before all others. An empty table gives no rows.
     """
     bands, rows = banding(threshold, target_recall)
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
@@ -231,34 +311,40 @@ def near_dup(
     )
     signed = saved(_signed(keyed, n, bands, rows), "signed")
     member = F.struct("row", "id", "tx")
-    sets = signed.groupBy("s1", "s2").agg(F.min(member).alias("m"), F.min(F.struct("id", "row")).alias("least"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"))
-    sets = saved(sets.select("s1", "s2", F.col("m.row").alias("node"), "m.id", "m.tx", "least", "size", "bands"), "sets")
-    keys = saved(sets.select("node", F.explode("bands").alias("h")), "keys")  # a band hash already differs by band
+    sets = signed.groupBy("s1", "s2").agg(
+        F.min(member).alias("m"), F.min(F.struct("id", "row")).alias("least"), F.count(F.lit(1)).alias("size"),
+        F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"),
+    )
+    sets = saved(sets.select("s1", "s2", F.col("m.row").alias("node"), "m.id", "m.tx", "least", "size", "n_grams", "bands"), "sets")
+    keys = saved(sets.select("node", "n_grams", F.explode("bands").alias("h")), "keys")  # a band hash already differs by band
     sizes = saved(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     members = saved(keys.join(sizes, "h"), "members")
-    # the member whose buckets are largest is the most central one: an original rather than one of its edited copies
+    # the node whose buckets are largest is the most central one: an original rather than one of its edited copies
     central = saved(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
-    members = saved(members.join(central, "node"), "members")
-    pivots = members.groupBy("h").agg(F.max(F.struct("weight", (-F.col("node")).alias("first"))).alias("p"))
-    pivots = saved(pivots.select("h", (-F.col("p.first")).alias("pivot")), "pivots")
-    star = members.join(pivots, "h").filter("node != pivot")
-    pairs = saved(star.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), "pairs")
+    members = saved(members.drop("n").join(central, "node"), "members")
     wanted = saved(central.select("node").join(sets.select("node", "id", "tx"), "node"), "wanted")
-    few = F.broadcast if wanted.count() <= SENT_NODES else lambda df: df  # 24 bytes a row; beyond the bound the join shuffles
-    text = keyed.select("id", "tx", "text").join(few(wanted), ["id", "tx"])
+    # texts of candidates only, by a merge join whatever the size: what one text's node is can't be sent for a corpus
+    text = keyed.select("id", "tx", "text").join(wanted.hint("merge"), ["id", "tx"])
     grams = saved(_sets(text, n).dropDuplicates(["node"]), "grams")
-    links = saved(_verified(pairs, grams, threshold), "verified")
-    labels = components(links)
-    more = _across(members, pivots, labels, grams, threshold)
-    if more is not None:
-        links = links.unionByName(more)
+    placed, labels, links, tried = _placed(members, None), None, None, None
+    for _ in range(PIVOT_ROUNDS):
+        pairs = _offers(placed, _mixed(placed), tried)
+        found = _verified(pairs, grams, threshold)
+        tried = pairs if tried is None else tried.union(pairs)
+        links = saved(found if links is None else links.union(found), "links")
         labels = components(links)
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = sets.select("node", "s1", "s2", "least", "size").join(labels, "node", "left").join(ends, "node", "left")
+        placed = _placed(members, labels)
+    more = _settled(placed, _mixed(placed), grams, threshold)
+    if more is not None:
+        labels = components(links.union(more))
+    in_class = saved(sets.select("node", "size", "n_grams").join(labels, "node"), "in_class")
+    linked = saved(_counted(in_class, grams, threshold), "linked")
+    named = sets.select("node", "s1", "s2", "least", "size").join(labels, "node", "left").join(linked, "node", "left")
+    named = named.withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("size") - 1)
     named = saved(named.withColumn("label", F.coalesce("label", "node")), "named")
     classes = named.groupBy("label").agg(F.min("least").alias("class"), F.sum("size").alias("class_size"))
     classes = classes.withColumn("class", F.struct(F.col("class.id").alias("class_id"), F.col("class.row").alias("class_row")))
-    classes = saved(named.join(saved(classes, "classes"), "label").select("s1", "s2", "class.*", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "set_classes")
+    classes = saved(named.join(saved(classes, "classes"), "label").select("s1", "s2", "class.*", "class_size", "n_links"), "set_classes")
     null_id = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     out = signed.select("row", "id", "tx", "s1", "s2").join(classes, ["s1", "s2"])
     return out.select(
