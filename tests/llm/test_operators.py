@@ -79,7 +79,8 @@ def test_words_match_regex():
 
 def test_token_counts(spark, docs, edge, none):
     c = PieceCounts(SP)
-    assert c.safe and all(c.count(t) == len(c.sp.encode(t)) for t in noise(3000))
+    texts = noise(3000)
+    assert c.safe and c.counts(texts) == [len(c.sp.encode(t)) for t in texts]
     assert "".join(parts(" a b" * 1000, 100)) == " a b" * 1000 and len(list(parts(" a b" * 1000, 100))) > 30
     for df in (docs, edge):
         want = collections.Counter((d, len(t.encode()), len(c.sp.encode(t)), len(c.sp.encode(t)) > 4096) for d, t in rows_of(df))
@@ -208,7 +209,8 @@ def test_substring_dedup_edges(spark, edge, none):
 
 
 def jaccard_classes(rows):
-    sets, parent = {}, {}
+    """Class and number of links of each document, from all pairs."""
+    sets, parent, links = {}, {}, collections.Counter()
     for d, t in rows:
         w = t.split()
         sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -226,25 +228,47 @@ def jaccard_classes(rows):
             if sets[a] == sets[b] or (both and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
-    return {d: root(d) for d in ids}
+                links.update((a, b))
+    return {d: (root(d), links[d]) for d in ids}
+
+
+def family(n, edits, first=5000, seed=9):
+    """One original and its copies with up to ``edits`` edits in 120 words."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [f"b{k}" for k in range(120)]
+        for _ in range(0 if i == 0 else r.randint(1, edits)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 10**6)}"
+        out.append((first + i, " ".join(w)))
+    return out
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [1024, 4])
 def test_near_dup(spark, docs, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
-    r = random.Random(9)
-    base = [f"b{i}" for i in range(120)]
-    family = []
-    for i in range(40):  # one original, its copies with some edits, and copies too far from it
-        w = list(base)
-        for _ in range(0 if i == 0 else r.randint(1, 5)):
-            w[r.randrange(len(w))] = f"e{r.randint(0, 10**6)}"
-        family.append((5000 + i, " ".join(w)))
-    df = docs.select("doc_id", "text").union(spark.createDataFrame([*family, (6000, None), (6001, " "), (6002, "two words"), (6003, "two  words")], "doc_id long, text string"))
-    got = {x.doc_id: (x.class_id, x.kept) for x in near_dup.near_dup(df).collect()}
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([*family(40, 5), (6000, None), (6001, " "), (6002, "two words"), (6003, "two  words")], "doc_id long, text string"))
+    got = {x.doc_id: x for x in near_dup.near_dup(df).collect()}
     want = jaccard_classes(rows_of(df))
-    assert {d: c for d, (c, _) in got.items()} == want
-    assert {d for d, (_, k) in got.items() if k} == set(want.values())
+    assert {d: (x.class_id, x.n_links) for d, x in got.items()} == want
+    assert {d for d, x in got.items() if x.kept} == {c for c, _ in want.values()}
+
+
+def test_near_dup_work_grows_with_the_family(spark, monkeypatch):
+    made, known = collections.defaultdict(list), near_dup.saved
+
+    def counted(df, label="t"):
+        out = known(df, label)
+        made[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "saved", counted)
+    rows = {}
+    for n in (400, 800):
+        made.clear()
+        near_dup.near_dup(spark.createDataFrame(family(n, 3), "doc_id long, text string")).count()
+        rows[n] = {k: max(v) for k, v in made.items()}
+    assert all(rows[800][k] <= 2.3 * max(rows[400].get(k, 0), 30) for k in rows[800])
 
 
 def test_near_dup_edges(spark, edge, none):
@@ -257,81 +281,96 @@ def test_near_dup_edges(spark, edge, none):
     assert near_dup.banding(0.8, 0.9999, 6) == (31, 6)
 
 
-def test_block_links_against_brute_force():
+def test_similar_and_forest_against_brute_force():
     r = np.random.default_rng(2)
-    sets = [np.unique(r.integers(0, 30, 25)) for _ in range(60)]
-    label = r.integers(0, 3, 60)
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if label[i] != label[j] and len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.6}
-    u, v, _ = near_dup.block_links(sets, label, 0.6, columns=7)
-    assert set(zip(u.tolist(), v.tolist(), strict=True)) == want and want
-
-
-def lm_brute(rows, order=3):
-    toks = [(d, SPACED.findall(t.translate(LOWER))) for d, t in rows]
-    train = [w for d, w in toks if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
-    c = [collections.Counter(x for w in train for x in [*w, None])]
-    total, distinct = sum(c[0].values()), len(c[0])
-    z = total + 0.5 * (distinct + 1)
-    counts, kept = {1: {(w,): n for w, n in c[0].items()}}, {1: {(w,) for w, n in c[0].items() if n >= 2}}
-    for k in range(2, order + 1):
-        x = collections.Counter()
-        for w in train:
-            s = [None, *w, None]
-            for i in range(len(s) - k + 1):
-                g = tuple(s[i : i + k])
-                if g[:-1] in kept[k - 1] and g[1:] in kept[k - 1]:
-                    x[g] += 1
-        counts[k], kept[k] = x, {g for g in x if x[g] >= 2}
-    freed = collections.defaultdict(lambda: 1.0)
-    for k in range(2, order + 1):
-        for g in kept[k]:
-            freed[g[:-1]] -= (counts[k][g] - 0.75) / counts[k - 1][g[:-1]]
+    sets = [np.unique(np.concatenate([r.integers(0, 30, 25), [100 + k // 3, 200 + k // 5]])) for k in range(60)]
+    want = [[i != j and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.6 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    near = near_dup.similar(sets, 0.6, columns=7, rows=11)
+    assert near.tolist() == want and near.any()
+    label = r.integers(0, 9, 60)
+    joined = near_dup.forest(near, label)
+    whole = [(label[i], label[j]) for i, j in zip(*np.nonzero(near), strict=True)]
+    assert union(9, whole) == union(9, [(label[i], label[j]) for i, j in zip(*joined, strict=True)])
+    assert len(joined[0]) == 9 - len(set(union(9, whole)))
+
+
+def union(n, pairs):
+    at = list(range(n))
+    for a, b in pairs:
+        x, y = at[a], at[b]
+        at = [min(x, y) if k in (x, y) else k for k in at]
+    return at
+
+
+def lm_model(train, order=3):
+    """(counts of words, probability of a word after some words), by the formulas."""
+    c = collections.Counter(x for w in train for x in [*w, None])
+    z = sum(c.values()) + 0.5 * (len(c) + 1)
+    seen = collections.Counter(tuple(s[i : i + n]) for w in train for s in [[None, *w, None]] for n in range(2, order + 1) for i in range(len(s) - n + 1))
+    after = collections.Counter()
+    for g, n in seen.items():
+        after[g[:-1]] += n
 
     def p(h, w):
         if not h:
-            return (c[0][w] + 0.5) / z
-        if h not in kept[len(h)]:
-            return p(h[1:], w)
-        g = (*h, w)
-        own = (counts[len(g)][g] - 0.75) / counts[len(h)][h] if g in kept[len(g)] else 0
-        return own + min(1, max(1e-9, freed[h])) * p(h[1:], w)
+            return (c[w] + 0.5) / z
+        return (seen[(*h, w)] + lm_scoring.MU * p(h[1:], w)) / (after[h] + lm_scoring.MU)
+
+    return c, p
 
+
+def lm_brute(rows, order=3):
+    toks = [(d, SPACED.findall(t.translate(LOWER))) for d, t in rows]
+    c, p = lm_model([w for d, w in toks if d is None or zlib.crc32(str(d).encode()) % 5 != 1], order)
     out = []
     for d, w in toks:
         s = [None, *w, None]
-        base = sum(math.log10((c[0][x] + 0.5) / z) for x in s[1:])
+        base = sum(math.log10(p((), x)) for x in s[1:])
         score = sum(math.log10(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))
-        out.append((d, len(s) - 1, sum(c[0][x] > 0 for x in s[1:]), total, round(base, 5), round(score, 5)))
+        out.append((d, len(s) - 1, sum(c[x] > 0 for x in s[1:]), sum(c.values()), round(base, 5), round(score, 5)))
     return sorted(out, key=str)
 
 
-def test_lm_scores(spark, docs, edge, none):
-    for df in (docs.limit(120), edge):
+@pytest.mark.parametrize(("chunk", "keys"), [(8 << 20, 1 << 20), (5000, 100)])
+def test_lm_scores(spark, docs, edge, none, monkeypatch, chunk, keys):
+    monkeypatch.setattr(lm_scoring, "CHUNK_TEXT", chunk)
+    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", keys)
+    for df in (docs, edge):
         got = lm_scoring.lm_scores(df).collect()
-        mine = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got), key=str)
-        want = lm_brute(rows_of(df))
-        assert [x[:4] for x in mine] == [x[:4] for x in want]
-        assert all(a[4] == pytest.approx(b[4], rel=1e-6) and a[5] == pytest.approx(b[5], rel=1e-6) for a, b in zip(mine, want, strict=True))
+        assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got), key=str) == lm_brute(rows_of(df))
+        assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in got)
     assert lm_scoring.lm_scores(none).count() == 0
 
 
-def test_lm_keeps_repeated_ngrams_of_a_large_corpus(spark):
-    rows = [(i, "a " * 90_000) for i in range(30)] + [(100 + i, t) for i, t in enumerate(["p q r s", "p q r s", "q r t", "p q"])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")  # over 2**21 tokens
-    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(df).collect()}
-    assert got == {x[0]: pytest.approx(x[5], rel=1e-6) for x in lm_brute(rows)}
+def test_lm_without_training_rows(spark):
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 5 == 1)
+    r = lm_scoring.lm_scores(spark.createDataFrame([(held, " two words ")], "doc_id long, text string")).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
 
 
-def test_lm_without_training_rows(spark):
-    df = spark.createDataFrame([(d, t) for d in range(40) if zlib.crc32(str(d).encode()) % 5 == 1 for t in (None, " a  b ", "c", "x y z")], "doc_id long, text string")
-    got = collections.Counter((r.n_tokens, r.n_known, r.train_tokens, r.score) for r in lm_scoring.lm_scores(df).collect())
-    assert set(got) == {(n, 0, 0, 0.0) for n in (1, 3, 2, 4)} and sum(got.values()) == df.count()
+def test_lm_learns_the_whole_corpus(spark):
+    """A held-out copy of one training text stands out, however much other text there is."""
+    rand, held = random.Random(3), [d for d in range(4000) if zlib.crc32(str(d).encode()) % 5 == 1]
+    texts = {d: " ".join(rand.choice(LONG) + str(rand.randint(0, 30)) for _ in range(60)) for d in range(4000)}
+    texts[held[7]] = texts[next(d for d in range(4000) if d not in set(held))]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_scoring.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).filter("held_out").collect()}
+    assert max(got, key=got.get) == held[7] and got[held[7]] > sorted(got.values())[-2] + 0.5
+
+
+def test_lm_notices_other_rows(spark):
+    def other(pdfs):
+        for pdf in pdfs:
+            yield pdf.assign(text=[str(random.random()) for _ in range(len(pdf))])
+
+    changing = spark.range(50).selectExpr("id AS doc_id", "'' AS text").mapInPandas(other, "doc_id long, text string")
+    with pytest.raises(Exception, match="other rows"):
+        lm_scoring.lm_scores(changing).count()
 
 
-def test_lm_root_sums_to_one():
-    keys = np.sort(np.array([5, 9, int(lm_scoring.END)], np.uint64))
-    a = lm_scoring.Automaton([lm_scoring.Arcs(keys)], [np.array([3, 2, 4])], 9, 3)
-    assert (10**a.base).sum() + 0.5 / a.norm == pytest.approx(1)
+def test_lm_state_sums_to_one():
+    c, p = lm_model([t.split() for t in ("a b a c a b d a b a", "b b a")])
+    for state in ((), ("a",), ("a", "b"), (None,), ("never", "seen")):
+        assert abs(sum(p(state, w) for w in [*c, "unknown"]) - 1) < 1e-12
 
 
 def test_warc_archive_round_trip():

@@ -1,30 +1,35 @@
 """Language-model scores by a weighted backoff automaton.
 
-Counting: n-grams of every order over all training documents, exactly, by 64-bit
-hash. An n-gram is kept if it comes at least LEAST times, whatever the corpus'
-size; its context and its suffix then come as often, so they are kept too.
-
-Model: interpolated absolute discounting in backoff form. A kept n-gram is an
-arc with its full probability and, as a context, a state; a state's failure
-arc carries the mass that discounting freed. The root gives
-(c + 0.5) / (N + 0.5 * (V + 1)), for unseen words with c = 0; the end of a text is a token and also
-what stands before a text.
-
-Scoring: the path of a text takes for each token the failure arcs down to the longest kept
-n-gram that ends there, then its arc. In logarithms that is a sum over all n-grams of the
-text: a kept one adds what its arc exceeds the same step through its failure arc by, and
-its own failure weight as a context. So the automaton is a saved table of one number a
-kept n-gram, and scores are a shuffled join of the texts' n-grams with it; nothing is
-broadcast and no table comes to the driver. ``Automaton`` is the same model in memory.
+Model: hierarchical Dirichlet smoothing of all n-grams of the training documents, none
+left out. A seen n-gram is a state; from a state of count c the arc of a word seen n times
+after it weighs log10((n + MU * p) / (c + MU)), p being the word's probability at
+the state without its first word; the failure arc there weighs log10(MU / (c + MU)). The
+probabilities of a state sum to 1. The root gives (c + 0.5) / (N + 0.5 * (V + 1)), for unseen
+words with c = 0; the end of a text is a token and also what stands before a text.
+
+All weights follow from n-gram counts, so counts are what is shuffled, packed:
+
+1. Map only: a chunk of documents (CHUNK_TEXT bytes) sorts its distinct n-gram keys (64-bit
+   hashes) and cuts them into buckets by their first bits; a bucket of a chunk is one row of
+   packed differences and training counts. A frequent n-gram is one key a chunk.
+2. A bucket adds up the counts of its keys over all chunks and answers each chunk in the
+   chunk's own key order.
+3. Each chunk meets its answers (one row of text, one of counts) and is the automaton of
+   its own documents: one traversal from left to right carries the state and adds up the weights.
+
+Steps 1 and 3 read the same rows, so ``docs`` must give the same partitions each time, as a
+table scan does; chunks carry a checksum, and a chunk that changed stops the job.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,39 +37,32 @@ from . import words
 from .common import buffers, id_text, saved, slices
 
 ORDER = 3
-LEAST = 2  # times an n-gram must come to be kept, at every size
-DISCOUNT = 0.75
+MU = 10.0  # what a state's lower order counts for, in occurrences
+CHUNK_TEXT = 8 << 20
+BUCKET_KEYS = 1 << 20  # about so many keys of all chunks are added up at once
+KEYS_PER_BYTE = 0.45
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; a word's hash is mixed and meets it by chance only
-FLUSH = 2_000_000
-OCCURRENCES = "row long, k long, times long, doc_id long, n_tokens long"  # the last two beside the end token only
-
-
-class Tally:
-    """Counts of 64-bit keys with their context and suffix, merged now and then; what grows past FLUSH keys is flushed."""
-
-    def __init__(self):
-        self.keys, self.size = [], 0
-
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(columns[0]):
-            k, at, n = np.unique(columns[0], return_index=True, return_counts=True)
-            self.keys.append((n, k, *(c[at] for c in columns[1:])))
-            self.size += len(k)
-        if self.size > FLUSH:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.keys:
-            return
-        n, k, *more = (np.concatenate(x) for x in zip(*self.keys, strict=True))
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        columns = [k[head], *(c[order][head] for c in more)]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c.view(np.int64)) for c in columns), pa.array(np.add.reduceat(n, head))], names=["k", "ctx", "suf"][: len(columns)] + ["n"]
-        )
-        self.keys, self.size = [], 0
+COUNTED = "bucket long, chunk long, mark long, words binary, grams binary, words_n binary, grams_n binary"
+TOTALS = "bucket long, chunk long, mark long, words_n binary, grams_n binary, tokens long, distinct_words long"
+CHUNKS = "chunk long, mark long, rows binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, all first bytes, then all second ones, ..., compressed."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes()) if len(values) else b""
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    if not data:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
 
 
 def with_ends(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -77,201 +75,116 @@ def with_ends(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _split(text: pa.Array) -> words.Words:
-    return words.split(*buffers(text), words.SPACED, lower=True)
-
-
-class Arcs:
-    """A sorted table of 64-bit keys."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Number of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-
-def pair(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (state.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-
-
-def places(h: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-    """Where an n-gram of this order begins that lies inside one document."""
-    inside = np.ones(max(0, len(h) - order + 1), bool)
-    for k in range(1, order):
-        over = first[1:] - k
-        inside[over[(over >= 0) & (over < len(inside))]] = False
-    return np.flatnonzero(inside)
-
-
-def keys_of(h: np.ndarray, order: int) -> np.ndarray:
-    return h if order == 1 else words.grams(h, order)
+class Chunk:
+    """The n-grams of some documents: sorted distinct keys, of words and of longer ones, and which key ends at which place."""
+
+    def __init__(self, text: pa.Array, order: int):
+        self.order = order
+        self.h, self.first = with_ends(words.split(*buffers(text), words.SPACED, lower=True))
+        self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.ahead = np.arange(len(self.h)) - self.first[self.doc]  # tokens before a place, with the end before the text
+        self.tokens = np.flatnonzero(self.ahead)
+        self.ends = [np.flatnonzero(self.ahead >= n - 1) for n in range(2, order + 1)]
+        self.words, self.word_at = np.unique(self.h[self.tokens], return_inverse=True)
+        keys = [words.grams(self.h, n)[at - n + 1] for n, at in enumerate(self.ends, 2)]
+        self.grams, self.gram_at = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+
+    def counts(self, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key comes in the documents that are learnt from."""
+        ends = np.concatenate([np.zeros(0, np.int64), *self.ends])
+        return tuple(
+            np.bincount(at, learnt[self.doc[places]], len(keys)).astype(np.uint64)
+            for at, places, keys in ((self.word_at, self.tokens, self.words), (self.gram_at, ends, self.grams))
+        )
 
+    def traverse(self, word_n: np.ndarray, gram_n: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, ...]:
+        """(n_tokens, n_known, base, score) of each document, from the corpus' counts of its keys.
 
-def _count_level(docs: DataFrame, order: int) -> DataFrame:
-    """(k, ctx, suf, n): counts of all n-grams of this order, with the keys of the n-gram without its last and without its first word."""
+        The state after a token is the longest seen n-gram that ends there, so all arcs that a
+        traversal takes are known from the counts: at each token the failure arcs from the state down to the
+        first one that has an arc for it, then this arc.
+        """
+        norm = total + 0.5 * (distinct + 1)
+        seen = np.zeros(len(self.h))
+        seen[self.tokens] = word_n[self.word_at]
+        seen[self.first[:-1]] = seen[self.first[1:] - 1]  # as a context, the end before a text comes as often as that after one
+        n_known = np.add.reduceat((seen > 0) & (self.ahead > 0), self.first[:-1]).astype(np.int64)
+        p = (seen + 0.5) / norm
+        weight = np.log10(p)
+        weight[self.first[:-1]] = 0
+        base = np.add.reduceat(weight, self.first[:-1])
+        at = 0
+        for places in self.ends:
+            n, c = gram_n[self.gram_at[at : at + len(places)]].astype(np.float64), seen[places - 1]
+            arc, back = (n + MU * p[places]) / (c + MU), np.log10(MU / (c + MU))
+            weight[places] = np.where(n > 0, np.log10(arc), back + weight[places])
+            p[places] = arc
+            seen = np.zeros(len(self.h))
+            seen[places] = n
+            at += len(places)
+        return np.diff(self.first) - 1, n_known, base, np.add.reduceat(weight, self.first[:-1])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(number, checksum, rows) of each chunk of this partition."""
+    number = TaskContext.get().partitionId() << 32
+    for whole in batches:
+        for batch in slices(whole, "text", CHUNK_TEXT):
+            yield number, zlib.crc32(buffers(batch.column(1))[0]) << 31 | batch.num_rows, batch
+            number += 1
+
+
+def _count(rows: DataFrame, order: int, bits: int) -> DataFrame:
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                h, first = with_ends(_split(batch.column(0)))
-                at, part = places(h, first, order), keys_of(h, order - 1)
-                yield from tally.add(keys_of(h, order)[at], part[at], part[at + 1])
-        yield from tally.flush()
-
-    found = docs.select("text").mapInArrow(run, "k long, ctx long, suf long, n long")
-    return found.groupBy("k").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.sum("n").alias("n"))
-
+        for number, mark, batch in _chunks(batches):
+            chunk = Chunk(batch.column(1), order)
+            counts = chunk.counts(~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+            cuts = [np.append(np.searchsorted(keys, edges), len(keys)) for keys in (chunk.words, chunk.grams)]
+            out = []
+            for k in np.flatnonzero(sum(np.diff(c) for c in cuts)).tolist():
+                part = [slice(c[k], c[k + 1]) for c in cuts]
+                keys = [packed(np.diff(x[s], prepend=edges[k])) for x, s in zip((chunk.words, chunk.grams), part, strict=True)]
+                out.append((k, number, mark, *keys, *(packed(n[s]) for n, s in zip(counts, part, strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+    return rows.mapInArrow(run, COUNTED)
+
+
+def _add_up(counted: DataFrame, bits: int) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        base, sums, totals = np.uint64(bucket) << np.uint64(64 - bits), [], []
+        for kind in ("words", "grams"):
+            keys = [unpacked(x) for x in table.column(kind).to_pylist()]
+            cuts = np.cumsum([0, *map(len, keys)])
+            keys = np.concatenate([np.cumsum(k) + base for k in keys])
+            distinct, at = np.unique(keys, return_inverse=True)
+            n = np.concatenate([unpacked(x) for x in table.column(f"{kind}_n").to_pylist()])
+            total = np.bincount(at, n, len(distinct)).astype(np.uint64)
+            totals.append(total)
+            sums.append([packed(total[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        once = lambda x: pa.array([int(x)] + [0] * (table.num_rows - 1), pa.int64())
+        of_words = totals[0]
+        return pa.table([
+            table.column("bucket"), table.column("chunk"), table.column("mark"), *(pa.array(s, pa.binary()) for s in sums), once(of_words.sum()), once((of_words > 0).sum())
+        ], names=[x.split()[0] for x in TOTALS.split(", ")])
+
+    return counted.groupBy("bucket").applyInArrow(run, TOTALS)
+
+
+def _packed_chunks(rows: DataFrame) -> DataFrame:
+    """One row a chunk: its documents as compressed Arrow."""
 
-def _count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                w = _split(batch.column(0))
-                yield from tally.add(np.concatenate([w.hash, np.full(len(w.first) - 1, END, np.uint64)]))
-        yield from tally.flush()
-
-    return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States: the root (0), then the kept n-grams of every order but the last. Arcs: kept n-grams; failures: to the context without its first word."""
-
-    def __init__(self, levels: list[Arcs], counts: list[np.ndarray], total: int, distinct: int):
-        self.words, self.total, self.distinct = levels[0], total, distinct
-        self.norm = total + 0.5 * (distinct + 1)
-        self.base = np.log10((counts[0] + 0.5) / self.norm)
-        sizes = [len(x.keys) for x in levels]
-        begin = np.cumsum([1, *sizes])  # state number of the first n-gram of each order
-        n_states = int(begin[len(levels) - 1]) if len(levels) > 1 else 1
-        self.fail, self.weight = np.zeros(n_states, np.int64), np.zeros(n_states)
-        prob = [(counts[0] + 0.5) / self.norm]
-        suffix: list[np.ndarray] = [np.full(sizes[0], -1, np.int64)]  # number of the kept n-gram without its first word, one order lower
-        keys, logp, target = [], [], []
-        for k in range(1, len(levels)):
-            context, word = (levels[k].keys >> np.uint64(32)).astype(np.int64), (levels[k].keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            freed = 1 - np.bincount(context, counts[k] - DISCOUNT, minlength=sizes[k - 1]) / counts[k - 1]
-            freed = np.clip(freed, 1e-9, 1)
-            lower = word if k == 1 else levels[k - 1].find(pair(suffix[k - 1][context], word))
-            prob.append((counts[k] - DISCOUNT) / counts[k - 1][context] + freed[context] * prob[k - 1][lower])
-            suffix.append(lower)
-            states = slice(int(begin[k - 1]), int(begin[k]))
-            self.weight[states] = np.log10(freed)
-            self.fail[states] = 0 if k == 1 else begin[k - 2] + suffix[k - 1]
-            keys.append(pair(begin[k - 1] + context, word))
-            logp.append(np.log10(prob[k]))
-            # the state after an arc: the n-gram itself, or of the last order what it ends with
-            target.append(begin[k] + np.arange(sizes[k]) if k < len(levels) - 1 else begin[k - 1] + lower)
-        keys, logp, target = (np.concatenate(x) if x else np.zeros(0) for x in (keys, logp, target))
-        order = np.argsort(keys)
-        self.arcs = Arcs(keys[order].astype(np.uint64))
-        self.logp, self.target = logp[order].astype(np.float64), target[order].astype(np.int64)
-        end = self.words.find(np.array([END]))[0]
-        self.start = self.root_target(np.array([end]))[0] if end >= 0 else 0
-        self.single = len(levels) == 1
-
-    def root_target(self, word: np.ndarray) -> np.ndarray:
-        return np.where((word >= 0) & (len(self.fail) > 1), 1 + word, 0)
-
-    def traverse(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per document the accumulated log10 probability without the root terms of words that aren't arcs there, and all tokens' word numbers.
-
-        ``h``: token hashes (words, then END); lanes are documents, longest first, so those that ended drop off the end.
-        """
-        word = self.words.find(h)
-        size = np.diff(first)
-        order = np.argsort(-size, kind="stable")
-        size, at = size[order], first[:-1][order]
-        total, state = np.zeros(len(size)), np.full(len(size), self.start, np.int64)
-        longest = int(size.max(initial=0))
-        lanes = np.searchsorted(-size, -np.arange(longest), "left")  # documents longer than t
-        for t in range(longest):
-            n = lanes[t]
-            w, s = word[at[:n] + t], state[:n]
-            acc = np.zeros(n)
-            after = np.zeros(n, np.int64)
-            todo = np.flatnonzero(w >= 0)
-            lost = np.flatnonzero(w < 0)
-            while len(lost):  # no arc anywhere: all failures down to the root
-                acc[lost] += self.weight[s[lost]]
-                up = s[lost] > 0
-                s[lost] = self.fail[s[lost]]
-                lost = lost[up]
-            while len(todo):
-                here = s[todo]
-                root = here == 0
-                r = todo[root]
-                acc[r] += self.base[w[r]]
-                after[r] = self.root_target(w[r])
-                todo, here = todo[~root], here[~root]
-                if not len(todo):
-                    break
-                arc = self.arcs.find(pair(here, w[todo]))
-                hit = arc >= 0
-                acc[todo[hit]] += self.logp[arc[hit]]
-                after[todo[hit]] = self.target[arc[hit]]
-                miss = todo[~hit]
-                acc[miss] += self.weight[s[miss]]
-                s[miss] = self.fail[s[miss]]
-                todo = miss
-            total[:n] += acc
-            state[:n] = after
-        out = np.empty(len(size))
-        out[order] = total
-        return out, word
-
-
-def _occurrences(docs: DataFrame, order: int) -> DataFrame:
-    """The n-grams of each document, of all orders; the end before a text is a context only, that after it a word only, so END is there once and carries the row's id and size."""
+        for number, mark, batch in _chunks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([mark]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "mark", "rows"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                h, first = with_ends(_split(batch.column(2)))
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                for n in range(1, order + 1):
-                    at = places(h, first, n)
-                    if n == 1:
-                        at = np.delete(at, first[:-1])
-                    k, d = keys_of(h, n)[at], doc[at]
-                    _, one, times = np.unique(k ^ words.mix(d.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
-                    k, d = k[one], d[one]
-                    ends = (k == END) & (n == 1)
-                    size = pa.array((np.diff(first) - 1)[d], mask=~ends)
-                    at_end = pa.array(np.where(ends, d, 0), mask=~ends)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(d)), pa.array(k.view(np.int64)), pa.array(times), batch.column(1).take(at_end), size],
-                        names=["row", "k", "times", "doc_id", "n_tokens"],
-                    )
-
-    return docs.select("row", "doc_id", "text").mapInArrow(run, OCCURRENCES)
-
-
-def weights(training: DataFrame, unigrams: DataFrame, order: int, norm: float) -> DataFrame:
-    """(k, value, base): what an n-gram adds to a text's score, and a word to its base score; null base for longer ones."""
-    p = (F.col("n") + 0.5) / F.lit(norm)
-    below = unigrams.select("k", "n", p.alias("p"), F.log10(p).alias("own"), F.log10(p).alias("base"))
-    out = []
-    for n in range(2, order + 1):
-        level = saved(_count_level(training, n).filter(F.col("n") >= LEAST), f"grams{n}")
-        taken = saved(level.groupBy(F.col("ctx").alias("k")).agg(F.sum(F.col("n") - DISCOUNT).alias("taken")), "taken")
-        freed = F.greatest(F.lit(1e-9), F.least(F.lit(1.0), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("n")))
-        below = saved(below.join(taken, "k", "left").withColumn("freed", freed).drop("taken"), "states")
-        out.append(below.select("k", (F.col("own") + F.log10("freed")).alias("value"), "base"))
-        context = below.filter(F.col("n") >= LEAST).select(F.col("k").alias("ctx"), F.col("n").alias("c"), "freed")
-        # each join reads saved tables, so AQE can split a hot context or suffix
-        level = saved(level.join(context, "ctx"), "contexts")
-        level = level.join(below.filter(F.col("n") >= LEAST).select(F.col("k").alias("suf"), F.col("p").alias("lower")), "suf")
-        full, back = (F.col("n") - DISCOUNT) / F.col("c") + F.col("freed") * F.col("lower"), F.col("freed") * F.col("lower")
-        below = saved(level.select("k", "n", full.alias("p"), (F.log10(full) - F.log10(back)).alias("own"), F.lit(None).cast("double").alias("base")), "arcs")
-    out.append(below.select("k", F.col("own").alias("value"), "base"))
-    return saved(reduce(DataFrame.unionByName, out), "weights")
+    return rows.mapInArrow(run, CHUNKS)
 
 
 def held_out(id_col: str):
@@ -284,26 +197,27 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
 
     Null text is empty: its one token is the end. A null id belongs to no fold
     and is learnt from. Repeated rows are scored alike and learnt from as often as they come. Without
-    training rows all counts are 0. N-grams are counted by 64-bit hashes.
+    training rows all counts are 0 and each token has probability 1. An empty table gives no rows.
+    A very long text is a chunk by itself. N-grams are counted by 64-bit hashes.
     """
-    rows = id_text(docs, id_col, text_col).withColumn("held_out", held_out("doc_id"))
-    training = rows.filter(~F.col("held_out"))
-    unigrams = saved(_count_words(training), "words")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    if not total:  # nothing learnt: each token has probability 1
-        counted = rows.withColumn("n_tokens", F.size(F.split(F.concat(F.lit("x "), "text"), r"[\x20\x09-\x0D]+(?=[^\x20\x09-\x0D])")).cast("long"))
-        zero, none = F.lit(0).cast("long"), F.lit(0.0)
-        return counted.select("doc_id", "held_out", "n_tokens", zero.alias("n_known"), zero.alias("train_tokens"), none.alias("base_score"), none.alias("score"))
-    norm = total + 0.5 * (distinct + 1)
-    known = weights(training, unigrams, order, norm)
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    times = F.col("times")
-    sums = _occurrences(numbered, order).join(known, "k").groupBy("row").agg(  # END is always known, so no row is lost
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("value") * times).alias("value"),
-        F.sum(F.col("base") * times).alias("base"), F.sum(F.when(F.col("base").isNotNull(), times)).alias("n_known"),
-    )
-    unseen = (F.col("n_tokens") - F.col("n_known")) * F.log10(F.lit(0.5 / norm))
-    return sums.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + unseen).alias("base_score"), (F.col("value") + unseen).alias("score"),
-    )
+    rows = id_text(docs, id_col, text_col, held_out(id_col).alias("held_out"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(40, max(1, math.ceil(math.log2(max(1, n_bytes * KEYS_PER_BYTE / BUCKET_KEYS)))))
+    totals = saved(_add_up(_count(rows, order, bits), bits), "totals")
+    total, distinct = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
+    answers = totals.groupBy("chunk").agg(F.max("mark").alias("counted"), F.sort_array(F.collect_list(F.struct("bucket", "words_n", "grams_n"))).alias("counts"))
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for row in table.to_pylist():
+            if row["counted"] != row["mark"]:
+                raise ValueError("docs gave other rows when they were read again; save them first")
+            for batch in pa.ipc.open_stream(row["rows"]):
+                chunk = Chunk(batch.column(1), order)
+                counts = (np.concatenate([unpacked(c[kind]) for c in row["counts"]]) for kind in ("words_n", "grams_n"))
+                n_tokens, n_known, base, score = chunk.traverse(*counts, total, distinct)
+                learnt = pa.array(np.full(len(n_tokens), total, np.int64))
+                out.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, (n_tokens, n_known)), learnt, pa.array(base), pa.array(score)], names=[x.split()[0] for x in SCORES.split(", ")]))
+        return pa.Table.from_batches(out)
+
+    return _packed_chunks(rows).join(answers, "chunk", "left").groupBy("chunk").applyInArrow(run, SCORES)
