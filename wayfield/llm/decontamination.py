@@ -1,17 +1,18 @@
-"""Benchmark decontamination: an exact word filter joins passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare words and bigrams of the test items join passages to them, Smith-Waterman alignment scores them.
 
-The items are a stated query set: they are taken in blocks of at most
-``items_per_block``, so what a block sends to the executors has a fixed bound,
-and each block is held against all documents. Pass 1 counts every item word
+The items are a stated query set: they are taken in blocks of bounded count and bytes, so
+what a block sends to the executors has a bound,
+and each block is held against all documents. Pass 1 counts every item word and bigram
 over all documents. Pass 2 finds the places that can hold an alignment and aligns
 the words there with the whole item.
 
-The filter loses nothing. An alignment of at least ``threshold`` of an item of m words has at
-least M = ceil(threshold * m) matched words and spans at most (3 - 2 * threshold) * m words of the
-text, as each word besides the matched ones costs 1 of their 2. An item's seeds are its words but
-the most frequent ones, of which at most half of M places are left out; so at least the other half
-of M seeds stand within that span. And of the places so found those stay where the words of some stretch
-reach the score at 2 for each that stands anywhere in the item and -1 for each other.
+The filter loses nothing. An alignment of M matched words that scores at least t (2 a match, -1 for
+each other word of text or item) spans at most 3M - t words of text, and all but 2M - t of its M - 1
+steps go from a word to the next one in both. So for any W, either it has W matched words within 3m - t words of the
+text (m: the item's words), or t - W matched bigrams within 3(W - 1) - t. Seeds are an item's words (bigrams) but
+the most frequent ones; those left out can be part of the matches, so that many fewer seeds must stand within the span.
+Of the places so found those stay where some stretch reaches t at 2 for each word of the item, less 1 where it follows
+another that it doesn't follow in the item, and -1 for each other word.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import buffers, id_text, slices
 MATCH, MISMATCH, GAP = 2, -1, -1
 GRAM = 3  # an item of fewer words must stand whole
 ITEMS_PER_BLOCK = 20_000
+BLOCK_BYTES = 4 << 20  # of item text in a block, on average
 ALIGN_CELLS = 1 << 22  # matrix cells aligned at once
 PLACE_WORDS = 1 << 19  # words of places bounded at once
 HITS = "doc_id long, item_id long, score double, first_word long, last_word long, aligned_words long, n_places long"
@@ -82,13 +84,20 @@ def align(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tuple[np
     return best, end
 
 
+def bigrams(w: words.Words) -> np.ndarray:
+    """A hash for each word and the next; the last word of a text and the first of the next one give a pair that is only a chance of a place more."""
+    return words.grams(w.hash, 2)
+
+
 def _count_seeds(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Seeds(seeds)
         totals = np.zeros(len(found.values), np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                totals += np.bincount(found.find(_word_hashes(batch.column(1)).hash)[1], minlength=len(totals))
+                w = _word_hashes(batch.column(1))
+                for hashes in (w.hash, bigrams(w)):
+                    totals += np.bincount(found.find(hashes)[1], minlength=len(totals))
         hit = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(found.values[hit].view(np.int64)), pa.array(totals[hit])], names=["seed", "n"])
 
@@ -101,19 +110,26 @@ def _item_arrays(rows: list) -> tuple[list[int | None], list[np.ndarray]]:
 
 
 class Members:
-    """Which words stand in which items: a bit table of both; what it takes for a member by chance only raises a bound."""
+    """Which words and bigrams stand in which items: a bit table of both; what it takes for a member by chance only raises a bound."""
 
     def __init__(self, item_words: list[np.ndarray]):
         owner = np.repeat(np.arange(len(item_words)), [len(w) for w in item_words])
-        self.table = np.zeros(1 << 22, bool)
-        self.table[self.at(np.concatenate(item_words), owner)] = True
+        self.words = self.table(np.concatenate(item_words), owner)
+        owner = np.repeat(np.arange(len(item_words)), [max(0, len(w) - 1) for w in item_words])
+        self.pairs = self.table(np.concatenate([words.grams(w, 2) for w in item_words]), owner)
+
+    @classmethod
+    def table(cls, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << 22, bool)
+        out[cls.at(hashes, owner)] = True
+        return out
 
     @staticmethod
     def at(hashes: np.ndarray, item: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((hashes ^ (item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)).astype(np.int64)
 
-    def bound(self, hashes: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def bound(self, hashes: np.ndarray, pairs: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """At least the best alignment score of each item with the words from ``low`` to ``high`` (never empty)."""
         out, size, at = np.zeros(len(item), np.int64), high - low, 0
         ends = np.cumsum(size)
@@ -122,76 +138,116 @@ class Members:
             n = size[at:to]
             first = np.cumsum(n) - n
             place = np.arange(n.sum()) + np.repeat(low[at:to] - first, n)
-            value = np.where(self.table[self.at(hashes[place], np.repeat(item[at:to], n))], MATCH, GAP)
+            of = np.repeat(item[at:to], n)
+            member = self.words[self.at(hashes[place], of)]
+            value = np.where(member, MATCH, GAP)
+            follows = np.flatnonzero(member[1:] & member[:-1] & (place[1:] == place[:-1] + 1)) + 1
+            value[follows] += GAP * ~self.pairs[self.at(pairs[place[follows] - 1], of[follows])]
             total = np.cumsum(value)
             apart = np.repeat(np.arange(to - at) * (4 * len(value) + 4), n)  # each place's sums lie below those before it
             least = np.minimum.accumulate(total - value - apart) + apart
-            out[at:to] = np.maximum.reduceat(total - least, first)
+            out[at:to] = np.maximum.reduceat(total - least, first) - GAP  # the first word of a stretch follows none of it
             at = to
         return out
 
 
-def item_seeds(w: np.ndarray, frequency: np.ndarray, least: int) -> tuple[np.ndarray, int]:
-    """Distinct words of an item without the most frequent ones, and how many of ``least`` matched words must be among them."""
+def item_seeds(w: np.ndarray, frequency: np.ndarray, least: int, spare: int) -> tuple[np.ndarray, int]:
+    """Distinct words of an item without the most frequent ones of at most ``spare`` places, and how many of ``least`` matches must be among them."""
     seed, times = np.unique(w, return_counts=True)
     order = np.argsort(-frequency[np.searchsorted(w, seed, sorter=np.argsort(w))], kind="stable")
     left_out = np.cumsum(times[order])
-    n = int(np.searchsorted(left_out, least // 2, "right"))
+    n = int(np.searchsorted(left_out, spare, "right"))
     return seed[order[n:]], least - int(left_out[n - 1] if n else 0)
 
 
+class SeedTable:
+    """Seeds of all items of a block, with what each item needs: so many of them within so many words."""
+
+    def __init__(self, n_items: int):
+        self.seed, self.owner = [], []
+        self.need, self.span = np.ones(n_items, np.int64), np.ones(n_items, np.int64)
+
+    def add(self, item: int, w: np.ndarray, counts: dict[int, int], least: int, spare: int, span: int) -> None:
+        frequency = np.array([counts.get(int(x), 0) for x in w.view(np.int64)])
+        seeds, self.need[item] = item_seeds(w, frequency, least, spare)
+        self.span[item] = max(1, span)
+        self.seed.append(seeds), self.owner.append(np.full(len(seeds), item))
+
+    def sort(self) -> SeedTable:
+        seed = np.concatenate([np.zeros(0, np.uint64), *self.seed])
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.owner = seed[order], np.concatenate([np.zeros(0, np.int64), *self.owner])[order]
+        return self
+
+    def open(self) -> SeedTable:
+        """Inside a task: what finds seeds fast, made once."""
+        self.found = Seeds(self.seed)
+        self.begin, self.stop = np.searchsorted(self.seed, self.found.values), np.searchsorted(self.seed, self.found.values, "right")
+        return self
+
+    def places(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document * items + item, low, high): words where an item has as many seeds as it needs, each with its span around."""
+        at, which = self.found.find(hashes)
+        many = self.stop[which] - self.begin[which]
+        k = np.repeat(self.begin[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at, item = np.repeat(at, many), self.owner[k]
+        pair = (np.searchsorted(first, at, "right") - 1) * len(self.need) + item
+        order = np.argsort(pair, kind="stable")
+        at, item, pair = at[order], item[order], pair[order]
+        to = np.arange(len(at)) + self.need[item] - 1
+        head = np.flatnonzero(to < len(at))
+        to = to[head]
+        good = (pair[to] == pair[head]) & (at[to] - at[head] < self.span[item[head]])
+        head, to = head[good], to[good]
+        span = self.span[item[head]]
+        return pair[head], at[to] - span + 1, at[head] + span + 1  # a bigram's second word too
+
+
 def _search(docs: DataFrame, ids: list[int | None], item_words: list[np.ndarray], counts: dict[int, int], gram: int, threshold: float) -> DataFrame:
     sizes = np.array([len(w) for w in item_words])
     share = np.where(sizes < gram, 1.0, threshold)
-    span = ((3 - 2 * share) * sizes + 1e-9).astype(np.int64)
-    need = np.ones(len(sizes), np.int64)
-    seed, owner = [], []
+    reach = MATCH * share * sizes
+    span = (3 * sizes - reach + 1e-9).astype(np.int64)
+    by_word, by_pair = SeedTable(len(sizes)), SeedTable(len(sizes))
     for k, w in enumerate(item_words):
         if len(w):
-            s, need[k] = item_seeds(w, np.array([counts.get(int(x), 0) for x in w.view(np.int64)]), max(1, math.ceil(share[k] * len(w) - 1e-9)))
-            seed.append(s), owner.append(np.full(len(s), k))
-    seed, owner = map(np.concatenate, (seed, owner))
-    order = np.argsort(seed, kind="stable")
-    seed, owner = seed[order], owner[order]
+            score = math.ceil(reach[k] - 1e-9)
+            least = max(1, min(len(w), score - 1, math.ceil(0.75 * score)))
+            by_word.add(k, w, counts, least, 3 * least // 4, int(span[k]))
+            if score - least <= least - 2:  # fewer than ``least`` matches have at most so many steps
+                by_pair.add(k, words.grams(w, 2), counts, score - least, (score - least) // 2, 3 * (least - 1) - score)
+    by_word.sort(), by_pair.sort()
     members = Members(item_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Seeds(seed)
-        begin, stop = np.searchsorted(seed, found.values), np.searchsorted(seed, found.values, "right")
+        by_word.open(), by_pair.open()
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows = list(chunk(batch, found, begin, stop))
+                rows = list(chunk(batch))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                     cols = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 
-    def chunk(batch: pa.RecordBatch, found: Seeds, begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple]:
+    def chunk(batch: pa.RecordBatch) -> Iterator[tuple]:
         w = _word_hashes(batch.column(1))
-        at, which = found.find(w.hash)
-        many = stop[which] - begin[which]
-        k = np.repeat(begin[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at, item = np.repeat(at, many), owner[k]
-        pair = (np.searchsorted(w.first, at, "right") - 1) * len(sizes) + item
-        order = np.argsort(pair, kind="stable")
-        at, item, pair = at[order], item[order], pair[order]
-        # so many seeds of one (document, item) as an alignment needs, no further apart than it can be long
-        to = np.arange(len(at)) + need[item] - 1
-        head = np.flatnonzero(to < len(at))
-        to = to[head]
-        good = (pair[to] == pair[head]) & (at[to] - at[head] < span[item[head]])
-        head, to = head[good], to[good]
-        if not len(head):
+        pairs = bigrams(w)
+        both = zip(by_word.places(w.hash, w.first), by_pair.places(pairs, w.first), strict=True)
+        pair, low, high = (np.concatenate(x) for x in both)
+        if not len(pair):
             return
-        pair, item_h = pair[head], item[head]
-        low, high = at[to] - span[item_h] + 1, at[head] + span[item_h]
-        new = np.ones(len(head), bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (low[1:] > high[:-1])
+        doc, item = np.divmod(pair, len(sizes))
+        low, high = np.maximum(w.first[doc], low), np.minimum(w.first[doc + 1], high)
+        order = np.lexsort((low, pair))
+        pair, low, high = pair[order], low[order], high[order]
+        apart = (pair - pair[0]) * (len(w) + 1)  # places that overlap are one; those of another pair lie beyond
+        reach_so_far = np.maximum.accumulate(high + apart)
+        new = np.ones(len(pair), bool)
+        new[1:] = low[1:] + apart[1:] > reach_so_far[:-1]
         head = np.flatnonzero(new)
-        last = np.append(head[1:], len(new)) - 1
-        doc_h, item_h = np.divmod(pair[head], len(sizes))
-        low, high = np.maximum(w.first[doc_h], low[head]), np.minimum(w.first[doc_h + 1], high[last])
-        good = members.bound(w.hash, item_h, low, high) >= MATCH * share[item_h] * sizes[item_h] - 1e-9
+        high = np.maximum.reduceat(high, head)
+        (doc_h, item_h), low = np.divmod(pair[head], len(sizes)), low[head]
+        good = members.bound(w.hash, pairs, item_h, low, high) >= reach[item_h] - 1e-9
         doc_h, item_h, low, high = doc_h[good], item_h[good], low[good], high[good]
         # a long place is cut into stretches that overlap by what an alignment can span, so a matrix stays small
         jobs = []
@@ -260,14 +316,16 @@ def contaminated(
     """
     rows = id_text(docs, id_col, text_col)
     items = id_text(benchmark, item_col, text_col)
-    blocks = max(1, math.ceil(items.count() / items_per_block))
+    n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n_items / items_per_block), math.ceil(n_bytes / BLOCK_BYTES))
     out = []
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
-        ids, item_words = _item_arrays(block.collect())  # a block's size is bounded by items_per_block
+        ids, item_words = _item_arrays(block.collect())  # bounded by items_per_block and BLOCK_BYTES
         if not sum(map(len, item_words)):
             continue
-        counts = {r.seed: r.n for r in _count_seeds(rows, np.concatenate(item_words)).collect()}  # at most one row per word
+        seeds = np.concatenate([x for w in item_words for x in (w, words.grams(w, 2))])
+        counts = {r.seed: r.n for r in _count_seeds(rows, seeds).collect()}  # at most one row per word and bigram of the block
         out.append(_search(rows, ids, item_words, counts, gram, threshold))
     if not out:
         return docs.sparkSession.createDataFrame([], HITS)
