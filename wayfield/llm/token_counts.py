@@ -2,8 +2,8 @@
 
 A text is cut where no piece of the vocabulary can span: before each space that
 follows a non-space (checked against the vocabulary when the model is loaded). The pieces between two such
-places are encoded by the tokenizer's own library, each distinct one once per
-cache life, so the sum equals the count of the whole text.
+places are encoded by the tokenizer's own library, all those of a slice of texts that aren't known yet
+in calls balanced by bytes, each distinct one once per cache life; so the sum equals the count of the whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LONG_TEXT = 1 << 20  # characters; longer texts are handled part by part
 CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
+BATCH_BYTES = 1 << 18  # what the library encodes in one call
 
 _RUN = re.compile(r" +[^ ]*")
 
@@ -38,6 +39,18 @@ def parts(text: str, limit: int = LONG_TEXT) -> Iterator[str]:
         yield text[at:]
 
 
+def byte_batches(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Runs of texts of about ``limit`` characters together, or one longer text."""
+    at, n = 0, 0
+    for k, text in enumerate(texts):
+        if n and n + len(text) > limit:
+            yield texts[at:k]
+            at, n = k, 0
+        n += len(text)
+    if at < len(texts):
+        yield texts[at:]
+
+
 class PieceCounts(dict):
     """Chunk of text without its first space -> number of tokens, by the sentencepiece library."""
 
@@ -54,26 +67,30 @@ class PieceCounts(dict):
         # a model that normalises (or drops) spaces isn't cut at all
         self.safe = self.safe and self.sp.encode("a  b ", out_type=str)[-1].endswith("▁")
 
-    def __missing__(self, chunk: str) -> int:
-        n = len(self.sp.encode(chunk)) if chunk else 1  # a lone space at the end is one piece
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = n
-        return n
-
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self.safe:
-            return len(self.sp.encode(text))
-        total = 0
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text: a space that follows a non-space ends one; runs of spaces stay with the word after them."""
+        out: list[str] = []
         for part in parts(" " + text.replace("▁", " ")):
-            chunks = part[1:].split(" ")
-            if "" in chunks:  # runs of spaces stay with the word after them
-                chunks = [x[1:] for x in _RUN.findall(part)]
-            total += sum(map(self.__getitem__, chunks))
-        return total
+            own = part[1:].split(" ")
+            out += [x[1:] for x in _RUN.findall(part)] if "" in own else own
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; chunks that aren't known yet go to the library together, in batches balanced by bytes."""
+        if not self.safe:
+            return [n for batch in byte_batches(texts) for n in map(len, self.sp.encode(batch, num_threads=1))]
+        cut = [self.chunks(t) if t else [] for t in texts]
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        new = list({c for chunks in cut for c in chunks if c and c not in self})
+        for batch in byte_batches(new):
+            self.update(zip(batch, map(len, self.sp.encode(batch, num_threads=1)), strict=True))
+        self[""] = 1  # a lone space at the end is one piece
+        out = [sum(map(self.__getitem__, chunks)) for chunks in cut]
+        for c in new:
+            if len(c) > CACHED_CHARS:
+                del self[c]
+        return out
 
 
 class LibraryCounts:
@@ -86,8 +103,8 @@ class LibraryCounts:
         self.tok.no_truncation()
         self.tok.no_padding()
 
-    def count(self, text: str) -> int:
-        return len(self.tok.encode(text, add_special_tokens=False).ids)
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for batch in byte_batches(texts) for e in self.tok.encode_batch(batch, add_special_tokens=False)]
 
 
 _LOADED: dict[str, object] = {}
@@ -114,7 +131,7 @@ def count_tokens(
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, text = batch.column(0), batch.column(1)
-                sizes = [c.count(x) for x in text.to_pylist()]
+                sizes = c.counts(text.to_pylist())
                 n_bytes = pc.binary_length(text).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [ids, n_bytes, pa.array(sizes, pa.int64()), pa.array([n > token_limit for n in sizes], pa.bool_())],
