@@ -1,8 +1,9 @@
 """Packing documents into fixed-length sequences, best fit decreasing.
 
 Stage 1 (map only) encodes each document, appends the end id and cuts it into
-full windows and a rest. Stage 2 shuffles only the pieces' lengths, dealt by a
-hash of doc_id into groups of a bounded number of documents, and places them: a
+full windows and a rest; the pieces, without their ids, are saved. A full window is a sequence as it is.
+Stage 2 shuffles the rests, dealt by a hash of their row number into groups of bounded size
+(so neither a repeated id nor a huge document makes a large one), and places them: a
 segment tree indexed by remaining capacity finds the tightest open sequence.
 """
 
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices
+from .common import id_text, saved, slices
 from .token_counts import CACHE_ENTRIES, CACHED_CHARS, parts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long"
-DOCS_PER_GROUP = 8192
+RESTS_PER_GROUP = 8192
+_OWN = 1 << 62  # sequence ids of full windows begin here
 
 _UNSAFE = re.compile(r" \s")
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -175,19 +177,22 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return seq, off
 
 
-def pack(pieces: DataFrame, n_docs: int, window: int = 2048, docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
+def pack(pieces: DataFrame, window: int = 2048, rests_per_group: int = RESTS_PER_GROUP) -> DataFrame:
     """Place every piece: sequence_id (unique over all groups) and gapless offsets from 0."""
-    groups = max(1, math.ceil(n_docs / docs_per_group))
+    pieces = saved(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    full, rests = pieces.filter(F.col("length") == window), pieces.filter(F.col("length") < window)
+    groups = max(1, math.ceil(rests.count() / rests_per_group))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         seq, off = best_fit(pdf["length"].to_numpy(), window)
         fill = np.bincount(seq, weights=pdf["length"].to_numpy()).astype(np.int64)
         base = int(pdf["part"].iloc[0]) << 32
-        return pdf.drop(columns="part").assign(sequence_id=base + seq, offset=off, sequence_tokens=fill[seq])
+        return pdf.drop(columns=["part", "number"]).assign(sequence_id=base + seq, offset=off, sequence_tokens=fill[seq])
 
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(groups))
-    return pieces.withColumn("part", part).groupBy("part").applyInPandas(place, PACKED)
+    placed = rests.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(groups))).groupBy("part").applyInPandas(place, PACKED)
+    zero = F.lit(0).cast("long")
+    return placed.unionByName(full.select(*[c.split()[0] for c in PIECES.split(", ")], (F.col("number") + _OWN).alias("sequence_id"), zero.alias("offset"), F.col("length").alias("sequence_tokens")))
 
 
 def pack_documents(
@@ -198,7 +203,7 @@ def pack_documents(
 
     Null text is empty (one piece that holds the end id alone). Repeated rows
     are packed as often as they come; equal lengths are ordered by doc_id, then
-    start. An empty table gives no rows. A null id is kept.
+    start. An empty table gives no rows. A null id is kept. A very long text is encoded part by part.
     """
     pieces = cut_pieces(docs, json_path, ranks_path, pattern, window, end_id, id_col, text_col)
-    return pack(pieces, docs.count(), window)
+    return pack(pieces, window)
