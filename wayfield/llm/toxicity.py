@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from . import words
 from .common import buffers, id_text, slices
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16  # any span of 16 words lies in one window
 HIDDEN, WORD_ROWS, CHAR_ROWS = 8, 1 << 15, 1 << 15
 INPUT = 12
 CHAR_GRAMS = (3, 4, 5)
-LONGEST_WORD = 24  # bytes of a word that its character n-grams cover
+LONGEST_WORD, WORD_STEP = 24, 16  # bytes: a longer run is cut into overlapping pieces, words of their own
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_BYTES = 1500, 5000, 4000
 LEAST_STEPS = 600
 F32 = np.float32
@@ -34,7 +34,16 @@ SCORES = "doc_id long, score double"
 
 
 def text_words(text: pa.Array) -> words.Words:
-    return words.split(*buffers(text), words.ALNUM, lower=True)
+    """Words in order; a run of more than LONGEST_WORD bytes is its pieces of that length, WORD_STEP apart, the last one at its end."""
+    w = words.split(*buffers(text), words.ALNUM, lower=True, hashes=False)
+    size = w.end - w.start
+    pieces = np.maximum(1, -(-(size - LONGEST_WORD) // WORD_STEP) + 1)
+    of = np.repeat(np.arange(len(size)), pieces)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = w.start[of] + np.minimum(k * WORD_STEP, np.maximum(0, size[of] - LONGEST_WORD))
+    end = np.minimum(start + LONGEST_WORD, w.end[of])
+    first = np.concatenate([[0], np.cumsum(pieces)])[w.first]
+    return words.Words(w.data, start, end, first, words.hashed(w.data, start, end))
 
 
 def distinct_words(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +57,7 @@ def char_rows(w: words.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     n-grams run over the word between a begin and an end mark.
     """
-    size = np.minimum(w.end[at] - w.start[at], LONGEST_WORD)
+    size = w.end[at] - w.start[at]
     wide = LONGEST_WORD + 2
     grid = np.zeros((len(at), wide), np.uint64)
     grid[:, 0] = 1
@@ -81,7 +90,7 @@ def windows(first: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tu
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Model:
@@ -278,11 +287,13 @@ def fit(
     docs: DataFrame, labels: DataFrame, toxic_docs: int = SAMPLE_TOXIC, other_docs: int = SAMPLE_OTHER, most_bytes: int = SAMPLE_BYTES,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Model:
+    """The network of the labelled sample. A row without label or id isn't learnt from; of rows that repeat an id the least text is;
+    an empty table gives a constant score."""
     return train(*training_sample(docs, labels, toxic_docs, other_docs, most_bytes, id_col, text_col))
 
 
 def score_column(docs: DataFrame, model: Model, schema, text_at: int, out_names: list[str], keep_below: float | None = None) -> DataFrame:
-    """Append each row's score, or with ``keep_below`` drop the rows that reach it."""
+    """Append each row's score, or with ``keep_below`` drop the rows that reach it; null text is scored as empty, long ones whole."""
     p = model.p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +314,8 @@ def score_column(docs: DataFrame, model: Model, schema, text_at: int, out_names:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (score >= threshold).
 
-    Null text is empty; texts without words get the network's bias alone. Repeated rows are scored
+    Null text is empty; texts without words get the network's bias alone. A long run without a space is scored whole, in
+    pieces. Repeated rows are scored
     alike; an empty table gives no rows; without labels of both kinds the score is a constant.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **sample)
