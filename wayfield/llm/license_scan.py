@@ -1,12 +1,12 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line (to the next \\n). It meets a template if it holds at least
-``threshold`` of the template's distinct words. Words are ordered by their
-frequency over all documents, rarest first: a block that meets the template
+A block is a window of consecutive words, over line breaks too, as long as the template's own words divided by
+``threshold``. It meets a template if it holds at least ``threshold`` of the template's distinct words.
+Words are ordered by their frequency over all documents, rarest first: a block that meets the template
 must hold one of its first |T| - ceil(threshold * |T|) + 1 words (prefix
-filter), have at least ceil(threshold * |T|) words (length filter), and from the
-first shared word on still have enough words left in both (positional filter).
-What passes is verified by the full overlap, so the join is exact.
+filter), so only windows around those are looked at; it must have at least ceil(threshold * |T|) of its words
+(length filter), from its own first one on and before its end (positional filter).
+What passes is verified by the full overlap, so the join is exact; windows that overlap are one block.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ TEMPLATES = [
 THRESHOLD = 0.9
 RESULT = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-    "blocks array<struct<label:string,template:int,line:long,containment:double>>"
+    "blocks array<struct<label:string,template:int,first:long,last:long,containment:double>>"
 )
 
 
@@ -80,9 +80,8 @@ class Vocabulary:
         return at[good], which[good]
 
 
-def _split(text: pa.Array) -> tuple[words.Words, np.ndarray]:
-    data, offsets = buffers(text)
-    return words.split(data, offsets, words.ALNUM, lower=True), offsets
+def _split(text: pa.Array) -> words.Words:
+    return words.split(*buffers(text), words.ALNUM, lower=True)
 
 
 def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -92,7 +91,7 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         total = np.zeros(len(vocabulary.names), np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
-                total += np.bincount(vocabulary.find(_split(batch.column(1))[0])[1], minlength=len(total))
+                total += np.bincount(vocabulary.find(_split(batch.column(1)))[1], minlength=len(total))
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(total[hit])], names=["word", "n"])
 
@@ -103,35 +102,48 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 class Templates:
-    """Templates as word ranks in global frequency order, with the filters' bounds."""
+    """Which vocabulary words stand in each template, which of those are in its prefix, and the filters' bounds."""
 
     def __init__(self, vocabulary: Vocabulary, templates: list[tuple[str, str]], frequency: np.ndarray, threshold: float):
-        order = np.lexsort((np.arange(len(frequency)), frequency))
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[order] = np.arange(len(order))
+        rank = np.empty(len(frequency), np.int64)
+        rank[np.lexsort((np.arange(len(frequency)), frequency))] = np.arange(len(frequency))
         self.labels = [label for label, _ in templates]
-        self.sets = [np.sort(np.array([self.rank[vocabulary.number[w]] for w in set(t.split())])) for _, t in templates]
-        self.need = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
-        for k, s in enumerate(self.sets):
-            for place, r in enumerate(s[: len(s) - self.need[k] + 1].tolist()):
-                self.prefix.setdefault(r, []).append((k, place))
-        self.in_prefix = np.isin(self.rank, list(self.prefix))
-
-    def match(self, block: np.ndarray) -> Iterator[tuple[int, float]]:
-        """Templates met by a block of sorted distinct ranks (of vocabulary words; other words can't add to an overlap)."""
-        seen = set()
-        for place, r in enumerate(block.tolist()):
-            for k, at in self.prefix.get(r, ()):
-                if k in seen:
-                    continue
-                seen.add(k)  # the first shared word: none of either set before it is shared
-                t, need = self.sets[k], self.need[k]
-                if len(block) < need or 1 + min(len(t) - at - 1, len(block) - place - 1) < need:
-                    continue
-                common = len(np.intersect1d(t[at:], block[place:], assume_unique=True))
-                if common >= need:
-                    yield k, common / len(t)
+        self.member, self.prefix = (np.zeros((len(templates), len(frequency)), bool) for _ in range(2))
+        self.size, self.need, self.span = [], [], []
+        for k, (_, t) in enumerate(templates):
+            own = sorted((vocabulary.number[w] for w in set(t.split())), key=rank.__getitem__)
+            self.size.append(len(own))
+            self.need.append(math.ceil(threshold * len(own) - 1e-9))
+            self.span.append(math.ceil(len(t.split()) / threshold - 1e-9))
+            self.member[k, own] = True
+            self.prefix[k, own[: len(own) - self.need[k] + 1]] = True
+
+    def blocks(self, k: int, at: np.ndarray, which: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(first start, last start, containment) of each block of template ``k``, by word places; ``stop``: where each place's document ends."""
+        own = np.flatnonzero(self.member[k][which])
+        at, which, stop = at[own], which[own], stop[own]
+        need, span = self.need[k], self.span[k]
+        rare = np.flatnonzero(self.prefix[k][which])
+        near = np.zeros(len(at) + 1, np.int64)
+        np.add.at(near, np.searchsorted(at, at[rare] - span + 1), 1)
+        np.add.at(near, rare + 1, -1)
+        begin = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        end = np.searchsorted(at, np.minimum(at[begin] + span, stop[begin]))
+        enough = end - begin >= need
+        run: tuple[int, int, int, int] | None = None
+        for b, e in zip(begin[enough].tolist(), end[enough].tolist(), strict=True):
+            common = len(set(which[b:e].tolist()))
+            if common < need:
+                continue
+            place, over = int(at[b]), int(stop[b])
+            if run and run[3] == over and place - run[1] < span:
+                run = (run[0], place, max(run[2], common), over)
+                continue
+            if run:
+                yield run[0], run[1], run[2] / self.size[k]
+            run = (place, place, common, over)
+        if run:
+            yield run[0], run[1], run[2] / self.size[k]
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", phrases=None, templates=None) -> DataFrame:
@@ -140,7 +152,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     ``score``: the greatest containment of a matched block, 1 where a base
     phrase stands, else 0. Null text is empty. ``first_word`` and
     ``last_word``: least and greatest start of a base phrase, else null.
-    Equal matches come in order of line and template.
+    ``blocks``: first and last start of each run of overlapping windows that meet a template, in order of first start and
+    template. Repeated rows are scanned alike, very long texts whole; an empty table gives no rows.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     rows = id_text(docs, id_col, text_col)
@@ -154,8 +167,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                 yield chunk(batch)
 
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, offsets = _split(batch.column(1))
-        n = len(offsets) - 1
+        w = _split(batch.column(1))
+        n = len(w.first) - 1
         at, which = vocabulary.find(w)
         doc = np.searchsorted(w.first, at, "right") - 1
         n_base, labels, first, last = np.zeros(n, np.int64), [set() for _ in range(n)], [None] * n, [None] * n
@@ -172,25 +185,18 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                 labels[x].add(label)
                 first[x] = h if first[x] is None else min(first[x], h)
                 last[x] = h if last[x] is None else max(last[x], h)
-        # lines: the newline count before each vocabulary word, within its document
-        breaks = np.flatnonzero(w.data == 10)
-        line = np.searchsorted(breaks, w.start[at])
-        key = line + doc  # grows at every newline and document
         blocks: list[list] = [[] for _ in range(n)]
-        begin = np.flatnonzero(np.diff(key, prepend=-1))
-        stop = np.append(begin[1:], len(at))
-        rare = known.in_prefix[which]
-        some = np.add.reduceat(rare, begin) > 0 if len(begin) else np.zeros(0, bool)
-        base_line = np.searchsorted(breaks, offsets[:-1])
-        for b, e in zip(begin[some].tolist(), stop[some].tolist(), strict=True):
-            d = int(doc[b])
-            for k, share in known.match(np.unique(known.rank[which[b:e]])):
-                blocks[d].append({"label": known.labels[k], "template": k, "line": int(line[b] - base_line[d]), "containment": share})
+        stop = w.first[doc + 1]
+        for k, label in enumerate(known.labels):
+            for first_at, last_at, share in known.blocks(k, at, which, stop):
+                d = int(np.searchsorted(w.first, first_at, "right")) - 1
+                low = int(w.first[d])
+                blocks[d].append({"label": label, "template": k, "first": first_at - low, "last": last_at - low, "containment": share})
         for x in blocks:
-            x.sort(key=lambda m: (m["line"], m["template"]))
+            x.sort(key=lambda m: (m["first"], m["template"]))
         score = [1.0 if n_base[d] else max((m["containment"] for m in blocks[d]), default=0.0) for d in range(n)]
         join = lambda s: ",".join(sorted(s))
-        kind = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("line", pa.int64()), ("containment", pa.float64())]))
+        kind = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("containment", pa.float64())]))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(np.diff(w.first)), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()),

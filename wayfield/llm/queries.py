@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import contaminated
@@ -40,7 +43,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).drop("blocks")
+    said = F.transform("blocks", lambda b: F.format_string("%d@%d-%d", b["template"], b["first"], b["last"]))
+    return scan(table(spark, sf_dir, "documents")).withColumn("blocks", F.array_join(said, ","))
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,21 +85,30 @@ _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def _license_sql() -> str:
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, t in TEMPLATES)
+    templates = ", ".join(
+        f"({k}, '{label}', {sorted(set(t.split()))!r}, {math.ceil(THRESHOLD * len(set(t.split())) - 1e-9)}, {math.ceil(len(t.split()) / THRESHOLD - 1e-9)})"
+        for k, (label, t) in enumerate(TEMPLATES)
+    )
     return f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
-        w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS ws FROM d),
+        w AS (SELECT doc_id, regexp_extract_all(t, '{_WORDS}') AS ws FROM d),
         phrase(p, label) AS (VALUES {phrases}),
         spot AS (SELECT doc_id, label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(p) - 1] = p)) - 1 AS i FROM w CROSS JOIN phrase),
         base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS l FROM spot GROUP BY 1),
-        template(label, t) AS (VALUES {templates}),
-        line AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORDS}')) AS s FROM w),
-        hit AS (SELECT doc_id, label, len(list_intersect(s, t)) / len(t) AS c FROM line CROSS JOIN template WHERE len(list_intersect(s, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
-        best AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS l FROM hit GROUP BY 1)
+        template(k, label, t, need, span) AS (VALUES {templates}),
+        word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM w),
+        found AS (SELECT doc_id, k, word, i FROM word JOIN (SELECT k, unnest(t) AS word FROM template) USING (word)),
+        enough AS (SELECT doc_id, k, need, span, len(t) AS size FROM found JOIN template USING (k) GROUP BY ALL HAVING count(DISTINCT word) >= need),
+        near AS (SELECT f.*, need, span, size FROM found f JOIN enough e ON e.doc_id = f.doc_id AND e.k = f.k),
+        hit AS (SELECT a.doc_id, a.k, a.i, a.span, count(DISTINCT b.word) / a.size AS c FROM near a JOIN near b ON b.doc_id = a.doc_id AND b.k = a.k AND b.i BETWEEN a.i AND a.i + a.span - 1
+            GROUP BY a.doc_id, a.k, a.i, a.span, a.need, a.size HAVING count(DISTINCT b.word) >= a.need),
+        part AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, k ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, k ORDER BY i) < span THEN 0 ELSE 1 END AS fresh FROM hit)),
+        block AS (SELECT doc_id, k, min(i) AS f, max(i) AS l, max(c) AS c FROM part GROUP BY doc_id, k, run),
+        best AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS l, string_agg(k || '@' || f || '-' || block.l, ',' ORDER BY f, k) AS s FROM block JOIN template USING (k) GROUP BY 1)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, b AS last_word,
             coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
             coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(best.l, [])))), ','), '') AS labels,
-            CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.c, 0) END AS score
+            CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.c, 0) END AS score, coalesce(best.s, '') AS blocks
         FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id"""
 
 
