@@ -1,10 +1,10 @@
 """Exact dedup by a tree-merge of digest runs (DataFrame operations only).
 
-Rows are dealt into runs by a hash of their row number. Level 0 reduces each run to one entry
-per digest; each further level merges FAN runs into one (log2(FAN) binomial
+The rows of an input partition are a run. Level 0 reduces each run to one entry per digest, before
+anything is sent; each further level merges 2**FAN_BITS runs into one (FAN_BITS binomial
 rounds at a time), keeping of each digest the identifier that stays and the
 count. The decision then goes back down the same tree, so no join has more
-than FAN children of one digest, or at the bottom the rows of one run: a text
+than 2**FAN_BITS children of one digest, or at the bottom the rows of one partition: a text
 that makes up a third of all rows never meets in one task.
 
 A digest is SHA-256 of the text together with its byte length and a second,
@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import id_text, saved
 
-ROWS_PER_RUN = 4096
-FAN_BITS = 3
+FAN_BITS = 6
 KEY = ["digest", "n_bytes", "second"]
 
 
-def runs_of(n_rows: int, rows_per_run: int = ROWS_PER_RUN, fan_bits: int = FAN_BITS) -> int:
-    """Number of levels above the runs; there are 2**(levels * fan_bits) runs."""
-    return max(1, math.ceil(math.log2(max(2, n_rows / rows_per_run)) / fan_bits))
+def levels_above(n_runs: int, fan_bits: int = FAN_BITS) -> int:
+    """Number of levels until one run is left."""
+    return max(1, math.ceil(math.log2(max(2, n_runs)) / fan_bits))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -39,15 +38,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     )
 
 
-def tree_merge(rows: DataFrame, keep: str = "smallest", fan_bits: int = FAN_BITS, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
-    """``rows`` (doc_id, KEY, row; saved already) with keep_id, keep_row and group_size of each row's group.
+def tree_merge(rows: DataFrame, keep: str = "smallest", fan_bits: int = FAN_BITS) -> DataFrame:
+    """``rows`` (doc_id, KEY, row; saved already, ``row`` from monotonically_increasing_id) with keep_id, keep_row and group_size of each row's group.
 
     ``keep``: "smallest" or "largest" doc_id of a group stays; of rows that
     repeat this id, the first by row number. Null ids come after all others.
     """
-    levels = runs_of(rows.count(), rows_per_run, fan_bits)
-    run = F.pmod(F.xxhash64("row"), F.lit(1 << (levels * fan_bits)))
-    rows = rows.withColumn("run", run)
+    rows = rows.withColumn("run", F.shiftright("row", 33))  # the partition that numbered the row
+    levels = levels_above((rows.agg(F.max("run")).first()[0] or 0) + 1, fan_bits)
     sign = F.lit(1 if keep == "smallest" else -1).cast("long")
     best = F.struct(F.col("doc_id").isNull().alias("none"), (sign * F.col("doc_id")).alias("rank"), "row", "doc_id")
     level = rows.groupBy(*KEY, "run").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
