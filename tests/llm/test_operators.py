@@ -141,7 +141,7 @@ def test_best_fit_takes_the_tightest():
 
 
 def test_exact_dedup(spark, docs, edge, none):
-    for df in (docs, edge):
+    for df in (docs, edge, docs.repartition(90)):
         groups = collections.defaultdict(list)
         for d, t in rows_of(df):
             groups[hashlib.sha256(t.encode()).hexdigest()].append(d)
@@ -415,23 +415,26 @@ def brute_scan(t):
     for p, label in PHRASES.items():
         q = p.split()
         hits += [(i, label) for i in range(len(w) - len(q) + 1) if w[i : i + len(q)] == q]
-    for line in t.split("\n"):
-        s = set(pattern.findall(line))
-        for label, template in TEMPLATES:
-            k = set(template.split())
-            if len(k & s) >= math.ceil(THRESHOLD * len(k) - 1e-9):
+    for label, template in TEMPLATES:
+        k = set(template.split())
+        span = math.ceil(len(template.split()) / THRESHOLD - 1e-9)
+        for i in range(len(w)):
+            common = len(k & set(w[i : i + span]))
+            if common >= math.ceil(THRESHOLD * len(k) - 1e-9):
                 labels.add(label)
-                best = max(best, len(k & s) / len(k))
+                best = max(best, common / len(k))
     base = {x for _, x in hits}
     places = [i for i, _ in hits]
     return len(w), len(hits), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if hits else best
 
 
 def test_license_scan(spark, docs, edge, none):
-    extra = spark.createDataFrame([(9000, "x\nLicensed under CC BY-NC 4.0.\nThe MIT license; mit License"), (9001, " ".join(TEMPLATES[2][1].split()[:-1])), (9002, "mit\nlicense"), (9003, "license mit")], "doc_id long, text string")
+    extra = spark.createDataFrame([(9000, "x\nLicensed under CC BY-NC 4.0.\nThe MIT license; mit License"), (9001, " ".join(TEMPLATES[2][1].split()[:-1])), (9002, "mit\nlicense"), (9003, "license mit"), (9004, "x " * 7 + TEMPLATES[4][1].replace(" ", "\n") + " y" * 9), (9005, " ".join(f"released w{i} v{i} under the u{i} t{i} bsd license" for i in range(400)))], "doc_id long, text string")
     for df in (docs.select("doc_id", "text").union(extra), edge):
         got = collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in scan(df).collect())
         assert got == collections.Counter((d, *brute_scan(t)) for d, t in rows_of(df))
+    got = {r.doc_id: r for r in scan(extra).collect()}
+    assert [(b.template, b.first, b.last) for b in got[9004].blocks if b.template == 4] == [(4, 7, 9)] and got[9005].labels == ""
     assert scan(none).count() == 0
 
 
