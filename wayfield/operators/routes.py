@@ -1,16 +1,18 @@
 """Least-cost fields and routes over the road graph, and measures along paths.
 
 A field holds, for every cell, the cost from (or to) a source. It is relaxed by
-square tiles: each round settles all tiles whose cells improved (one small
-heap search per tile and source) and hands improved border costs to the
-neighbouring tiles, until nothing improves; a map of one tile takes one round.
+square tiles: each round settles all tiles whose cells improved and hands improved border
+costs to the neighbouring tiles, until nothing improves; a map of one tile takes one round.
+A tile meets its edges once for each block of sources, not for each source.
 User volume never touches this: requests join the fields of their distinct sources.
+
+Costs and lengths are added up as whole numbers of UNIT, so equal routes are equal
+whatever the order of their steps and the tile size: the least cost wins, then the
+lesser length, then the lesser next cell.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,8 +23,13 @@ from ..functions import grid as G
 from ..storage import saved
 
 TILE = 128
-_STATE = "map_id int, source long, t_row int, t_col int, cell long, cost double, length double, gap_cells long, next long, changed boolean"
+SOURCES = 64  # sources of a map that are settled together
+UNIT = 1e-9
+_KEY = ["map_id", "t_row", "t_col", "block"]
+_STATE = "map_id int, t_row int, t_col int, block long, source long, cell long, cost long, length long, gap_cells long, next long, changed boolean"
+_COLUMNS = [x.split()[0] for x in _STATE.split(", ")]
 _SHIFT = 1 << 20
+_FAR = np.iinfo(np.int64).max >> 1
 
 
 def code(row, col):
@@ -31,42 +38,58 @@ def code(row, col):
 
 
 def settle(state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Costs of one tile and source to convergence over the tile's own edges.
+    """Costs of one tile and some sources to convergence over the tile's own edges.
 
-    ``state``: known costs (the best of repeated cells counts); ``edges``: src, dst,
-    move_cost, px, gap_cells inside the tile. Equal costs go to the shorter length, then the lesser next cell.
+    ``state``: known values of (source, cell), one row each; ``edges``: src, dst,
+    move_cost, px (both in units), gap_cells inside the tile. All sources go on together,
+    those cells first whose costs are about the least.
     """
-    best: dict[int, tuple] = {}
-    was: dict[int, tuple] = {}
-    for r in state.itertuples(index=False):
-        value = (r.cost, r.length, r.next, r.gap_cells)
-        if not r.changed:
-            was[r.cell] = min(value, was.get(r.cell, value))
-        best[r.cell] = min(value, best.get(r.cell, value))
-    order = np.argsort(edges["src"].to_numpy(), kind="stable")
-    src, dst = edges["src"].to_numpy()[order], edges["dst"].to_numpy()[order]
-    cost, px, gap = (edges[c].to_numpy()[order] for c in ("move_cost", "px", "gap_cells"))
-    begin = np.searchsorted(src, src, "left")
-    first = dict(zip(src.tolist(), begin.tolist(), strict=True))
-    cells = src.tolist()
-    heap = [(v[0], v[1], cell) for cell, v in best.items() if was.get(cell) != v]
-    heapq.heapify(heap)
-    while heap:
-        c, length, cell = heapq.heappop(heap)
-        now = best[cell]
-        if (c, length) != now[:2]:
-            continue
-        k = first.get(cell)
-        while k is not None and k < len(cells) and cells[k] == cell:
-            to = int(dst[k])
-            value = (c + float(cost[k]), length + float(px[k]), cell, now[3] + int(gap[k]))
-            old = best.get(to)
-            if old is None or (value[0] < old[0] - 1e-12) or (abs(value[0] - old[0]) <= 1e-12 and value[1:3] < old[1:3]):
-                best[to] = value
-                heapq.heappush(heap, (value[0], value[1], to))
-            k += 1
-    rows = [(cell, v[0], v[1], v[3], v[2], was.get(cell) != v) for cell, v in best.items()]
-    return pd.DataFrame(rows, columns=["cell", "cost", "length", "gap_cells", "next", "changed"])
+    cells, where = np.unique(np.concatenate([state["cell"], edges["src"], edges["dst"]]), return_inverse=True)
+    known, src, dst = np.split(where, [len(state), len(state) + len(edges)])
+    sources, of = np.unique(state["source"].to_numpy(), return_inverse=True)
+    n = len(cells)
+    at = of * n + known
+    best = {c: np.full(len(sources) * n, _FAR) for c in ("cost", "length", "next", "gap_cells")}
+    for c, v in best.items():
+        v[at] = state[c]
+    cost, length, following, gap = best.values()
+    before = {c: v.copy() for c, v in best.items()}
+    active = at[state["changed"].to_numpy(bool)]
+    order = np.argsort(src, kind="stable")
+    dst, (w, px, g) = dst[order], (edges[c].to_numpy(np.int64)[order] for c in ("move_cost", "px", "gap_cells"))
+    begin = np.searchsorted(src[order], np.arange(n + 1))
+    ahead = 2 * int(w.mean()) if len(w) else 0
+    while len(active):
+        soon = cost[active] <= cost[active].min() + ahead
+        now, later = active[soon], active[~soon]
+        cell = now % n
+        many = begin[cell + 1] - begin[cell]
+        e = np.repeat(begin[cell] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        origin = np.repeat(now, many)
+        to = origin - origin % n + dst[e]
+        new = (cost[origin] + w[e], length[origin] + px[e], cells[origin % n], gap[origin] + g[e])
+        good = new[0] <= cost[to]
+        to, new = to[good], [x[good] for x in new]
+        was = [v[to].copy() for v in (cost, length, following, gap)]
+        # one value after the other: where it falls, those after it start anew; where it doesn't, the candidate must equal it
+        for k, v in enumerate((cost, length, following)):
+            np.minimum.at(v, to, new[k])
+            fell = to[v[to] < was[k]]
+            for rest in (length, following)[k:]:
+                rest[fell] = _FAR
+            was[k + 1 : 3] = [np.where(v[to] < was[k], _FAR, x) for x in was[k + 1 : 3]]
+            good = new[k] == v[to]
+            to, new, was = to[good], [x[good] for x in new], [x[good] for x in was]
+        moved = (new[0] != was[0]) | (new[1] != was[1]) | (new[2] != was[2]) | (new[3] != was[3])
+        gap[to] = new[3]
+        active = np.unique(np.concatenate([later, to[moved]]))
+    there = np.flatnonzero(cost < _FAR)
+    changed = np.zeros(len(cost), bool)
+    changed[at] = state["changed"]
+    for c, v in best.items():
+        changed |= v != before[c]
+    out = {c: v[there] for c, v in best.items()}
+    return pd.DataFrame({"source": sources[there // n], "cell": cells[there % n], **out, "changed": changed[there]})
 
 
 def cost_fields(sources: DataFrame, edges: DataFrame, cell_size: int, reverse: bool = False, tile: int = TILE) -> DataFrame:
@@ -78,49 +101,52 @@ def cost_fields(sources: DataFrame, edges: DataFrame, cell_size: int, reverse: b
     """
     src, dst = code(F.col("row"), F.col("col")), code(F.col("row2"), F.col("col2"))
     px = F.hypot((F.col("row2") - F.col("row")).cast("double"), (F.col("col2") - F.col("col")).cast("double")) * cell_size
+    units = lambda c: F.round(c / UNIT).cast("long")
     a, b = (dst, src) if reverse else (src, dst)
-    arcs = edges.select("map_id", a.alias("src"), b.alias("dst"), "move_cost", px.alias("px"), F.col("gap_cells").cast("long").alias("gap_cells"))
+    arcs = edges.select("map_id", a.alias("src"), b.alias("dst"), units(F.col("move_cost")).alias("move_cost"), units(px).alias("px"), F.col("gap_cells").cast("long").alias("gap_cells"))
     t = lambda c: (F.floor(F.floor(F.col(c) / _SHIFT) / tile).cast("int"), F.floor((F.col(c) % _SHIFT) / tile).cast("int"))
     (sr, sc), (dr, dc) = t("src"), t("dst")
     arcs = saved(arcs.withColumns({"t_row": sr, "t_col": sc, "d_row": dr, "d_col": dc}), "arcs")
     same = (F.col("t_row") == F.col("d_row")) & (F.col("t_col") == F.col("d_col"))
     inner, outer = arcs.filter(same), arcs.filter(~same)
-    key = ["map_id", "source", "t_row", "t_col"]
-    start = sources.select("map_id", code(F.col("row"), F.col("col")).alias("source")).distinct().withColumn("cell", F.col("source"))
+    start = saved(sources.select("map_id", code(F.col("row"), F.col("col")).alias("source")).distinct(), "sources")
+    blocks = start.groupBy("map_id").agg(F.ceil(F.count(F.lit(1)) / SOURCES).alias("blocks"))
+    start = start.join(blocks, "map_id").withColumns({"cell": F.col("source"), "block": F.pmod(F.xxhash64("source"), "blocks")})
     cr, cc = t("cell")
-    new = start.select("map_id", "source", cr.alias("t_row"), cc.alias("t_col"), "cell", F.lit(0.0).alias("cost"), F.lit(0.0).alias("length"), F.lit(0).cast("long").alias("gap_cells"), F.lit(-1).cast("long").alias("next"))
-    columns = [x.split()[0] for x in _STATE.split(", ")]
-    state = saved(new.withColumn("changed", F.lit(True)).select(*columns), "field")
+    zero = F.lit(0).cast("long")
+    start = start.withColumns({"t_row": cr, "t_col": cc, "cost": zero, "length": zero, "gap_cells": zero, "next": F.lit(-1).cast("long"), "changed": F.lit(True)})
+    state = saved(start.select(*_COLUMNS), "field")
+    cell, value = [*_KEY, "source", "cell"], F.struct("cost", "length", "next", "gap_cells")
 
     def relax(group, mine: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        out = settle(mine, roads)
-        for name, value in zip(key, group, strict=True):
-            out[name] = value
-        return out[columns]
+        return settle(mine, roads).assign(**dict(zip(_KEY, group, strict=True)))[_COLUMNS]
 
     while True:
-        open_ = saved(state.filter("changed").select(*key).distinct(), "open")
-        quiet = state.join(open_, key, "left_anti").withColumn("changed", F.lit(False))
-        busy = state.join(open_, key)
-        roads = inner.join(open_.toDF(*key), ["map_id", "t_row", "t_col"]).select(*key, "src", "dst", "move_cost", "px", "gap_cells")
-        settled = busy.groupBy(*key).cogroup(roads.groupBy(*key)).applyInPandas(relax, _STATE)
-        settled = saved(settled, "settled")
+        open_ = saved(state.filter("changed").select(*_KEY).distinct(), "open")
+        quiet = state.join(open_, _KEY, "left_anti")
+        roads = inner.join(open_, ["map_id", "t_row", "t_col"]).select(*_KEY, "src", "dst", "move_cost", "px", "gap_cells")
+        settled = saved(state.join(open_, _KEY).groupBy(*_KEY).cogroup(roads.groupBy(*_KEY)).applyInPandas(relax, _STATE), "settled")
+        known = quiet.unionByName(settled)
         # improved border cells offer their neighbours in other tiles a cost
-        edge = settled.filter("changed").join(outer.select("map_id", F.col("src").alias("cell"), "dst", "move_cost", "px", F.col("gap_cells").alias("g"), "d_row", "d_col"), ["map_id", "cell"])
+        beyond = outer.select("map_id", F.col("src").alias("cell"), "dst", "move_cost", "px", F.col("gap_cells").alias("g"), "d_row", "d_col")
+        edge = settled.filter("changed").join(beyond, ["map_id", "cell"])
         offer = edge.select(
-            "map_id", "source", F.col("d_row").alias("t_row"), F.col("d_col").alias("t_col"), F.col("dst").alias("cell"), (F.col("cost") + F.col("move_cost")).alias("cost"),
+            "map_id", F.col("d_row").alias("t_row"), F.col("d_col").alias("t_col"), "block", "source", F.col("dst").alias("cell"), (F.col("cost") + F.col("move_cost")).alias("cost"),
             (F.col("length") + F.col("px")).alias("length"), (F.col("gap_cells") + F.col("g")).alias("gap_cells"), F.col("cell").alias("next"),
         )
-        offer = offer.groupBy(*key, "cell").agg(F.min(F.struct("cost", "length", "next", "gap_cells")).alias("o")).select(*key, "cell", "o.*")
-        known = quiet.unionByName(settled).drop("changed")
-        both = known.join(offer.select(*key, "cell", F.struct("cost", "length", "next", "gap_cells").alias("o")), [*key, "cell"], "full")
-        mine = F.struct("cost", "length", "next", "gap_cells")
-        better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost") - 1e-12))
-        best = F.when(better, F.col("o")).otherwise(mine)
-        state = both.select(*key, "cell", best.alias("b"), F.coalesce(better, F.lit(False)).alias("changed"))
-        state = saved(state.select(*key, "cell", "b.cost", "b.length", "b.gap_cells", "b.next", "changed").select(*columns), "field")
+        offer = saved(offer.groupBy(*cell).agg(F.min(value).alias("o")), "offers")
+        if not offer.limit(1).count():
+            break
+        both = known.drop("changed").join(offer, cell, "full")
+        rank = lambda p: F.struct(*(F.col(f"{p}{c}") for c in ("cost", "length", "next")))
+        again = (rank("o.") == rank("")) & (F.col("o.gap_cells") != F.col("gap_cells"))
+        better = F.coalesce(F.col("o").isNotNull() & (F.col("cost").isNull() | (rank("o.") < rank("")) | again), F.lit(False))
+        state = both.select(*cell, F.when(better, F.col("o")).otherwise(value).alias("b"), better.alias("changed"))
+        state = saved(state.select(*cell, "b.*", "changed").select(*_COLUMNS), "field")
         if not state.filter("changed").limit(1).count():
-            return state.select("map_id", "source", "cell", "cost", "length", "gap_cells", "next")
+            known = state
+            break
+    return known.select("map_id", "source", "cell", (F.col("cost") * UNIT).alias("cost"), (F.col("length") * UNIT).alias("length"), "gap_cells", "next")
 
 
 def shortest_routes(pairs: DataFrame, field: DataFrame) -> DataFrame:
@@ -159,6 +185,22 @@ def route_cells(routes: DataFrame, field: DataFrame, reverse: bool = False, key:
     return known.select(key, seq.alias("seq"), F.floor(F.col("cell") / _SHIFT).cast("int").alias("row"), (F.col("cell") % _SHIFT).cast("int").alias("col"))
 
 
+def route_stats(cells: DataFrame, edges: DataFrame, cell_size: int, key: str = "route_id") -> DataFrame:
+    """(key, n_cells, length_px, cost, gap_cells) of each path; ``cells``: key, map_id, seq, row, col, ``edges`` as build_edges gives them.
+
+    A path with a step that is no edge has a null cost.
+    """
+    w = W.partitionBy(key).orderBy("seq")
+    steps = cells.withColumns({"row2": F.col("row"), "col2": F.col("col"), "row": F.lag("row").over(w), "col": F.lag("col").over(w)})
+    paid = steps.join(edges.select("map_id", "row", "col", "row2", "col2", "move_cost", F.col("gap_cells").alias("gap")), ["map_id", "row", "col", "row2", "col2"], "left")
+    px = F.hypot((F.col("row2") - F.col("row")).cast("double"), (F.col("col2") - F.col("col")).cast("double")) * cell_size
+    lost = F.count_if(F.col("row").isNotNull() & F.col("move_cost").isNull())
+    return paid.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.coalesce(F.sum(px), F.lit(0.0)).alias("length_px"),
+        F.when(lost == 0, F.coalesce(F.sum("move_cost"), F.lit(0.0))).alias("cost"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gap_cells"),
+    )
+
+
 def route_lengths(cells: DataFrame, cell_size: int, key: str = "route_id") -> DataFrame:
     """(key, n_cells, length_px): sum of the distances of successive cell centres."""
     w = W.partitionBy(key).orderBy("seq")
