@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,19 +21,42 @@ def sorted_places(places: DataFrame) -> DataFrame:
     return places.withColumn("pos", F.row_number().over(W.partitionBy("map_id").orderBy("id")))
 
 
+def grams(c: Column, n: int) -> Column:
+    """The distinct substrings of ``n`` characters."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(needles: DataFrame, texts: DataFrame, on: list[str] = []) -> DataFrame:  # noqa: B006
+    """``needles`` (needle, not empty, and ``on``) with the ``texts`` (id, text, ``on`` and more) that contain them.
+
+    No theta join: a needle meets the texts that hold its rarest substring of three characters (of
+    fewer, if it is shorter), and these are checked. A needle with a substring no text has meets none.
+    """
+    sized = lambda c, n: F.transform(grams(c, n), lambda g: F.concat(F.lit(f"{n}|"), g))
+    whole = F.concat(*[sized(F.col("text"), n) for n in (1, 2, 3)])
+    held = texts.select(*on, "id", F.explode(whole).alias("gram"))
+    times = held.groupBy(*on, "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("needle") >= 3, sized(F.col("needle"), 3)).when(F.length("needle") == 2, sized(F.col("needle"), 2)).otherwise(sized(F.col("needle"), 1))
+    asked = needles.select(*on, "needle", F.explode(own).alias("gram")).join(times, [*on, "gram"], "left")
+    best = asked.groupBy(*on, "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).filter("least.n > 0")
+    near = best.select(*on, "needle", F.col("least.gram").alias("gram")).join(held, [*on, "gram"]).drop("gram")
+    return near.join(texts, [*on, "id"]).filter(F.col("text").contains(F.col("needle")))
+
+
 def search_places(queries: DataFrame, places: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
     """(keyword, map_id, rank, id, title, subtitle): the first ``limit`` places by id whose id and name hold the keyword.
 
-    Case and, as a second chance, white space don't matter; an empty keyword
-    finds all. Distinct keywords meet the gazetteer of each map by a theta join.
+    Case and white space don't matter; an empty keyword finds all. Distinct keywords are searched once.
     """
-    compact = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    q = queries.select("keyword").distinct().withColumn("raw", F.lower(text.trim(F.col("keyword"))))
-    hay = F.lower(F.concat_ws(" ", "id", "name"))
-    p = places.select("map_id", "id", "name", hay.alias("hay"), compact(hay).alias("packed"))
-    hit = q.join(p, (F.col("raw") == "") | F.col("hay").contains(F.col("raw")) | F.col("packed").contains(compact(F.col("raw"))))
-    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("keyword", "map_id").orderBy("id"))).filter(F.col("rank") <= limit)
-    return hit.select("keyword", "map_id", "rank", "id", text.option_title(F.col("id"), F.col("name")).alias("title"), text.option_subtitle(F.col("id"), F.col("name")).alias("subtitle"))
+    packed = lambda c: F.regexp_replace(F.lower(c), r"(?U)\s+", "")
+    q = queries.select("keyword").distinct().withColumn("needle", packed(F.col("keyword")))
+    p = places.select(F.concat_ws("|", "map_id", "id").alias("id"), F.col("map_id").alias("of"), F.col("id").alias("place"), "name", packed(F.concat_ws(" ", "id", "name")).alias("text"))
+    hit = containing(q.filter("needle != ''").select("needle").distinct(), p).select("needle", F.col("of").alias("map_id"), F.col("place").alias("id"), "name")
+    rank = lambda *by: F.row_number().over(W.partitionBy("map_id", *by).orderBy("id"))
+    hit = hit.withColumn("rank", rank("needle")).filter(F.col("rank") <= limit)
+    every = places.select(F.lit("").alias("needle"), "map_id", "id", "name").withColumn("rank", rank()).filter(F.col("rank") <= limit)
+    out = q.join(hit.unionByName(every), "needle")
+    return out.select("keyword", "map_id", "rank", "id", text.option_title(F.col("id"), F.col("name")).alias("title"), text.option_subtitle(F.col("id"), F.col("name")).alias("subtitle"))
 
 
 def resolve_places(requests: DataFrame, places: DataFrame, limit: int = P.AMBIGUOUS_LIMIT) -> DataFrame:
@@ -47,14 +70,13 @@ def resolve_places(requests: DataFrame, places: DataFrame, limit: int = P.AMBIGU
     ids = places.select("map_id", F.col("id").alias("exact"))
     chosen = F.coalesce("place_id", "value")
     by_id = r.join(ids, (r.map_id == ids.map_id) & (chosen == ids.exact), "left").select(r["*"], "exact")
-    asked = by_id.filter("exact IS NULL AND place_id IS NULL AND value != ''").select("map_id", "value").distinct()
-    p = places.select(F.col("map_id").alias("m"), "id", F.lower("id").alias("low_id"), F.lower("name").alias("low_name"))
-    low = F.lower("value")
-    hit = asked.join(p, (F.col("map_id") == F.col("m")) & (F.col("low_id").contains(low) | F.col("low_name").contains(low)))
+    asked = by_id.filter("exact IS NULL AND place_id IS NULL AND value != ''").select("map_id", F.lower("value").alias("needle")).distinct()
+    texts = [places.select("map_id", "id", F.lower(c).alias("text")) for c in ("id", "name")]
+    hit = containing(asked, texts[0], ["map_id"]).unionByName(containing(asked, texts[1], ["map_id"])).select("map_id", "needle", "id").distinct()
     # the first ids by rank, so that no list grows with the number of matches
-    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("map_id", "value").orderBy("id")))
-    found = hit.groupBy("map_id", "value").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= limit, F.col("id")))).alias("first"))
-    out = by_id.join(found, ["map_id", "value"], "left")
+    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("map_id", "needle").orderBy("id")))
+    found = hit.groupBy("map_id", "needle").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= limit, F.col("id")))).alias("first"))
+    out = by_id.withColumn("needle", F.lower("value")).join(found, ["map_id", "needle"], "left")
     n = F.coalesce("n", F.lit(0))
     status = (
         F.when(F.col("exact").isNotNull(), "ok").when(F.col("place_id").isNotNull(), "not_found").when(F.col("value") == "", "empty")
