@@ -22,7 +22,7 @@ def cell_center(index: Column, cell_size: Column) -> Column:
 
 
 def cell_id(row: Column, col: Column, width: Column) -> Column:
-    return (row * width + col).cast("long")
+    return row.cast("long") * width + col
 
 
 def cell_row(cid: Column, width: Column) -> Column:

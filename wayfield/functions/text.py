@@ -66,6 +66,30 @@ def stop_names(names: Column, limit: int = P.NAME_LIMIT) -> Column:
     return F.when(F.size(names) > limit, F.concat(shown, F.lit(" → 等 "), F.size(names).cast("string"), F.lit(" 处"))).otherwise(shown)
 
 
+def whole_px(length: Column) -> Column:
+    """A length without decimals, halves up."""
+    return F.round(length).cast("double")
+
+
+def route_summary(n_cells: Column, length: Column, gap_cells: Column) -> Column:
+    return F.format_string(P.ROUTE_TEXT, n_cells.cast("long"), whole_px(length), gap_cells.cast("long"))
+
+
+def tour_summary(source: Column, stops: Column, length: Column, skipped: Column) -> Column:
+    """``source`` says where the tour starts; skipped stops are named only if there are any."""
+    said = F.format_string(P.TOUR_TEXT, source, stops.cast("long"), whole_px(length))
+    return F.concat(said, F.when(skipped > 0, F.format_string(P.TOUR_SKIPPED_TEXT, skipped.cast("long"))).otherwise(""))
+
+
+def exit_summary(pid: Column, name: Column, length: Column) -> Column:
+    return F.format_string(P.EXIT_TEXT, place_label(pid, name), whole_px(length))
+
+
+def place_label(pid: Column, name: Column) -> Column:
+    """The first part of the name, or the id where there is none."""
+    return F.coalesce(F.nullif(primary_name(name), F.lit("")), pid)
+
+
 def fix_accuracy(horizontal: Column, other: Column) -> Column:
     """The first usable of both accuracies (0 falls through to the second); what isn't finite is null."""
     best = F.when(horizontal.isNull() | (horizontal == 0) | F.isnan(horizontal), other).otherwise(horizontal)

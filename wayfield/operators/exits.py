@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .routes import code
 
 
+def gate_ranks(starts: DataFrame, gates: DataFrame, field: DataFrame) -> DataFrame:
+    """(map_id, cell, gate, name, length, cost, rank) of each distinct start cell and every gate it reaches: by length, then list order."""
+    g = gates.filter("status = 'ok'").select("map_id", F.col("id").alias("gate"), "name", "gate_order", code(F.col("snap_row"), F.col("snap_col")).alias("source"))
+    cells = starts.select("map_id", code(F.col("snap_row"), F.col("snap_col")).alias("cell")).filter("cell IS NOT NULL").distinct()
+    rank = F.row_number().over(W.partitionBy("map_id", "cell").orderBy("length", "gate_order"))
+    return cells.join(field, ["map_id", "cell"]).join(g, ["map_id", "source"]).withColumn("rank", rank).select("map_id", "cell", "gate", "name", "source", "length", "cost", "rank")
+
+
 def nearest_open_gate(starts: DataFrame, gates: DataFrame, field: DataFrame, key: str = "request_id") -> DataFrame:
     """(key, map_id, gate, name, length_px, cost, status): per start the gate with the shortest cost-optimal path.
 
@@ -20,7 +29,7 @@ def nearest_open_gate(starts: DataFrame, gates: DataFrame, field: DataFrame, key
     at = starts.withColumn("cell", code(F.col("snap_row"), F.col("snap_col")))
     cells = at.filter("cell IS NOT NULL").select("map_id", "cell").distinct()
     best = (
-        cells.join(field, ["map_id", "cell"]).join(F.broadcast(g), ["map_id", "source"])
+        cells.join(field, ["map_id", "cell"]).join(g, ["map_id", "source"])
         .groupBy("map_id", "cell").agg(F.min(F.struct("length", "gate_order", "id", "name", "cost", "source")).alias("b"))
     )
     out = at.join(best, ["map_id", "cell"], "left")

@@ -61,11 +61,16 @@ def label_components(cells: DataFrame) -> DataFrame:
     return runs_of.join(named, ["map_id", "row", "from"]).drop("from")
 
 
-def reachable_mask(labels: DataFrame) -> DataFrame:
-    """(map_id, comp): the largest component of each map; of equal ones that with the first cell."""
+def component_ranks(labels: DataFrame) -> DataFrame:
+    """(map_id, comp, n, rank): components of each map by size, of equal ones that with the first cell first."""
     size = labels.groupBy("map_id", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "col")).alias("first"))
     rank = F.row_number().over(W.partitionBy("map_id").orderBy(F.desc("n"), "first"))
-    return size.withColumn("rank", rank).filter("rank = 1").select("map_id", "comp", "n")
+    return size.withColumn("rank", rank).select("map_id", "comp", "n", "rank")
+
+
+def reachable_mask(labels: DataFrame) -> DataFrame:
+    """(map_id, comp): the largest component of each map; of equal ones that with the first cell."""
+    return component_ranks(labels).filter("rank = 1").select("map_id", "comp", "n")
 
 
 def main_road_score(cells: DataFrame, least: int = P.MAIN_MIN_CLEARANCE, reference: int = P.MAIN_COMPONENT_REFERENCE) -> DataFrame:
@@ -83,7 +88,7 @@ def cell_features(cells: DataFrame) -> DataFrame:
     best = reachable_mask(labels).select("map_id", F.col("comp").alias("best"))
     score = main_road_score(base)
     out = base.join(labels.withColumnRenamed("comp", "component_id"), ["map_id", "row", "col"], "left")
-    out = out.join(F.broadcast(best), "map_id", "left").join(score, ["map_id", "row", "col"], "left")
+    out = out.join(best, "map_id", "left").join(score, ["map_id", "row", "col"], "left")
     return out.select(
         "map_id", "row", "col", "walkable", "manual_main", "clearance", "component_id",
         F.coalesce(F.col("component_id") == F.col("best"), F.lit(False)).alias("reachable"),

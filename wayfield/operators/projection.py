@@ -40,10 +40,10 @@ def project_fixes(fixes: DataFrame, projectors: DataFrame, maps: DataFrame) -> D
     """Fixes with a finite place, projected, corrected and marked: x, y, accuracy, inside_map, status. Batch or stream.
 
     status: tracking, off_map, or uncalibrated where the map has no ready
-    projector. There is one projector a map, so the model side is broadcast.
+    projector. The model side has one row a map; Spark broadcasts it while it is small.
     """
     model = maps.select("map_id", "map_width", "map_height", "dx", "dy").join(projectors, "map_id", "left")
-    rows = fixes.filter(text.finite(F.col("longitude")) & text.finite(F.col("latitude"))).join(F.broadcast(model), "map_id", "left")
+    rows = fixes.filter(text.finite(F.col("longitude")) & text.finite(F.col("latitude"))).join(model, "map_id", "left")
     u, v = F.col("longitude") - F.col("lng0"), F.col("latitude") - F.col("lat0")
     x = text.pixel_correction(F.col("ax") * u + F.col("bx") * v + F.col("cx"), F.col("dx"))
     y = text.pixel_correction(F.col("ay") * u + F.col("by") * v + F.col("cy"), F.col("dy"))
@@ -60,7 +60,7 @@ def busiest_cells(fixes: DataFrame, maps: DataFrame, top: int = 20) -> DataFrame
     """The cells of each map that hold most fixes inside it."""
     from pyspark.sql import Window as W
 
-    m = F.broadcast(maps.select("map_id", "cell_size", "grid_width", "grid_height"))
+    m = maps.select("map_id", "cell_size", "grid_width", "grid_height")
     at = fixes.filter("inside_map").join(m, "map_id").select(
         "map_id", G.pixel_to_cell(F.col("y"), F.col("cell_size"), F.col("grid_height")).alias("row"), G.pixel_to_cell(F.col("x"), F.col("cell_size"), F.col("grid_width")).alias("col")
     )

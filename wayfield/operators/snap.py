@@ -10,16 +10,10 @@ from .. import params as P
 from ..functions import grid as G
 
 
-def snap_to_road(points: DataFrame, features: DataFrame, maps: DataFrame, max_cells: int = P.MAX_SNAP_CELLS, key: str = "point_id") -> DataFrame:
-    """``points`` (key, map_id, x, y) with snap_row, snap_col, snap_x, snap_y, distance and status ('ok', 'no_road', 'bad_point').
-
-    From the point's (clamped) cell the least Chebyshev ring that holds a
-    reachable road cell wins; in it the least distance from the raw pixel, ties
-    by row and column. Points are reduced to their distinct cells first; those
-    meet the road cells by blocks of ``max_cells`` + 1 cells, 3 x 3 blocks around each.
-    """
+def _ring_cells(points: DataFrame, features: DataFrame, maps: DataFrame, max_cells: int, key: str) -> DataFrame:
+    """Each point with the road cells of the least ring around it that has any (or none), and their distances."""
     size = max_cells + 1
-    m = F.broadcast(maps.select("map_id", "cell_size", "grid_width", "grid_height"))
+    m = maps.select("map_id", "cell_size", "grid_width", "grid_height")
     origin_row = G.pixel_to_cell(F.col("y"), F.col("cell_size"), F.col("grid_height"))
     origin_col = G.pixel_to_cell(F.col("x"), F.col("cell_size"), F.col("grid_width"))
     ok = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
@@ -39,8 +33,26 @@ def snap_to_road(points: DataFrame, features: DataFrame, maps: DataFrame, max_ce
     ties = pairs.join(best, ["map_id", "o_row", "o_col"]).filter("ring = least").select("map_id", "o_row", "o_col", "r_row", "r_col")
     both = placed.select(key, "map_id", "x", "y", "cell_size", "o_row", "o_col").join(ties, ["map_id", "o_row", "o_col"], "left")
     sx, sy = G.cell_center(F.col("r_col"), F.col("cell_size")), G.cell_center(F.col("r_row"), F.col("cell_size"))
-    both = both.withColumn("distance", F.hypot(sx - F.col("x"), sy - F.col("y")))
-    least = F.min(F.struct("distance", "r_row", "r_col", sx.alias("sx"), sy.alias("sy"))).alias("s")
+    return both.withColumns({"sx": sx, "sy": sy, "distance": F.hypot(sx - F.col("x"), sy - F.col("y"))})
+
+
+def snap_ranks(points: DataFrame, features: DataFrame, maps: DataFrame, max_cells: int = P.MAX_SNAP_CELLS, key: str = "point_id") -> DataFrame:
+    """(key, map_id, snap_row, snap_col, distance, rank): the cells of a point's winning ring by distance, row and column; rank 1 is what it snaps to."""
+    near = _ring_cells(points, features, maps, max_cells, key).filter("r_row IS NOT NULL")
+    rank = F.row_number().over(W.partitionBy(key).orderBy("distance", "r_row", "r_col"))
+    return near.select(key, "map_id", F.col("r_row").alias("snap_row"), F.col("r_col").alias("snap_col"), "distance", rank.alias("rank"))
+
+
+def snap_to_road(points: DataFrame, features: DataFrame, maps: DataFrame, max_cells: int = P.MAX_SNAP_CELLS, key: str = "point_id") -> DataFrame:
+    """``points`` (key, map_id, x, y) with snap_row, snap_col, snap_x, snap_y, distance and status ('ok', 'no_road', 'bad_point').
+
+    From the point's (clamped) cell the least Chebyshev ring that holds a
+    reachable road cell wins; in it the least distance from the raw pixel, ties
+    by row and column. Points are reduced to their distinct cells first; those
+    meet the road cells by blocks of ``max_cells`` + 1 cells, 3 x 3 blocks around each.
+    """
+    both = _ring_cells(points, features, maps, max_cells, key)
+    least = F.min(F.struct("distance", "r_row", "r_col", "sx", "sy")).alias("s")
     out = both.groupBy(key, "map_id", "x", "y").agg(least, F.first("o_row").alias("o_row"))
     status = F.when(F.col("o_row").isNull(), "bad_point").when(F.col("s.r_row").isNull(), "no_road").otherwise("ok")
     return out.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import grid as G
 from ..functions import text
+from .routes import route_cells
 
 
 def candidate_weights(places: DataFrame, open_gates: DataFrame, lists: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def candidate_weights(places: DataFrame, open_gates: DataFrame, lists: DataFrame
 def tour_candidates(weighted: DataFrame, snapped: DataFrame, maps: DataFrame) -> DataFrame:
     """Candidates of positive weight with their snapped cell and zone; ``snapped``: map_id, id and the columns of snap_to_road."""
     c = weighted.filter("weight > 0").join(snapped.select("map_id", "id", "snap_row", "snap_col", "snap_x", "snap_y", F.col("status").alias("snap_status")), ["map_id", "id"])
-    c = c.join(F.broadcast(maps.select("map_id", "map_width", "map_height")), "map_id")
+    c = c.join(maps.select("map_id", "map_width", "map_height"), "map_id")
     zone = G.tour_zone(F.col("snap_x"), F.col("snap_y"), F.col("map_width"), F.col("map_height"))
     pos = F.row_number().over(W.partitionBy("map_id").orderBy("id"))
     return c.select("map_id", "id", "name", "type", "weight", "snap_row", "snap_col", "snap_x", "snap_y", "snap_status", zone.alias("zone"), pos.alias("pos"))
@@ -55,7 +56,7 @@ def select_tour_stops(starts: DataFrame, candidates: DataFrame, max_stops: int =
     A map with a candidate off the road net has no tour.
     """
     bad = candidates.filter("snap_status != 'ok'").select("map_id").distinct()
-    good = candidates.join(F.broadcast(bad), "map_id", "left_anti").withColumn("gain", F.col("weight") * F.when(F.col("type").isin(*P.BOOSTED_TYPES), P.TYPE_BOOST).otherwise(1.0))
+    good = candidates.join(bad, "map_id", "left_anti").withColumn("gain", F.col("weight") * F.when(F.col("type").isin(*P.BOOSTED_TYPES), P.TYPE_BOOST).otherwise(1.0))
     at = starts.filter("snap_row IS NOT NULL").select("map_id", F.col("snap_row").alias("s_row"), F.col("snap_col").alias("s_col"), F.col("snap_x").alias("s_x"), F.col("snap_y").alias("s_y")).distinct()
     both = at.join(good, "map_id").filter("NOT (s_row = snap_row AND s_col = snap_col)")
 
@@ -80,16 +81,21 @@ def tour_legs(stops: DataFrame, key: str = "request_id") -> DataFrame:
     before = lambda c, s: F.coalesce(F.lag(c).over(w), F.col(s))
     return stops.select(
         key, "map_id", F.col("stop_no").alias("leg_no"), "id", "name", before("snap_row", "s_row").alias("start_row"), before("snap_col", "s_col").alias("start_col"),
-        F.col("snap_row").alias("goal_row"), F.col("snap_col").alias("goal_col"),
+        F.col("snap_row").alias("goal_row"), F.col("snap_col").alias("goal_col"), "s_row", "s_col",
     )
 
 
 def composite_routes(legs: DataFrame, key: str = "request_id") -> DataFrame:
-    """Stops included, legs skipped, length and gap cells of each tour; ``legs`` carry status, length_px, gap_cells (see shortest_routes)."""
+    """Stops included, legs skipped, length, gap cells and status of each tour; ``legs`` carry status, length_px, gap_cells (see shortest_routes).
+
+    status: 'no_stop' if no leg has a route, 'no_path' if all its stops lie on the start's cell, else 'ok'.
+    """
     ok = F.col("status") == "ok"
-    names = F.transform(F.sort_array(F.collect_list(F.when(ok, F.struct("leg_no", "name", "id")))), lambda s: F.coalesce(F.nullif(text.primary_name(s["name"]), F.lit("")), s["id"]))
+    names = F.transform(F.sort_array(F.collect_list(F.when(ok, F.struct("leg_no", "name", "id")))), lambda s: text.place_label(s["id"], s["name"]))
+    length = F.coalesce(F.sum(F.when(ok, F.col("length_px"))), F.lit(0.0))
+    status = F.when(F.count_if(ok) == 0, "no_stop").when(length == 0, "no_path").otherwise("ok")
     return legs.groupBy(key).agg(
-        F.count_if(ok).alias("stops"), F.count_if(~ok).alias("skipped"), F.coalesce(F.sum(F.when(ok, F.col("length_px"))), F.lit(0.0)).alias("length_px"),
+        status.alias("status"), F.count_if(ok).alias("stops"), F.count_if(~ok).alias("skipped"), length.alias("length_px"),
         F.coalesce(F.sum(F.when(ok, F.col("gap_cells"))), F.lit(0)).alias("gap_cells"), text.stop_names(names).alias("stop_names"),
     )
 
@@ -100,3 +106,15 @@ def join_legs(cells: DataFrame, key: str = "request_id") -> DataFrame:
     kept = cells.withColumn("first", first).filter("leg_no = first OR seq > 0")
     seq = F.row_number().over(W.partitionBy(key).orderBy("leg_no", "seq")) - 1
     return kept.select(key, seq.alias("seq"), "row", "col")
+
+
+def tour_paths(legs: DataFrame, field: DataFrame, key: str = "request_id") -> DataFrame:
+    """(key, seq, row, col): the joined path of each tour; ``legs`` as tour_legs gives them, with the status of their routes.
+
+    Distinct legs are walked once, whatever the number of tours that share them.
+    """
+    ends = ["map_id", "start_row", "start_col", "goal_row", "goal_col"]
+    good = legs.filter("status = 'ok'").select(key, "leg_no", *ends)
+    cells = route_cells(good.select(*ends).distinct().withColumn("leg", F.xxhash64(*ends)), field, key="leg")
+    walked = good.withColumn("leg", F.xxhash64(*ends)).select(key, "leg_no", "leg").join(cells, "leg")
+    return join_legs(walked.select(key, "leg_no", "seq", "row", "col"), key)

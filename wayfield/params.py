@@ -23,6 +23,12 @@ ZONE_BOOST, TYPE_BOOST = 1.45, 1.2
 KEY_BONUS, DORM_BONUS = 4, 1
 POLL = "5 seconds"
 
+# What summaries say.
+ROUTE_TEXT = "%d 个网格点，约 %.0fpx，跨 %d 个假断点"
+TOUR_TEXT = "智能观光路线：从%s出发，途经 %d 处，约 %.0fpx"
+TOUR_SKIPPED_TEXT = "，跳过 %d 处不可达点"
+EXIT_TEXT = "最近离开路线：%s，约 %.0fpx"
+
 # Tour weight of each place type, in its usual order.
 TYPE_WEIGHTS = {
     "landscape": 10,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .. import params as P
+
 # Parts that queries share: the derived tables, as common table expressions in order of use.
 PARTS = {
     "maps": "SELECT r_regionkey AS map_id FROM region",
@@ -19,7 +21,7 @@ PARTS = {
         ((p_partkey * 37) % 1536)::DOUBLE AS cx, ((p_partkey * 101) % 1536)::DOUBLE AS cy,
         CASE WHEN p_partkey % 10 = 0 THEN ((p_partkey * 37) % 1536 + 24)::DOUBLE END AS ax,
         CASE WHEN p_partkey % 10 = 0 THEN ((p_partkey * 101) % 1536)::DOUBLE END AS ay, p_partkey AS part
-        FROM part WHERE p_partkey < 1000""",
+        FROM part""",
     "gates": """SELECT map_id, id, name, cx, cy, ax, ay, (row_number() OVER (PARTITION BY map_id ORDER BY part))::INT AS gate_order
         FROM places WHERE type = 'gate' AND part % 3 = 0 QUALIFY gate_order <= 7""",
     "lists": """SELECT map_id, id, type, 'dorm' AS list FROM places WHERE type = 'dormitory' AND part % 4 = 0
@@ -61,14 +63,11 @@ PARTS = {
         ((o_custkey % 40) * 389 % 1536)::VARCHAR AS goal_x, ((o_custkey % 40) * 613 % 1536)::VARCHAR AS goal_y,
         CASE o_orderkey % 7 WHEN 0 THEN ' ' || (o_custkey % 1000) || ' ' WHEN 1 THEN '' ELSE '_' || (o_custkey % 1000) END AS place_text FROM orders""",
     "num": """SELECT *, CASE WHEN trim(start_x) = '' THEN 0 ELSE try_cast(start_x AS DOUBLE) END AS sx, start_y::DOUBLE AS sy, goal_x::DOUBLE AS gx, goal_y::DOUBLE AS gy FROM req""",
-    "kw": """SELECT unnest(string_split(p_name, ' ')) AS keyword FROM part WHERE p_partkey < 1000
-        UNION SELECT '_' || p_partkey FROM part WHERE p_partkey < 1000 AND p_partkey % 50 = 0
-        UNION SELECT ' ' || upper(p_name) || '  ' FROM part WHERE p_partkey < 1000 AND p_partkey % 25 = 0
-        UNION SELECT p_name[1:2] || ' ' || p_name[3:] FROM part WHERE p_partkey < 1000 AND p_partkey % 75 = 0
-        UNION SELECT '' UNION SELECT 'no such place'""",
+    "kw": """SELECT unnest(string_split(p_name, ' ')) AS keyword FROM part
+        UNION SELECT '_' || p_partkey FROM part UNION SELECT ' ' || upper(p_name) || '  ' FROM part
+        UNION SELECT p_name[1:2] || ' ' || p_name[3:] FROM part UNION SELECT '' UNION SELECT 'no such place'""",
     "found": """SELECT keyword, map_id, id, first, second, (row_number() OVER (PARTITION BY keyword, map_id ORDER BY id))::INT AS rank
-        FROM kw JOIN places ON trim(keyword) = '' OR contains(lower(id || ' ' || name), lower(trim(keyword)))
-        OR contains(replace(lower(id || ' ' || name), ' ', ''), replace(lower(trim(keyword)), ' ', ''))""",
+        FROM kw JOIN (SELECT *, replace(lower(id || ' ' || name), ' ', '') AS hay FROM places) ON contains(hay, replace(lower(keyword), ' ', ''))""",
     "taps": """SELECT event_id, (user_id % 5)::INT AS map_id, ((event_id * 13) % 750)::DOUBLE AS screen_x, ((event_id * 17) % 1334)::DOUBLE AS screen_y,
         (event_id % 5 + 1) / 4 AS scale, ((event_id % 7) * 20 - 60)::DOUBLE AS ox, ((event_id % 11) * 20 - 100)::DOUBLE AS oy FROM events""",
     "road": "SELECT map_id, row, col FROM cells WHERE walkable",
@@ -129,6 +128,26 @@ PARTS = {
     "psnap": """SELECT c.*, r.row AS r_row, r.col AS r_col FROM pcell c JOIN reach r ON r.map_id = c.map_id AND abs(c.o_row - r.row) <= 24 AND abs(c.o_col - r.col) <= 24
         QUALIFY row_number() OVER (PARTITION BY c.map_id, c.id ORDER BY greatest(abs(c.o_row - r.row), abs(c.o_col - r.col)),
             ((r.col + 0.5) * 16 - px) * ((r.col + 0.5) * 16 - px) + ((r.row + 0.5) * 16 - py) * ((r.row + 0.5) * 16 - py), r.row, r.col) = 1""",
+    "gpoint": "SELECT *, coalesce(ax, cx) AS px, coalesce(ay, cy) AS py, least(greatest(floor(coalesce(ay, cy) / 16), 0), 95)::BIGINT AS o_row, least(greatest(floor(coalesce(ax, cx) / 16), 0), 95)::BIGINT AS o_col FROM gates",
+    "gring": """SELECT g.*, r.row AS r_row, r.col AS r_col, sqrt(((r.col + 0.5) * 16 - px) * ((r.col + 0.5) * 16 - px) + ((r.row + 0.5) * 16 - py) * ((r.row + 0.5) * 16 - py)) AS distance
+        FROM gpoint g JOIN reach r ON r.map_id = g.map_id AND abs(g.o_row - r.row) <= 24 AND abs(g.o_col - r.col) <= 24
+        QUALIFY greatest(abs(g.o_row - r.row), abs(g.o_col - r.col)) = min(greatest(abs(g.o_row - r.row), abs(g.o_col - r.col))) OVER (PARTITION BY g.map_id, g.id)""",
+    "granks": "SELECT *, (row_number() OVER (PARTITION BY map_id, id ORDER BY distance, r_row, r_col))::INT AS rank FROM gring",
+    "gsnap": "SELECT map_id, id, name, gate_order, r_row * 1048576 + r_col AS source FROM granks WHERE rank = 1",
+    "arcs": """SELECT map_id, row::BIGINT * 1048576 + col AS src, row2::BIGINT * 1048576 + col2 AS dst, round(cost / 1e-9::DOUBLE)::BIGINT AS c, round(16 * base / 1e-9::DOUBLE)::BIGINT AS l FROM moves""",
+    "field": """(WITH RECURSIVE f(map_id, source, cell, v) USING KEY (map_id, source, cell) AS (
+        SELECT DISTINCT map_id, source, source, {'c': 0::BIGINT, 'l': 0::BIGINT, 'n': (-1)::BIGINT, 's': 1::BIGINT} FROM gsnap
+        UNION SELECT f.map_id, f.source, a.src, min({'c': f.v.c + a.c, 'l': f.v.l + a.l, 'n': f.cell, 's': f.v.s + 1}) FROM f JOIN arcs a ON a.map_id = f.map_id AND a.dst = f.cell
+            LEFT JOIN recurring.f o ON o.map_id = f.map_id AND o.source = f.source AND o.cell = a.src
+            WHERE o.v IS NULL OR (f.v.c + a.c, f.v.l + a.l, f.cell) < (o.v.c, o.v.l, o.v.n) GROUP BY ALL)
+        SELECT map_id, source, cell, v.c * 1e-9::DOUBLE AS cost, v.l * 1e-9::DOUBLE AS length, v.s AS n_cells FROM f)""",
+    "ways": """SELECT f.map_id, f.cell, g.id AS gate, g.name, f.source, f.length, f.cost, f.n_cells,
+        (row_number() OVER (PARTITION BY f.map_id, f.cell ORDER BY f.length, g.gate_order))::INT AS rank FROM field f JOIN gsnap g ON g.map_id = f.map_id AND g.source = f.source""",
+    "rpoint": """SELECT DISTINCT map_id, sx AS px, sy AS py, least(greatest(floor(sy / 16), 0), 95)::BIGINT AS o_row, least(greatest(floor(sx / 16), 0), 95)::BIGINT AS o_col FROM num WHERE sx IS NOT NULL""",
+    "rsnap": """SELECT p.map_id, p.px, p.py, r.row * 1048576::BIGINT + r.col AS cell FROM rpoint p JOIN reach r ON r.map_id = p.map_id AND abs(p.o_row - r.row) <= 24 AND abs(p.o_col - r.col) <= 24
+        QUALIFY row_number() OVER (PARTITION BY p.map_id, p.px, p.py ORDER BY greatest(abs(p.o_row - r.row), abs(p.o_col - r.col)),
+            ((r.col + 0.5) * 16 - px) * ((r.col + 0.5) * 16 - px) + ((r.row + 0.5) * 16 - py) * ((r.row + 0.5) * 16 - py), r.row, r.col) = 1""",
+    "exits": "SELECT w.*, w.map_id || '|' || w.cell AS route_id FROM ways w JOIN (SELECT DISTINCT map_id, cell FROM rsnap) r ON r.map_id = w.map_id AND r.cell = w.cell",
     "marks": """SELECT e.map_id, e.user_id, e.event_id, e.ts, e.kind, f.x, f.y, coalesce(f.inside, false) AS inside, f.event_id IS NOT NULL AS good, e.dir
         FROM ev e LEFT JOIN fix f ON f.event_id = e.event_id WHERE e.kind <> 'fix' OR f.event_id IS NOT NULL""",
     "timeline": """SELECT map_id, user_id, event_id, ts, last_value(CASE WHEN kind IN ('fix', 'reset') THEN {'x': CASE WHEN inside THEN x END, 'y': CASE WHEN inside THEN y END, 'f': kind = 'fix'} END IGNORE NULLS) OVER w AS loc,
@@ -181,13 +200,16 @@ BODIES = {
     "sc20_tour_score": """SELECT map_id, id, round(weight * CASE WHEN px > 700 THEN 1.45::DOUBLE ELSE 1 END * CASE WHEN type IN ('landscape', 'square') THEN 1.2::DOUBLE ELSE 1 END
         / pow(greatest(80, sqrt((px - 700) * (px - 700) + (py - 700) * (py - 700))) / 700 + 1, 0.85), 4) AS score FROM weights WHERE weight > 0""",
     "sc21_place_anchor": "SELECT id, coalesce(ax, cx) AS x, coalesce(ay, cy) AS y FROM places",
-    "sc22_route_start": """SELECT request_id, r.map_id, round(CASE WHEN s.user_id IS NOT NULL THEN loc.x WHEN sx IS NOT NULL THEN sx END, 4) AS x,
-        round(CASE WHEN s.user_id IS NOT NULL THEN loc.y WHEN sx IS NOT NULL THEN sy END, 4) AS y, CASE WHEN s.user_id IS NOT NULL THEN 'live' WHEN sx IS NOT NULL THEN 'typed' END AS source
-        FROM num r LEFT JOIN (SELECT * FROM state WHERE loc.x IS NOT NULL) s ON s.map_id = r.map_id AND s.user_id = r.user_id""",
+    "sc22_route_start": """SELECT request_id, r.map_id, round(CASE WHEN s.user_id IS NOT NULL THEN loc.x WHEN u.user_id IS NOT NULL THEN u.x WHEN sx IS NOT NULL THEN sx END, 4) AS x,
+        round(CASE WHEN s.user_id IS NOT NULL THEN loc.y WHEN u.user_id IS NOT NULL THEN u.y WHEN sx IS NOT NULL THEN sy END, 4) AS y,
+        CASE WHEN s.user_id IS NOT NULL THEN 'live' WHEN u.user_id IS NOT NULL THEN 'confirmed' WHEN sx IS NOT NULL THEN 'typed' END AS source
+        FROM num r LEFT JOIN (SELECT * FROM state WHERE loc.x IS NOT NULL) s ON s.map_id = r.map_id AND s.user_id = r.user_id
+        LEFT JOIN (SELECT map_id, user_id, max(gx) AS x, max(gy) AS y FROM num WHERE user_id % 3 = 0 GROUP BY 1, 2) u ON u.map_id = r.map_id AND u.user_id = r.user_id""",
     "sc23_straight_line": "SELECT route_id, seq, round(sqrt((row - r0) * (row - r0) + (col - c0) * (col - c0)), 4) AS cells FROM steps WHERE r0 IS NOT NULL",
     "sc24_stop_names": """SELECT map_id, type, array_to_string((list(first ORDER BY first))[1:12], ' → ') || CASE WHEN count(*) > 12 THEN ' → 等 ' || count(*) || ' 处' ELSE '' END AS stop_names
         FROM places WHERE type IN ('gate', 'square') GROUP BY 1, 2""",
-    "sc25_summaries": """SELECT route_id, count(*) || ' cells, about ' || round(coalesce(sum(16 * sqrt((row - r0) * (row - r0) + (col - c0) * (col - c0))), 0))::BIGINT || ' px' AS summary FROM steps GROUP BY 1""",
+    "sc25_summaries": f"""SELECT route_id, printf('{P.ROUTE_TEXT}', n_cells, round(length), 0) AS route_summary,
+        printf('{P.EXIT_TEXT}', CASE WHEN trim(string_split(name, '/')[1]) <> '' THEN trim(string_split(name, '/')[1]) ELSE gate END, round(length)) AS exit_summary FROM exits WHERE rank = 1""",
     "j1_snap_to_road": "SELECT event_id AS point_id, map_id, r_row AS snap_row, r_col AS snap_col, round(distance, 4) AS distance, CASE WHEN r_row IS NULL THEN 'no_road' ELSE 'ok' END AS status FROM snapped",
     "j2_expand_neighbors": "SELECT map_id, row, col, count(*) AS degree FROM near GROUP BY 1, 2, 3",
     "j3_gap_edges": """SELECT map_id, row, col, row2, col2, g AS gap_cells, round((g + 1) * CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0::DOUBLE) ELSE 1 END, 4) AS base_cost FROM (
@@ -211,8 +233,14 @@ BODIES = {
     "agg3_reachable_mask": "SELECT map_id, row, col FROM reach",
     "agg4_main_road_score": "SELECT map_id, row, col, round(main_score, 4) AS main_score FROM score",
     "agg5_route_length": "SELECT route_id, round(coalesce(sum(16 * sqrt((row - r0) * (row - r0) + (col - c0) * (col - c0))), 0), 4) AS length_px FROM steps GROUP BY 1",
-    "agg6_route_stats": """SELECT count(*) AS routes, sum(n)::BIGINT AS cells, max(n) AS longest, round(sum(l), 2) AS length_px FROM
-        (SELECT count(*) AS n, coalesce(sum(16 * sqrt((row - r0) * (row - r0) + (col - c0) * (col - c0))), 0) AS l FROM steps GROUP BY route_id)""",
+    "agg6_route_stats": "SELECT route_id, n_cells, round(length, 4) AS length_px, round(cost, 4) AS cost, 0::BIGINT AS gap_cells FROM exits WHERE rank = 1",
+    "agg7_nearest_open_gate": """SELECT event_id AS request_id, s.map_id, gate, round(length, 4) AS length_px, round(cost, 4) AS cost, CASE WHEN r_row IS NULL THEN 'no_road' WHEN gate IS NULL THEN 'no_gate' ELSE 'ok' END AS status
+        FROM snapped s LEFT JOIN (SELECT * FROM ways WHERE rank = 1) w ON w.map_id = s.map_id AND w.cell = s.r_row * 1048576::BIGINT + s.r_col""",
+    "iter2_cost_field": "SELECT map_id, source, cell, round(cost, 4) AS cost FROM field",
+    "win7_ranks": """SELECT map_id, 'component' AS kind, label::VARCHAR AS "of", n::VARCHAR AS value, (row_number() OVER (PARTITION BY map_id ORDER BY n DESC, f))::INT AS rank FROM (SELECT map_id, label, count(*) AS n, min(row * 1048576::BIGINT + col) AS f FROM comp GROUP BY 1, 2)
+        UNION ALL SELECT map_id, 'gate', cell::VARCHAR, gate, rank FROM exits
+        UNION ALL SELECT map_id, 'snap', id, r_row || ',' || r_col, rank FROM granks
+        UNION ALL SELECT map_id, 'search', keyword, id, rank FROM found WHERE rank <= 40 AND length(keyword) < 4""",
     "agg9_edge_visit_counts": "SELECT route_id, edge, count(*) AS visits FROM edges0 GROUP BY 1, 2",
     "agg10_grid_layer_stats": """SELECT c.map_id, count(*) FILTER (walkable) AS road_cells, coalesce(sum(manual_main), 0)::BIGINT AS main_cells, any_value(l) AS largest FROM cells c
         LEFT JOIN (SELECT map_id, array_to_string((list(n ORDER BY n DESC))[1:10], ',') AS l FROM (SELECT map_id, label, count(*) AS n FROM mcomp GROUP BY 1, 2) GROUP BY 1) s ON s.map_id = c.map_id GROUP BY 1""",
@@ -238,6 +266,8 @@ BODIES = {
     "st1_project_fixes": "SELECT event_id, user_id, round(x, 4) AS x, round(y, 4) AS y, inside AS inside_map, CASE WHEN NOT ready THEN 'uncalibrated' WHEN inside THEN 'tracking' ELSE 'off_map' END AS status FROM fix",
     "st2_user_location_state": f"SELECT map_id, user_id, {_STATE} FROM state",
     "st3_poll_fixes": "SELECT map_id, user_id, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_id FROM fix WHERE inside QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 5 SECOND, ts) ORDER BY ts DESC, event_id DESC) = 1",
+    "st3_poll_stream": """SELECT map_id, user_id, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_id FROM fix WHERE inside AND time_bucket(INTERVAL 5 SECOND, ts) + INTERVAL 5 SECOND <= (SELECT max(ts) FROM fix WHERE inside) - INTERVAL 10 MINUTE
+        QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 5 SECOND, ts) ORDER BY ts DESC, event_id DESC) = 1""",
     "st4_status_timeline": f"SELECT user_id, event_id, {_STATE} FROM timeline",
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,12 +14,12 @@ from ..functions import grid as G
 from ..functions import text as X
 from ..operators import exits, grid, places, projection, routes, snap, tours
 from ..sources import derive, readers
-from ..storage import saved, shared_folder
+from ..storage import kept, saved, shared_folder
 from ..streaming import location
 
 SIZE = derive.SIZE
+LARGE = 384  # cells a side of the larger maps, which take several tiles
 QUERIES = {}
-_PREPARED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def query(f):
@@ -31,14 +32,15 @@ def r4(c, name: str | None = None):
     return F.round(c, 4).alias(name) if name else F.round(c, 4)
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Map preparation, run once per session and input: cells, features, edges."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PREPARED:
-        cells = saved(derive.cells(spark, sf_dir), "cells")
-        features = saved(grid.cell_features(cells), "features")
-        _PREPARED[key] = {"cells": cells, "features": features, "edges": saved(grid.build_edges(features), "edges")}
-    return _PREPARED[key]
+def prepared(spark: SparkSession, sf_dir: str, size: int = derive.GRID) -> dict[str, DataFrame]:
+    """Map preparation: cells, features, edges. Kept in the session's shared folder while their files are there."""
+    base = f"{shared_folder(spark)}/prepared-{zlib.crc32(sf_dir.encode()):x}-{size}"
+    parts = {name: f"{base}-{name}" for name in ("cells", "features", "edges")}
+    build = {"cells": lambda _: derive.cells(spark, sf_dir, size), "features": lambda got: grid.cell_features(got["cells"]), "edges": lambda got: grid.build_edges(got["features"])}
+    got: dict[str, DataFrame] = {}
+    for name, path in parts.items():
+        got[name] = kept(spark, path, lambda f=build[name]: f(got))
+    return got
 
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def projectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of every user's fixes in time order, as paths: route_id, seq, row, col."""
-    m = F.broadcast(derive.maps(spark, sf_dir).select("map_id", "cell_size", "grid_width", "grid_height"))
+    m = derive.maps(spark, sf_dir).select("map_id", "cell_size", "grid_width", "grid_height")
     f = fixes(spark, sf_dir).filter("inside_map").join(m, "map_id")
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return f.select(
@@ -61,15 +63,33 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapped_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapped_gates(spark: SparkSession, sf_dir: str, size: int = derive.GRID) -> DataFrame:
     g = places.gates_of(derive.open_gates(spark, sf_dir), derive.places(spark, sf_dir)).withColumn("point_id", F.concat_ws("|", "map_id", "id"))
-    s = snap.snap_to_road(g, prepared(spark, sf_dir)["features"], derive.maps(spark, sf_dir))
-    return g.select("point_id", "id", "name", "gate_order").join(s, "point_id").drop("point_id")
+    s = snap.snap_to_road(g, prepared(spark, sf_dir, size)["features"], derive.maps(spark, sf_dir, size))
+    return saved(g.select("point_id", "id", "name", "gate_order").join(s, "point_id").drop("point_id"), "gates")
 
 
-def gate_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gates = snapped_gates(spark, sf_dir).filter("status = 'ok'").select("map_id", F.col("snap_row").alias("row"), F.col("snap_col").alias("col"))
-    return routes.cost_fields(gates, prepared(spark, sf_dir)["edges"], SIZE, reverse=True)
+def gate_field(spark: SparkSession, sf_dir: str, gates: DataFrame | None = None, size: int = derive.GRID) -> DataFrame:
+    gates = snapped_gates(spark, sf_dir, size) if gates is None else gates
+    ends = gates.filter("status = 'ok'").select("map_id", F.col("snap_row").alias("row"), F.col("snap_col").alias("col"))
+    return routes.cost_fields(ends, prepared(spark, sf_dir, size)["edges"], SIZE, reverse=True)
+
+
+def exit_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The way from each distinct start of a request to its nearest open gate (route_id, map_id, ends, gate, name, length, cost), and the field."""
+    gates = snapped_gates(spark, sf_dir)
+    field = gate_field(spark, sf_dir, gates)
+    r = snapped_requests(spark, sf_dir).select("map_id", F.col("start_row").alias("snap_row"), F.col("start_col").alias("snap_col")).distinct()
+    best = exits.gate_ranks(r, gates, field).filter("rank = 1")
+    at = lambda c: (F.floor(F.col(c) / (1 << 20)), F.col(c) % (1 << 20))
+    (sr, sc), (gr, gc) = at("cell"), at("source")
+    return saved(best.withColumns({"route_id": F.concat_ws("|", "map_id", "cell"), "start_row": sr, "start_col": sc, "goal_row": gr, "goal_col": gc}), "exits"), field
+
+
+def exit_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    best, field = exit_routes(spark, sf_dir)
+    cells = routes.route_cells(best, field, reverse=True).join(best.select("route_id", "map_id"), "route_id")
+    return best, routes.route_stats(cells, prepared(spark, sf_dir)["edges"], SIZE)
 
 
 def snapped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +191,7 @@ def fil4_search_places(spark, sf_dir):
 
 @query
 def fil5_open_gates(spark, sf_dir):
-    p = derive.places(spark, sf_dir)
-    return p.join(F.broadcast(derive.open_gates(spark, sf_dir)), ["map_id", "id"]).select("map_id", "id", "name", "gate_order")
+    return places.gates_of(derive.open_gates(spark, sf_dir), derive.places(spark, sf_dir)).select("map_id", "id", "name", "gate_order")
 
 
 def _candidates(spark, sf_dir):
@@ -338,7 +357,8 @@ def sc21_place_anchor(spark, sf_dir):
 def sc22_route_start(spark, sf_dir):
     live = location.location_state(derive.location_events(spark, sf_dir), projectors(spark, sf_dir), derive.maps(spark, sf_dir))
     r = readers.typed_requests(derive.route_requests(spark, sf_dir))
-    return places.route_starts(r, live).select("request_id", "map_id", r4("x", "x"), r4("y", "y"), "source")
+    sure = r.filter("user_id % 3 = 0").groupBy("map_id", "user_id").agg(F.max("goal_x").alias("x"), F.max("goal_y").alias("y"))
+    return places.route_starts(r, live, sure).select("request_id", "map_id", r4("x", "x"), r4("y", "y"), "source")
 
 
 @query
@@ -357,8 +377,13 @@ def sc24_stop_names(spark, sf_dir):
 
 @query
 def sc25_summaries(spark, sf_dir):
-    m = routes.route_lengths(tracks(spark, sf_dir), SIZE)
-    return m.select("route_id", F.concat(F.col("n_cells").cast("string"), F.lit(" cells, about "), F.round("length_px").cast("long").cast("string"), F.lit(" px")).alias("summary"))
+    """What is said of the route from each start to its nearest gate, and of this gate."""
+    best, stats = exit_stats(spark, sf_dir)
+    both = best.join(stats, "route_id")
+    return both.select(
+        "route_id", X.route_summary(F.col("n_cells"), F.col("length_px"), F.col("gap_cells")).alias("route_summary"),
+        X.exit_summary(F.col("gate"), F.col("name"), F.col("length_px")).alias("exit_summary"),
+    )
 
 
 # ---- joins
@@ -396,7 +421,7 @@ def j5_resolve_places(spark, sf_dir):
 def j6_starts_to_gates(spark, sf_dir):
     g = places.gates_of(derive.open_gates(spark, sf_dir), derive.places(spark, sf_dir)).select("map_id", F.col("id").alias("gate"), F.col("x").alias("gx"), F.col("y").alias("gy"))
     s = fixes(spark, sf_dir).filter("inside_map").select("event_id", "map_id", "x", "y")
-    return s.join(F.broadcast(g), "map_id").select("event_id", "gate", r4(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")), "distance"))
+    return s.join(g, "map_id").select("event_id", "gate", r4(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")), "distance"))
 
 
 @query
@@ -446,8 +471,9 @@ def agg5_route_length(spark, sf_dir):
 
 @query
 def agg6_route_stats(spark, sf_dir):
-    t = routes.route_lengths(tracks(spark, sf_dir), SIZE)
-    return t.groupBy().agg(F.count(F.lit(1)).alias("routes"), F.sum("n_cells").alias("cells"), F.max("n_cells").alias("longest"), F.round(F.sum("length_px"), 2).alias("length_px"))
+    """Cells, cost, length and gap cells of the route from each start to its nearest gate, summed along its cells."""
+    _, stats = exit_stats(spark, sf_dir)
+    return stats.select("route_id", "n_cells", r4("length_px", "length_px"), r4("cost", "cost"), "gap_cells")
 
 
 @query
@@ -455,7 +481,18 @@ def agg7_nearest_open_gate(spark, sf_dir):
     """The flagship: the nearest open gate of every fix inside its map."""
     points = fixes(spark, sf_dir).filter("inside_map").select(F.col("event_id").alias("point_id"), "map_id", "x", "y")
     s = snap.snap_to_road(points, prepared(spark, sf_dir)["features"], derive.maps(spark, sf_dir)).withColumnRenamed("point_id", "request_id")
-    best = exits.nearest_open_gate(s, snapped_gates(spark, sf_dir), gate_field(spark, sf_dir))
+    gates = snapped_gates(spark, sf_dir)
+    best = exits.nearest_open_gate(s, gates, gate_field(spark, sf_dir, gates))
+    return best.select("request_id", "map_id", "gate", r4("length_px", "length_px"), r4("cost", "cost"), "status")
+
+
+@query
+def agg7_large_grid(spark, sf_dir):
+    """The same on maps of several tiles, with a start of its own for every request."""
+    points = derive.spread_starts(spark, sf_dir, LARGE).withColumnRenamed("request_id", "point_id")
+    s = snap.snap_to_road(points, prepared(spark, sf_dir, LARGE)["features"], derive.maps(spark, sf_dir, LARGE)).withColumnRenamed("point_id", "request_id")
+    gates = snapped_gates(spark, sf_dir, LARGE)
+    best = exits.nearest_open_gate(s, gates, gate_field(spark, sf_dir, gates, LARGE))
     return best.select("request_id", "map_id", "gate", r4("length_px", "length_px"), r4("cost", "cost"), "status")
 
 
@@ -474,7 +511,9 @@ def _tour_legs(spark, sf_dir):
 @query
 def agg8_composite_route_stats(spark, sf_dir):
     legs, _ = _tour_legs(spark, sf_dir)
-    return tours.composite_routes(legs).select("request_id", "stops", "skipped", r4("length_px", "length_px"), "gap_cells", "stop_names")
+    t = tours.composite_routes(legs)
+    said = X.tour_summary(F.lit("typed"), F.col("stops"), F.col("length_px"), F.col("skipped"))
+    return t.select("request_id", "status", "stops", "skipped", r4("length_px", "length_px"), "gap_cells", "stop_names", said.alias("summary"))
 
 
 @query
@@ -527,6 +566,22 @@ def win7_busiest_cells(spark, sf_dir):
     return projection.busiest_cells(fixes(spark, sf_dir), derive.maps(spark, sf_dir))
 
 
+@query
+def win7_ranks(spark, sf_dir):
+    """The four ranks: components of a map, gates of a start, cells a gate may snap to, and places of a search."""
+    gates = snapped_gates(spark, sf_dir)
+    p, maps = prepared(spark, sf_dir), derive.maps(spark, sf_dir)
+    labels = p["features"].filter("walkable").select("map_id", F.col("component_id").alias("comp"), "row", "col")
+    component = grid.component_ranks(labels).select("map_id", F.lit("component").alias("kind"), F.col("comp").cast("string").alias("of"), F.col("n").cast("string").alias("value"), "rank")
+    starts = snapped_requests(spark, sf_dir).select("map_id", F.col("start_row").alias("snap_row"), F.col("start_col").alias("snap_col"))
+    gate = exits.gate_ranks(starts, gates, gate_field(spark, sf_dir, gates)).select("map_id", F.lit("gate").alias("kind"), F.col("cell").cast("string").alias("of"), F.col("gate").alias("value"), "rank")
+    points = places.gates_of(derive.open_gates(spark, sf_dir), derive.places(spark, sf_dir)).withColumn("point_id", F.col("id"))
+    snapped = snap.snap_ranks(points, p["features"], maps).select("map_id", F.lit("snap").alias("kind"), F.col("point_id").alias("of"), F.concat_ws(",", "snap_row", "snap_col").alias("value"), "rank")
+    words = derive.keywords(spark, sf_dir).filter("length(keyword) < 4")
+    search = places.search_places(words, derive.places(spark, sf_dir)).select("map_id", F.lit("search").alias("kind"), F.col("keyword").alias("of"), F.col("id").alias("value"), "rank")
+    return component.unionByName(gate).unionByName(snapped).unionByName(search)
+
+
 # ---- sorting, sets
 
 
@@ -559,7 +614,7 @@ def set1_join_legs(spark, sf_dir):
 @query
 def set2_id_sets(spark, sf_dir):
     p = derive.places(spark, sf_dir)
-    return p.join(F.broadcast(derive.tour_lists(spark, sf_dir).select("map_id", "id")), ["map_id", "id"], "left_semi").select("map_id", "id", "type")
+    return p.join(derive.tour_lists(spark, sf_dir).select("map_id", "id"), ["map_id", "id"], "left_semi").select("map_id", "id", "type")
 
 
 # ---- routes and tours
@@ -599,12 +654,23 @@ def iter4_composite_tour(spark, sf_dir):
     return legs.select("request_id", "leg_no", "id", r4("length_px", "length_px"), "status")
 
 
+@query
+def iter4_tour_paths(spark, sf_dir):
+    """The joined path of every distinct tour, simplified."""
+    legs, field = _tour_legs(spark, sf_dir)
+    one = legs.groupBy("map_id", "s_row", "s_col").agg(F.min("request_id").alias("request_id"))
+    return routes.simplify_paths(tours.tour_paths(saved(legs.join(one.select("request_id"), "request_id", "left_semi"), "tours"), field), key="request_id")
+
+
 # ---- streams
 
 
 @query
 def st1_project_fixes(spark, sf_dir):
-    return fixes(spark, sf_dir).select("event_id", "user_id", r4("x", "x"), r4("y", "y"), "inside_map", "status")
+    """Run as a stream in append mode."""
+    p, m = saved(projectors(spark, sf_dir), "projectors"), saved(derive.maps(spark, sf_dir), "maps")
+    s = run_stream(spark, derive.location_events(spark, sf_dir).filter("kind = 'fix'"), lambda e: projection.project_fixes(e, p, m), "append")
+    return s.select("event_id", "user_id", r4("x", "x"), r4("y", "y"), "inside_map", "status")
 
 
 def run_stream(spark: SparkSession, events: DataFrame, build, mode: str) -> DataFrame:
@@ -638,6 +704,13 @@ def st3_poll_fixes(spark, sf_dir):
     return location.poll_fixes(f).select("map_id", "user_id", "window_start", "event_id")
 
 
+@query
+def st3_poll_stream(spark, sf_dir):
+    """The same as a stream in append mode: intervals come out once the watermark has passed them."""
+    f = fixes(spark, sf_dir).filter("inside_map").select("map_id", "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "x", "y")
+    return run_stream(spark, f, location.poll_fixes, "append").select("map_id", "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_id")
+
+
 @query
 def st4_status_timeline(spark, sf_dir):
     t = location.status_timeline(derive.location_events(spark, sf_dir), projectors(spark, sf_dir), derive.maps(spark, sf_dir))

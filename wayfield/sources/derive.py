@@ -15,23 +15,23 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def maps(spark: SparkSession, sf_dir: str, size: int = GRID) -> DataFrame:
     return _t(spark, sf_dir, "region").select(
-        F.col("r_regionkey").alias("map_id"), F.lit(SIZE).alias("cell_size"), F.lit(GRID).alias("grid_width"), F.lit(GRID).alias("grid_height"),
-        F.lit(float(SPAN)).alias("map_width"), F.lit(float(SPAN)).alias("map_height"), F.lit(0.0).alias("north_offset"),
+        F.col("r_regionkey").alias("map_id"), F.lit(SIZE).alias("cell_size"), F.lit(size).alias("grid_width"), F.lit(size).alias("grid_height"),
+        F.lit(float(size * SIZE)).alias("map_width"), F.lit(float(size * SIZE)).alias("map_height"), F.lit(0.0).alias("north_offset"),
         F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"),
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, size: int = GRID) -> DataFrame:
     """map_id, row, col, walkable, manual_main (null for map 4, which has no main-road layer)."""
     h = (
         _t(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_suppkey") % 5).cast("int").alias("map_id"), (F.col("l_orderkey") % GRID).cast("int").alias("row"), (F.col("l_partkey") % GRID).cast("int").alias("col"))
+        .groupBy((F.col("l_suppkey") % 5).cast("int").alias("map_id"), (F.col("l_orderkey") % size).cast("int").alias("row"), (F.col("l_partkey") % size).cast("int").alias("col"))
         .agg(((F.sum("l_linenumber") + F.count(F.lit(1))) % 10).alias("h"))
     )
-    axis = F.sequence(F.lit(0), F.lit(GRID - 1))
-    grid = maps(spark, sf_dir).select("map_id", F.explode(axis).alias("row")).select("map_id", "row", F.explode(axis).alias("col"))
+    axis = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = maps(spark, sf_dir, size).select("map_id", F.explode(axis).alias("row")).select("map_id", "row", F.explode(axis).alias("col"))
     r, c = F.col("row"), F.col("col")
     street = ((r % 12 < 4) | (c % 16 < 4)) & (F.coalesce("h", F.lit(9)) >= 1)
     patch = (r % 12).between(6, 8) & (c % 16).between(8, 11)
@@ -65,7 +65,6 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = ((k * 37) % SPAN).cast("double"), ((k * 101) % SPAN).cast("double")
     return (
         _t(spark, sf_dir, "part")
-        .filter(k < 1000)
         .select(
             (k % 5).cast("int").alias("map_id"),
             F.concat(F.lower(F.regexp_replace("p_name", " ", "_")), F.lit("_"), k.cast("string")).alias("id"),
@@ -131,14 +130,18 @@ def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_starts(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """One start a request, all over a grid of ``size`` cells: request_id, map_id, x, y."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda m: ((o * m) % (size * SIZE)).cast("double")
+    return _t(spark, sf_dir, "orders").select(o.alias("request_id"), (c % 5).cast("int").alias("map_id"), at(389).alias("x"), at(613).alias("y"))
+
+
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search texts: the words of part names, a part of an id, empty and unknown ones, and ones with inner spaces."""
-    p = _t(spark, sf_dir, "part").filter("p_partkey < 1000")
-    word = p.select(F.explode(F.split("p_name", " ")).alias("keyword"))
-    ids = p.filter("p_partkey % 50 = 0").select(F.concat(F.lit("_"), F.col("p_partkey").cast("string")))
-    spaced = p.filter("p_partkey % 25 = 0").select(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ")))
-    split_up = p.filter("p_partkey % 75 = 0").select(F.regexp_replace("p_name", "^(..)", "$1 "))
-    return word.union(ids).union(spaced).union(split_up).union(p.limit(1).select(F.explode(F.array(F.lit(""), F.lit("no such place"))))).distinct()
+    """Search texts: the words of part names, the ends of ids, names in capitals and with an inner space, an empty and an unknown text."""
+    p = _t(spark, sf_dir, "part")
+    texts = F.array(F.concat(F.lit("_"), F.col("p_partkey").cast("string")), F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ")), F.regexp_replace("p_name", "^(..)", "$1 "), F.lit(""), F.lit("no such place"))
+    return p.select(F.explode(F.concat(F.split("p_name", " "), texts)).alias("keyword")).distinct()
 
 
 def taps(spark: SparkSession, sf_dir: str) -> DataFrame:

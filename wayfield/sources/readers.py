@@ -76,7 +76,7 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False) -> Data
 
 def clean_headings(events: DataFrame, maps: DataFrame) -> DataFrame:
     """Compass readings with a finite direction, as unit vectors of the map."""
-    rows = events.filter((F.col("kind") == "compass") & text.finite(F.col("direction"))).join(F.broadcast(maps.select("map_id", "north_offset")), "map_id")
+    rows = events.filter((F.col("kind") == "compass") & text.finite(F.col("direction"))).join(maps.select("map_id", "north_offset"), "map_id")
     x, y = text.heading_vector(F.col("direction"), F.col("north_offset"))
     return rows.select("map_id", "user_id", "event_id", "ts", "direction", x.alias("head_x"), y.alias("head_y"))
 
