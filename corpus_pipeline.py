@@ -2,14 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of documents, extra ones included. The two deduplication stages decide by row
-and keep one row of a group, even of rows that repeat id and text; contamination is
-decided by (doc_id, text), so null and repeated ids are safe.
+columns of documents, extra ones included, whatever their names. The stages after the first decide by row,
+on a numbered copy of their input, so null and repeated ids are safe.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.llm import toxicity
@@ -21,56 +20,59 @@ from wayfield.llm.packing import pack_documents
 from wayfield.llm.queries import tokenizer_file
 
 TOXIC_FROM = 0.3
-ROW = "stage_row_"
 
 
-def row_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")))
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, text) only: what an operator needs, without any extra column."""
-    return docs.select(row_key().alias("key"), "text")
-
-
-def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """``docs`` rows whose key is (left_semi) or isn't (left_anti) in ``keys``."""
-    name = "matched_row_key_"
-    return docs.join(keys.select(F.col("key").alias(name)), row_key() == F.col(name), how)
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique row number, written once, so it is the same in every later read; and its name, that of no other column."""
+    name = "stage_row_"
+    while name in docs.columns:
+        name += "_"
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches TOXIC_FROM go; map only."""
+    """Documents whose toxicity score reaches TOXIC_FROM go; map only.
+
+    Null and empty texts are scored as a text without words, very long ones whole, repeated rows alike. An empty
+    table stays empty; without labels of both kinds the score is a constant, under the limit unless all are toxic.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_column(docs, model, docs.schema, docs.columns.index("text"), [], keep_below=TOXIC_FROM)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique row number, written once, so it is the same in every later read."""
-    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row with the largest doc_id stays."""
-    rows = numbered(docs)
-    merged = tree_merge(saved(digests(rows, row_col=ROW), "digests"), "largest")
-    return rows.join(merged.filter("row = keep_row").select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
+    """Of equal texts one row with the largest doc_id stays.
+
+    Null text equals empty text; a row with an id goes before one without; of rows that repeat
+    id and text one stays. An empty table stays empty.
+    """
+    rows, row = numbered(docs)
+    merged = tree_merge(saved(digests(rows, row_col=row), "digests"), "largest")
+    return rows.join(merged.filter("row = keep_row").select(F.col("row").alias(row)), row, "left_semi").drop(row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies one row with the least doc_id stays."""
-    rows = numbered(docs)
-    return rows.join(near_dup(rows, row_col=ROW).filter("kept").select(ROW), ROW, "left_semi").drop(ROW)
+    """Of each class of near copies one row with the least doc_id stays.
+
+    All texts without words are one class; a null id comes before all others; of rows that
+    repeat id and text one stays. An empty table stays empty.
+    """
+    rows, row = numbered(docs)
+    return rows.join(near_dup(rows, row_col=row).filter("kept").select(row), row, "left_semi").drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or an edited copy of one, go."""
-    hits = contaminated(keyed(docs), table(spark, sf_dir, "benchmark"), id_col="key")
-    return by_key(docs, saved(hits.select(F.col("doc_id").alias("key")).distinct(), "hits"), "left_anti")
+    """Documents that hold a benchmark item, or an edited copy of one, go.
+
+    Texts without words hold none; repeated rows are judged alike. An empty table stays empty.
+    """
+    rows, row = numbered(docs)
+    hits = contaminated(rows.select(row, "text"), table(spark, sf_dir, "benchmark"), id_col=row)
+    return rows.join(saved(hits.select(F.col("doc_id").alias(row)).distinct(), "hits"), row, "left_anti").drop(row)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all remaining documents in sequences of 2048 tokens."""
+    """Pieces of all remaining documents in sequences of 2048 tokens; null text is the end id alone, an empty table gives no piece."""
     import public_tokenizers
 
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
