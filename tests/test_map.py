@@ -7,10 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wayfield import schemas
 from wayfield.functions import grid as G
 from wayfield.functions import text as X
 from wayfield.operators import exits, grid, places, projection, routes, snap, tours
 from wayfield.sources import readers
+from wayfield.streaming import location
 
 
 def one(spark, expression):
@@ -243,3 +245,97 @@ def test_validation(spark):
     t = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0, None), (2, float("nan"), 1.0, 2.0, 2.0, None), (3, 1.0, 1.0, float("nan"), 2.0, None), (4, 1.0, 1.0, None, None, "hall"), (5, 1.0, 1.0, None, None, " ")],
                               "request_id long, start_x double, start_y double, goal_x double, goal_y double, place_text string")
     assert {x.request_id: x.status for x in places.validate_requests(t).collect()} == {1: "ok", 2: "missing_start", 3: "bad_goal", 4: "ok", 5: "missing_destination"}
+
+
+def test_equal_costs_do_not_depend_on_tiles(spark):
+    """One graph of equal costs, full of ties: every value of the field is the same for any tile size."""
+    r = random.Random(6)
+    rows = ["".join("1" if r.random() < 0.85 else "0" for _ in range(13)) for _ in range(11)]
+    f = features_of(spark, rows)
+    edges = routes.saved(grid.build_edges(f).withColumn("move_cost", F.lit(1.0)), "edges")
+    road = sorted((x.row, x.col) for x in f.filter("reachable").collect())
+    sources = spark.createDataFrame([(1, *road[0]), (1, *road[-1])], "map_id int, row int, col int")
+    fields = [sorted(map(tuple, routes.cost_fields(sources, edges, 16, tile=t).collect())) for t in (4, 64)]
+    assert fields[0] == fields[1] and len(fields[0]) >= 2 * len(road)
+
+
+def test_route_stats(spark):
+    f = features_of(spark, ["110", "011", "001"])
+    edges = routes.saved(grid.build_edges(f), "edges")
+    cost = {(e.row, e.col, e.row2, e.col2): e.move_cost for e in edges.collect()}
+    path = spark.createDataFrame([("a", 1, i, r, c) for i, (r, c) in enumerate([(0, 0), (0, 1), (1, 2)])] + [("b", 1, 0, 0, 0), ("c", 1, 0, 0, 0), ("c", 1, 1, 2, 2)], "route_id string, map_id int, seq int, row int, col int")
+    got = {x.route_id: x for x in routes.route_stats(path, edges, 16).collect()}
+    assert (got["a"].n_cells, got["a"].gap_cells) == (3, 0) and got["a"].cost == pytest.approx(cost[0, 0, 0, 1] + cost[0, 1, 1, 2])
+    assert got["a"].length_px == pytest.approx(16 + 16 * math.sqrt(2)) and (got["b"].n_cells, got["b"].cost, got["b"].length_px) == (1, 0, 0) and got["c"].cost is None
+
+
+def test_ranks(spark):
+    labels = spark.createDataFrame([(1, 7, 0, 5), (1, 7, 0, 6), (1, 3, 2, 0), (1, 3, 2, 1), (1, 9, 4, 4)], "map_id int, comp long, row int, col int")
+    assert [(x.comp, x.rank) for x in grid.component_ranks(labels).orderBy("rank").collect()] == [(7, 1), (3, 2), (9, 3)]
+    f = features_of(spark, ["10101", "00000", "11111"])
+    m = spark.createDataFrame([(1, 16, 5, 3)], "map_id int, cell_size int, grid_width int, grid_height int")
+    near = snap.snap_ranks(spark.createDataFrame([(1, 1, 40.0, 24.0)], "point_id int, map_id int, x double, y double"), f, m).orderBy("rank").collect()
+    assert [(x.snap_row, x.snap_col) for x in near] == [(2, 2), (2, 1), (2, 3)]
+
+
+def test_containing(spark):
+    r = random.Random(8)
+    texts = [(i, "".join(r.choice("abc ") for _ in range(r.randint(0, 12)))) for i in range(80)]
+    needles = ["a", "ab", "abc", "a b", "cab ", "zzz", "bcabca", "é"]
+    got = {(x.needle, x.id) for x in places.containing(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame(texts, "id long, text string")).collect()}
+    assert got == {(n, i) for n in needles for i, t in texts if n in t} and got
+
+
+def test_tour_status_and_path(spark):
+    f = features_of(spark, ["11111"])
+    field = routes.saved(routes.cost_fields(spark.createDataFrame([(1, 0, 0), (1, 0, 3)], "map_id int, row int, col int"), routes.saved(grid.build_edges(f)), 16), "field")
+    legs = spark.createDataFrame([(1, 1, 1, "p", "P / x", 0, 0, 0, 3), (1, 1, 2, "q", "", 0, 3, 0, 1), (2, 1, 1, "p", "P", 0, 0, 0, 0), (3, 1, 1, "p", "P", 0, 0, 9, 9)],
+                                 "request_id long, map_id int, leg_no int, id string, name string, start_row int, start_col int, goal_row int, goal_col int")
+    done = routes.saved(routes.shortest_routes(legs, field), "legs")
+    got = {x.request_id: (x.status, x.stops, x.skipped, x.stop_names) for x in tours.composite_routes(done).collect()}
+    assert got == {1: ("ok", 2, 0, "P → q"), 2: ("no_path", 1, 0, "P"), 3: ("no_stop", 0, 1, "")}
+    path = [(x.seq, x.col) for x in tours.tour_paths(done, field).filter("request_id = 1").orderBy("seq").collect()]
+    assert path == list(enumerate([0, 1, 2, 3, 2, 1]))
+
+
+def test_summaries(spark):
+    r = spark.range(1).select(
+        X.route_summary(F.lit(12), F.lit(150.5), F.lit(0)).alias("a"), X.tour_summary(F.lit("x"), F.lit(3), F.lit(99.4), F.lit(0)).alias("b"),
+        X.tour_summary(F.lit("x"), F.lit(3), F.lit(99.4), F.lit(2)).alias("c"), X.exit_summary(F.lit("g1"), F.lit(" / "), F.lit(7.0)).alias("d"),
+    ).first()
+    assert r.a == "12 个网格点，约 151px，跨 0 个假断点" and r.b == "智能观光路线：从x出发，途经 3 处，约 99px" and r.c == r.b + "，跳过 2 处不可达点" and r.d == "最近离开路线：g1，约 7px"
+
+
+def test_file_readers(spark, tmp_path):
+    import json
+
+    def write(name, *docs):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, docs)))
+        return f"file://{tmp_path}/{name}"
+
+    cells = readers.read_road_grid(spark, write("grid.json", {"map_id": 1, "cell_size": 16, "rows": ["10", "11"]}, {"map_id": 2, "rows": ["1", "11"]}))
+    assert {(x.row, x.col, x.walkable) for x in cells.filter("map_id = 1").collect()} == {(0, 0, True), (0, 1, False), (1, 0, True), (1, 1, True)}
+    assert {x.status for x in cells.filter("map_id = 2").collect()} == {"ragged"}
+    layer = readers.read_main_road_layer(spark, cells.filter("map_id = 1"), write("main.json", {"map_id": 1, "rows": ["11", "01"]}))
+    assert sorted((x.row, x.col, x.manual_main) for x in layer.collect()) == [(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 1)]
+    p = readers.read_places(spark, write("places.json", {"map_id": 1, "id": "a", "center": {"x": "1.5", "y": "2"}}, {"map_id": 1, "id": "b", "name": "B", "type": "gate", "access": {"x": 3, "y": 4}})).orderBy("id").collect()
+    assert (p[0].name, p[0].type, p[0].access, p[0].polygons, p[0].center.x) == ("a", "place", None, [], 1.5) and (p[1].name, p[1].access.x) == ("B", 3.0)
+    events = spark.createDataFrame([(1, 1, 1, None, "fix", 1.0, 2.0, None, None, None)], schemas.LOCATION_EVENTS)
+    events.write.parquet(f"file://{tmp_path}/events")
+    assert readers.read_events(spark, f"file://{tmp_path}/events").count() == 1 and readers.read_events(spark, f"file://{tmp_path}/events", streaming=True).isStreaming
+
+
+def test_poll_stream_drops_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1, 12, 0, 0) + dt.timedelta(seconds=s)
+    kinds = "map_id int, user_id long, event_id long, ts timestamp, x double, y double"
+    parts = [[(1, 1, 1, at(0), 1.0, 1.0), (1, 1, 2, at(3), 2.0, 2.0), (1, 1, 3, at(2000), 3.0, 3.0)], [(1, 1, 4, at(1), 4.0, 4.0), (1, 1, 5, at(4000), 5.0, 5.0)]]
+    for rows in parts:  # the second file's first row is older than the watermark
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    out = f"file://{tmp_path}/out"
+    q = location.poll_fixes(source).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").option("path", out).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(x.window_start, x.event_id) for x in spark.read.parquet(out).orderBy("window_start").collect()]
+    assert [e for _, e in got] == [2, 3]
