@@ -153,8 +153,8 @@ class Members:
 
 def item_seeds(w: np.ndarray, frequency: np.ndarray, least: int, spare: int) -> tuple[np.ndarray, int]:
     """Distinct words of an item without the most frequent ones of at most ``spare`` places, and how many of ``least`` matches must be among them."""
-    seed, times = np.unique(w, return_counts=True)
-    order = np.argsort(-frequency[np.searchsorted(w, seed, sorter=np.argsort(w))], kind="stable")
+    seed, one, times = np.unique(w, return_index=True, return_counts=True)
+    order = np.argsort(-frequency[one], kind="stable")
     left_out = np.cumsum(times[order])
     n = int(np.searchsorted(left_out, spare, "right"))
     return seed[order[n:]], least - int(left_out[n - 1] if n else 0)
