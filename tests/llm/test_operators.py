@@ -16,10 +16,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from wayfield.llm import lm_scoring, near_dup, substring_dedup, toxicity, warc, words
+from wayfield.llm import chunks, lm_scoring, near_dup, substring_dedup, toxicity, warc, words
 from wayfield.llm.decontamination import align, contaminated
 from wayfield.llm.exact_dedup import exact_dedup
-from wayfield.llm.fm_index import FMIndex, suffix_order
+from wayfield.llm.fm_index import FMIndex, earlier, suffix_order
 from wayfield.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan
 from wayfield.llm.packing import ByteIds, best_fit, pack_documents
 from wayfield.llm.token_counts import PieceCounts, count_tokens, parts
@@ -168,10 +168,9 @@ def test_suffix_order_and_backward_search():
     ends = np.array([e for e in range(5, 300) if (text[e - 5 : e] > 0).all()])
     matched, low, high = index.search(text, ends, 5)
     assert (matched == 5).all()
-    first = index.first_place(low, high)
-    for e, lo, hi, f in zip(ends, low, high, first, strict=True):
+    for e, lo, hi, again in zip(ends, low, high, earlier(low), strict=True):
         places = [i for i in range(296) if (text[i : i + 5] == text[e - 5 : e]).all()]
-        assert hi - lo == len(places) and f == places[0]
+        assert hi - lo == len(places) and again == (e - 5 > places[0])
 
 
 def brute_repeats(rows, window=20):
@@ -189,9 +188,9 @@ def brute_repeats(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("hot,sent", [(4096, 4_000_000), (2, 4_000_000), (2, 0)])
-def test_substring_dedup(spark, docs, none, monkeypatch, hot, sent):
-    monkeypatch.setattr(substring_dedup, "SENT_ANCHORS", sent)
+@pytest.mark.parametrize("hot,chunk", [(4096, 4 << 20), (2, 5000)])
+def test_substring_dedup(spark, docs, none, monkeypatch, hot, chunk):
+    monkeypatch.setattr(chunks, "CHUNK_TEXT", chunk)
     r = random.Random(6)
     line = " ".join(f"common{i}" for i in range(30))
     own = [(1000 + i, " ".join([*(f"w{r.randint(0, 9999)}" for _ in range(40)), line, *(f"v{r.randint(0, 9999)}" for _ in range(40)), "x " * 50])) for i in range(12)]
@@ -333,8 +332,8 @@ def lm_brute(rows, order=3):
 
 @pytest.mark.parametrize(("chunk", "keys"), [(8 << 20, 1 << 20), (5000, 100)])
 def test_lm_scores(spark, docs, edge, none, monkeypatch, chunk, keys):
-    monkeypatch.setattr(lm_scoring, "CHUNK_TEXT", chunk)
-    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", keys)
+    monkeypatch.setattr(chunks, "CHUNK_TEXT", chunk)
+    monkeypatch.setattr(chunks, "BUCKET_KEYS", keys)
     for df in (docs, edge):
         got = lm_scoring.lm_scores(df).collect()
         assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got), key=str) == lm_brute(rows_of(df))

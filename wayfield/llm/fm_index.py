@@ -1,4 +1,8 @@
-"""A compressed full-text index over integer symbols: suffix order, wavelet matrix, backward search; all in numpy."""
+"""A compressed full-text index over integer symbols: wavelet matrix, ranks, backward search; all in numpy.
+
+The suffix order is used to build the last column and dropped: all patterns are streamed in text order, so
+the first one that meets an interval is the interval's first place, and no place need be located.
+"""
 
 from __future__ import annotations
 
@@ -52,8 +56,7 @@ class FMIndex:
         n, gap = len(text), text == 0
         n_gaps = int(gap.sum())
         own = np.where(gap, np.cumsum(gap) - 1, text.astype(np.int64) + n_gaps)
-        self.suffixes = suffix_order(own)
-        last = text[self.suffixes - 1]
+        last = text[suffix_order(own) - 1]  # the suffix order itself isn't kept
         self.sigma = int(text.max(initial=0)) + 1
         self.begin = np.zeros(self.sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=self.sigma), out=self.begin[1:])
@@ -98,13 +101,9 @@ class FMIndex:
                 break
         return matched, low_all, high_all
 
-    def first_place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The smallest text place in each interval; intervals must be equal or disjoint (patterns of one length)."""
-        if not len(low):
-            return low
-        starts, back = np.unique(low, return_inverse=True)
-        stops = np.zeros(len(starts), np.int64)
-        stops[back] = high
-        cuts = np.column_stack([starts, stops]).ravel()
-        padded = np.append(self.suffixes, self.n)
-        return np.minimum.reduceat(padded, cuts)[::2][back]
+
+def earlier(low: np.ndarray) -> np.ndarray:
+    """Whether an equal pattern comes before each one, for patterns of one length in text order: its interval was met before."""
+    again = np.ones(len(low), bool)
+    again[np.unique(low, return_index=True)[1]] = False
+    return again

@@ -9,7 +9,7 @@ words with c = 0; the end of a text is a token and also what stands before a tex
 
 All weights follow from n-gram counts, so counts are what is shuffled, packed:
 
-1. Map only: a chunk of documents (CHUNK_TEXT bytes) sorts its distinct n-gram keys (64-bit
+1. Map only: a chunk of documents (chunks.CHUNK_TEXT bytes) sorts its distinct n-gram keys (64-bit
    hashes) and cuts them into buckets by their first bits; a bucket of a chunk is one row of
    packed differences and training counts. A frequent n-gram is one key a chunk.
 2. A bucket adds up the counts of its keys over all chunks and answers each chunk in the
@@ -17,54 +17,30 @@ All weights follow from n-gram counts, so counts are what is shuffled, packed:
 3. Each chunk meets its answers (one row of text, one of counts) and is the automaton of
    its own documents: one traversal from left to right carries the state and adds up the weights.
 
-Steps 1 and 3 read the same rows, so ``docs`` must give the same partitions each time, as a
-table scan does; chunks carry a checksum, and a chunk that changed stops the job.
+Steps 1 and 3 read the same rows (see ``chunks``), so ``docs`` must give the same partitions each time.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import buffers, id_text, saved, slices
+from .chunks import answered, bucket_bits, count, packed, send, unpacked
+from .common import buffers, id_text, saved
 
 ORDER = 3
 MU = 10.0  # what a state's lower order counts for, in occurrences
-CHUNK_TEXT = 8 << 20
-BUCKET_KEYS = 1 << 20  # about so many keys of all chunks are added up at once
 KEYS_PER_BYTE = 0.45
+KINDS = ["words", "grams"]
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; a word's hash is mixed and meets it by chance only
-COUNTED = "bucket long, chunk long, mark long, words binary, grams binary, words_n binary, grams_n binary"
-TOTALS = "bucket long, chunk long, mark long, words_n binary, grams_n binary, tokens long, distinct_words long"
-CHUNKS = "chunk long, mark long, rows binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers, all first bytes, then all second ones, ..., compressed."""
-    import zstandard
-
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes()) if len(values) else b""
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
-    if not data:
-        return np.zeros(0, np.uint64)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
-
-
 def with_ends(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all documents, each document preceded and followed by END; n_docs+1 places."""
     sizes = np.diff(w.first) + 2
@@ -75,19 +51,26 @@ def with_ends(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the number of each key among them in 32 bits."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, at.astype(np.int32)
+
+
 class Chunk:
     """The n-grams of some documents: sorted distinct keys, of words and of longer ones, and which key ends at which place."""
 
     def __init__(self, text: pa.Array, order: int):
         self.order = order
         self.h, self.first = with_ends(words.split(*buffers(text), words.SPACED, lower=True))
-        self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        self.ahead = np.arange(len(self.h)) - self.first[self.doc]  # tokens before a place, with the end before the text
+        size = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.ahead = np.arange(len(self.h), dtype=np.int32) - np.repeat(self.first[:-1].astype(np.int32), size)  # tokens before a place, with the end before the text
         self.tokens = np.flatnonzero(self.ahead)
         self.ends = [np.flatnonzero(self.ahead >= n - 1) for n in range(2, order + 1)]
-        self.words, self.word_at = np.unique(self.h[self.tokens], return_inverse=True)
+        self.words, self.word_at = numbered(self.h[self.tokens])
         keys = [words.grams(self.h, n)[at - n + 1] for n, at in enumerate(self.ends, 2)]
-        self.grams, self.gram_at = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+        self.grams, self.gram_at = numbered(np.concatenate([np.zeros(0, np.uint64), *keys]))
 
     def counts(self, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each key comes in the documents that are learnt from."""
@@ -125,68 +108,6 @@ class Chunk:
         return np.diff(self.first) - 1, n_known, base, np.add.reduceat(weight, self.first[:-1])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(number, checksum, rows) of each chunk of this partition."""
-    number = TaskContext.get().partitionId() << 32
-    for whole in batches:
-        for batch in slices(whole, "text", CHUNK_TEXT):
-            yield number, zlib.crc32(buffers(batch.column(1))[0]) << 31 | batch.num_rows, batch
-            number += 1
-
-
-def _count(rows: DataFrame, order: int, bits: int) -> DataFrame:
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, mark, batch in _chunks(batches):
-            chunk = Chunk(batch.column(1), order)
-            counts = chunk.counts(~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
-            cuts = [np.append(np.searchsorted(keys, edges), len(keys)) for keys in (chunk.words, chunk.grams)]
-            out = []
-            for k in np.flatnonzero(sum(np.diff(c) for c in cuts)).tolist():
-                part = [slice(c[k], c[k + 1]) for c in cuts]
-                keys = [packed(np.diff(x[s], prepend=edges[k])) for x, s in zip((chunk.words, chunk.grams), part, strict=True)]
-                out.append((k, number, mark, *keys, *(packed(n[s]) for n, s in zip(counts, part, strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=[x.split()[0] for x in COUNTED.split(", ")])
-
-    return rows.mapInArrow(run, COUNTED)
-
-
-def _add_up(counted: DataFrame, bits: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        base, sums, totals = np.uint64(bucket) << np.uint64(64 - bits), [], []
-        for kind in ("words", "grams"):
-            keys = [unpacked(x) for x in table.column(kind).to_pylist()]
-            cuts = np.cumsum([0, *map(len, keys)])
-            keys = np.concatenate([np.cumsum(k) + base for k in keys])
-            distinct, at = np.unique(keys, return_inverse=True)
-            n = np.concatenate([unpacked(x) for x in table.column(f"{kind}_n").to_pylist()])
-            total = np.bincount(at, n, len(distinct)).astype(np.uint64)
-            totals.append(total)
-            sums.append([packed(total[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        once = lambda x: pa.array([int(x)] + [0] * (table.num_rows - 1), pa.int64())
-        of_words = totals[0]
-        return pa.table([
-            table.column("bucket"), table.column("chunk"), table.column("mark"), *(pa.array(s, pa.binary()) for s in sums), once(of_words.sum()), once((of_words > 0).sum())
-        ], names=[x.split()[0] for x in TOTALS.split(", ")])
-
-    return counted.groupBy("bucket").applyInArrow(run, TOTALS)
-
-
-def _packed_chunks(rows: DataFrame) -> DataFrame:
-    """One row a chunk: its documents as compressed Arrow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, mark, batch in _chunks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([mark]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "mark", "rows"])
-
-    return rows.mapInArrow(run, CHUNKS)
-
-
 def held_out(id_col: str):
     """crc32 of the id as text, mod 5, is 1; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
@@ -201,23 +122,21 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
     A very long text is a chunk by itself. N-grams are counted by 64-bit hashes.
     """
     rows = id_text(docs, id_col, text_col, held_out(id_col).alias("held_out"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(40, max(1, math.ceil(math.log2(max(1, n_bytes * KEYS_PER_BYTE / BUCKET_KEYS)))))
-    totals = saved(_add_up(_count(rows, order, bits), bits), "totals")
-    total, distinct = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
-    answers = totals.groupBy("chunk").agg(F.max("mark").alias("counted"), F.sort_array(F.collect_list(F.struct("bucket", "words_n", "grams_n"))).alias("counts"))
-
-    def run(table: pa.Table) -> pa.Table:
-        out = []
-        for row in table.to_pylist():
-            if row["counted"] != row["mark"]:
-                raise ValueError("docs gave other rows when they were read again; save them first")
-            for batch in pa.ipc.open_stream(row["rows"]):
-                chunk = Chunk(batch.column(1), order)
-                counts = (np.concatenate([unpacked(c[kind]) for c in row["counts"]]) for kind in ("words_n", "grams_n"))
-                n_tokens, n_known, base, score = chunk.traverse(*counts, total, distinct)
-                learnt = pa.array(np.full(len(n_tokens), total, np.int64))
-                out.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, (n_tokens, n_known)), learnt, pa.array(base), pa.array(score)], names=[x.split()[0] for x in SCORES.split(", ")]))
-        return pa.Table.from_batches(out)
-
-    return _packed_chunks(rows).join(answers, "chunk", "left").groupBy("chunk").applyInArrow(run, SCORES)
+    def keys_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        chunk = Chunk(batch.column(1), order)
+        counts = chunk.counts(~batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+        return list(zip((chunk.words, chunk.grams), counts, strict=True))
+
+    bits = bucket_bits(rows, KEYS_PER_BYTE)
+    sums = {"tokens": lambda totals: totals["words"].sum(), "distinct_words": lambda totals: (totals["words"] > 0).sum()}
+    answers = saved(count(send(rows, KINDS, bits, keys_of), KINDS, bits, packed, sums), "totals")
+    total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
+
+    def score(_: int, batch: pa.RecordBatch, parts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        counts = (np.concatenate(list(map(unpacked, x))) for x in parts)
+        n_tokens, n_known, base, value = Chunk(batch.column(1), order).traverse(*counts, total, distinct)
+        learnt = pa.array(np.full(len(n_tokens), total, np.int64))
+        columns = [batch.column(0), batch.column(2), pa.array(n_tokens), pa.array(n_known), learnt, pa.array(base), pa.array(value)]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+
+    return answered(rows, answers, KINDS, score, SCORES)

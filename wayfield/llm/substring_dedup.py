@@ -1,20 +1,20 @@
 """Removing repeated passages of ``window`` words, through an FM-index per shard.
 
-1. Map only: the windows of a document fall into runs that share one anchor,
+1. The windows of a document fall into runs that share one anchor,
    the least hash among a window's word n-grams (its place depends on the
    window alone, so equal windows have equal anchors). A run of windows with
-   its words is a passage.
-2. Anchors that come once hold no repeated window. The others' passages are
-   fetched - by a second scan that holds the repeated anchors if they are at most
-   SENT_ANCHORS, else by joins - and equal ones are merged before a shuffle
-   brings them together, with their first place.
+   its words is a passage. Anchors that come once in the corpus hold no repeated window: chunks send
+   their anchors, packed, to buckets that answer which come again (see ``chunks``), and give out the
+   passages of these.
+2. Equal passages are merged before a shuffle brings them together, with their first place; what is merged into
+   an earlier one is repeated whole.
 3. Passages are dealt to shards by anchor. An anchor with more than
    ``hot_passages`` different passages is dealt by single windows instead, again
    merged first, so no shard holds an unbounded group.
 4. Each shard builds an FM-index over its passages in order of place and streams
-   them through it: backward search gives the matched length of every window;
-   those that reach ``window`` and also stand at an earlier place are repeated.
-5. Documents get their repeated windows back by (document, place), a unique key.
+   them through it: backward search gives the matched length of every window, up to the
+   threshold, and its interval; a window whose interval was met before is repeated.
+5. Each chunk meets the repeated windows of its rows and gives out what is kept.
 """
 
 from __future__ import annotations
@@ -29,19 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import buffers, id_text, saved, slices
-from .fm_index import FMIndex
+from .chunks import answered, bucket_bits, chunk_rows, count, send
+from .common import buffers, id_text, saved
+from .fm_index import FMIndex, earlier
 
 GRAM = 8
 HOT_PASSAGES = 4096
 SHARD_PASSAGES = 16_384
-SENT_ANCHORS = 4_000_000  # repeated anchors sent to the executors at most (8 bytes each); beyond that they are joined by a shuffle
+ANCHORS_PER_BYTE = 0.02
 _NO_ID = -(1 << 63)
 _PLACE_BITS = 24
 _BLOCK = 1 << 22
 
-RUNS = "a long, id long, tx long, place long"
-PASSAGES = "a long, passage binary, id long, tx long, place long"
+PASSAGES = "a long, passage binary, id long, tx long, place long, chunk long, row long"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -88,72 +88,35 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                w = words.split(*buffers(batch.column(2)))
-                doc, first, n, anchor = window_runs(w, window, gram)
-                ids, tx = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.astype(np.uint64).view(np.int64)), pa.array(ids[doc]), pa.array(tx[doc]), pa.array(first * 32 + n)],
-                    names=["a", "id", "tx", "place"],
-                )
-
-    return docs.mapInArrow(run, RUNS)
-
-
-def _anchor_counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                anchor = window_runs(words.split(*buffers(batch.column(2))), window, gram)[3]
-                a, n = np.unique(anchor.astype(np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], names=["a", "n"])
-
-    return docs.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-
-
-def _passages_of(docs: DataFrame, window: int, gram: int, anchors: np.ndarray) -> DataFrame:
-    """The passages of the given anchors (sorted), straight from the documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                w = words.split(*buffers(batch.column(2)))
-                doc, first, n, anchor = window_runs(w, window, gram)
-                at = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
-                hit = np.flatnonzero(anchors[at] == anchor) if len(anchor) else np.zeros(0, np.int64)
-                doc, first, n, anchor = doc[hit], first[hit], n[hit], anchor[hit]
-                ids, tx = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                begin, raw = w.first[doc] + first, w.data.tobytes()
-                spans = zip(w.start[begin].tolist(), w.end[begin + n + window - 2].tolist(), strict=True)
-                text = [b" ".join(raw[s:e].split()) for s, e in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.astype(np.uint64).view(np.int64)), pa.array(text, pa.binary()), pa.array(ids[doc]), pa.array(tx[doc]), pa.array(first * 32 + n)],
-                    names=["a", "passage", "id", "tx", "place"],
-                )
-
-    return docs.mapInArrow(run, PASSAGES)
-
-
-def _fetch(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with a column ``runs`` (a, place): the passages' words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                cols: tuple[list, ...] = ([], [], [], [], [])
-                for i, tx, text, runs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    w = text.encode().split()
-                    for r in runs:
-                        at, n = divmod(r["place"], 32)
-                        for c, v in zip(cols, (r["a"], b" ".join(w[at : at + n + window - 1]), i, tx, r["place"]), strict=True):
-                            c.append(v)
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "passage", "id", "tx", "place"])
-
-    return docs.select("id", "tx", "text", "runs").mapInArrow(run, PASSAGES)
+def _passages(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+    """The passages whose anchor comes more than once in the corpus, with the chunk and row they stand in."""
+
+    def keys_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        anchor = window_runs(words.split(*buffers(batch.column(2))), window, gram)[3]
+        a, n = np.unique(anchor.astype(np.uint64), return_counts=True)
+        return [(a, n.astype(np.uint64))]
+
+    def of_chunk(number: int, batch: pa.RecordBatch, parts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        w = words.split(*buffers(batch.column(2)))
+        doc, first, n, anchor = window_runs(w, window, gram)
+        own, at = np.unique(anchor.astype(np.uint64), return_inverse=True)
+        again = np.frombuffer(b"".join(parts[0]), np.uint8).astype(bool)
+        assert len(again) == len(own)
+        hit = np.flatnonzero(again[at])
+        doc, first, n, anchor = doc[hit], first[hit], n[hit], anchor[hit]
+        ids, tx = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        begin, raw = w.first[doc] + first, w.data.tobytes()
+        spans = zip(w.start[begin].tolist(), w.end[begin + n + window - 2].tolist(), strict=True)
+        text = [b" ".join(raw[s:e].split()) for s, e in spans]
+        columns = [
+            pa.array(anchor.astype(np.uint64).view(np.int64)), pa.array(text, pa.binary()), pa.array(ids[doc]), pa.array(tx[doc]),
+            pa.array(first * 32 + n), pa.array(np.full(len(doc), number)), pa.array(doc.astype(np.int64)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PASSAGES.split(", ")])
+
+    bits = bucket_bits(keyed, ANCHORS_PER_BYTE)
+    answers = count(send(keyed, ["anchors"], bits, keys_of), ["anchors"], bits, lambda n: (n > 1).astype(np.uint8).tobytes(), {})
+    return answered(keyed, answers, ["anchors"], of_chunk, PASSAGES)
 
 
 def _single_windows(passages: DataFrame, window: int) -> DataFrame:
@@ -187,14 +150,14 @@ def repeated_windows(passages: list[bytes], window: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(split)), counts)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = begin[owner] + at
-    masks = np.zeros(len(split), np.int64)
-    step = 1 << 16
+    found, step = np.full(len(start), -1), 1 << 16
     for k in range(0, len(start), step):
-        s, o = start[k : k + step], owner[k : k + step]
-        matched, low, high = index.search(text, s + window, window, least=2)
-        hit = np.flatnonzero(matched == window)
-        early = hit[index.first_place(low[hit], high[hit]) < s[hit]]
-        np.bitwise_or.at(masks, o[early], np.int64(1) << at[k : k + step][early])
+        matched, low, _ = index.search(text, start[k : k + step] + window, window, least=2)
+        found[k : k + step] = np.where(matched == window, low, -1)
+    hit = np.flatnonzero(found >= 0)
+    hit = hit[earlier(found[hit])]
+    masks = np.zeros(len(split), np.int64)
+    np.bitwise_or.at(masks, owner[hit], np.int64(1) << at[hit])
     return masks
 
 
@@ -216,51 +179,48 @@ def _search_shards(passages: DataFrame, window: int, shard_passages: int) -> Dat
     return dealt.mapInArrow(run, "id long, tx long, place long, at long, mask long")
 
 
-def _removed(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with a column ``cover`` (place, mask): counts and the digest of what is kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                rows = []
-                for i, text, cover in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    w = text.encode().split()
-                    gone = np.zeros(len(w) + 1, np.int64)
-                    for c in cover or ():
-                        at, mask = c["place"] // 32, c["mask"]
-                        while mask:
-                            low = mask & -mask
-                            s = at + low.bit_length() - 1
-                            gone[s] += 1
-                            gone[s + window] -= 1
-                            mask ^= low
-                    if cover:
-                        keep = np.cumsum(gone[:-1]) == 0
-                        kept = [x for x, k in zip(w, keep.tolist(), strict=True) if k]
-                    else:
-                        kept = w
-                    rows.append((None if i == _NO_ID else i, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-                a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-                )
-
-    return docs.select("id", "text", "cover").mapInArrow(run, RESULT)
+def _removed(keyed: DataFrame, covers: DataFrame, window: int) -> DataFrame:
+    """Counts of each row and the digest of what is kept; ``covers``: chunk, row, place, mask."""
+    of_chunk = covers.groupBy("chunk").agg(F.collect_list(F.struct("row", "place", "mask")).alias("cover"))
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for chunk in table.to_pylist():
+            for batch in pa.ipc.open_stream(chunk["rows"]):
+                cover: dict[int, list[dict]] = {}
+                for c in chunk["cover"] or ():
+                    cover.setdefault(c["row"], []).append(c)
+                ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                out += [(i, *kept_words(t, cover.get(k, ()), window)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+        i, n, removed, digest = zip(*out, strict=True)
+        return pa.table([pa.array([None if x == _NO_ID else x for x in i], pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())],
+                        names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return chunk_rows(keyed).join(of_chunk, "chunk", "left").groupBy("chunk").applyInArrow(run, RESULT)
+
+
+def kept_words(text: str, cover, window: int) -> tuple[int, int, str]:
+    """Words, removed words and the digest of the others, of a text with repeated windows (place, mask)."""
+    w = text.encode().split()
+    kept = w
+    if cover:
+        gone = np.zeros(len(w) + 1, np.int64)
+        for c in cover:
+            at, mask = c["place"] // 32, c["mask"]
+            while mask:
+                low = mask & -mask
+                s = at + low.bit_length() - 1
+                gone[s] += 1
+                gone[s + window] -= 1
+                mask ^= low
+        kept = [x for x, g in zip(w, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
+    return len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def repeated_places(docs: DataFrame, window: int, gram: int, hot_passages: int, shard_passages: int) -> DataFrame:
-    """(id, tx, place, mask): the repeated windows of each run that has any."""
+    """(chunk, row, place, mask): the repeated windows of each run that has any."""
     key = ["id", "tx", "place"]
-    again = saved(_anchor_counts(docs, window, gram).filter("n > 1").select("a"), "anchors")
-    if again.count() <= SENT_ANCHORS:
-        anchors = np.sort(again.toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))
-        found = _passages_of(docs, window, gram, anchors if len(anchors) else np.zeros(1, np.uint64))
-    else:
-        runs = saved(_runs(docs, window, gram), "runs")
-        wanted = runs.join(again, "a").groupBy("id", "tx").agg(F.collect_list(F.struct("a", "place")).alias("runs"))
-        found = _fetch(docs.join(wanted, ["id", "tx"]), window)
-    found = saved(found, "passages")
+    found = saved(_passages(docs, window, gram), "passages")
     first = found.groupBy("a", "passage").agg(F.min(F.struct(*key)).alias("at0")).select("a", "passage", "at0.*")
     first = saved(first, "first")
     crowded = saved(first.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_passages).select("a"), "crowded")
@@ -277,7 +237,8 @@ def repeated_places(docs: DataFrame, window: int, gram: int, hot_passages: int,
     calm_first = calm.select(*key).join(hits.filter("at < 0").select(*key, "mask"), key, "left").select(*key, F.coalesce("mask", F.lit(0)).alias("mask"))
     masks = calm_first.unionByName(crowd)
     whole = F.expr("shiftleft(1L, cast(pmod(place, 32) AS int)) - 1")
-    return found.select(*key).join(masks, key, "left").select(*key, F.coalesce("mask", whole).alias("mask")).filter("mask != 0")
+    judged = found.select("chunk", "row", *key).join(masks, key, "left")
+    return judged.select("chunk", "row", "place", F.coalesce("mask", whole).alias("mask")).filter("mask != 0")
 
 
 def drop_repeats(
@@ -290,11 +251,10 @@ def drop_repeats(
     earlier (smaller doc_id, or earlier in the same document). Null text has no
     words; a null id comes before all others. Rows that repeat id and text count
     as one document (none is removed for the other's sake); rows with one id
-    and different texts are different documents, in an arbitrary fixed order.
+    and different texts are different documents, in an arbitrary fixed order. Very long texts are taken whole;
+    an empty table gives no rows.
     """
     if not gram <= window <= gram + 30:
         raise ValueError("the window must be from gram to gram + 30 words")
     keyed = _keyed(docs, id_col, text_col)
-    cover = repeated_places(keyed, window, gram, hot_passages, shard_passages)
-    cover = cover.groupBy("id", "tx").agg(F.collect_list(F.struct("place", "mask")).alias("cover"))
-    return _removed(keyed.join(cover, ["id", "tx"], "left"), window)
+    return _removed(keyed, repeated_places(keyed, window, gram, hot_passages, shard_passages), window)
