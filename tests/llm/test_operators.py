@@ -405,6 +405,9 @@ def test_warc_table(spark):
     assert got == want
     assert {r.record_type for r in warc.warc_round_trip(df, revisit_from=100).collect()} == {"response"}
     assert warc.warc_round_trip(df.limit(0)).count() == 0
+    long = "<p>long page</p>" * 300_000
+    r = warc.warc_round_trip(spark.createDataFrame([(7, "u", long), (8, "u", long)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [(x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in r] == [(len(long), sha(long), "response", None), (len(long), sha(long), "revisit", 7)]
 
 
 def brute_scan(t):
@@ -553,3 +556,80 @@ def test_windows_cover_every_word():
         doc, begin, size = toxicity.windows(np.array([0, n]))
         covered = {i for b, s in zip(begin, size, strict=True) for i in range(b, b + s)}
         assert covered == set(range(n)) and (doc == 0).all() and len(doc) >= 1
+
+
+@pytest.fixture(scope="module")
+def very_long(spark):
+    """A text of over 3 MB, its copy with one word more, and a short one; they hold a passage that repeats, a notice and a benchmark item at their very end."""
+    r = random.Random(12)
+    passage = " ".join(f"passage{i}" for i in range(30))
+    item = "the quick zebra explains nine green theorems to every patient lobster"
+    long = " ".join(f"{r.choice(LONG)}{r.randint(0, 9999)}" for _ in range(320_000)) + f" {passage} released under the mit license {item}"
+    return spark.createDataFrame([(1, long), (2, long + " tail"), (3, f"short one {passage}")], "doc_id long, text string"), long, item
+
+
+def test_very_long_texts(spark, very_long):
+    df, long, item = very_long
+    assert len(long) > 3_000_000
+    w = long.split()
+    one = lambda d: {r.doc_id: r for r in d.collect()}
+    assert one(count_tokens(df, SP))[1].n_tokens == len(PieceCounts(SP).sp.encode(long))
+    got = one(substring_dedup.drop_repeats(df))
+    assert (got[1].n_words, got[1].n_removed, got[2].n_removed, got[3].n_removed) == (len(w), 0, len(w), 30)
+    got = one(lm_scoring.lm_scores(df))
+    assert got[1].n_tokens == len(w) + 1 and got[1].score < 0
+    got = one(scan(df))
+    assert got[1].n_words == len(w) and got[1].base_labels == "mit" and got[1].first_word == len(w) - 13
+    got = one(near_dup.near_dup(df))
+    assert got[1].class_id == got[2].class_id == 1 and got[1].n_links == got[2].n_links == 1 and got[3].class_id == 3
+    got = [r for r in contaminated(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()]
+    assert {(r.doc_id, r.first_word, r.score) for r in got} == {(1, len(w) - 11, 1.0), (2, len(w) - 11, 1.0)}
+    assert one(exact_dedup(df))[1].text_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    check_packing(df, pack_documents(df, BPE, RANKS, public_tokenizers.PATTERN).collect())
+
+
+def test_toxicity_forward_pass_against_plain_loops():
+    """Scores by loops over windows, words, n-grams and steps; the toxic word may stand glued at the end of a long run."""
+    m = toxicity.Model(5)
+    texts = ["", "a", "some plain words here", "x" * 40 + "idiot", " ".join(f"w{i % 9}" for i in range(75)), "幹" * 30]
+    got = toxicity.score_texts(m, pa.array(texts))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        h = words.hashed(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]
+        marked, rows = [1, *word, 2], []
+        for n in toxicity.CHAR_GRAMS:
+            for i in range(len(marked) - n + 1):
+                v = 0
+                for c in marked[i : i + n]:
+                    v = (v * 0x100000001B3 + c) % (1 << 64)
+                mixed = words.mix(np.array([(v + n * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0]
+                rows.append(int(mixed % np.uint64(toxicity.CHAR_ROWS)))
+        return m.p["word"][int(h % np.uint64(toxicity.WORD_ROWS))] + (m.p["char"][rows].mean(axis=0) if rows else 0)
+
+    def logit(ws):
+        xs, hs, n = [vector(x) for x in ws], [], toxicity.HIDDEN
+        for d in (0, 1):
+            h, out = np.zeros(n), []
+            for x in xs if d == 0 else xs[::-1]:
+                g = x @ m.p[f"W{d}"] + m.p[f"b{d}"]
+                zr = sig(g[: 2 * n] + h @ m.p[f"U{d}"][:, : 2 * n])
+                h = h + (1 - zr[:n]) * (np.tanh(g[2 * n :] + (zr[n:] * h) @ m.p[f"U{d}"][:, 2 * n :]) - h)
+                out.append(h)
+            hs.append(out if d == 0 else out[::-1])
+        H = np.array([np.concatenate(x) for x in zip(*hs, strict=True)])
+        e = np.exp(np.tanh(H @ m.p["A"]) @ m.p["a"])
+        return (e / e.sum()) @ H @ m.p["o"] + m.p["c"][0]
+
+    for t, score in zip(texts, got, strict=True):
+        ws = []
+        for x in re.findall(rb"[a-z0-9\x80-\xff]+", t.translate(LOWER).encode()):
+            at = 0
+            while len(x) - at > toxicity.LONGEST_WORD:
+                ws.append(x[at : at + toxicity.LONGEST_WORD])
+                at += toxicity.WORD_STEP
+            ws.append(x[max(0, len(x) - toxicity.LONGEST_WORD) :] if at else x)
+        last = max(0, len(ws) - toxicity.WINDOW)
+        starts = sorted({min(k, last) for k in range(0, last + toxicity.STRIDE, toxicity.STRIDE)})
+        want = max((logit(ws[s : s + toxicity.WINDOW]) for s in starts), default=m.p["c"][0]) if ws else m.p["c"][0]
+        assert score == pytest.approx(sig(want), abs=1e-4)

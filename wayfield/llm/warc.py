@@ -232,7 +232,10 @@ def write_warc(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_id",
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives in the manifest; raises if a frame, header, length or digest doesn't hold."""
+    """Every record of the archives in the manifest; raises if a frame, header, length or digest doesn't hold.
+
+    An archive is read as a stream, a record at a time, whatever its length; an empty manifest gives no records.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -267,7 +270,11 @@ def as_rows(rows: list[dict]) -> pa.RecordBatch:
 
 
 def warc_round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """Write the archives, read them back, and return one row per record, without its payload."""
+    """Write the archives, read them back, and return one row per record, without its payload.
+
+    Null and empty payloads are equal and empty. Of equal payloads the least page_id is the response; of rows that repeat it
+    one is, the others revisit it. A null page_id comes after all others. An empty table gives no rows; other columns are not read.
+    """
     spark = pages.sparkSession
     manifest = write_warc(pages, revisit_from)
     return read_warc(spark, manifest, shared_folder(spark), payloads=False).drop("payload", "url")
