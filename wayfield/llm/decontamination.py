@@ -203,7 +203,10 @@ class SeedTable:
         return pair[head], at[to] - span + 1, at[head] + span + 1  # a bigram's second word too
 
 
-def _search(docs: DataFrame, ids: list[int | None], item_words: list[np.ndarray], counts: dict[int, int], gram: int, threshold: float) -> DataFrame:
+def _search(
+    docs: DataFrame, ids: list[int | None], item_words: list[np.ndarray], counts: dict[int, int], gram: int, threshold: float, keep_clean: str | None = None
+) -> DataFrame:
+    """The hits of a block of items in ``docs`` (doc_id, text); or with ``keep_clean``, the name of the text column, the rows of ``docs`` without any."""
     sizes = np.array([len(w) for w in item_words])
     share = np.where(sizes < gram, 1.0, threshold)
     reach = MATCH * share * sizes
@@ -222,7 +225,14 @@ def _search(docs: DataFrame, ids: list[int | None], item_words: list[np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_word.open(), by_pair.open()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, keep_clean or "text"):
+                if keep_clean:
+                    text = batch.column(batch.schema.get_field_index(keep_clean))
+                    numbers = pa.array(np.arange(batch.num_rows))
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[[r[0] for r in chunk(pa.RecordBatch.from_arrays([numbers, text], names=["doc_id", "text"]))]] = False
+                    yield batch.filter(pa.array(clean))
+                    continue
                 rows = list(chunk(batch))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -299,7 +309,35 @@ def _search(docs: DataFrame, ids: list[int | None], item_words: list[np.ndarray]
         for (d, it), (row, places) in sorted(best.items()):
             yield (names[d], ids[it], *row, len(places))
 
-    return docs.mapInArrow(run, HITS)
+    return docs.mapInArrow(run, docs.schema if keep_clean else HITS)
+
+
+def _blocks(benchmark: DataFrame, items_per_block: int, item_col: str, text_col: str) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    items = id_text(benchmark, item_col, text_col)
+    n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n_items / items_per_block), math.ceil(n_bytes / BLOCK_BYTES))
+    for k in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
+        ids, item_words = _item_arrays(block.collect())  # bounded by items_per_block and BLOCK_BYTES
+        if sum(map(len, item_words)):
+            yield ids, item_words
+
+
+def _frequencies(rows: DataFrame, item_words: list[np.ndarray]) -> dict[int, int]:
+    """How often each word and bigram of the items stands in all documents: at most one row per word and bigram of the block."""
+    seeds = np.concatenate([x for w in item_words for x in (w, words.grams(w, 2))])
+    return {r.seed: r.n for r in _count_seeds(rows, seeds).collect()}
+
+
+def clean_rows(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, gram: int = GRAM,
+    items_per_block: int = ITEMS_PER_BLOCK, text_col: str = "text", item_col: str = "item_id",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item (see ``contaminated``); map only. Null texts hold none; an empty table stays empty."""
+    rows, out = id_text(docs.select(F.lit(0).alias("doc_id"), text_col), "doc_id", text_col), docs
+    for ids, item_words in _blocks(benchmark, items_per_block, item_col, "text"):
+        out = _search(out, ids, item_words, _frequencies(rows, item_words), gram, threshold, keep_clean=text_col)
+    return out
 
 
 def contaminated(
@@ -315,18 +353,5 @@ def contaminated(
     repeated rows and items give repeated pairs, an item without id a null one; empty tables give none.
     """
     rows = id_text(docs, id_col, text_col)
-    items = id_text(benchmark, item_col, text_col)
-    n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n_items / items_per_block), math.ceil(n_bytes / BLOCK_BYTES))
-    out = []
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
-        ids, item_words = _item_arrays(block.collect())  # bounded by items_per_block and BLOCK_BYTES
-        if not sum(map(len, item_words)):
-            continue
-        seeds = np.concatenate([x for w in item_words for x in (w, words.grams(w, 2))])
-        counts = {r.seed: r.n for r in _count_seeds(rows, seeds).collect()}  # at most one row per word and bigram of the block
-        out.append(_search(rows, ids, item_words, counts, gram, threshold))
-    if not out:
-        return docs.sparkSession.createDataFrame([], HITS)
-    return reduce(DataFrame.unionByName, out)
+    found = [_search(rows, ids, item_words, _frequencies(rows, item_words), gram, threshold) for ids, item_words in _blocks(benchmark, items_per_block, item_col, text_col)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
