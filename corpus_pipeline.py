@@ -2,32 +2,41 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
-columns of documents, extra ones included, whatever their names. The stages after the first decide by row,
-on a numbered copy of their input, so null and repeated ids are safe.
+columns of documents, extra ones included, whatever their names. Toxicity and contamination are decided where a
+row lies. The two deduplication stages decide by id and text: of rows that repeat both one
+stays, whichever, as no operator tells them apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.llm import toxicity
 from wayfield.llm.common import saved, table
-from wayfield.llm.decontamination import contaminated
+from wayfield.llm.decontamination import clean_rows
 from wayfield.llm.exact_dedup import digests, tree_merge
 from wayfield.llm.near_dup import near_dup
 from wayfield.llm.packing import pack_documents
 from wayfield.llm.queries import tokenizer_file
 
 TOXIC_FROM = 0.3
+NO_ID = -(1 << 63)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a unique row number, written once, so it is the same in every later read; and its name, that of no other column."""
-    name = "stage_row_"
+def chosen(docs: DataFrame, mark: Column, keep: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, mark) in ``keep``: its texts are shuffled once, rows that repeat both are merged before."""
+    own, ident = (free(docs, c) for c in ("text_mark_", "id_mark_"))
+    rows = docs.withColumn(own, mark).withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).dropDuplicates([ident, own])
+    keep = keep.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(ident), F.col("mark").alias(own)).distinct()
+    return rows.join(keep, [ident, own], "left_semi").select(*docs.columns)
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, with more underscores where a column has it."""
     while name in docs.columns:
         name += "_"
-    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +55,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null text equals empty text; a row with an id goes before one without; of rows that repeat
     id and text one stays. An empty table stays empty.
     """
-    rows, row = numbered(docs)
-    merged = tree_merge(saved(digests(rows, row_col=row), "digests"), "largest")
-    return rows.join(merged.filter("row = keep_row").select(F.col("row").alias(row)), row, "left_semi").drop(row)
+    merged = tree_merge(saved(digests(docs), "digests"), "largest").filter("row = keep_row")
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    return chosen(docs, digest, merged.select("doc_id", F.col("digest").alias("mark")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,18 +66,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     All texts without words are one class; a null id comes before all others; of rows that
     repeat id and text one stays. An empty table stays empty.
     """
-    rows, row = numbered(docs)
-    return rows.join(near_dup(rows, row_col=row).filter("kept").select(row), row, "left_semi").drop(row)
+    kept = near_dup(docs).filter("kept").select("doc_id", F.col("text_hash").alias("mark"))
+    return chosen(docs, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), kept)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or an edited copy of one, go.
+    """Documents that hold a benchmark item, or an edited copy of one, go; map only.
 
     Texts without words hold none; repeated rows are judged alike. An empty table stays empty.
     """
-    rows, row = numbered(docs)
-    hits = contaminated(rows.select(row, "text"), table(spark, sf_dir, "benchmark"), id_col=row)
-    return rows.join(saved(hits.select(F.col("doc_id").alias(row)).distinct(), "hits"), row, "left_anti").drop(row)
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
