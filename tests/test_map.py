@@ -339,3 +339,29 @@ def test_poll_stream_drops_late_rows(spark, tmp_path):
     q.awaitTermination()
     got = [(x.window_start, x.event_id) for x in spark.read.parquet(out).orderBy("window_start").collect()]
     assert [e for _, e in got] == [2, 3]
+
+
+def test_tour_stops_against_brute_force(spark):
+    r = random.Random(5)
+    found = [(1, f"c{i:02d}", f"C{i}", r.choice(["square", "dining"]), r.randint(1, 9), i, i + 1, 16.0 * r.randint(0, 60), 16.0 * r.randint(0, 60), "ok", f"{r.randint(0, 3)}-{r.randint(0, 3)}", i + 1) for i in range(14)]
+    found += [(2, "bad", "Bad", "square", 5, None, None, None, None, "no_road", "0-0", 1)]
+    candidates = spark.createDataFrame(found, "map_id int, id string, name string, type string, weight int, snap_row long, snap_col long, snap_x double, snap_y double, snap_status string, zone string, pos int")
+    begin = [(10, 1, 3, 4, 100.0, 200.0), (11, 1, 50, 50, 800.0, 10.0), (12, 2, 0, 0, 0.0, 0.0), (13, 1, None, None, None, None)]
+    starts = spark.createDataFrame(begin, "request_id long, map_id int, snap_row long, snap_col long, snap_x double, snap_y double")
+    want = {}
+    for request, map_id, row, col, x, y in begin:
+        left = [c for c in found if c[0] == map_id and row is not None and (c[5], c[6]) != (row, col)] if map_id == 1 else []
+        seen, order = set(), []
+        while left and len(order) < 5:
+            score = lambda c: c[4] * (1.0 if c[10] in seen else 1.45) * (1.2 if c[3] == "square" else 1.0) / (max(80.0, math.hypot(c[7] - x, c[8] - y)) / 700 + 1) ** 0.85  # noqa: B023, E731
+            best = max(left, key=score)
+            left.remove(best)
+            seen.add(best[10])
+            order.append(best[1])
+            x, y = best[7], best[8]
+        if order:
+            want[request] = order
+    got = {}
+    for s in tours.select_tour_stops(starts, candidates, max_stops=5).orderBy("request_id", "stop_no").collect():
+        got.setdefault(s.request_id, []).append(s.id)
+    assert got == want and len(want) == 2
