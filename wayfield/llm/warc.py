@@ -28,12 +28,12 @@ DICTIONARY_BYTES = 16 << 10
 SAMPLE_RECORDS, SAMPLE_BYTES = 64, 4096
 ARCHIVE_BYTES = 64 << 20  # payload bytes after which a task begins another archive
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "path string, records long, payload_bytes long"
+MANIFEST = "path string, records long, payload_bytes long, revisits long"
 RECORDS = (
     "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "stored_bytes long, payload binary"
+    "stored_bytes long, record_id string, refers_to_record string, payload binary"
 )
-MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 class BadRecord(ValueError):
@@ -49,8 +49,9 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(record: str) -> int | None:
-    at = record.strip("<>").rpartition(":")[2]
-    return None if at == "none" else int(at)
+    """The page of a record id that this writer made; null for any other."""
+    kind, _, at = record.strip("<>").rpartition(":")
+    return int(at) if kind == "urn:page" and at.removeprefix("-").isdecimal() else None
 
 
 def build_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -70,38 +71,68 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Named fields by lower-case name; a line that begins with a blank goes on with the one before. Of a repeated name the first value counts."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += f" {line.strip()}"
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise BadRecord(f"header line without a colon: {line[:80]!r}")
+        last = name.strip().lower()
+        fields.setdefault(last, value.strip())
+    return fields
+
+
+def sha1_of(digest: str | None) -> str | None:
+    """The bare base32 SHA-1 of a digest field, in base32 or hexadecimal; null for other algorithms."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32encode(bytes.fromhex(value)).decode() if len(value) == 40 else value.upper()
+
+
 def parse_record(raw: bytes) -> dict:
-    """Check one decoded frame and return its parts."""
+    """Check one decoded frame and return its parts; any record type, whoever wrote it.
+
+    Header names are read without case. The payload is the body of an HTTP message, of other records the block. A payload digest or an
+    HTTP length that is there must hold, except where the HTTP body is truncated or coded for transfer; a revisit names its target or its payload's digest.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or not lines[0].startswith("WARC/1."):
         raise BadRecord("no WARC header")
-    fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise BadRecord(f"header line without a colon: {line[:80]!r}")
-        fields[name] = value.strip()
+    fields = header_fields(lines[1:])
     for name in MANDATORY:
         if name not in fields:
             raise BadRecord(f"{name} is missing")
-    n = int(fields["Content-Length"])
+    if not fields["content-length"].isdecimal():
+        raise BadRecord(f"Content-Length {fields['content-length'][:20]!r}")
+    n = int(fields["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise BadRecord(f"Content-Length {n} but {len(rest) - 4} bytes")
-    block = rest[:n]
-    if (want := fields.get("WARC-Block-Digest")) and want != f"sha1:{base32_sha1(block)}":
+    block, kind = rest[:n], fields["warc-type"].lower()
+    if (want := sha1_of(fields.get("warc-block-digest"))) and want != base32_sha1(block):
         raise BadRecord("block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    full = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-    digest, revisit = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), fields["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != full or digest != base32_sha1(payload)):
+    payload, full, coded = block, n, "warc-truncated" in fields
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        said = header_fields(http.decode("latin-1").split("\r\n")[1:])
+        coded = coded or "transfer-encoding" in said
+        full = int(said["content-length"]) if said.get("content-length", "").isdecimal() else len(payload)
+    digest, revisit = sha1_of(fields.get("warc-payload-digest")), kind == "revisit"
+    if not revisit and not coded and (len(payload) != full and payload is not block or digest not in (None, base32_sha1(payload))):
         raise BadRecord("payload length or digest differs")
-    if revisit and ("WARC-Refers-To" not in fields or payload):
+    if revisit and (payload or not {"warc-refers-to", "warc-payload-digest"} & set(fields)):
         raise BadRecord("revisit without a target, or with a payload")
+    refers = fields.get("warc-refers-to")
     return {
-        "page_id": page_of(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": full,
-        "payload_digest": digest, "record_type": fields["WARC-Type"], "payload": None if revisit else payload,
-        "refers_to": page_of(fields["WARC-Refers-To"]) if revisit else None,
+        "page_id": page_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": full,
+        "payload_digest": digest or (None if revisit else base32_sha1(payload)), "record_type": kind, "payload": None if revisit else payload,
+        "refers_to": page_of(refers) if refers else None, "record_id": fields["warc-record-id"], "refers_to_record": refers,
     }
 
 
@@ -164,7 +195,7 @@ def read_frames(source, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
 
 
 def plan_records(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_id", body_col: str = "html") -> DataFrame:
-    """Per distinct (page_id, payload digest): the response's page_id, by a tree-merge that keeps the smallest id."""
+    """The rows (by row number) that revisit another, with its page_id, by a tree-merge that keeps the row with the smallest id, of rows that repeat it the first."""
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
     rows = saved(
         pages.select(
@@ -173,27 +204,25 @@ def plan_records(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_id
         ),
         "payloads",
     )
-    small = F.col("n_bytes") < F.lit(revisit_from)
-    merged = tree_merge(rows, "smallest").filter("group_size > 1")
-    first = merged.select("doc_id", "digest", F.when(small, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), small.alias("small"))
-    return first.dropDuplicates(["doc_id", "digest"])
+    merged = tree_merge(rows, "smallest").filter((F.col("group_size") > 1) & (F.col("row") != F.col("keep_row")) & (F.col("n_bytes") >= F.lit(revisit_from)))
+    return merged.select("row", "digest", "keep_id")
 
 
 def write_warc(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """Write all pages as archives in the shared folder; returns the saved manifest (path, records, payload_bytes).
+    """Write all pages as archives in the shared folder; returns the saved manifest (path, records, payload_bytes, revisits).
 
     Of equal payloads of at least ``revisit_from`` bytes the smallest page_id is
-    the response and the others revisit it; of rows that repeat this id, the
-    first. Null bodies are empty payloads; a null id is kept and comes after all others.
+    the response and the others revisit it; of rows that repeat this id, one row is. A row is known by its number, so it doesn't
+    matter which task meets it; ``pages`` must give the same rows when it is read again, as a table does, and the number of revisits is checked.
+    Null bodies are empty payloads; a null id is kept and comes after all others.
     """
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), url.alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    plan = plan_records(pages, revisit_from, id_col, body_col).withColumnRenamed("doc_id", "id").withColumnRenamed("digest", "d")
-    both = rows.join(plan, (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("digest") == F.col("d")), "left")
-    both = both.select("doc_id", "url", "body", "digest", "keep_id", F.col("d").isNotNull().alias("shared"), "small")
+    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), url.alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    plan = saved(plan_records(pages, revisit_from, id_col, body_col), "plan")
+    both = rows.join(plan.select("row", "digest", "keep_id", F.lit(True).alias("revisit")), ["row", "digest"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -201,40 +230,39 @@ def write_warc(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_id",
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         records: list[bytes] = []
-        size, seen = 0, set()
+        size = again = 0
 
         def flush() -> pa.RecordBatch:
             path = f"{root}/{uuid.uuid4().hex}.warc.zst"
             with store.open_output_stream(path) as out:
                 write_archive(records, out)
-            done = pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([len(records)], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "payload_bytes"]
-            )
+            done = pa.RecordBatch.from_pydict({"path": [path], "records": [len(records)], "payload_bytes": [size], "revisits": [again]})
             records.clear()
             return done
 
         for whole in batches:
             for batch in slices(whole, "body"):
                 for r in batch.to_pylist():
-                    payload, me = r["body"].encode(), (r["doc_id"], r["digest"])
-                    revisit = r["shared"] and (r["doc_id"] != r["keep_id"] or me in seen) and not r["small"]
-                    if r["shared"] and r["doc_id"] == r["keep_id"]:
-                        seen = {me}  # rows are sorted: those that repeat an id follow each other
-                    records.append(build_record(r["doc_id"], r["url"], payload, base32_sha1(payload), r["keep_id"], revisit))
-                    size += len(payload)
+                    payload = r["body"].encode()
+                    records.append(build_record(r["doc_id"], r["url"], payload, base32_sha1(payload), r["keep_id"], bool(r["revisit"])))
+                    size, again = size + len(payload), again + bool(r["revisit"])
                     if size >= ARCHIVE_BYTES:
                         yield flush()
-                        size = 0
+                        size = again = 0
         if records:
             yield flush()
 
-    return saved(both.sortWithinPartitions("doc_id", "digest").mapInArrow(write, MANIFEST), "manifest")
+    manifest = saved(both.select("doc_id", "url", "body", "keep_id", "revisit").mapInArrow(write, MANIFEST), "manifest")
+    if (manifest.agg(F.sum("revisits")).first()[0] or 0) != plan.count():
+        raise ValueError("the pages changed between two readings")
+    return manifest
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Every record of the archives in the manifest; raises if a frame, header, length or digest doesn't hold.
 
-    An archive is read as a stream, a record at a time, whatever its length; an empty manifest gives no records.
+    An archive is read as a stream, a record at a time, whatever its length; an empty manifest gives no records. ``manifest``: path and records
+    (null: not known), of archives of this or any other writer; records of theirs have a record_id and a null page_id.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +282,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, folder: str, payloads: b
                         if size > 4 << 20:
                             yield as_rows(rows)
                             rows, size = [], 0
-                if n != expected:
+                if expected is not None and n != expected:
                     raise BadRecord(f"{path}: {n} records, {expected} were written")
                 if rows:
                     yield as_rows(rows)
@@ -277,4 +305,4 @@ def warc_round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     manifest = write_warc(pages, revisit_from)
-    return read_warc(spark, manifest, shared_folder(spark), payloads=False).drop("payload", "url")
+    return read_warc(spark, manifest, shared_folder(spark), payloads=False).drop("payload", "url", "record_id", "refers_to_record")
