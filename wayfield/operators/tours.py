@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import grid as G
 from ..functions import text
-from .routes import route_cells
+from .routes import Found, route_cells
 
 
 def candidate_weights(places: DataFrame, open_gates: DataFrame, lists: DataFrame) -> DataFrame:
@@ -108,13 +108,13 @@ def join_legs(cells: DataFrame, key: str = "request_id") -> DataFrame:
     return kept.select(key, seq.alias("seq"), "row", "col")
 
 
-def tour_paths(legs: DataFrame, field: DataFrame, key: str = "request_id") -> DataFrame:
+def tour_paths(legs: DataFrame, found: Found, key: str = "request_id") -> DataFrame:
     """(key, seq, row, col): the joined path of each tour; ``legs`` as tour_legs gives them, with the status of their routes.
 
     Distinct legs are walked once, whatever the number of tours that share them.
     """
     ends = ["map_id", "start_row", "start_col", "goal_row", "goal_col"]
     good = legs.filter("status = 'ok'").select(key, "leg_no", *ends)
-    cells = route_cells(good.select(*ends).distinct().withColumn("leg", F.xxhash64(*ends)), field, key="leg")
+    cells = route_cells(good.select(*ends).distinct().withColumn("leg", F.xxhash64(*ends)), found, key="leg")
     walked = good.withColumn("leg", F.xxhash64(*ends)).select(key, "leg_no", "leg").join(cells, "leg")
     return join_legs(walked.select(key, "leg_no", "seq", "row", "col"), key)

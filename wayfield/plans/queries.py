@@ -32,17 +32,24 @@ def r4(c, name: str | None = None):
     return F.round(c, 4).alias(name) if name else F.round(c, 4)
 
 
-def prepared(spark: SparkSession, sf_dir: str, size: int = derive.GRID) -> dict[str, DataFrame]:
-    """Map preparation: cells, features, edges. Kept in the session's shared folder while their files are there."""
+def prepared(spark: SparkSession, sf_dir: str, size: int = derive.GRID, upto: str = "edges") -> dict[str, DataFrame]:
+    """Map preparation: cells, features, edges, and the net of the edges. Kept in the session's shared folder while their files are there."""
     base = f"{shared_folder(spark)}/prepared-{zlib.crc32(sf_dir.encode()):x}-{size}"
-    parts = {name: f"{base}-{name}" for name in ("cells", "features", "edges")}
-    build = {"cells": lambda _: derive.cells(spark, sf_dir, size), "features": lambda got: grid.cell_features(got["cells"]), "edges": lambda got: grid.build_edges(got["features"])}
+    build = {
+        "cells": lambda: derive.cells(spark, sf_dir, size), "features": lambda: grid.cell_features(got["cells"]), "edges": lambda: grid.build_edges(got["features"]),
+        "inner": lambda: routes.net_arcs(got["edges"], SIZE)[0], "outer": lambda: routes.net_arcs(got["edges"], SIZE)[1], "spans": lambda: routes.tile_spans(got["inner"], got["outer"]),
+    }
     got: dict[str, DataFrame] = {}
-    for name, path in parts.items():
-        got[name] = kept(spark, path, lambda f=build[name]: f(got))
+    for name in list(build)[: list(build).index(upto) + 1]:
+        got[name] = kept(spark, f"{base}-{name}", build[name])
     return got
 
 
+def net_of(spark: SparkSession, sf_dir: str, size: int = derive.GRID) -> routes.RoadNet:
+    p = prepared(spark, sf_dir, size, "spans")
+    return routes.RoadNet(p["inner"], p["outer"], p["spans"], routes.TILE)
+
+
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = derive.location_events(spark, sf_dir).filter("kind = 'fix'")
     return projection.project_fixes(events, projectors(spark, sf_dir), derive.maps(spark, sf_dir))
@@ -72,23 +79,23 @@ def snapped_gates(spark: SparkSession, sf_dir: str, size: int = derive.GRID) ->
 def gate_field(spark: SparkSession, sf_dir: str, gates: DataFrame | None = None, size: int = derive.GRID) -> DataFrame:
     gates = snapped_gates(spark, sf_dir, size) if gates is None else gates
     ends = gates.filter("status = 'ok'").select("map_id", F.col("snap_row").alias("row"), F.col("snap_col").alias("col"))
-    return routes.cost_fields(ends, prepared(spark, sf_dir, size)["edges"], SIZE, reverse=True)
+    return routes.cost_fields(ends, None, SIZE, reverse=True, net=net_of(spark, sf_dir, size))
 
 
-def exit_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The way from each distinct start of a request to its nearest open gate (route_id, map_id, ends, gate, name, length, cost), and the field."""
+def exit_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest open gate of each distinct start of a request: route_id, map_id, ends, gate, name, length, cost."""
     gates = snapped_gates(spark, sf_dir)
     field = gate_field(spark, sf_dir, gates)
     r = snapped_requests(spark, sf_dir).select("map_id", F.col("start_row").alias("snap_row"), F.col("start_col").alias("snap_col")).distinct()
     best = exits.gate_ranks(r, gates, field).filter("rank = 1")
     at = lambda c: (F.floor(F.col(c) / (1 << 20)), F.col(c) % (1 << 20))
     (sr, sc), (gr, gc) = at("cell"), at("source")
-    return saved(best.withColumns({"route_id": F.concat_ws("|", "map_id", "cell"), "start_row": sr, "start_col": sc, "goal_row": gr, "goal_col": gc}), "exits"), field
+    return saved(best.withColumns({"route_id": F.concat_ws("|", "map_id", "cell"), "start_row": sr, "start_col": sc, "goal_row": gr, "goal_col": gc}), "exits")
 
 
 def exit_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    best, field = exit_routes(spark, sf_dir)
-    cells = routes.route_cells(best, field, reverse=True).join(best.select("route_id", "map_id"), "route_id")
+    best = exit_routes(spark, sf_dir)
+    cells = routes.route_cells(best, routes.find_routes(best, net_of(spark, sf_dir))).join(best.select("route_id", "map_id"), "route_id")
     return best, routes.route_stats(cells, prepared(spark, sf_dir)["edges"], SIZE)
 
 
@@ -107,11 +114,9 @@ def route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("map_id", "start_row", "start_col", "goal_row", "goal_col").distinct()
 
 
-def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, routes.Found]:
     pairs = saved(route_pairs(spark, sf_dir), "pairs")
-    sources = pairs.select("map_id", F.col("start_row").alias("row"), F.col("start_col").alias("col")).distinct()
-    field = routes.cost_fields(sources, prepared(spark, sf_dir)["edges"], SIZE)
-    return pairs, field
+    return pairs, routes.find_routes(pairs, net_of(spark, sf_dir))
 
 
 # ---- sources and sinks
@@ -502,10 +507,9 @@ def _tour_legs(spark, sf_dir):
     stops = saved(tours.select_tour_stops(s, _candidates(spark, sf_dir)), "stops")
     legs = saved(tours.tour_legs(stops), "legs")
     pairs = legs.select("map_id", "start_row", "start_col", "goal_row", "goal_col").distinct()
-    sources = pairs.select("map_id", F.col("start_row").alias("row"), F.col("start_col").alias("col")).distinct()
-    field = routes.cost_fields(sources, prepared(spark, sf_dir)["edges"], SIZE)
-    done = routes.shortest_routes(pairs, field)
-    return legs.join(done, ["map_id", "start_row", "start_col", "goal_row", "goal_col"]), field
+    found = routes.find_routes(pairs, net_of(spark, sf_dir))
+    done = routes.shortest_routes(pairs, found)
+    return legs.join(done, ["map_id", "start_row", "start_col", "goal_row", "goal_col"]), found
 
 
 @query
@@ -622,8 +626,8 @@ def set2_id_sets(spark, sf_dir):
 
 @query
 def iter1_shortest_routes(spark, sf_dir):
-    pairs, field = routed(spark, sf_dir)
-    done = routes.shortest_routes(pairs, field)
+    pairs, found = routed(spark, sf_dir)
+    done = routes.shortest_routes(pairs, found)
     r = snapped_requests(spark, sf_dir).join(done, ["map_id", "start_row", "start_col", "goal_row", "goal_col"], "left")
     return r.select("request_id", "map_id", r4("cost", "cost"), r4("length_px", "length_px"), F.coalesce("status", F.lit("no_road")).alias("status"))
 
@@ -631,9 +635,9 @@ def iter1_shortest_routes(spark, sf_dir):
 @query
 def iter1_route_paths(spark, sf_dir):
     """The cells of every distinct route, simplified."""
-    pairs, field = routed(spark, sf_dir)
+    pairs, found = routed(spark, sf_dir)
     named = saved(pairs.withColumn("route_id", F.xxhash64(*pairs.columns)), "routes")
-    return routes.simplify_paths(routes.route_cells(named, field))
+    return routes.simplify_paths(routes.route_cells(named, found))
 
 
 @query
@@ -657,9 +661,9 @@ def iter4_composite_tour(spark, sf_dir):
 @query
 def iter4_tour_paths(spark, sf_dir):
     """The joined path of every distinct tour, simplified."""
-    legs, field = _tour_legs(spark, sf_dir)
+    legs, found = _tour_legs(spark, sf_dir)
     one = legs.groupBy("map_id", "s_row", "s_col").agg(F.min("request_id").alias("request_id"))
-    return routes.simplify_paths(tours.tour_paths(saved(legs.join(one.select("request_id"), "request_id", "left_semi"), "tours"), field), key="request_id")
+    return routes.simplify_paths(tours.tour_paths(saved(legs.join(one.select("request_id"), "request_id", "left_semi"), "tours"), found), key="request_id")
 
 
 # ---- streams
