@@ -266,8 +266,8 @@ BODIES = {
     "st1_project_fixes": "SELECT event_id, user_id, round(x, 4) AS x, round(y, 4) AS y, inside AS inside_map, CASE WHEN NOT ready THEN 'uncalibrated' WHEN inside THEN 'tracking' ELSE 'off_map' END AS status FROM fix",
     "st2_user_location_state": f"SELECT map_id, user_id, {_STATE} FROM state",
     "st3_poll_fixes": "SELECT map_id, user_id, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_id FROM fix WHERE inside QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 5 SECOND, ts) ORDER BY ts DESC, event_id DESC) = 1",
-    "st3_poll_stream": """SELECT map_id, user_id, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_id FROM fix WHERE inside AND time_bucket(INTERVAL 5 SECOND, ts) + INTERVAL 5 SECOND <= (SELECT max(ts) FROM fix WHERE inside) - INTERVAL 10 MINUTE
-        QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 5 SECOND, ts) ORDER BY ts DESC, event_id DESC) = 1""",
+    "st3_poll_stream": "SELECT map_id, user_id, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, event_id FROM fix WHERE inside QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 5 SECOND, ts) ORDER BY ts DESC, event_id DESC) = 1",
+    "snk1_upsert_stream": f"SELECT map_id, user_id, {_STATE} FROM state",
     "st4_status_timeline": f"SELECT user_id, event_id, {_STATE} FROM timeline",
 }
 

@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params as P
+from .. import schemas
 from ..functions import grid as G
 from ..functions import text as X
 from ..operators import exits, grid, places, projection, routes, snap, tours
 from ..sources import derive, readers
 from ..storage import kept, saved, shared_folder
-from ..streaming import location
+from ..streaming import location, sinks
 
 SIZE = derive.SIZE
 LARGE = 384  # cells a side of the larger maps, which take several tiles
@@ -33,10 +34,11 @@ def r4(c, name: str | None = None):
 
 
 def prepared(spark: SparkSession, sf_dir: str, size: int = derive.GRID, upto: str = "edges") -> dict[str, DataFrame]:
-    """Map preparation: cells, features, edges, and the net of the edges. Kept in the session's shared folder while their files are there."""
+    """Map preparation up to a part: cells, features, the rings of cells, edges, and the net of the edges. Kept in the session's shared folder while their files are there."""
     base = f"{shared_folder(spark)}/prepared-{zlib.crc32(sf_dir.encode()):x}-{size}"
     build = {
-        "cells": lambda: derive.cells(spark, sf_dir, size), "features": lambda: grid.cell_features(got["cells"]), "edges": lambda: grid.build_edges(got["features"]),
+        "cells": lambda: derive.cells(spark, sf_dir, size), "features": lambda: grid.cell_features(got["cells"]),
+        "rings": lambda: snap.snap_rings(got["features"], derive.maps(spark, sf_dir, size)), "edges": lambda: grid.build_edges(got["features"]),
         "inner": lambda: routes.net_arcs(got["edges"], SIZE)[0], "outer": lambda: routes.net_arcs(got["edges"], SIZE)[1], "spans": lambda: routes.tile_spans(got["inner"], got["outer"]),
     }
     got: dict[str, DataFrame] = {}
@@ -45,6 +47,12 @@ def prepared(spark: SparkSession, sf_dir: str, size: int = derive.GRID, upto: st
     return got
 
 
+def snapped(spark: SparkSession, sf_dir: str, points: DataFrame, size: int = derive.GRID) -> DataFrame:
+    """snap_to_road over the prepared maps."""
+    p = prepared(spark, sf_dir, size, "rings")
+    return snap.snap_to_road(points, p["features"], derive.maps(spark, sf_dir, size), rings=p["rings"])
+
+
 def net_of(spark: SparkSession, sf_dir: str, size: int = derive.GRID) -> routes.RoadNet:
     p = prepared(spark, sf_dir, size, "spans")
     return routes.RoadNet(p["inner"], p["outer"], p["spans"], routes.TILE)
@@ -72,7 +80,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapped_gates(spark: SparkSession, sf_dir: str, size: int = derive.GRID) -> DataFrame:
     g = places.gates_of(derive.open_gates(spark, sf_dir), derive.places(spark, sf_dir)).withColumn("point_id", F.concat_ws("|", "map_id", "id"))
-    s = snap.snap_to_road(g, prepared(spark, sf_dir, size)["features"], derive.maps(spark, sf_dir, size))
+    s = snapped(spark, sf_dir, g, size)
     return saved(g.select("point_id", "id", "name", "gate_order").join(s, "point_id").drop("point_id"), "gates")
 
 
@@ -103,7 +111,7 @@ def snapped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request ends snapped to the road net: request_id, map_id, start_row.., goal_col."""
     r = readers.typed_requests(derive.route_requests(spark, sf_dir))
     ends = [r.select(F.concat(F.lit(k), F.col("request_id").cast("string")).alias("point_id"), "map_id", F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")) for k, n in (("s", "start"), ("g", "goal"))]
-    s = saved(snap.snap_to_road(ends[0].unionByName(ends[1]), prepared(spark, sf_dir)["features"], derive.maps(spark, sf_dir)), "ends")
+    s = saved(snapped(spark, sf_dir, ends[0].unionByName(ends[1])), "ends")
     part = lambda k, n: s.filter(F.col("point_id").startswith(k)).select(F.substring("point_id", 2, 20).cast("long").alias("request_id"), "map_id", F.col("snap_row").alias(f"{n}_row"), F.col("snap_col").alias(f"{n}_col"), F.col("snap_x").alias(f"{n}_x"), F.col("snap_y").alias(f"{n}_y"))
     return part("s", "start").join(part("g", "goal").drop("map_id"), "request_id")
 
@@ -202,7 +210,7 @@ def fil5_open_gates(spark, sf_dir):
 def _candidates(spark, sf_dir):
     weighted = tours.candidate_weights(derive.places(spark, sf_dir), derive.open_gates(spark, sf_dir), derive.tour_lists(spark, sf_dir))
     points = weighted.filter("weight > 0").select("map_id", "id", F.col("anchor.x").alias("x"), F.col("anchor.y").alias("y"), F.concat_ws("|", "map_id", "id").alias("point_id"))
-    s = snap.snap_to_road(points, prepared(spark, sf_dir)["features"], derive.maps(spark, sf_dir))
+    s = snapped(spark, sf_dir, points)
     s = points.select("point_id", "id").join(s, "point_id")
     return tours.tour_candidates(weighted, s, derive.maps(spark, sf_dir))
 
@@ -397,7 +405,7 @@ def sc25_summaries(spark, sf_dir):
 @query
 def j1_snap_to_road(spark, sf_dir):
     points = fixes(spark, sf_dir).filter("inside_map").select(F.col("event_id").alias("point_id"), "map_id", "x", "y")
-    s = snap.snap_to_road(points, prepared(spark, sf_dir)["features"], derive.maps(spark, sf_dir))
+    s = snapped(spark, sf_dir, points)
     return s.select("point_id", "map_id", "snap_row", "snap_col", r4("distance", "distance"), "status")
 
 
@@ -485,7 +493,7 @@ def agg6_route_stats(spark, sf_dir):
 def agg7_nearest_open_gate(spark, sf_dir):
     """The flagship: the nearest open gate of every fix inside its map."""
     points = fixes(spark, sf_dir).filter("inside_map").select(F.col("event_id").alias("point_id"), "map_id", "x", "y")
-    s = snap.snap_to_road(points, prepared(spark, sf_dir)["features"], derive.maps(spark, sf_dir)).withColumnRenamed("point_id", "request_id")
+    s = snapped(spark, sf_dir, points).withColumnRenamed("point_id", "request_id")
     gates = snapped_gates(spark, sf_dir)
     best = exits.nearest_open_gate(s, gates, gate_field(spark, sf_dir, gates))
     return best.select("request_id", "map_id", "gate", r4("length_px", "length_px"), r4("cost", "cost"), "status")
@@ -495,7 +503,7 @@ def agg7_nearest_open_gate(spark, sf_dir):
 def agg7_large_grid(spark, sf_dir):
     """The same on maps of several tiles, with a start of its own for every request."""
     points = derive.spread_starts(spark, sf_dir, LARGE).withColumnRenamed("request_id", "point_id")
-    s = snap.snap_to_road(points, prepared(spark, sf_dir, LARGE)["features"], derive.maps(spark, sf_dir, LARGE)).withColumnRenamed("point_id", "request_id")
+    s = snapped(spark, sf_dir, points, LARGE).withColumnRenamed("point_id", "request_id")
     gates = snapped_gates(spark, sf_dir, LARGE)
     best = exits.nearest_open_gate(s, gates, gate_field(spark, sf_dir, gates, LARGE))
     return best.select("request_id", "map_id", "gate", r4("length_px", "length_px"), r4("cost", "cost"), "status")
@@ -580,7 +588,7 @@ def win7_ranks(spark, sf_dir):
     starts = snapped_requests(spark, sf_dir).select("map_id", F.col("start_row").alias("snap_row"), F.col("start_col").alias("snap_col"))
     gate = exits.gate_ranks(starts, gates, gate_field(spark, sf_dir, gates)).select("map_id", F.lit("gate").alias("kind"), F.col("cell").cast("string").alias("of"), F.col("gate").alias("value"), "rank")
     points = places.gates_of(derive.open_gates(spark, sf_dir), derive.places(spark, sf_dir)).withColumn("point_id", F.col("id"))
-    snapped = snap.snap_ranks(points, p["features"], maps).select("map_id", F.lit("snap").alias("kind"), F.col("point_id").alias("of"), F.concat_ws(",", "snap_row", "snap_col").alias("value"), "rank")
+    snapped = snap.snap_ranks(points, p["features"], maps, rings=p["rings"]).select("map_id", F.lit("snap").alias("kind"), F.col("point_id").alias("of"), F.concat_ws(",", "snap_row", "snap_col").alias("value"), "rank")
     words = derive.keywords(spark, sf_dir).filter("length(keyword) < 4")
     search = places.search_places(words, derive.places(spark, sf_dir)).select("map_id", F.lit("search").alias("kind"), F.col("keyword").alias("of"), F.col("id").alias("value"), "rank")
     return component.unionByName(gate).unionByName(snapped).unionByName(search)
@@ -677,19 +685,35 @@ def st1_project_fixes(spark, sf_dir):
     return s.select("event_id", "user_id", r4("x", "x"), r4("y", "y"), "inside_map", "status")
 
 
-def run_stream(spark: SparkSession, events: DataFrame, build, mode: str, files: int = 1) -> DataFrame:
-    """Feed a batch of events as files, so many a trigger, to a stream and return what it has written, with its epoch."""
+def time_slices(events: DataFrame, path: str, slices: int) -> None:
+    """Writes the events as so many files in the order of their times, one after the other, so that a file stream reads them in this order."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(at.cast("double").alias("at")).approxQuantile("at", [k / slices for k in range(1, slices)], 0.01)
+    no = sum(((at > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(slices):
+        events.filter(F.coalesce(no, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_stream(spark: SparkSession, events: DataFrame, build, mode: str, slices: int = 3, flush: DataFrame | None = None, report: list | None = None) -> DataFrame:
+    """Feed a batch of events, in so many files by time, one a trigger, to a stream and return what it has written, with its epoch.
+
+    ``flush``: a last file whose rows only move the watermark on; the builder drops what comes of them. ``report`` gets the progress of every trigger.
+    """
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    readers.write_table(events.repartitionByRange(3, "ts", "event_id"), f"{base}/in", partition_by=None)
+    time_slices(events, f"{base}/in", slices)
+    if flush is not None:
+        flush.coalesce(1).write.mode("append").parquet(f"{base}/in")
     out = f"{base}/out"
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(out)
+        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/at={epoch}")
 
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     q = build(source).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    if report is not None:
+        report.extend(q.recentProgress)
+    return spark.read.parquet(out).drop("at")
 
 
 @query
@@ -710,12 +734,34 @@ def st3_poll_fixes(spark, sf_dir):
 
 @query
 def st3_poll_stream(spark, sf_dir):
-    """The same as a stream in append mode: intervals come out once the watermark has passed them.
+    """The same as a stream in append mode over several triggers: an interval comes out once the watermark has passed it.
 
-    The files of a batch come in no order of time, so all are one trigger: in several, those of early times could be late.
+    The files come in the order of time, so no row is late; a last row a day later lets the watermark pass every interval.
     """
     f = fixes(spark, sf_dir).filter("inside_map").select("map_id", "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "x", "y")
-    return run_stream(spark, f, location.poll_fixes, "append", files=1_000_000).select("map_id", "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_id")
+    f = saved(f, "fixes")
+    end = f.agg(F.max("ts").alias("ts")).select(F.lit(-1).alias("map_id"), F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    s = run_stream(spark, f, location.poll_fixes, "append", slices=4, flush=end).filter("map_id >= 0")
+    return s.select("map_id", "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_id")
+
+
+@query
+def snk1_upsert_stream(spark, sf_dir):
+    """The keyed state of a stream in update mode, upserted by epoch; the stream stops half way and starts again from its checkpoint.
+
+    The events are read as files by read_events.
+    """
+    p, m = saved(projectors(spark, sf_dir), "projectors"), saved(derive.maps(spark, sf_dir), "maps")
+    base = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    names = [f.name for f in schemas.LOCATION_EVENTS]
+    events = saved(spark.createDataFrame([], schemas.LOCATION_EVENTS).unionByName(derive.location_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).select(*names)), "events")
+    half = events.select(F.expr("percentile_approx(unix_micros(ts), 0.5)").alias("c")).first()["c"] or 0
+    for part in (F.unix_micros("ts") <= half, F.unix_micros("ts") > half):
+        time_slices(events.filter(F.coalesce(part, F.lit(False))), f"{base}/in", 2)
+        state = location.location_state(readers.read_events(spark, f"{base}/in", streaming=True), p, m)
+        sinks.upsert_stream(state, f"{base}/table", ["map_id", "user_id"], f"{base}/state").awaitTermination()
+    s = sinks.read_upserted(spark, f"{base}/table", ["map_id", "user_id"])
+    return s.select("map_id", "user_id", r4("x", "x"), r4("y", "y"), "has_fix", "heading", "status")
 
 
 @query
