@@ -18,16 +18,33 @@ def trim(c: Column) -> Column:
 def js_number(c: Column) -> Column:
     """Number of a text field: blank is 0, anything that isn't a number is NaN; a null stays null."""
     t = trim(c)
+    based = [(r"^0[xX][0-9a-fA-F]{1,15}$", 16), (r"^0[oO][0-7]{1,20}$", 8), (r"^0[bB][01]{1,62}$", 2)]
     plain = t.rlike(r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|Infinity)$")
-    return F.when(c.isNull(), F.lit(None).cast("double")).when(t == "", 0.0).when(plain, t.try_cast("double")).otherwise(float("nan"))
+    number = F.when(c.isNull(), F.lit(None).cast("double")).when(t == "", 0.0).when(plain, t.try_cast("double"))
+    for form, base in based:
+        number = number.when(t.rlike(form), F.conv(F.substring(t, 3, 64), base, 10).try_cast("double"))
+    return number.otherwise(float("nan"))
 
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def fixed_two(x: Column) -> Column:
+    """Two decimals of the exact binary value, an exact half away from zero: 1.005 (a little less in binary) is 1.00, 0.125 is 0.13."""
+    a = F.abs(x)
+    whole = F.floor(a)
+    part = F.floor((a - whole) * F.lit(float(1 << 60))).cast("long")  # the digits after the point in steps of 2**-60: no bit that counts is below
+    high, low = F.shiftright(part, 30), part.bitwiseAND(F.lit((1 << 30) - 1))
+    hundredths = F.shiftright(high * 100 + (1 << 29) + F.shiftright(low * 100, 30), 30)
+    cents = whole.cast("long") * 100 + hundredths
+    digits = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    large = F.format_string("%.2f", x)
+    return F.when(F.isnan(x), "NaN").when(a == float("inf"), F.when(x < 0, "-Infinity").otherwise("Infinity")).when(a < 1e12, digits).otherwise(large)
+
+
 def point_key(x: Column, y: Column) -> Column:
-    return F.format_string("%.2f,%.2f", x, y)
+    return F.concat_ws(",", fixed_two(x.cast("double")), fixed_two(y.cast("double")))
 
 
 def name_parts(name: Column) -> Column:

@@ -11,14 +11,24 @@ from ..functions import text
 
 
 def dedup_places(places: DataFrame, order: str = "part") -> DataFrame:
-    """Of places that share an id on a map the last in input order is what a lookup finds."""
+    """The table that lookups by id use: of places that share an id on a map the last in input order (``order``) is found. Lists and searches keep all."""
     rank = F.row_number().over(W.partitionBy("map_id", "id").orderBy(F.desc(order)))
     return places.withColumn("rank", rank).filter("rank = 1").drop("rank")
 
 
-def sorted_places(places: DataFrame) -> DataFrame:
-    """With pos, the place's number within its map in the order of ids."""
-    return places.withColumn("pos", F.row_number().over(W.partitionBy("map_id").orderBy("id")))
+def by_id(*more: str) -> list[Column]:
+    """The order of place lists: by id as a reader of any language expects it (punctuation, digits, letters; case last), then ``more``."""
+    return [F.collate(F.col("id"), "UNICODE"), *map(F.col, more)]
+
+
+def numbered(places: DataFrame, order: str = "part") -> DataFrame:
+    """With copy, the number of a place among those that share its id on a map, in input order."""
+    return places.withColumn("copy", F.row_number().over(W.partitionBy("map_id", "id").orderBy(order)))
+
+
+def sorted_places(places: DataFrame, order: str = "part") -> DataFrame:
+    """With pos, the place's number within its map in the order of ids; places of one id stay in input order."""
+    return places.withColumn("pos", F.row_number().over(W.partitionBy("map_id").orderBy(*by_id(order))))
 
 
 def grams(c: Column, n: int) -> Column:
@@ -43,40 +53,44 @@ def containing(needles: DataFrame, texts: DataFrame, on: list[str] = []) -> Data
     return near.join(texts, [*on, "id"]).filter(F.col("text").contains(F.col("needle")))
 
 
-def search_places(queries: DataFrame, places: DataFrame, limit: int = P.SEARCH_LIMIT) -> DataFrame:
+def search_places(queries: DataFrame, places: DataFrame, limit: int = P.SEARCH_LIMIT, order: str = "part") -> DataFrame:
     """(keyword, map_id, rank, id, title, subtitle): the first ``limit`` places by id whose id and name hold the keyword.
 
-    Case and white space don't matter; an empty keyword finds all. Distinct keywords are searched once.
+    Case and white space don't matter; an empty keyword finds all. Distinct keywords are searched once. Places that share an id are all found, in input order.
     """
     packed = lambda c: F.regexp_replace(F.lower(c), r"(?U)\s+", "")
     q = queries.select("keyword").distinct().withColumn("needle", packed(F.col("keyword")))
-    p = places.select(F.concat_ws("|", "map_id", "id").alias("id"), F.col("map_id").alias("of"), F.col("id").alias("place"), "name", packed(F.concat_ws(" ", "id", "name")).alias("text"))
-    hit = containing(q.filter("needle != ''").select("needle").distinct(), p).select("needle", F.col("of").alias("map_id"), F.col("place").alias("id"), "name")
-    rank = lambda *by: F.row_number().over(W.partitionBy("map_id", *by).orderBy("id"))
+    p = numbered(places, order)
+    p = p.select(F.concat_ws("|", "map_id", "copy", "id").alias("id"), F.col("map_id").alias("of"), F.col("id").alias("place"), "copy", "name", packed(F.concat_ws(" ", "id", "name")).alias("text"))
+    hit = containing(q.filter("needle != ''").select("needle").distinct(), p).select("needle", F.col("of").alias("map_id"), F.col("place").alias("id"), "copy", "name")
+    rank = lambda *part: F.row_number().over(W.partitionBy("map_id", *part).orderBy(*by_id("copy")))
     hit = hit.withColumn("rank", rank("needle")).filter(F.col("rank") <= limit)
-    every = places.select(F.lit("").alias("needle"), "map_id", "id", "name").withColumn("rank", rank()).filter(F.col("rank") <= limit)
+    every = numbered(places, order).select(F.lit("").alias("needle"), "map_id", "id", "copy", "name").withColumn("rank", rank()).filter(F.col("rank") <= limit)
     out = q.join(hit.unionByName(every), "needle")
     return out.select("keyword", "map_id", "rank", "id", text.option_title(F.col("id"), F.col("name")).alias("title"), text.option_subtitle(F.col("id"), F.col("name")).alias("subtitle"))
 
 
-def resolve_places(requests: DataFrame, places: DataFrame, limit: int = P.AMBIGUOUS_LIMIT) -> DataFrame:
+def resolve_places(requests: DataFrame, places: DataFrame, limit: int = P.AMBIGUOUS_LIMIT, order: str = "part") -> DataFrame:
     """(request_id, map_id, place, status, candidates) of requests with a place text or a selected id.
 
     A selected id wins; then the exact id; then a part of id or name without
-    case: one match is it, several are 'ambiguous' (the first ids by id order),
-    none is 'not_found'; blank text is 'empty'. Distinct texts are resolved once.
+    case: one match is it, several are 'ambiguous' (the first ids by id order; places that share an id are several), none is
+    'not_found'; blank text is 'empty'. Distinct texts are resolved once.
     """
     r = requests.select("request_id", "map_id", text.trim(F.coalesce("place_text", F.lit(""))).alias("value"), "place_id")
-    ids = places.select("map_id", F.col("id").alias("exact"))
+    ids = dedup_places(places, order).select("map_id", F.col("id").alias("exact"))
     chosen = F.coalesce("place_id", "value")
-    by_id = r.join(ids, (r.map_id == ids.map_id) & (chosen == ids.exact), "left").select(r["*"], "exact")
-    asked = by_id.filter("exact IS NULL AND place_id IS NULL AND value != ''").select("map_id", F.lower("value").alias("needle")).distinct()
-    texts = [places.select("map_id", "id", F.lower(c).alias("text")) for c in ("id", "name")]
-    hit = containing(asked, texts[0], ["map_id"]).unionByName(containing(asked, texts[1], ["map_id"])).select("map_id", "needle", "id").distinct()
+    found_ids = r.join(ids, (r.map_id == ids.map_id) & (chosen == ids.exact), "left").select(r["*"], "exact")
+    asked = found_ids.filter("exact IS NULL AND place_id IS NULL AND value != ''").select("map_id", F.lower("value").alias("needle")).distinct()
+    p = numbered(places, order)
+    texts = [p.select("map_id", F.concat_ws("|", "copy", "id").alias("id"), F.col("id").alias("place"), "copy", F.lower(c).alias("text")) for c in ("id", "name")]
+    hit = [containing(asked, t, ["map_id"]).select("map_id", "needle", F.col("place").alias("id"), "copy") for t in texts]
+    hit = hit[0].unionByName(hit[1]).distinct()
     # the first ids by rank, so that no list grows with the number of matches
-    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("map_id", "needle").orderBy("id")))
-    found = hit.groupBy("map_id", "needle").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= limit, F.col("id")))).alias("first"))
-    out = by_id.withColumn("needle", F.lower("value")).join(found, ["map_id", "needle"], "left")
+    hit = hit.withColumn("rank", F.row_number().over(W.partitionBy("map_id", "needle").orderBy(*by_id("copy"))))
+    first = F.sort_array(F.collect_list(F.when(F.col("rank") <= limit, F.struct("rank", "id"))))
+    found = hit.groupBy("map_id", "needle").agg(F.count(F.lit(1)).alias("n"), F.transform(first, lambda s: s["id"]).alias("first"))
+    out = found_ids.withColumn("needle", F.lower("value")).join(found, ["map_id", "needle"], "left")
     n = F.coalesce("n", F.lit(0))
     status = (
         F.when(F.col("exact").isNotNull(), "ok").when(F.col("place_id").isNotNull(), "not_found").when(F.col("value") == "", "empty")
@@ -88,10 +102,10 @@ def resolve_places(requests: DataFrame, places: DataFrame, limit: int = P.AMBIGU
     )
 
 
-def gates_of(open_gates: DataFrame, places: DataFrame) -> DataFrame:
-    """Open gates that exist, with their anchors; list ids without a place are skipped."""
+def gates_of(open_gates: DataFrame, places: DataFrame, order: str = "part") -> DataFrame:
+    """Open gates that exist, with their anchors, as a lookup by id finds them; list ids without a place are skipped."""
     anchor = F.coalesce("access", "center")
-    return open_gates.join(places.select("map_id", "id", "name", anchor.alias("anchor")), ["map_id", "id"]).select(
+    return open_gates.join(dedup_places(places, order).select("map_id", "id", "name", anchor.alias("anchor")), ["map_id", "id"]).select(
         "map_id", "id", "name", "gate_order", F.col("anchor.x").alias("x"), F.col("anchor.y").alias("y")
     )
 

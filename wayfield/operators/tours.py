@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import grid as G
 from ..functions import text
+from ..storage import saved
 from .routes import Found, route_cells
 
 
+STARTS = 256  # distinct starts of a map that meet its candidates together
+
+
 def candidate_weights(places: DataFrame, open_gates: DataFrame, lists: DataFrame) -> DataFrame:
     """``places`` with weight; the id lists are keyed per map and joined."""
     flag = lambda df, name: df.select("map_id", "id", F.lit(True).alias(name)).distinct()
@@ -51,40 +55,76 @@ def pick_stops(start: tuple[float, float], x: np.ndarray, y: np.ndarray, gain: n
 def select_tour_stops(starts: DataFrame, candidates: DataFrame, max_stops: int = P.MAX_STOPS, key: str = "request_id") -> DataFrame:
     """(key, stop_no, id, snap_row, snap_col) for every start (key, map_id, snap_row, snap_col, snap_x, snap_y).
 
-    A candidate on the start's own cell is left out. Requests are grouped by
-    their distinct start, whose candidates are those of its map (a gazetteer, not user data).
+    A candidate on the start's own cell is left out. Distinct starts go in blocks of about STARTS, and each block meets
+    the candidates of its map (a gazetteer, not user data) once: no row of a start and a candidate is made.
     A map with a candidate off the road net has no tour.
     """
     bad = candidates.filter("snap_status != 'ok'").select("map_id").distinct()
     good = candidates.join(bad, "map_id", "left_anti").withColumn("gain", F.col("weight") * F.when(F.col("type").isin(*P.BOOSTED_TYPES), P.TYPE_BOOST).otherwise(1.0))
     at = starts.filter("snap_row IS NOT NULL").select("map_id", F.col("snap_row").alias("s_row"), F.col("snap_col").alias("s_col"), F.col("snap_x").alias("s_x"), F.col("snap_y").alias("s_y")).distinct()
-    both = at.join(good, "map_id").filter("NOT (s_row = snap_row AND s_col = snap_col)")
+    blocks = at.groupBy("map_id").agg(F.ceil(F.count(F.lit(1)) / STARTS).alias("blocks"))
+    at = saved(at.join(blocks, "map_id").withColumn("block", F.pmod(F.xxhash64("s_row", "s_col"), "blocks")).drop("blocks"), "starts")
+    cols = ["map_id", "id", "name", "snap_row", "snap_col", "snap_x", "snap_y", "gain", "zone", "pos"]
+    shared = good.select(*cols).join(at.select(F.col("map_id").alias("m"), F.col("block").alias("block")).distinct().withColumnRenamed("m", "map_id"), "map_id")
+    kinds = "map_id int, s_row long, s_col long, id string, name string, snap_row long, snap_col long, stop_no long"
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, begin: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        zone = pd.factorize(pdf["zone"])[0]
-        start = (float(pdf["s_x"].iloc[0]), float(pdf["s_y"].iloc[0]))
-        order = pick_stops(start, *(pdf[c].to_numpy(np.float64) for c in ("snap_x", "snap_y", "gain")), zone, max_stops)
-        out = pdf.loc[order, ["map_id", "s_row", "s_col", "id", "name", "snap_row", "snap_col"]].copy()
-        out["stop_no"] = np.arange(1, len(order) + 1)
-        return out
-
-    kinds = "map_id int, s_row long, s_col long, id string, name string, snap_row long, snap_col long, stop_no long"
-    stops = both.groupBy("map_id", "s_row", "s_col").applyInPandas(choose, kinds)
+        zone, place = pd.factorize(pdf["zone"])[0], [pdf[c].to_numpy(np.float64) for c in ("snap_x", "snap_y", "gain")]
+        row, col = pdf["snap_row"].to_numpy(), pdf["snap_col"].to_numpy()
+        parts = []
+        for s_row, s_col, x, y in begin[["s_row", "s_col", "s_x", "s_y"]].itertuples(index=False):
+            other = np.flatnonzero((row != s_row) | (col != s_col))
+            order = other[pick_stops((x, y), *(v[other] for v in place), zone[other], max_stops)] if len(other) else other
+            out = pdf.loc[order, ["id", "name", "snap_row", "snap_col"]]
+            parts.append(out.assign(map_id=key[0], s_row=s_row, s_col=s_col, stop_no=np.arange(1, len(order) + 1)))
+        names = [c.split()[0] for c in kinds.split(", ")]
+        return pd.concat(parts)[names] if parts else pd.DataFrame({c: [] for c in names})
+
+    stops = at.groupBy("map_id", "block").cogroup(shared.groupBy("map_id", "block")).applyInPandas(choose, kinds)
     s = starts.select(key, "map_id", F.col("snap_row").cast("long").alias("s_row"), F.col("snap_col").cast("long").alias("s_col"))
     return s.join(stops, ["map_id", "s_row", "s_col"]).select(key, "map_id", "stop_no", "id", "name", "s_row", "s_col", "snap_row", "snap_col")
 
 
-def tour_legs(stops: DataFrame, key: str = "request_id") -> DataFrame:
-    """One leg per stop: from the stop before it, or the start. All ends lie in one reachable component, so no leg is skipped."""
-    w = W.partitionBy(key).orderBy("stop_no")
-    before = lambda c, s: F.coalesce(F.lag(c).over(w), F.col(s))
-    return stops.select(
-        key, "map_id", F.col("stop_no").alias("leg_no"), "id", "name", before("snap_row", "s_row").alias("start_row"), before("snap_col", "s_col").alias("start_col"),
+def tour_legs(stops: DataFrame, key: str = "request_id", nets: DataFrame | None = None) -> DataFrame:
+    """One leg per stop, from the last stop before it that was reached, or the start.
+
+    ``nets``: map_id, row, col, net: cells of one net reach each other (road components, see join_nets where gaps may be crossed). A leg to a stop of another net
+    fails, and the next one begins where it began. Without nets every stop is reached.
+    """
+    w = W.partitionBy(key).orderBy("stop_no").rowsBetween(W.unboundedPreceding, -1)
+    reached = F.lit(True)
+    if nets is not None:
+        at = lambda row, col, name: nets.select("map_id", F.col("row").cast("long").alias(row), F.col("col").cast("long").alias(col), F.col("net").alias(name))
+        stops = stops.join(at("s_row", "s_col", "_from"), ["map_id", "s_row", "s_col"], "left").join(at("snap_row", "snap_col", "_to"), ["map_id", "snap_row", "snap_col"], "left")
+        reached = F.coalesce(F.col("_from") == F.col("_to"), F.lit(False))
+    last = F.last(F.when(reached, F.struct("snap_row", "snap_col")), ignorenulls=True).over(w)
+    legs = stops.withColumn("_at", F.coalesce(last, F.struct(F.col("s_row").alias("snap_row"), F.col("s_col").alias("snap_col"))))
+    return legs.select(
+        key, "map_id", F.col("stop_no").alias("leg_no"), "id", "name", F.col("_at.snap_row").alias("start_row"), F.col("_at.snap_col").alias("start_col"),
         F.col("snap_row").alias("goal_row"), F.col("snap_col").alias("goal_col"), "s_row", "s_col",
     )
 
 
+def join_nets(features: DataFrame, edges: DataFrame) -> DataFrame:
+    """(map_id, row, col, net): road components, those that edges over gaps join taken together. Only components travel, not cells."""
+    cells = features.filter("walkable").select("map_id", "row", "col", F.col("component_id").alias("comp"))
+    ends = edges.filter("gap_cells > 0").join(cells, ["map_id", "row", "col"]).withColumnRenamed("comp", "a")
+    ends = ends.join(cells.withColumnsRenamed({"row": "row2", "col": "col2", "comp": "b"}), ["map_id", "row2", "col2"]).filter("a != b").select("map_id", "a", "b").distinct()
+    arcs = saved(ends.unionByName(ends.select("map_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "arcs")
+    nets = saved(cells.select("map_id", F.col("comp").alias("a"), F.col("comp").alias("net")).distinct(), "nets")
+    while True:
+        offer = arcs.join(nets, ["map_id", "a"]).groupBy("map_id", F.col("b").alias("a")).agg(F.min("net").alias("least"))
+        met = nets.join(offer, ["map_id", "a"], "left").withColumn("less", F.least("net", "least"))
+        # and on to the net of the net, so long chains take few rounds
+        further = nets.select("map_id", F.col("a").alias("less"), F.col("net").alias("further"))
+        moved = saved(met.join(further, ["map_id", "less"]).select("map_id", "a", F.col("further").alias("net"), (F.col("further") != F.col("net")).alias("moved")), "nets")
+        nets = moved.drop("moved")
+        if not moved.filter("moved").limit(1).count():
+            break
+    return cells.join(nets.withColumnRenamed("a", "comp"), ["map_id", "comp"]).select("map_id", "row", "col", "net")
+
+
 def composite_routes(legs: DataFrame, key: str = "request_id") -> DataFrame:
     """Stops included, legs skipped, length, gap cells and status of each tour; ``legs`` carry status, length_px, gap_cells (see shortest_routes).
 

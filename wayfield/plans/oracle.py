@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from .. import params as P
 
+
+
+def _two(v: str) -> str:
+    """Two decimals, half away from zero, of all digits of the binary value."""
+    digits = f"printf('%.40f', abs({v}))"
+    cents = f"(split_part({digits}, '.', 1)::BIGINT * 100 + substr(split_part({digits}, '.', 2), 1, 2)::BIGINT + (substr(split_part({digits}, '.', 2), 3, 1) >= '5')::INT)"
+    return f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END || ({cents} // 100)::VARCHAR || '.' || lpad(({cents} % 100)::VARCHAR, 2, '0'))"
+
+
 # Parts that queries share: the derived tables, as common table expressions in order of use.
 PARTS = {
     "maps": "SELECT r_regionkey AS map_id FROM region",
@@ -191,7 +200,7 @@ BODIES = {
         JOIN cells b ON b.map_id = n.map_id AND b.row = n.row2 AND b.col = n.col2) GROUP BY 1, 2""",
     "sc12_step_direction": "SELECT route_id, seq, sign(row - r0)::INT AS d_row, sign(col - c0)::INT AS d_col FROM steps WHERE r0 IS NOT NULL",
     "sc13_js_number": "SELECT request_id, sx IS NULL AS bad, sx AS value FROM num",
-    "sc14_point_key": "SELECT id, printf('%.2f,%.2f', cx / 4, cy / 4) AS key FROM places",
+    "sc14_point_key": f"SELECT id, {_two('cx * 0.005::DOUBLE')} || ',' || {_two('-cy * 0.005::DOUBLE')} AS key FROM places",
     "sc15_split_name": "SELECT id, first AS primary_name, second AS secondary_name FROM places",
     "sc16_destination_texts": "SELECT id, id || ' / ' || name AS typed, first AS title, CASE WHEN second = '' THEN id ELSE id || ' / ' || second END AS subtitle, id || '  ' || name AS label FROM places",
     "sc17_edge_key": "SELECT route_id, seq, edge FROM edges0",

@@ -321,7 +321,7 @@ def sc13_js_number(spark, sf_dir):
 @query
 def sc14_point_key(spark, sf_dir):
     p = derive.places(spark, sf_dir)
-    return p.select("id", X.point_key(F.col("center.x") / 4, F.col("center.y") / 4).alias("key"))
+    return p.select("id", X.point_key(F.col("center.x") * 0.005, -F.col("center.y") * 0.005).alias("key"))
 
 
 @query
@@ -513,7 +513,8 @@ def _tour_legs(spark, sf_dir):
     s = snapped_requests(spark, sf_dir).filter("start_row IS NOT NULL").select("request_id", "map_id", F.col("start_row").alias("snap_row"), F.col("start_col").alias("snap_col"), F.col("start_x").alias("snap_x"), F.col("start_y").alias("snap_y"))
     s = saved(s, "starts")
     stops = saved(tours.select_tour_stops(s, _candidates(spark, sf_dir)), "stops")
-    legs = saved(tours.tour_legs(stops), "legs")
+    nets = prepared(spark, sf_dir)["features"].filter("walkable").select("map_id", "row", "col", F.col("component_id").alias("net"))
+    legs = saved(tours.tour_legs(stops, nets=nets), "legs")
     pairs = legs.select("map_id", "start_row", "start_col", "goal_row", "goal_col").distinct()
     found = routes.find_routes(pairs, net_of(spark, sf_dir))
     done = routes.shortest_routes(pairs, found)
