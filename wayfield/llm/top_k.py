@@ -132,7 +132,8 @@ class Tree:
         work = {"entries": 0, "skipped_entries": 0, "skipped_pages": 0}
         while True:
             pick = bound.argmin(1)
-            live = np.flatnonzero(bound[every, pick] <= r)
+            low = bound[every, pick]
+            live = np.flatnonzero((low <= r) & (low < np.inf))  # inf: no page is left
             if not len(live):
                 break
             pick = pick[live]
