@@ -12,7 +12,7 @@ from wayfield.functions import grid as G
 from wayfield.functions import text as X
 from wayfield.operators import exits, grid, places, projection, routes, snap, tours
 from wayfield.sources import readers
-from wayfield.streaming import location
+from wayfield.streaming import location, sinks
 
 
 def one(spark, expression):
@@ -153,34 +153,61 @@ def dijkstra(edges, source):
     return out
 
 
-@pytest.mark.parametrize("tile", [5, 64])
-def test_cost_fields_and_routes(spark, tile):
-    r = random.Random(4)
-    rows = ["".join("1" if r.random() < 0.75 else "0" for _ in range(14)) for _ in range(12)]
-    main = ["".join("1" if c % 3 == 0 else "0" for c in range(14)) for _ in range(12)]
-    f = features_of(spark, rows, [[int(v) & int(rows[i][j]) for j, v in enumerate(line)] for i, line in enumerate(main)])
-    edges = routes.saved(grid.build_edges(f), "edges")
+def code(cell):
+    return cell[0] * (1 << 20) + cell[1]
+
+
+def random_map(spark, height, width, seed=4, max_gap=0):
+    """Edges of a random map with main roads, their graph both ways, and the cells of its largest net."""
+    r = random.Random(seed)
+    rows = ["".join("1" if r.random() < 0.75 else "0" for _ in range(width)) for _ in range(height)]
+    f = features_of(spark, rows, [[int(c % 3 == 0) & int(rows[i][c]) for c in range(width)] for i in range(height)])
+    edges = routes.saved(grid.build_edges(f, max_gap), "edges")
     go, back = {}, {}
     for e in edges.collect():
-        a, b = e.row * (1 << 20) + e.col, e.row2 * (1 << 20) + e.col2
+        a, b = code((e.row, e.col)), code((e.row2, e.col2))
         go.setdefault(a, []).append((b, e.move_cost))
         back.setdefault(b, []).append((a, e.move_cost))
-    road = sorted((x.row, x.col) for x in f.filter("reachable").collect())
+    return edges, go, back, sorted((x.row, x.col) for x in f.filter("reachable").collect())
+
+
+PAIRS = "route_id int, map_id int, start_row int, start_col int, goal_row int, goal_col int"
+
+
+@pytest.mark.parametrize("tile,region,max_gap", [(5, 2, 0), (7, 16, 2), (64, 16, 0)])
+def test_fields_and_routes_against_dijkstra(spark, tile, region, max_gap):
+    edges, go, back, road = random_map(spark, 15, 18, max_gap=max_gap)
+    net = routes.road_net(edges, 16, tile)
     sources = spark.createDataFrame([(1, *road[0]), (1, *road[len(road) // 2])], "map_id int, row int, col int")
     for reverse, graph in ((False, go), (True, back)):
-        field = routes.saved(routes.cost_fields(sources, edges, 16, reverse, tile), "field")
-        for s in {x.source for x in field.select("source").distinct().collect()}:
-            want, got = dijkstra(graph, s), {x.cell: x.cost for x in field.filter(F.col("source") == s).collect()}
-            assert set(want) == set(got) and all(abs(want[k] - got[k]) < 1e-9 * max(1, want[k]) for k in want)
-        s, g = road[0], road[-1]
-        ends = (s, g) if not reverse else (g, s)
-        pair = spark.createDataFrame([(7, 1, *ends[0], *ends[1])], "route_id long, map_id int, start_row int, start_col int, goal_row int, goal_col int")
-        path = [(x.row, x.col) for x in routes.route_cells(pair, field, reverse).orderBy("seq").collect()]
-        assert path[0] == ends[0] and path[-1] == ends[1] and all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(path, path[1:]))
-        cost = sum(dict(go[a * (1 << 20) + b])[c * (1 << 20) + d] for (a, b), (c, d) in zip(path, path[1:]))
-        source, cell = (s, g) if not reverse else (s, g)
-        code = lambda p: p[0] * (1 << 20) + p[1]
-        assert cost == pytest.approx(field.filter((F.col("source") == code(source)) & (F.col("cell") == code(cell))).first().cost)
+        field = routes.cost_fields(sources, None, 16, reverse, net=net, region=region).collect()
+        for s in {x.source for x in field}:
+            want, got = dijkstra(graph, s), {x.cell: x.cost for x in field if x.source == s}
+            assert set(want) == set(got) and all(abs(want[k] - got[k]) < 1e-7 * max(1, want[k]) for k in want)
+    r = random.Random(1)
+    ends = [(*r.choice(road), *r.choice(road)) for _ in range(12)] + [(*road[0], *road[0]), (*road[0], *road[1]), (None, None, 1, 1), (*road[0], 99, 99)]
+    pairs = spark.createDataFrame([(k, 1, *p) for k, p in enumerate(ends)], PAIRS)
+    found = routes.find_routes(pairs, net, region)
+    done = {x.route_id: x for x in routes.shortest_routes(pairs, found).collect()}
+    cells = {}
+    for x in routes.route_cells(pairs, found).orderBy("route_id", "seq").collect():
+        cells.setdefault(x.route_id, []).append((x.row, x.col))
+    for k, p in enumerate(ends[:-2]):
+        cost, path = dijkstra(go, code(p[:2]))[code(p[2:])], cells[k]
+        assert done[k].status == "ok" and done[k].cost == pytest.approx(cost, rel=1e-7) and path[0] == p[:2] and path[-1] == p[2:]
+        assert sum(dict(go[code(a)])[code(b)] for a, b in zip(path, path[1:])) == pytest.approx(cost, rel=1e-7)
+    assert [done[k].status for k in (14, 15)] == ["no_road", "no_route"] and not {14, 15} & set(cells)
+
+
+def test_rounds_write_open_regions_only_and_goals_end_searches(spark):
+    edges, _, _, road = random_map(spark, 8, 60, seed=9)
+    net = routes.road_net(edges, 16, 4)
+    whole, aimed = [], []
+    routes.cost_fields(spark.createDataFrame([(1, *road[0])], "map_id int, row int, col int"), None, 16, net=net, region=2, report=whole).count()
+    assert len(whole) > 5 and max(x["regions"] for x in whole[:2] + whole[-2:]) <= 3  # a front that goes along the map, 8 regions wide
+    near = min(road, key=lambda c: max(abs(c[0] - road[0][0]), abs(c[1] - road[0][1] - 6)))
+    routes.find_routes(spark.createDataFrame([(1, 1, *road[0], *near)], PAIRS), net, 2, aimed)
+    assert len(aimed) < len(whole) and sum(x["rows"] for x in aimed) < sum(x["rows"] for x in whole) / 2
 
 
 def path_of(spark, points, key=1):
@@ -224,6 +251,78 @@ def test_places(spark):
     assert found == [("", "ab"), ("", "abc"), ("", "zz"), ("hallone", "zz")]
 
 
+def test_places_that_share_an_id(spark):
+    p = spark.createDataFrame([(1, "g1", "North gate", 1, (1.0, 1.0), None), (1, "g1", "Northern gate", 2, (2.0, 2.0), (3.0, 3.0)), (1, "g2", "South", 3, (4.0, 4.0), None)],
+                              "map_id int, id string, name string, part int, center struct<x:double,y:double>, access struct<x:double,y:double>")
+    r = spark.createDataFrame([(1, 1, "g1", None), (2, 1, "nor", None), (3, 1, None, "g1"), (4, 1, "northern", None)], "request_id long, map_id int, place_text string, place_id string")
+    got = sorted(tuple(x) for x in places.resolve_places(r, p).select("request_id", "place", "status", "candidates").collect())
+    assert got == [(1, "g1", "ok", None), (2, None, "ambiguous", "g1, g1"), (3, "g1", "ok", None), (4, "g1", "ok", None)]
+    open_ = spark.createDataFrame([(1, "g1", 1), (1, "gone", 2)], "map_id int, id string, gate_order int")
+    assert [tuple(x) for x in places.gates_of(open_, p).collect()] == [(1, "g1", "Northern gate", 1, 3.0, 3.0)]
+    found = places.search_places(spark.createDataFrame([("north",), ("",)], "keyword string"), p).orderBy("keyword", "rank").collect()
+    assert [(x.keyword, x.rank, x.id, x.title) for x in found] == [("", 1, "g1", "North gate"), ("", 2, "g1", "Northern gate"), ("", 3, "g2", "South"), ("north", 1, "g1", "North gate"), ("north", 2, "g1", "Northern gate")]
+
+
+def test_places_in_the_order_of_readers(spark):
+    ids = ["Ab", "a1", "aB", "a_1", "ab"]
+    p = spark.createDataFrame([(1, i, "N", k) for k, i in enumerate([*ids, "ab"])], "map_id int, id string, name string, part int")
+    got = places.sorted_places(p).orderBy("pos").collect()
+    assert [x.id for x in got] == ["a_1", "a1", "ab", "ab", "aB", "Ab"] and [x.part for x in got if x.id == "ab"] == [4, 5]
+
+
+@pytest.mark.parametrize("v,want", [(1.005, "1.00"), (0.125, "0.13"), (-0.125, "-0.13"), (2.675, "2.67"), (1234567.895, "1234567.90"), (0.0, "0.00"), (-0.001, "-0.00"), (9.995, "9.99"), (float("nan"), "NaN"), (1e13, "10000000000000.00")])
+def test_two_decimals_of_the_binary_value(spark, v, want):
+    assert one(spark, X.fixed_two(F.lit(v))) == want
+
+
+@pytest.mark.parametrize("value,want", [("0x10", 16.0), ("0b101", 5.0), (" 0o17 ", 15.0), ("0xg", None), ("-0x1", None), ("0x", None)])
+def test_js_number_bases(spark, value, want):
+    got = one(spark, X.js_number(F.lit(value)))
+    assert math.isnan(got) if want is None else got == want
+
+
+def test_snap_against_all_cells(spark):
+    r = random.Random(12)
+    rows = ["".join("1" if r.random() < 0.04 else "0" for _ in range(40)) for _ in range(33)]
+    f = cells_of(spark, rows).withColumn("reachable", F.col("walkable") & (F.col("col") < 25))
+    road = [(i, j) for i, line in enumerate(rows) for j, v in enumerate(line) if v == "1" and j < 25]
+    pts = [(k, 1, r.uniform(-60, 700), r.uniform(-60, 600)) for k in range(120)]
+    p = spark.createDataFrame(pts, "point_id int, map_id int, x double, y double")
+    want = {}
+    for k, _, x, y in pts:
+        o = (min(max(int(y // 16), 0), 32), min(max(int(x // 16), 0), 39))
+        ring = min(max(abs(o[0] - i), abs(o[1] - j)) for i, j in road)
+        near = sorted((math.hypot((j + 0.5) * 16 - x, (i + 0.5) * 16 - y), i, j) for i, j in road if max(abs(o[0] - i), abs(o[1] - j)) == ring)
+        want[k] = [(i, j) for _, i, j in near] if ring <= 9 else []
+    m = maps_of(spark, 33, 40)
+    got = {x.point_id: (x.snap_row, x.snap_col) for x in snap.snap_to_road(p, f, m, max_cells=9).collect()}
+    assert got == {k: (v[0] if v else (None, None)) for k, v in want.items()} and any(not v for v in want.values())
+    ranks = {}
+    for x in snap.snap_ranks(p, f, m, max_cells=9).orderBy("point_id", "rank").collect():
+        ranks.setdefault(x.point_id, []).append((x.snap_row, x.snap_col))
+    assert ranks == {k: v for k, v in want.items() if v}
+    rings = routes.saved(snap.snap_rings(f, m, 9))
+    plan = snap.snap_to_road(p, f, m, 9, rings=rings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # the map's sizes, and one row of rings a point
+
+
+def test_upserts_survive_replay_and_restart(spark, tmp_path):
+    path, kinds = f"file://{tmp_path}/t", "k int, v string"
+    rows = lambda *r: spark.createDataFrame(list(r), kinds)
+    read = lambda: sorted(map(tuple, sinks.read_upserted(spark, path, ["k"]).collect()))
+    sinks.write_epoch(rows((1, "a"), (2, "b")), 0, path, ["k"], 3)
+    sinks.write_epoch(rows((2, "c"), (3, "d")), 1, path, ["k"], 3)
+    want = [(1, "a"), (2, "c"), (3, "d")]
+    assert read() == want
+    for _ in range(2):  # replayed, as after a crash between write and commit; it is the third epoch, so the table is compacted
+        sinks.write_epoch(rows((1, "e")), 2, path, ["k"], 3)
+        assert read() == [(1, "e"), *want[1:]]
+    (tmp_path / "t" / "epoch=3").mkdir()  # begun, never finished
+    assert read() == [(1, "e"), *want[1:]] and any("base=2" in x.name for x in (tmp_path / "t").iterdir())
+    with pytest.raises(FileNotFoundError):
+        sinks.read_upserted(spark, f"file://{tmp_path}/none", ["k"])
+
+
 def test_projector(spark):
     pts = [(1, "a", 0.0, 0.0, 5.0, 7.0), (1, "b", 1.0, 0.0, 7.0, 7.0), (1, "c", 0.0, 1.0, 5.0, 10.0), (2, "a", 0.0, 0.0, 1.0, 1.0), (2, "b", 1.0, 1.0, 1.0, 1.0),
            (3, "a", 0.0, 0.0, 1.0, 1.0), (3, "b", 1.0, 1.0, 1.0, 1.0), (3, "c", 2.0, 2.0, 1.0, 1.0)]
@@ -287,17 +386,31 @@ def test_containing(spark):
 
 
 def test_tour_status_and_path(spark):
-    f = features_of(spark, ["11111"])
-    field = routes.saved(routes.cost_fields(spark.createDataFrame([(1, 0, 0), (1, 0, 3)], "map_id int, row int, col int"), routes.saved(grid.build_edges(f)), 16), "field")
+    net = routes.road_net(grid.build_edges(features_of(spark, ["11111"])), 16)
     legs = spark.createDataFrame([(1, 1, 1, "p", "P / x", 0, 0, 0, 3), (1, 1, 2, "q", "", 0, 3, 0, 1), (2, 1, 1, "p", "P", 0, 0, 0, 0), (3, 1, 1, "p", "P", 0, 0, 9, 9)],
                                  "request_id long, map_id int, leg_no int, id string, name string, start_row int, start_col int, goal_row int, goal_col int")
-    done = routes.saved(routes.shortest_routes(legs, field), "legs")
+    found = routes.find_routes(legs, net)
+    done = routes.saved(routes.shortest_routes(legs, found), "legs")
     got = {x.request_id: (x.status, x.stops, x.skipped, x.stop_names) for x in tours.composite_routes(done).collect()}
     assert got == {1: ("ok", 2, 0, "P → q"), 2: ("no_path", 1, 0, "P"), 3: ("no_stop", 0, 1, "")}
-    path = [(x.seq, x.col) for x in tours.tour_paths(done, field).filter("request_id = 1").orderBy("seq").collect()]
+    path = [(x.seq, x.col) for x in tours.tour_paths(done, found).filter("request_id = 1").orderBy("seq").collect()]
     assert path == list(enumerate([0, 1, 2, 3, 2, 1]))
 
 
+def test_tour_stays_on_a_failed_leg(spark):
+    """Two nets, a blocked column between: the stops of the other one are skipped, unless a gap may be crossed."""
+    f = routes.saved(features_of(spark, ["111011"]), "features")
+    stops = spark.createDataFrame([(1, 1, k, i, i, 0, 0, 0, c) for k, i, c in ((1, "a", 2), (2, "far", 4), (3, "b", 1), (4, "edge", 5), (5, "c", 2))] + [(2, 1, 1, "off", "off", 9, 9, 0, 1)],
+                                  "request_id long, map_id int, stop_no int, id string, name string, s_row long, s_col long, snap_row long, snap_col long")
+    for max_gap, cursors, skipped in ((0, [0, 2, 2, 1, 1], 2), (1, [0, 2, 4, 1, 5], 0)):
+        edges = routes.saved(grid.build_edges(f, max_gap), "edges")
+        legs = routes.saved(tours.tour_legs(stops, nets=tours.join_nets(f, edges)), "legs")
+        assert [x.start_col for x in legs.filter("request_id = 1").orderBy("leg_no").collect()] == cursors
+        done = routes.shortest_routes(legs, routes.find_routes(legs, routes.road_net(edges, 16)))
+        got = {x.request_id: (x.status, x.stops, x.skipped, x.gap_cells) for x in tours.composite_routes(done).collect()}
+        assert got == {1: ("ok", 5 - skipped, skipped, 0 if not max_gap else 4), 2: ("no_stop", 0, 1, 0)}
+
+
 def test_summaries(spark):
     r = spark.range(1).select(
         X.route_summary(F.lit(12), F.lit(150.5), F.lit(0)).alias("a"), X.tour_summary(F.lit("x"), F.lit(3), F.lit(99.4), F.lit(0)).alias("b"),
@@ -337,6 +450,7 @@ def test_poll_stream_drops_late_rows(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     q = location.poll_fixes(source).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").option("path", out).trigger(availableNow=True).start()
     q.awaitTermination()
+    assert sum(s["numRowsDroppedByWatermark"] for x in q.recentProgress for s in x["stateOperators"]) == 1
     got = [(x.window_start, x.event_id) for x in spark.read.parquet(out).orderBy("window_start").collect()]
     assert [e for _, e in got] == [2, 3]
 

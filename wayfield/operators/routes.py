@@ -304,6 +304,12 @@ def border_costs(near: DataFrame, net: RoadNet, region: int = REGION, goals: Dat
             whole = saved(current(), "settled")
             written[:] = [(whole, saved(whole.select(*_KEY).distinct(), "open"))]
         offers = saved(_offers(settled.filter("changed").drop("r_row", "r_col", "changed"), outer).withColumns(_square("cell", size, "r_row", "r_col")), "offers")
+        if aimed and offers.limit(1).count():
+            # what each goal costs by now is known to all regions from here on; offers beyond the worst of a source's goals go
+            now = settled.join(goals.filter("cell >= 0"), ["map_id", "block", "source", "cell"]).groupBy("map_id", "block", "source", "goal").agg(F.min(F.col("cost") + F.col("tail")).alias("tail"))
+            goals = saved(goals.unionByName(now.withColumn("cell", F.lit(-1).cast("long"))), "goals")
+            best = goals.groupBy("map_id", "source", "goal").agg(F.coalesce(F.min(F.when(F.col("cell") < 0, F.col("tail"))), F.lit(int(_FAR))).alias("tail"))
+            offers = saved(offers.join(best.groupBy("map_id", "source").agg(F.max("tail").alias("limit")), ["map_id", "source"]).filter("cost <= limit").drop("limit"), "offers")
     return (current() if written else offers.withColumn("changed", F.lit(False))).select("map_id", "block", "source", "cell", *_VALUE)
 
 

@@ -68,8 +68,8 @@ PARTS = {
         FROM (SELECT *, r0 || ',' || c0 AS a, row || ',' || col AS b FROM steps WHERE r0 IS NOT NULL)""",
     "visits": "SELECT *, row_number() OVER (PARTITION BY route_id, edge ORDER BY seq) - 1 AS visit FROM edges0",
     "req": """SELECT o_orderkey AS request_id, (o_custkey % 5)::INT AS map_id, o_custkey AS user_id,
-        CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 103 = 0 THEN 'north' ELSE ((o_orderkey % 40) * 389 % 1536)::VARCHAR END AS start_x, ((o_orderkey % 40) * 613 % 1536)::VARCHAR AS start_y,
-        ((o_custkey % 40) * 389 % 1536)::VARCHAR AS goal_x, ((o_custkey % 40) * 613 % 1536)::VARCHAR AS goal_y,
+        CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 103 = 0 THEN 'north' ELSE (o_orderkey * 389 % 1536)::VARCHAR END AS start_x, (o_orderkey * 613 % 1536)::VARCHAR AS start_y,
+        (o_custkey * 389 % 1536)::VARCHAR AS goal_x, (o_custkey * 613 % 1536)::VARCHAR AS goal_y,
         CASE o_orderkey % 7 WHEN 0 THEN ' ' || (o_custkey % 1000) || ' ' WHEN 1 THEN '' ELSE '_' || (o_custkey % 1000) END AS place_text FROM orders""",
     "num": """SELECT *, CASE WHEN trim(start_x) = '' THEN 0 ELSE try_cast(start_x AS DOUBLE) END AS sx, start_y::DOUBLE AS sy, goal_x::DOUBLE AS gx, goal_y::DOUBLE AS gy FROM req""",
     "kw": """SELECT unnest(string_split(p_name, ' ')) AS keyword FROM part

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 GRID = 96
 SIZE = 16
 SPAN = GRID * SIZE
+OPEN_GATES = 7
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +79,11 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def open_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first seven gates of each map, in list order."""
+def open_gates(spark: SparkSession, sf_dir: str, most: int = OPEN_GATES) -> DataFrame:
+    """The first ``most`` gates of each map, in list order: a site opens a list of so many, however many it has."""
     g = places(spark, sf_dir).filter((F.col("type") == "gate") & (F.col("part") % 3 == 0))
     g = g.withColumn("gate_order", F.row_number().over(W.partitionBy("map_id").orderBy("part")))
-    return g.filter("gate_order <= 7").select("map_id", "id", "gate_order")
+    return g.filter(F.col("gate_order") <= most).select("map_id", "id", "gate_order")
 
 
 def tour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +121,9 @@ def location_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request an order: from a point of the order's to one of the customer's, all over the map."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    at = lambda k, m: ((k % 40) * m % SPAN).cast("string")
+    at = lambda k, m: (k * m % SPAN).cast("string")
     text = F.when(o % 7 == 0, F.concat(F.lit(" "), (c % 1000).cast("string"), F.lit(" "))).when(o % 7 == 1, "").otherwise(F.concat(F.lit("_"), (c % 1000).cast("string")))
     return _t(spark, sf_dir, "orders").select(
         o.alias("request_id"), (c % 5).cast("int").alias("map_id"), c.alias("user_id"),
