@@ -232,7 +232,7 @@ def hard_negatives(
     size = data.agg(F.max(F.octet_length("vec"))).first()[0]
     if size is None:
         return spark.createDataFrame([], schema)
-    dim = size // PACKED.itemsize
+    dim = max(1, size // PACKED.itemsize)
     blocks = _blocks(data, dim, block, positives)
     chosen = _anchors(blocks, dim)
     n_blocks, n_anchors = blocks.count(), chosen.count()

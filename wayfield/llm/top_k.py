@@ -207,7 +207,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float =
     want = asked.agg(F.count(F.lit(1)).alias("n"), size).first()
     if not have["n"] or not want["n"]:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, most = max(have["size"], want["size"]) // PACKED.itemsize, float(have["norm2"])
+    dim, most = max(1, max(have["size"], want["size"]) // PACKED.itemsize), float(have["norm2"])
     sample = data.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(SAMPLE).select("vec", "norm2").toPandas()
     lifted = lift(unpack(sample["vec"], dim), sample["norm2"].to_numpy(), most)
     pivots = lifted[clusters(lifted, min(CELLS, -(-have["n"] // shard)), 4)]
