@@ -34,7 +34,7 @@ def label_components(cells: DataFrame) -> DataFrame:
     """``cells`` (map_id, row, col; walkable ones only) with comp: the least run number of their 8-neighbour component.
 
     Cells are contracted to horizontal runs; touching runs of adjacent rows are
-    edges; labels fall to the least neighbour's and jump along labels until none changes.
+    edges; labels fall to the least one that any of their runs meets and jump along labels until none changes.
     """
     line = W.partitionBy("map_id", "row").orderBy("col")
     runs_of = cells.withColumn("start", F.col("col") - F.row_number().over(line))
@@ -50,7 +50,10 @@ def label_components(cells: DataFrame) -> DataFrame:
     while True:
         near = arcs.join(labels.select("map_id", F.col("run").alias("v"), "comp"), ["map_id", "v"]).groupBy("map_id", "u").agg(F.min("comp").alias("least"))
         met = labels.join(near.withColumnRenamed("u", "run"), ["map_id", "run"], "left")
-        met = saved(met.select("map_id", "run", "comp", F.least("comp", F.coalesce("least", "comp")).alias("next")), "met")
+        met = saved(met.select("map_id", "run", "comp", F.least("comp", F.coalesce("least", "comp")).alias("least")), "met")
+        # the run that names a label falls to the least that any run of the label has met, so whole labels merge, not run after run
+        hook = met.groupBy("map_id", F.col("comp").alias("run")).agg(F.min("least").alias("hook"))
+        met = met.join(hook, ["map_id", "run"], "left").select("map_id", "run", "comp", F.least("least", F.coalesce("hook", "least")).alias("next"))
         jump = met.select("map_id", F.col("run").alias("next"), F.col("next").alias("further"))
         moved = met.join(jump, ["map_id", "next"]).select("map_id", "run", F.col("further"), (F.col("comp") != F.col("further")).alias("moved"))
         moved = saved(moved, "labels")
