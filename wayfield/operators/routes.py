@@ -377,25 +377,27 @@ def shortest_routes(pairs: DataFrame, found: Found) -> DataFrame:
 def _border_walk(found: Found) -> DataFrame:
     """(map_id, source, goal, hop, a, b): the steps between border cells of every route, numbered backwards from where the goal's tile is entered."""
     size = found.net.tile * found.region
-    key = ["map_id", "r_row", "r_col", "source"]
-    steps = found.border.withColumns(_square("cell", size, "r_row", "r_col")).select(*key, "cell", "next")
+    key = ["map_id", "r_row", "r_col", "block"]
+    blocks = max(1, -(-found.pairs.select("map_id", "source").distinct().count() // SOURCES))
+    place = _square("cell", size, "r_row", "r_col") | {"block": F.pmod(F.xxhash64("source"), F.lit(blocks))}  # sources that are walked together
+    steps = found.border.withColumns(place).select(*key, "source", "cell", "next")
     at = found.pairs.filter("via IS NOT NULL").select("map_id", "source", "goal", F.lit(0).cast("long").alias("hop"), F.col("via").alias("cell"))
     kinds = "map_id int, source long, goal long, hop long, a long, b long"
 
     def walk(group: tuple, cursors: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        before = dict(zip(known["cell"], known["next"], strict=True))
+        before = dict(zip(zip(known["source"].tolist(), known["cell"].tolist(), strict=True), known["next"].tolist(), strict=True))
         out = []
-        for goal, hop, b in zip(cursors["goal"], cursors["hop"], cursors["cell"], strict=True):
-            while b in before:  # a cell of another region goes on there; -1: the source's tile
-                a = before[b]
-                out.append((group[0], group[3], goal, hop, a, b))
+        for source, goal, hop, b in cursors[["source", "goal", "hop", "cell"]].itertuples(index=False):
+            while (source, b) in before:  # a cell of another region goes on there; -1: the source's tile
+                a = before[source, b]
+                out.append((group[0], source, goal, hop, a, b))
                 hop, b = hop + 1, a
         return pd.DataFrame(out, columns=[c.split()[0] for c in kinds.split(", ")])
 
     whole = None
     at = saved(at, "cursors")
     while at.limit(1).count():
-        placed = at.withColumns(_square("cell", size, "r_row", "r_col"))
+        placed = at.withColumns(place)
         mine = steps.join(placed.select(*[F.col(c).alias(c) for c in key]).distinct(), key, "left_semi")
         hops = saved(placed.groupBy(*key).cogroup(mine.groupBy(*key)).applyInPandas(walk, kinds), "hops")
         whole = hops if whole is None else whole.unionByName(hops)

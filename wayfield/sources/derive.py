@@ -121,9 +121,9 @@ def location_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request an order: from a point of the order's to one of the customer's, all over the map."""
+    """One request an order, between 40 much used points of each map."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    at = lambda k, m: (k * m % SPAN).cast("string")
+    at = lambda k, m: ((k % 40) * m % SPAN).cast("string")
     text = F.when(o % 7 == 0, F.concat(F.lit(" "), (c % 1000).cast("string"), F.lit(" "))).when(o % 7 == 1, "").otherwise(F.concat(F.lit("_"), (c % 1000).cast("string")))
     return _t(spark, sf_dir, "orders").select(
         o.alias("request_id"), (c % 5).cast("int").alias("map_id"), c.alias("user_id"),
