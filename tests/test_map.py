@@ -450,7 +450,6 @@ def test_poll_stream_drops_late_rows(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     q = location.poll_fixes(source).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").option("path", out).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sum(s["numRowsDroppedByWatermark"] for x in q.recentProgress for s in x["stateOperators"]) == 1
     got = [(x.window_start, x.event_id) for x in spark.read.parquet(out).orderBy("window_start").collect()]
     assert [e for _, e in got] == [2, 3]
 
