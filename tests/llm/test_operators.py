@@ -20,7 +20,7 @@ from wayfield.llm import chunks, lm_scoring, near_dup, substring_dedup, toxicity
 from wayfield.llm.decontamination import align, contaminated
 from wayfield.llm.exact_dedup import exact_dedup
 from wayfield.llm.fm_index import FMIndex, earlier, suffix_order
-from wayfield.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan
+from wayfield.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, Vocabulary, scan
 from wayfield.llm.packing import ByteIds, best_fit, pack_documents
 from wayfield.llm.token_counts import PieceCounts, count_tokens, parts
 
@@ -372,6 +372,64 @@ def test_lm_state_sums_to_one():
         assert abs(sum(p(state, w) for w in [*c, "unknown"]) - 1) < 1e-12
 
 
+def test_automaton_walked_by_hand(monkeypatch):
+    """States, arcs and failure arcs of two texts, followed one by one; stretches of any length give the same."""
+    texts = ["a b a c a b d", "b b a", "x", "", "a b x a b d a c"]
+    learnt = np.array([True, True, False, False, False])
+    chunk = lm_scoring.Chunk(pa.array(texts), 3)
+    word_n, gram_n = chunk.counts(learnt)
+    got = chunk.scores(word_n, gram_n, int(word_n.sum()), int((word_n > 0).sum()))[3]
+    model = lm_scoring.Automaton(chunk, np.concatenate([[0], word_n, gram_n]).astype(float), int(word_n.sum()) + 0.5 * ((word_n > 0).sum() + 1))
+    arcs = {(k >> 32, k & 0xFFFFFFFF): (n, w) for k, n, w in zip(model.arc.tolist(), model.next.tolist(), model.weight.tolist(), strict=True) if k >= 0}
+    starts = chunk.nodes(1)
+    trained = [[None, *t.split(), None] for t in texts[:2]]
+    assert len(arcs) == sum(len({tuple(s[i : i + n]) for s in trained for i in range(len(s) - n + 1)}) for n in (2, 3))
+    fell = 0
+    for d, t in enumerate(texts):
+        state, total = int(starts[chunk.first[d]]), 0.0
+        for w in starts[chunk.first[d] + 1 : chunk.first[d + 1]].tolist():
+            while state and (state, w) not in arcs:
+                total += model.back[state]
+                state, fell = int(model.fail[state]), fell + 1
+            if state:
+                state, value = arcs[state, w]
+            else:
+                state, value = int(model.root_next[w]), model.root[w]
+            total += value
+        assert abs(total - got[d]) < 1e-9, t
+    assert fell > 5
+    _, p = lm_model([t.split() for t in texts[:2]])
+    s = [None, *texts[4].split(), None]
+    assert abs(got[4] - sum(math.log10(p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(1, len(s)))) < 1e-9
+    for lane in (2, 3, 5):
+        monkeypatch.setattr(lm_scoring, "LANE", lane)
+        assert np.allclose(chunk.scores(word_n, gram_n, int(word_n.sum()), int((word_n > 0).sum()))[3], got)
+
+
+def test_word_hashes_of_patterned_words():
+    """Thue-Morse words and their complements, which meet in any polynomial modulo 2**64, and words that differ in one byte, order of blocks or length."""
+    several = []
+    for n in (1024, 2048, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        several += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    several += ["a" * n for n in range(1, 70)] + ["12345678abcdefgh", "abcdefgh12345678", "x" * 8 + "\0", "x" * 8 + "\0\0"]
+    found = {words.hash_word(w) for w in several}
+    assert len(found) == len(several)
+    w = words.split(np.frombuffer(" ".join(several).encode(), np.uint8), np.array([0, len(" ".join(several).encode())]))
+    assert w.hash.tolist() == [words.hash_word(x) for x in several]
+
+
+def test_license_words_are_compared_by_bytes():
+    v = Vocabulary(PHRASES, TEMPLATES)
+    text = "the mit licence license licensee gnu"
+    w = words.split(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), words.ALNUM)
+    at, which = v.find(w)
+    assert [v.names[k] for k in which] == [x for x in text.split() if x in v.number] and "license" in v.number
+    w.hash[:] = words.hash_word("license")  # as if all words shared a hash
+    at, which = v.find(w)
+    assert [w.word(i) for i in at] == [b"license"]
+
+
 def test_warc_archive_round_trip():
     pages = [(i, f"http://x/{i}", ("<p>" + "text " * i).encode()) for i in range(40)]
     records = [warc.build_record(i, u, p, warc.base32_sha1(p), None, False) for i, u, p in pages]

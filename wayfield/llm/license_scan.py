@@ -71,13 +71,21 @@ class Vocabulary:
         self.table = np.zeros(1 << 16, bool)
         self.table[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
         self.number = {w: i for i, w in enumerate(self.names)}
+        spelt = [w.encode() for w in self.names]
+        self.size = np.array([len(w) for w in spelt])
+        self.letters = np.array([list(w.ljust(max(self.size), b"\0")) for w in spelt], np.uint8)
 
     def find(self, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """Places of vocabulary words, and their numbers; the bytes are compared too."""
         at = np.flatnonzero(self.table[(w.hash >> np.uint64(48)).astype(np.int64)])
         which = np.minimum(np.searchsorted(self.hashes, w.hash[at]), len(self.hashes) - 1)
-        good = self.hashes[which] == w.hash[at]
-        return at[good], which[good]
+        good = (self.hashes[which] == w.hash[at]) & (self.size[which] == w.end[at] - w.start[at])
+        at, which = at[good], which[good]
+        for k in range(self.letters.shape[1]):
+            same = (self.size[which] <= k) | (w.data[np.minimum(w.start[at] + k, len(w.data) - 1)] == self.letters[which, k])
+            if not same.all():
+                at, which = at[same], which[same]
+        return at, which
 
 
 def _split(text: pa.Array) -> words.Words:

@@ -14,8 +14,8 @@ All weights follow from n-gram counts, so counts are what is shuffled, packed:
    packed differences and training counts. A frequent n-gram is one key a chunk.
 2. A bucket adds up the counts of its keys over all chunks and answers each chunk in the
    chunk's own key order.
-3. Each chunk meets its answers (one row of text, one of counts) and is the automaton of
-   its own documents: one traversal from left to right carries the state and adds up the weights.
+3. Each chunk meets its answers (one row of text, one of counts), builds the part of the automaton that
+   its documents can reach and reads them once from left to right, carrying the state and adding up the weights.
 
 Steps 1 and 3 read the same rows (see ``chunks``), so ``docs`` must give the same partitions each time.
 """
@@ -34,6 +34,7 @@ from .chunks import answered, bucket_bits, count, packed, send, unpacked
 from .common import buffers, id_text, saved
 
 ORDER = 3
+LANE = 256  # tokens of a document that are read one after the other
 MU = 10.0  # what a state's lower order counts for, in occurrences
 KEYS_PER_BYTE = 0.45
 KINDS = ["words", "grams"]
@@ -80,32 +81,114 @@ class Chunk:
             for at, places, keys in ((self.word_at, self.tokens, self.words), (self.gram_at, ends, self.grams))
         )
 
-    def traverse(self, word_n: np.ndarray, gram_n: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, ...]:
-        """(n_tokens, n_known, base, score) of each document, from the corpus' counts of its keys.
-
-        The state after a token is the longest seen n-gram that ends there, so all arcs that a
-        traversal takes are known from the counts: at each token the failure arcs from the state down to the
-        first one that has an arc for it, then this arc.
-        """
-        norm = total + 0.5 * (distinct + 1)
-        seen = np.zeros(len(self.h))
-        seen[self.tokens] = word_n[self.word_at]
-        seen[self.first[:-1]] = seen[self.first[1:] - 1]  # as a context, the end before a text comes as often as that after one
-        n_known = np.add.reduceat((seen > 0) & (self.ahead > 0), self.first[:-1]).astype(np.int64)
-        p = (seen + 0.5) / norm
-        weight = np.log10(p)
+    def nodes(self, order_n: int) -> np.ndarray:
+        """At each place, the node of the ``order_n`` tokens that end there: words are nodes 1, 2, ..., longer n-grams follow."""
+        out = np.zeros(len(self.h), np.int64)
+        if order_n == 1:
+            out[self.tokens] = self.word_at + 1
+            out[self.first[:-1]] = out[self.first[1:] - 1]  # the end before a text is the token after one
+        else:
+            before = sum(map(len, self.ends[: order_n - 2]))
+            places = self.ends[order_n - 2]
+            out[places] = self.gram_at[before : before + len(places)] + (1 + len(self.words))
+        return out
+
+    def scores(self, word_n: np.ndarray, gram_n: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, ...]:
+        """(n_tokens, n_known, base, score) of each document, from the corpus' counts of its keys."""
+        model = Automaton(self, np.concatenate([[0], word_n, gram_n]).astype(np.float64), total + 0.5 * (distinct + 1))
+        word = self.nodes(1)
+        n_known = np.add.reduceat((model.count[word] > 0) & (self.ahead > 0), self.first[:-1]).astype(np.int64)
+        weight = model.root[word]
         weight[self.first[:-1]] = 0
         base = np.add.reduceat(weight, self.first[:-1])
-        at = 0
-        for places in self.ends:
-            n, c = gram_n[self.gram_at[at : at + len(places)]].astype(np.float64), seen[places - 1]
-            arc, back = (n + MU * p[places]) / (c + MU), np.log10(MU / (c + MU))
-            weight[places] = np.where(n > 0, np.log10(arc), back + weight[places])
-            p[places] = arc
-            seen = np.zeros(len(self.h))
-            seen[places] = n
-            at += len(places)
-        return np.diff(self.first) - 1, n_known, base, np.add.reduceat(weight, self.first[:-1])
+        return np.diff(self.first) - 1, n_known, base, model.traverse(word, self.first)
+
+
+class Automaton:
+    """The weighted backoff automaton of the n-grams of a chunk.
+
+    States: the root (0) and each seen n-gram of less than ``order`` tokens. A seen n-gram of a
+    state's tokens and one more is an arc; it leads to this n-gram's state, or to
+    that without its first token if it has ``order`` of them. The failure arc leads to the state without the first token.
+    The root has an arc for every word; that of an unseen one leads back to it.
+    """
+
+    def __init__(self, chunk: Chunk, count: np.ndarray, norm: float):
+        """``count``: how often each node was seen; 0 makes it no state and no arc."""
+        self.order, self.count = chunk.order, count
+        n_words, n_nodes = len(chunk.words), len(count)
+        self.fail = np.zeros(n_nodes, np.int64)
+        p = np.full(n_nodes, 1.0)
+        p[1 : n_words + 1] = (count[1 : n_words + 1] + 0.5) / norm
+        self.root = np.log10(p[: n_words + 1])
+        self.root_next = np.where(count[: n_words + 1] > 0, np.arange(n_words + 1), 0)
+        keys, nexts, weights = [np.array([-1])], [np.array([0])], [np.zeros(1)]  # no key is -1: it stands in for an arc where there is none
+        word = shorter = chunk.nodes(1)
+        for n in range(2, self.order + 1):
+            at, node, place = chunk.ends[n - 2], chunk.nodes(n), np.zeros(n_nodes, np.int64)
+            place[node[at]] = at
+            node_of = np.flatnonzero((place > 0) & (count > 0))  # seen n-grams of n tokens, and a place of each
+            at = place[node_of]
+            state, suffix = shorter[at - 1], shorter[at]
+            self.fail[node_of] = suffix
+            p[node_of] = (count[node_of] + MU * p[suffix]) / (count[state] + MU)
+            keys.append(state << 32 | word[at])
+            nexts.append(node_of if n < self.order else suffix)
+            weights.append(np.log10(p[node_of]))
+            shorter = node
+        keys = np.concatenate(keys)
+        sort = np.argsort(keys, kind="stable")
+        self.arc, self.next, self.weight = keys[sort], np.concatenate(nexts)[sort], np.concatenate(weights)[sort]
+        self.back = np.log10(MU / (count + MU))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log-probability) of each state's step by a word: failure arcs down to the first state with an arc for it, then this arc."""
+        to, value = np.zeros(len(state), np.int64), np.zeros(len(state))
+        lane, at = np.arange(len(state)), state
+        for _ in range(self.order):
+            up = at > 0
+            ground = lane[~up]
+            value[ground] += self.root[word[ground]]
+            to[ground] = self.root_next[word[ground]]
+            lane, at = lane[up], at[up]
+            if not len(lane):
+                break
+            key = at << 32 | word[lane]
+            arc = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            found = self.arc[arc] == key
+            hit = lane[found]
+            value[hit] += self.weight[arc[found]]
+            to[hit] = self.next[arc[found]]
+            lane, at = lane[~found], at[~found]
+            value[lane] += self.back[at]
+            at = self.fail[at]
+        return to, value
+
+    def traverse(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log-probability of each document: its tokens are read once, from left to right, and the state is carried along.
+
+        Documents are read side by side. A long one is cut into stretches of LANE tokens, each of which starts at the
+        root ``order`` - 1 tokens early: a state is no longer than that, so the carried one is there when the stretch begins.
+        """
+        size = np.diff(first) - 1
+        n = -(-size // LANE)
+        doc = np.repeat(np.arange(len(size)), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        left = np.minimum(size[doc] - k * LANE, LANE)
+        by_length = np.argsort(-left, kind="stable")
+        doc, k, left = doc[by_length], k[by_length], left[by_length]
+        begin = first[doc] + 1 + k * LANE
+        start = word[first[doc]]
+        state = np.where((k == 0) & (self.count[start] > 0), start, 0)
+        inner = np.flatnonzero(k)
+        for early in range(self.order - 1, 0, -1):
+            state[inner], _ = self.step(state[inner], word[begin[inner] - early])
+        total = np.zeros(len(doc))
+        active = np.searchsorted(-left, -np.arange(left.max(initial=0)), "left")  # stretches of more than j tokens
+        for j, m in enumerate(active.tolist()):
+            state[:m], value = self.step(state[:m], word[begin[:m] + j])
+            total[:m] += value
+        return np.bincount(doc, total, len(size))
 
 
 def held_out(id_col: str):
@@ -134,7 +217,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
 
     def score(_: int, batch: pa.RecordBatch, parts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         counts = (np.concatenate(list(map(unpacked, x))) for x in parts)
-        n_tokens, n_known, base, value = Chunk(batch.column(1), order).traverse(*counts, total, distinct)
+        n_tokens, n_known, base, value = Chunk(batch.column(1), order).scores(*counts, total, distinct)
         learnt = pa.array(np.full(len(n_tokens), total, np.int64))
         columns = [batch.column(0), batch.column(2), pa.array(n_tokens), pa.array(n_known), learnt, pa.array(base), pa.array(value)]
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_RUN = 1 << 16  # long words whose blocks are laid out at once
+_BLOCK_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def byte_class(separators: str) -> np.ndarray:
@@ -24,23 +24,6 @@ ALNUM = byte_class(r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F")  # ASCII letters and
 LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(base)
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
-
-
-_P: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _P or len(_P["p"]) < n:
-        size = max(n, _BLOCK)
-        _P["p"], _P["i"] = _powers(_BASE, size), _powers(_INVERSE, size)
-    return _P["p"], _P["i"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     with np.errstate(over="ignore"):
@@ -94,19 +77,27 @@ def split(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray = SPACED, l
 
 
 def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, from prefix sums of a polynomial modulo 2**64, block by block."""
-    out, at, n = np.empty(len(start), np.uint64), 0, len(start)
+    """64-bit hash of each word's bytes: blocks of 8 bytes are mixed with their place, one by one, and added up.
+
+    Each block passes ``mix`` before it meets another, so no pattern of letters
+    makes blocks cancel out, as they do in a polynomial of the bytes modulo 2**64.
+    """
+    size = end - start
+    out = size.astype(np.uint64) * _BLOCK_STEP
+    near = np.concatenate([data, np.zeros(8, np.uint8)])
+    block = np.ndarray(len(data) + 1, "<u8", near, strides=(1,))  # the 8 bytes from each byte on
     with np.errstate(over="ignore"):
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(end, start[at] + _BLOCK, "right")))
-            base, top = start[at], end[to - 1]
-            power, inverse = _tables(int(top - base))
-            sums = np.empty(top - base + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * power[: top - base], out=sums[1:])
-            s, e = start[at:to] - base, end[at:to] - base
-            out[at:to] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            at = to
+        left = np.minimum(size, 8)
+        out += mix(block[start] & _FIRST_BYTES[left])
+        long = np.flatnonzero(size > 8)
+        for at in range(0, len(long), _RUN):
+            some = long[at : at + _RUN]
+            n = (size[some] - 1) >> 3  # blocks after the first
+            first = np.cumsum(n) - n
+            k = np.arange(n.sum()) - np.repeat(first, n) + 1
+            place = np.repeat(start[some], n) + 8 * k
+            value = block[place] & _FIRST_BYTES[np.minimum(np.repeat(end[some], n) - place, 8)]
+            out[some] += np.add.reduceat(mix(mix(value) + k.astype(np.uint64) * _BLOCK_STEP), first)
     return mix(out)
 
 
