@@ -80,9 +80,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents in sequences of 2048 tokens; null text is the end id alone, an empty table gives no piece."""
-    import public_tokenizers
-
-    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [
