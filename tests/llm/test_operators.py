@@ -16,15 +16,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
+from wayfield.llm import exact_dedup as exact_dedup_module
 from wayfield.llm import chunks, lm_scoring, near_dup, substring_dedup, toxicity, warc, words
+from wayfield.llm.common import saved
 from wayfield.llm.decontamination import align, contaminated
 from wayfield.llm.exact_dedup import exact_dedup
 from wayfield.llm.fm_index import FMIndex, earlier, suffix_order
 from wayfield.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, Vocabulary, scan
 from wayfield.llm.packing import ByteIds, best_fit, pack_documents
-from wayfield.llm.token_counts import PieceCounts, count_tokens, parts
+from wayfield.llm.token_counts import PieceCounts, byte_batches, count_tokens, parts
 
-SP, BPE, RANKS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+SP, BPE = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, row long, key string"
 SPACED = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -88,10 +90,19 @@ def test_token_counts(spark, docs, edge, none):
     assert count_tokens(none, SP).count() == 0
 
 
-def test_byte_ids_match_the_library():
-    b = ByteIds(BPE, RANKS, public_tokenizers.PATTERN)
-    for t in noise(3000, 3):
-        assert b.ids(t) == np.array(b.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+def test_byte_ids_match_the_library(docs):
+    b = ByteIds(BPE)
+    for t in noise(3000, 3) + noise(50, 4) + [t for _, t in rows_of(docs)]:
+        assert b.ids(t) == b.encode(t)
+    chunks = [" " + w for t in noise(3000, 5) for w in t.split()] + [w for w in noise(300, 6) if w]
+    b = ByteIds(BPE)
+    b.learn(chunks)  # in one call, joined where that is safe
+    assert all(b[c] == b.encode(c) for c in chunks)
+
+
+def test_calls_are_balanced_by_bytes():
+    texts = ["\u00e9" * 60, "a" * 100, "b", "\u4e2d" * 50, "c" * 500]
+    assert list(byte_batches(texts, 200)) == [[texts[0]], texts[1:3], [texts[3]], [texts[4]]]
 
 
 def check_packing(df, pieces, window=2048):
@@ -118,10 +129,10 @@ def check_packing(df, pieces, window=2048):
 
 
 def test_packing(spark, docs, edge, none):
-    n = check_packing(docs, pack_documents(docs, BPE, RANKS, public_tokenizers.PATTERN).collect())
+    n = check_packing(docs, pack_documents(docs, BPE).collect())
     total = pack_documents(docs, BPE).agg(F.sum("length")).first()[0]
     assert n <= math.ceil(total / 2048) + 2
-    check_packing(edge, pack_documents(edge, BPE, RANKS, public_tokenizers.PATTERN).collect())
+    check_packing(edge, pack_documents(edge, BPE).collect())
     assert pack_documents(none, BPE).count() == 0
 
 
@@ -157,6 +168,27 @@ def test_exact_dedup(spark, docs, edge, none):
     assert exact_dedup(none).count() == 0
 
 
+def test_runs_of_digests_are_sorted_and_merge_level_by_level(spark, monkeypatch):
+    levels: list = []
+    monkeypatch.setattr(exact_dedup_module, "saved", lambda df, label="t": levels.append((label, saved(df, label), df)) or levels[-1][1])
+    n = 600
+    df = spark.range(n * 3).select((F.col("id") % 700).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 50).alias("text"))
+    got = exact_dedup(df.repartition(n)).collect()
+    assert len(got) == n * 3 and sum(r.kept for r in got) == 50 and all(r.group_size == n * 3 // 50 for r in got)
+    runs = [x for x in levels if x[0].startswith("run")]
+    assert [x[0] for x in runs] == ["run0", "run1", "run2", "run3", "run4"]
+    key = F.concat_ws(" ", F.lpad(F.col("run").cast("string"), 9, "0"), "digest")
+    for k, (_, table, plan) in enumerate(runs):
+        assert table.agg(F.max("run")).first()[0] == (n - 1) >> (3 * k)
+        assert table.groupBy("run", "digest").count().filter("count > 1").count() == 0
+        by_file: dict[str, list[str]] = {}
+        for r in table.select(F.input_file_name().alias("f"), key.alias("k"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect():
+            by_file.setdefault(r.f, []).append(r.k)
+        assert all(x == sorted(x) for x in by_file.values())
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" in text and "Python" not in text and "Arrow" not in text
+
+
 def test_suffix_order_and_backward_search():
     r = np.random.default_rng(1)
     text = r.integers(1, 4, 300)
@@ -643,7 +675,7 @@ def test_very_long_texts(spark, very_long):
     got = [r for r in contaminated(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()]
     assert {(r.doc_id, r.first_word, r.score) for r in got} == {(1, len(w) - 11, 1.0), (2, len(w) - 11, 1.0)}
     assert one(exact_dedup(df))[1].text_sha256 == hashlib.sha256(long.encode()).hexdigest()
-    check_packing(df, pack_documents(df, BPE, RANKS, public_tokenizers.PATTERN).collect())
+    check_packing(df, pack_documents(df, BPE).collect())
 
 
 def test_toxicity_forward_pass_against_plain_loops():

@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,88 +27,106 @@ from .token_counts import CACHE_ENTRIES, CACHED_CHARS, parts
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long"
 RESTS_PER_GROUP = 8192
+CHUNKS_AT_ONCE = 1 << 17
 _OWN = 1 << 62  # sequence ids of full windows begin here
 
-_UNSAFE = re.compile(r" \s")
-_CHUNK = re.compile(r"\s*\S+|\s+")
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space of the pre-tokenizer's patterns
+_UNSAFE = re.compile(f"^[{_WHITE}]| [{_WHITE}]")
+_CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 class ByteIds(dict):
-    """Chunk of text -> its ids as little-endian unsigned 32-bit bytes.
+    """Chunk of text -> its ids, by the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
 
     The byte-level pre-tokenizer never lets a piece run from a non-space into a
-    space, so a chunk that begins at such a space is encoded alone. Chunks of
-    plain text go through tiktoken with the same merges when that file is given
-    (tests hold the ids against the ``tokenizers`` library), all others and
-    those that may hold a special string through ``tokenizers`` itself.
+    space, so a chunk that begins at such a space is encoded alone. The chunks
+    that aren't known yet go to the library together, one behind the other;
+    the bytes of the pieces tell where each chunk's ids end. Chunks that may
+    hold a special string, don't begin with a space or end in white space go one by one.
     """
 
-    def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, json_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tok = Tokenizer.from_file(json_path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.fast = None
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        if ranks_path:
-            import base64
-
-            import tiktoken
-
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        vocab = self.tok.get_vocab(True)
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of a piece: the vocabulary spells a byte as a character
+        self.sizes[list(vocab.values())] = [len(piece) for piece in vocab]
 
     def encode(self, text: str) -> bytes:
-        if self.fast and not any(s in text for s in self.special):
-            return np.array(self.fast(text), "<u4").tobytes()
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def learn(self, chunks: list[str]) -> None:
+        """Ids of chunks that aren't known yet."""
+        together, own = [], []
+        for c in chunks:
+            alone = c[0] != " " or c[-1].isspace() or any(s in c for s in self.special)
+            (own if alone else together).append(c)
+        if together:
+            (found,) = self.tok.encode_batch_fast(["".join(together)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(c.encode()) for c in together])
+            reached = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(reached, ends)
+            if last[-1] == len(ids) - 1 and np.array_equal(reached[last], ends):
+                raw, at = ids.tobytes(), 0
+                for c, to in zip(together, (4 * last + 4).tolist(), strict=True):
+                    self[c] = raw[at:to]
+                    at = to
+            else:  # a piece that spans two chunks, or a vocabulary that isn't spelt by bytes
+                own += together
+        for c in own:
+            self[c] = self.encode(c)
+
+    def joined(self, chunks: list[str]) -> bytes:
+        """The ids of chunks that follow each other."""
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        new = [c for c in set(chunks) if c not in self]
+        if new:
+            self.learn(new)
+        out = b"".join(map(self.__getitem__, chunks))
+        for c in new:
+            if len(c) > CACHED_CHARS:
+                del self[c]
+        return out
 
     def ids(self, text: str) -> bytes:
-        """All ids of one text."""
+        """All ids of one text; a very long one goes part by part."""
         if not text:
             return b""
         if any(" " in s and s in text for s in self.special):
             return self.encode(text)
-        if _UNSAFE.search(text) or text[0].isspace():
-            return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+        if _UNSAFE.search(text):
+            found = (m.group() for m in _CHUNK.finditer(text))
+            return b"".join(map(self.joined, iter(lambda: list(islice(found, CHUNKS_AT_ONCE)), [])))
         out = []
         for k, part in enumerate(parts(text)):
-            words = part[1:].split(" ") if k else part.split(" ")
-            if not k:
-                out.append(self[words[0]])
-                words = words[1:]
-            out.append(b"".join([self[" " + w] for w in words]))
+            first, *words = part[1:].split(" ") if k else part.split(" ")
+            out.append(self.joined([" " + first if k else first, *[" " + w for w in words]]))
         return b"".join(out)
 
 
-_LOADED: dict[tuple, ByteIds] = {}
+_LOADED: dict[str, ByteIds] = {}
 
 
-def loaded(*key) -> ByteIds:
-    if key not in _LOADED:
-        _LOADED[key] = ByteIds(*key)
-    return _LOADED[key]
+def loaded(json_path: str) -> ByteIds:
+    if json_path not in _LOADED:
+        _LOADED[json_path] = ByteIds(json_path)
+    return _LOADED[json_path]
 
 
 def cut_pieces(
-    docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None,
-    window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, json_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The pieces of every document: full windows, then the rest (never empty: the end id is always there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = loaded(json_path, ranks_path, pattern), np.array([end_id], "<u4").tobytes()
+        enc, end = loaded(json_path), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows: list[tuple] = []
@@ -196,14 +215,14 @@ def pack(pieces: DataFrame, window: int = 2048, rests_per_group: int = RESTS_PER
 
 
 def pack_documents(
-    docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None,
-    window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, json_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces of all documents with the sequence and offset of each.
 
     Null text is empty (one piece that holds the end id alone). Repeated rows
     are packed as often as they come; equal lengths are ordered by doc_id, then
     start. An empty table gives no rows. A null id is kept. A very long text is encoded part by part.
+    Only the two named columns are read, so extra ones can't clash.
     """
-    pieces = cut_pieces(docs, json_path, ranks_path, pattern, window, end_id, id_col, text_col)
+    pieces = cut_pieces(docs, json_path, window, end_id, id_col, text_col)
     return pack(pieces, window)

@@ -40,13 +40,14 @@ def parts(text: str, limit: int = LONG_TEXT) -> Iterator[str]:
 
 
 def byte_batches(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Runs of texts of about ``limit`` characters together, or one longer text."""
+    """Runs of texts of about ``limit`` UTF-8 bytes together, or one longer text."""
     at, n = 0, 0
     for k, text in enumerate(texts):
-        if n and n + len(text) > limit:
+        size = len(text) if text.isascii() else len(text.encode())
+        if n and n + size > limit:
             yield texts[at:k]
             at, n = k, 0
-        n += len(text)
+        n += size
     if at < len(texts):
         yield texts[at:]
 
