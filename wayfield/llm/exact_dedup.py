@@ -1,9 +1,10 @@
-"""Exact dedup by a tree-merge of digest runs (DataFrame operations only).
+"""Exact dedup by a tree-merge of sorted digest runs (DataFrame operations only).
 
-The rows of an input partition are a run. Level 0 reduces each run to one entry per digest, before
-anything is sent; each further level merges 2**FAN_BITS runs into one (FAN_BITS binomial
-rounds at a time), keeping of each digest the identifier that stays and the
-count. The decision then goes back down the same tree, so no join has more
+The rows of an input partition are a run. Level 0 brings each run to one entry per digest, sorted; each further
+level exchanges 2**FAN_BITS runs and merges them into one sorted run (FAN_BITS binomial rounds at a
+time): the aggregates of a level keep structs, so Spark sorts the exchanged runs by digest and reduces neighbours, and
+writes what it merged in this order. Of each digest the identifier that stays and the count are
+kept. The decision then goes back down the same tree, so no join has more
 than 2**FAN_BITS children of one digest, or at the bottom the rows of one partition: a text
 that makes up a third of all rows never meets in one task.
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, saved
 
-FAN_BITS = 6
+FAN_BITS = 3
 KEY = ["digest", "n_bytes", "second"]
 
 
@@ -48,10 +49,10 @@ def tree_merge(rows: DataFrame, keep: str = "smallest", fan_bits: int = FAN_BITS
     levels = levels_above((rows.agg(F.max("run")).first()[0] or 0) + 1, fan_bits)
     sign = F.lit(1 if keep == "smallest" else -1).cast("long")
     best = F.struct(F.col("doc_id").isNull().alias("none"), (sign * F.col("doc_id")).alias("rank"), "row", "doc_id")
-    level = rows.groupBy(*KEY, "run").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
+    level = rows.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("size"))
     up = [saved(level, "run0")]
     for k in range(1, levels + 1):
-        merged = up[-1].withColumn("run", F.shiftright("run", fan_bits)).groupBy(*KEY, "run")
+        merged = up[-1].withColumn("run", F.shiftright("run", fan_bits)).groupBy("run", *KEY)
         level = merged.agg(F.min("best").alias("best"), F.sum("size").alias("size"))
         if k == levels:
             level = level.filter("size > 1")  # groups of one need no way down
@@ -75,7 +76,8 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
 
     Texts are equal when identical after no change; null counts as empty. Of a
     group the row with the largest (or smallest) id is kept; of repeated rows
-    with that id, exactly one. An empty table gives no rows.
+    with that id, exactly one. A very long text is a digest like any other; only the
+    two named columns are read. An empty table gives no rows.
     """
     rows = saved(digests(docs, id_col, text_col), "digests")
     return tree_merge(rows, keep).select(
