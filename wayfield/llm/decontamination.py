@@ -350,7 +350,8 @@ def contaminated(
     the best place (the first of equal ones), n_places. Words are runs of ASCII letters and digits
     (lower-cased) and of all above ASCII. An item of fewer than ``gram`` words
     must stand whole, as one word of it would reach the threshold. Null texts and texts without words match nothing;
-    repeated rows and items give repeated pairs, an item without id a null one; empty tables give none.
+    repeated rows and items give repeated pairs, an item without id a null one; empty tables give none. Very long
+    texts are read whole. Only the named columns are read, so extra ones can't clash.
     """
     rows = id_text(docs, id_col, text_col)
     found = [_search(rows, ids, item_words, _frequencies(rows, item_words), gram, threshold) for ids, item_words in _blocks(benchmark, items_per_block, item_col, text_col)]

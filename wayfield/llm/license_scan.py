@@ -162,6 +162,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     ``last_word``: least and greatest start of a base phrase, else null.
     ``blocks``: first and last start of each run of overlapping windows that meet a template, in order of first start and
     template. Repeated rows are scanned alike, very long texts whole; an empty table gives no rows.
+    Only the named columns are read, so extra ones can't clash.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     rows = id_text(docs, id_col, text_col)

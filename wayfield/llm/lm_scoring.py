@@ -203,6 +203,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
     and is learnt from. Repeated rows are scored alike and learnt from as often as they come. Without
     training rows all counts are 0 and each token has probability 1. An empty table gives no rows.
     A very long text is a chunk by itself. N-grams are counted by 64-bit hashes.
+    Only the named columns are read, so extra ones can't clash.
     """
     rows = id_text(docs, id_col, text_col, held_out(id_col).alias("held_out"))
     def keys_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -303,6 +303,7 @@ def near_dup(
     of fewer than n words are one shorter n-gram, very long ones are taken whole; ``kept`` marks one row of each class, that of the
     least doc_id (of several, the first). All texts without words (null, empty) have equal sets. Rows that repeat id and
     text are equal. A null id comes before all others. An empty table gives no rows.
+    Only the named columns are read, so extra ones can't clash.
     """
     bands, rows = banding(threshold, target_recall)
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()

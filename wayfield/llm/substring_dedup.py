@@ -253,6 +253,7 @@ def drop_repeats(
     as one document (none is removed for the other's sake); rows with one id
     and different texts are different documents, in an arbitrary fixed order. Very long texts are taken whole;
     an empty table gives no rows.
+    Only the named columns are read, so extra ones can't clash.
     """
     if not gram <= window <= gram + 30:
         raise ValueError("the window must be from gram to gram + 30 words")

@@ -317,6 +317,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     Null text is empty; texts without words get the network's bias alone. A long run without a space is scored whole, in
     pieces. Repeated rows are scored
     alike; an empty table gives no rows; without labels of both kinds the score is a constant.
+    Only the named columns are read, so extra ones can't clash.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **sample)
     scored = score_column(id_text(docs, id_col, text_col), model, SCORES, 1, ["doc_id", "score"])
