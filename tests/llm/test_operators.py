@@ -94,10 +94,10 @@ def test_byte_ids_match_the_library(docs):
     b = ByteIds(BPE)
     for t in noise(3000, 3) + noise(50, 4) + [t for _, t in rows_of(docs)]:
         assert b.ids(t) == b.encode(t)
-    chunks = [" " + w for t in noise(3000, 5) for w in t.split()] + [w for w in noise(300, 6) if w]
+    found = list({w for t in noise(3000, 5) for w in t.split(" ")} | {"a\n", "\u3000", "\n b", "", " c"})
     b = ByteIds(BPE)
-    b.learn(chunks)  # in one call, joined where that is safe
-    assert all(b[c] == b.encode(c) for c in chunks)
+    b.learn(found)  # in one call, joined where that is safe
+    assert all(b[w] == b.encode(" " + w) for w in found)
 
 
 def test_calls_are_balanced_by_bytes():

@@ -36,19 +36,19 @@ _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 class ByteIds(dict):
-    """Chunk of text -> its ids, by the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
+    """Word -> the ids of the word after a space, by the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
 
     The byte-level pre-tokenizer never lets a piece run from a non-space into a
-    space, so a chunk that begins at such a space is encoded alone. The chunks
-    that aren't known yet go to the library together, one behind the other;
-    the bytes of the pieces tell where each chunk's ids end. Chunks that may
-    hold a special string, don't begin with a space or end in white space go one by one.
+    space, so a text is cut there. Words that aren't known yet go to the library together, one behind
+    the other; the bytes of the pieces tell where each word's ids end. Words that may
+    hold a special string or end in white space go one by one.
     """
 
     def __init__(self, json_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.bare: dict[str, bytes] = {}  # ids of chunks that don't begin with a space
         self.tok = Tokenizer.from_file(json_path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -60,41 +60,58 @@ class ByteIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Ids of chunks that aren't known yet."""
-        together, own = [], []
-        for c in chunks:
-            alone = c[0] != " " or c[-1].isspace() or any(s in c for s in self.special)
-            (own if alone else together).append(c)
+    def learn(self, words: list[str]) -> None:
+        """Ids of words that aren't known yet."""
+        text = "".join(words)
+        special = [s for s in self.special if s in text]
+        alone = {w for w in words if not w[-1:].strip() or any(s in w for s in special)} if special else {w for w in words if not w[-1:].strip()}
+        together = [w for w in words if w not in alone] if alone else words
         if together:
-            (found,) = self.tok.encode_batch_fast(["".join(together)], add_special_tokens=False)
+            text = " " + " ".join(together)
+            (found,) = self.tok.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(c.encode()) for c in together])
+            sizes = map(len, together if text.isascii() else map(str.encode, together))
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(together)) + 1)
             reached = np.cumsum(self.sizes[ids])
             last = np.searchsorted(reached, ends)
             if last[-1] == len(ids) - 1 and np.array_equal(reached[last], ends):
-                raw, at = ids.tobytes(), 0
-                for c, to in zip(together, (4 * last + 4).tolist(), strict=True):
-                    self[c] = raw[at:to]
-                    at = to
-            else:  # a piece that spans two chunks, or a vocabulary that isn't spelt by bytes
-                own += together
-        for c in own:
-            self[c] = self.encode(c)
-
-    def joined(self, chunks: list[str]) -> bytes:
-        """The ids of chunks that follow each other."""
+                raw, to = ids.tobytes(), (4 * last + 4).tolist()
+                self.update(zip(together, [raw[i:j] for i, j in zip([0, *to], to)]))  # noqa: B905
+            else:  # a piece that spans two words, or a vocabulary that isn't spelt by bytes
+                alone.update(together)
+        for w in alone:
+            self[w] = self.encode(" " + w)
+
+    def after_spaces(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, taken after a space."""
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        new = [c for c in set(chunks) if c not in self]
-        if new:
+        out = list(map(self.get, words))
+        if None in out:
+            new = list({w for w, ids in zip(words, out, strict=True) if ids is None})
             self.learn(new)
-        out = b"".join(map(self.__getitem__, chunks))
-        for c in new:
-            if len(c) > CACHED_CHARS:
-                del self[c]
+            out = [self[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
+            for w in new:
+                if len(w) > CACHED_CHARS:
+                    del self[w]
         return out
 
+    def without_space(self, chunk: str) -> bytes:
+        """The ids of a chunk as it is."""
+        ids = self.bare.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+            if len(chunk) <= CACHED_CHARS:
+                if len(self.bare) >= CACHE_ENTRIES:
+                    self.bare.clear()
+                self.bare[chunk] = ids
+        return ids
+
+    def chunks(self, chunks: list[str]) -> bytes:
+        """The ids of chunks that follow each other, with the white space each begins with."""
+        spaced = iter(self.after_spaces([c[1:] for c in chunks if c[0] == " "]))
+        return b"".join([next(spaced) if c[0] == " " else self.without_space(c) for c in chunks])
+
     def ids(self, text: str) -> bytes:
         """All ids of one text; a very long one goes part by part."""
         if not text:
@@ -103,11 +120,13 @@ class ByteIds(dict):
             return self.encode(text)
         if _UNSAFE.search(text):
             found = (m.group() for m in _CHUNK.finditer(text))
-            return b"".join(map(self.joined, iter(lambda: list(islice(found, CHUNKS_AT_ONCE)), [])))
+            return b"".join(map(self.chunks, iter(lambda: list(islice(found, CHUNKS_AT_ONCE)), [])))
         out = []
         for k, part in enumerate(parts(text)):
-            first, *words = part[1:].split(" ") if k else part.split(" ")
-            out.append(self.joined([" " + first if k else first, *[" " + w for w in words]]))
+            first, *words = part.split(" ")  # a part after the first begins with a space
+            if not k:
+                out.append(self.without_space(first))
+            out += self.after_spaces(words)
         return b"".join(out)
 
 
