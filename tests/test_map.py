@@ -385,6 +385,29 @@ def test_containing(spark):
     assert got == {(n, i) for n in needles for i, t in texts if n in t} and got
 
 
+def test_search_broadcasts_no_texts(spark):
+    """Substrings are many times their texts: no join of a search may send them through the driver."""
+    texts = spark.createDataFrame([(i, f"red_pin_{i}") for i in range(50)], "id long, text string")
+    plan = places.meeting(spark.createDataFrame([("_1",)], "needle string"), texts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_resolving_broadcasts_no_places(spark):
+    p = spark.createDataFrame([(1, f"red_pin_{i}", "Red", i) for i in range(50)], "map_id int, id string, name string, part int")
+    r = spark.createDataFrame([(1, 1, "_49", None), (2, 1, "red", None), (3, 1, "d\nr", None)], "request_id long, map_id int, place_text string, place_id string")
+    found = places.resolve_places(r, p, limit=1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Window") == 0  # places are ranked before, not beside the requests
+    assert sorted(tuple(x) for x in found.select("request_id", "place", "status", "candidates").collect()) == [(1, "red_pin_49", "ok", None), (2, None, "ambiguous", "red_pin_0"), (3, None, "not_found", None)]
+
+
+def test_numbers_meet_few_texts(spark):
+    """The pairs a search checks grow with what it finds, not with the square of the numbers in ids."""
+    texts = spark.createDataFrame([(i, f"red_pin_{i}") for i in range(20000)], "id long, text string")
+    needles = texts.select(F.concat(F.lit("_"), F.col("id").cast("string")).alias("needle"))
+    met, found = places.meeting(needles, texts).count(), places.containing(needles, texts).count()
+    assert found == sum(str(i).startswith(str(k)) for i in range(20000) for k in {int(str(i)[:n]) for n in range(1, 6)}) and met < 4 * found
+
+
 def test_tour_status_and_path(spark):
     net = routes.road_net(grid.build_edges(features_of(spark, ["11111"])), 16)
     legs = spark.createDataFrame([(1, 1, 1, "p", "P / x", 0, 0, 0, 3), (1, 1, 2, "q", "", 0, 3, 0, 1), (2, 1, 1, "p", "P", 0, 0, 0, 0), (3, 1, 1, "p", "P", 0, 0, 9, 9)],
