@@ -408,6 +408,34 @@ def test_numbers_meet_few_texts(spark):
     assert found == sum(str(i).startswith(str(k)) for i in range(20000) for k in {int(str(i)[:n]) for n in range(1, 6)}) and met < 4 * found
 
 
+def test_equal_places_are_picked_in_order(spark):
+    """Candidates of one cell, gain and zone count as one place, and no more than a tour can hold of them go on."""
+    import numpy as np
+
+    x, zone = np.array([100.0, 900.0]), np.array([0, 1])
+    one_by_one = tours.pick_stops((0.0, 0.0), x[[0, 1, 0, 1, 0]], np.zeros(5), np.full(5, 5.0), zone[[0, 1, 0, 1, 0]], 4)
+    assert tours.pick_stops((0.0, 0.0), x, np.zeros(2), np.full(2, 5.0), zone, 4, [np.array([0, 2, 4]), np.array([1, 3])]) == one_by_one
+    found = [(1, f"c{i:03d}", "C", "dining", 5, i % 2, 7, 16.0 * (i % 2), 0.0, "ok", "0-0", i + 1) for i in range(300)]
+    candidates = spark.createDataFrame(found, "map_id int, id string, name string, type string, weight int, snap_row long, snap_col long, snap_x double, snap_y double, snap_status string, zone string, pos int")
+    starts = spark.createDataFrame([(1, 1, 0, 7, 0.0, 0.0)], "request_id long, map_id int, snap_row long, snap_col long, snap_x double, snap_y double")
+    got = [s.id for s in tours.select_tour_stops(starts, candidates, max_stops=5).orderBy("stop_no").collect()]
+    assert got == ["c001", "c003", "c005", "c007", "c009"]
+    assert tours.held(candidates.withColumn("gain", F.lit(1.0)), 5).count() == 10
+
+
+def test_requests_share_their_points(spark):
+    """Distinct points are snapped, requests meet them by place; a request's bad start and repeated points change nothing."""
+    from wayfield.plans import queries as Q
+
+    from .conftest import DATA
+
+    r = Q.snapped_requests(spark, DATA)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "ring_cells" not in plan and r.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
+    starts, points = Q.tour_starts(spark, DATA)[1], r.select("map_id", "start_row", "start_col").filter("start_row IS NOT NULL").distinct()
+    assert starts.count() == points.count() < r.count()
+
+
 def test_tour_status_and_path(spark):
     net = routes.road_net(grid.build_edges(features_of(spark, ["11111"])), 16)
     legs = spark.createDataFrame([(1, 1, 1, "p", "P / x", 0, 0, 0, 3), (1, 1, 2, "q", "", 0, 3, 0, 1), (2, 1, 1, "p", "P", 0, 0, 0, 0), (3, 1, 1, "p", "P", 0, 0, 9, 9)],

@@ -37,18 +37,36 @@ def tour_candidates(weighted: DataFrame, snapped: DataFrame, maps: DataFrame) ->
     return c.select("map_id", "id", "name", "type", "weight", "snap_row", "snap_col", "snap_x", "snap_y", "snap_status", zone.alias("zone"), pos.alias("pos"))
 
 
-def pick_stops(start: tuple[float, float], x: np.ndarray, y: np.ndarray, gain: np.ndarray, zone: np.ndarray, most: int) -> list[int]:
-    """Greedy order of stops: the best score next; of equal ones the first candidate."""
+def held(candidates: DataFrame, max_stops: int) -> DataFrame:
+    """``candidates`` without those no tour can reach: of equal ones (cell, gain, zone) the first ``max_stops``. So many a map are left as it has cells, however many places lie on them."""
+    equal = W.partitionBy("map_id", "snap_row", "snap_col", "snap_x", "snap_y", "gain", "zone").orderBy("pos")
+    return candidates.withColumn("_nth", F.row_number().over(equal)).filter(F.col("_nth") <= max_stops).drop("_nth")
+
+
+def pick_stops(start: tuple[float, float], x: np.ndarray, y: np.ndarray, gain: np.ndarray, zone: np.ndarray, most: int, members: list[np.ndarray] | None = None) -> list[int]:
+    """Greedy order of stops: the best score next; of equal ones the first candidate.
+
+    ``members``: the candidates (ascending numbers) of each place, which are equal in all that counts; without it each place is one.
+    """
+    members = [np.array([k]) for k in range(len(x))] if members is None else members
+    head, used = np.array([m[0] for m in members], np.int64), [0] * len(members)
     left, seen = np.ones(len(x), bool), np.zeros(int(zone.max(initial=-1)) + 1, bool)
     cx, cy = start
     out: list[int] = []
     while len(out) < most and left.any():
         far = np.maximum(P.TOUR_FLOOR, np.hypot(x - cx, y - cy))
         score = gain * np.where(seen[zone], 1.0, P.ZONE_BOOST) / np.power(far / P.TOUR_SCALE + 1, P.TOUR_POWER)
-        k = int(np.argmax(np.where(left, score, -np.inf)))
-        left[k], seen[zone[k]] = False, True
+        score = np.where(left, score, -np.inf)
+        best = np.flatnonzero(score == score.max())
+        k = int(best[np.argmin(head[best])])
+        out.append(int(head[k]))
+        used[k] += 1
+        if used[k] < len(members[k]):
+            head[k] = members[k][used[k]]
+        else:
+            left[k] = False
+        seen[zone[k]] = True
         cx, cy = x[k], y[k]
-        out.append(k)
     return out
 
 
@@ -56,7 +74,7 @@ def select_tour_stops(starts: DataFrame, candidates: DataFrame, max_stops: int =
     """(key, stop_no, id, snap_row, snap_col) for every start (key, map_id, snap_row, snap_col, snap_x, snap_y).
 
     A candidate on the start's own cell is left out. Distinct starts go in blocks of about STARTS, and each block meets
-    the candidates of its map (a gazetteer, not user data) once: no row of a start and a candidate is made.
+    the candidates of its map (a gazetteer, not user data; of equal ones no more than a tour can hold, see held) once: no row of a start and a candidate is made.
     A map with a candidate off the road net has no tour.
     """
     bad = candidates.filter("snap_status != 'ok'").select("map_id").distinct()
@@ -65,17 +83,21 @@ def select_tour_stops(starts: DataFrame, candidates: DataFrame, max_stops: int =
     blocks = at.groupBy("map_id").agg(F.ceil(F.count(F.lit(1)) / STARTS).alias("blocks"))
     at = saved(at.join(blocks, "map_id").withColumn("block", F.pmod(F.xxhash64("s_row", "s_col"), "blocks")).drop("blocks"), "starts")
     cols = ["map_id", "id", "name", "snap_row", "snap_col", "snap_x", "snap_y", "gain", "zone", "pos"]
-    shared = good.select(*cols).join(at.select(F.col("map_id").alias("m"), F.col("block").alias("block")).distinct().withColumnRenamed("m", "map_id"), "map_id")
+    shared = held(good.select(*cols), max_stops).join(at.select(F.col("map_id").alias("m"), F.col("block").alias("block")).distinct().withColumnRenamed("m", "map_id"), "map_id")
     kinds = "map_id int, s_row long, s_col long, id string, name string, snap_row long, snap_col long, stop_no long"
 
     def choose(key: tuple, begin: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        zone, place = pd.factorize(pdf["zone"])[0], [pdf[c].to_numpy(np.float64) for c in ("snap_x", "snap_y", "gain")]
-        row, col = pdf["snap_row"].to_numpy(), pdf["snap_col"].to_numpy()
+        spot = pdf.groupby(["snap_row", "snap_col", "snap_x", "snap_y", "gain", "zone"], sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(spot, kind="stable")
+        members = np.split(order, np.flatnonzero(np.diff(spot[order])) + 1) if len(order) else []
+        at = pdf.loc[[m[0] for m in members]]
+        zone, place = pd.factorize(at["zone"])[0], [at[c].to_numpy(np.float64) for c in ("snap_x", "snap_y", "gain")]
+        row, col = at["snap_row"].to_numpy(), at["snap_col"].to_numpy()
         parts = []
         for s_row, s_col, x, y in begin[["s_row", "s_col", "s_x", "s_y"]].itertuples(index=False):
             other = np.flatnonzero((row != s_row) | (col != s_col))
-            order = other[pick_stops((x, y), *(v[other] for v in place), zone[other], max_stops)] if len(other) else other
+            order = pick_stops((x, y), *(v[other] for v in place), zone[other], max_stops, [members[k] for k in other]) if len(other) else []
             out = pdf.loc[order, ["id", "name", "snap_row", "snap_col"]]
             parts.append(out.assign(map_id=key[0], s_row=s_row, s_col=s_col, stop_no=np.arange(1, len(order) + 1)))
         names = [c.split()[0] for c in kinds.split(", ")]
