@@ -5,6 +5,7 @@ import collections
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import zlib
@@ -641,6 +642,24 @@ def test_toxicity_edges(spark, edge, none):
     assert toxicity.toxicity(edge, labels.limit(0)).count() == edge.count()
 
 
+def test_network_is_trained_in_a_task(spark, monkeypatch):
+    """The driver gets the parameters alone, and they are those of a training on the same rows in order of id."""
+    r, driver, train = random.Random(8), os.getpid(), toxicity.train
+    rows = [(i, " ".join(r.choices(LONG, k=12) + ["vile"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(90)]
+    learnt = [x for x in sorted(rows) if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    want = train([t for _, t, _ in learnt], np.array([y for _, _, y in learnt], np.float32))
+
+    def in_a_task(*sample):
+        assert os.getpid() != driver
+        return train(*sample)
+
+    monkeypatch.setattr(toxicity, "train", in_a_task)
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.fit(docs, labels)
+    assert list(got.p) == list(want.p) and all(np.array_equal(got.p[k], v) for k, v in want.p.items())
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 56, 57, 200):
         doc, begin, size = toxicity.windows(np.array([0, n]))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,17 +266,15 @@ def score_texts(model: Model, text: pa.Array, lanes: int = 8192) -> np.ndarray:
     return _sigmoid(out)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, most_bytes: int, id_col: str, text_col: str) -> tuple[list[str], np.ndarray]:
-    """The bounded sample: of each label the documents with the least hash among rows outside the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, other_docs: int, most_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """The bounded sample (doc_id, toxic, text): of each label the documents with the least hash among rows outside the held-out fold."""
     rows = id_text(docs, id_col, text_col).filter((F.octet_length("text") <= most_bytes) & ~held_out("doc_id"))
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     both = rows.select("doc_id").join(known.filter(~held_out("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id", F.lit(11))
     take = [both.filter(F.col("toxic") == y).orderBy(rank, "doc_id").limit(n) for y, n in ((0, other_docs), (1, toxic_docs))]
     sample = take[0].unionByName(take[1])  # at most toxic_docs + other_docs ids, so it can be broadcast and the texts stay where they are
-    got = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    got.sort(key=lambda r: (r.doc_id, r.text))
-    return [r.text for r in got], np.array([r.toxic for r in got], F32)
+    return rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def held_out(id_col: str):
@@ -287,9 +286,23 @@ def fit(
     docs: DataFrame, labels: DataFrame, toxic_docs: int = SAMPLE_TOXIC, other_docs: int = SAMPLE_OTHER, most_bytes: int = SAMPLE_BYTES,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Model:
-    """The network of the labelled sample. A row without label or id isn't learnt from; of rows that repeat an id the least text is;
-    an empty table gives a constant score."""
-    return train(*training_sample(docs, labels, toxic_docs, other_docs, most_bytes, id_col, text_col))
+    """The network of the labelled sample, trained in one task: the sample is bounded, and only the parameters come to the driver.
+
+    A row without label or id isn't learnt from; of rows that repeat an id the least text is; an empty table gives a constant score.
+    """
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        model = train(pdf["text"].tolist(), pdf["toxic"].to_numpy(F32))
+        return pd.DataFrame({"name": list(model.p), "value": [v.tobytes() for v in model.p.values()]})
+
+    sample = training_sample(docs, labels, toxic_docs, other_docs, most_bytes, id_col, text_col)
+    learnt = sample.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "name string, value binary").collect()
+    if not learnt:
+        return train([], np.zeros(0, F32))
+    model = Model()
+    model.p = {r.name: np.frombuffer(r.value, F32).reshape(model.p[r.name].shape).copy() for r in learnt}
+    return model
 
 
 def score_column(docs: DataFrame, model: Model, schema, text_at: int, out_names: list[str], keep_below: float | None = None) -> DataFrame:
