@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from wayfield.llm import exact_dedup as exact_dedup_module
-from wayfield.llm import chunks, lm_scoring, near_dup, substring_dedup, toxicity, warc, words
+from wayfield.llm import chunks, lm_scoring, near_dup, packing, substring_dedup, toxicity, warc, words
 from wayfield.llm.common import saved
 from wayfield.llm.decontamination import align, contaminated
 from wayfield.llm.exact_dedup import exact_dedup
@@ -101,6 +101,42 @@ def test_byte_ids_match_the_library(docs):
     assert all(b[w] == b.encode(" " + w) for w in found)
 
 
+class Spy:
+    """The library, and the texts that it was given."""
+
+    def __init__(self, tok):
+        self.tok, self.seen = tok, []
+
+    def encode(self, text, **k):
+        self.seen.append(text)
+        return self.tok.encode(text, **k)
+
+    def encode_batch_fast(self, texts, **k):
+        self.seen += texts
+        return self.tok.encode_batch_fast(texts, **k)
+
+
+def test_signs_after_a_word_are_taken_apart(docs, monkeypatch):
+    """A word goes to the library once, whatever signs follow it and in whichever text; what a clearing forgets is not asked again."""
+    b = ByteIds(BPE)
+    b.tok = spy = Spy(b.tok)
+    texts = ["go zebrafish, zebrafish. zebrafish's", "go zebrafish!? \u00e9l\u00e9phant; zebrafish'", "go \u00e9l\u00e9phant \u00e9l\u00e9phant,,", ""]
+    assert list(b.ids_of(texts)) == [np.array(spy.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    seen = " ".join(spy.seen)
+    assert seen.count("zebrafish") == 2 and seen.count("\u00e9l\u00e9phant") == 1  # zebrafish's is a word of its own
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 3)
+    spy.seen.clear()
+    list(b.ids_of(texts))
+    assert not spy.seen
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 40)
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 300)
+    odd = ["go  zebrafish(", " zebrafish)", "a" * 100 + ", b", "a" * 100 + ", " + "a" * 100, "<|endoftext|>, x<|endoftext|>", "\u00d7, \u00aa, \u01c5! 1st, 'll, x'll, _a, a_ a-b-"]
+    texts = noise(3000, 6) + odd + [t for _, t in rows_of(docs)]
+    for enc in (b, ByteIds(BPE)):
+        assert list(enc.ids_of(texts)) == [enc.encode(t) for t in texts]
+        assert all(len(w) <= 64 for w in enc)
+
+
 def test_calls_are_balanced_by_bytes():
     texts = ["\u00e9" * 60, "a" * 100, "b", "\u4e2d" * 50, "c" * 500]
     assert list(byte_batches(texts, 200)) == [[texts[0]], texts[1:3], [texts[3]], [texts[4]]]

@@ -10,10 +10,12 @@ segment tree indexed by remaining capacity finds the tightest open sequence.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -22,36 +24,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, saved, slices
-from .token_counts import CACHE_ENTRIES, CACHED_CHARS, parts
+from .token_counts import CACHE_ENTRIES, CACHED_CHARS, LONG_TEXT, parts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long"
 RESTS_PER_GROUP = 8192
 CHUNKS_AT_ONCE = 1 << 17
+WORDS_AT_ONCE = 1 << 14  # of neighbouring texts: few calls of the library, strings still in the CPU's cache
 _OWN = 1 << 62  # sequence ids of full windows begin here
 
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space of the pre-tokenizer's patterns
-_UNSAFE = re.compile(f"^[{_WHITE}]| [{_WHITE}]")
+_BEGINS_WHITE = re.compile(f"[{_WHITE}]")
+_WHITE_AFTER_SPACE = re.compile(f" [{_WHITE}]")  # begins with one character, for which re has a fast search
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_SIGNED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]+)")  # letters, then signs: pieces of their own
+
+
+def _unsafe(text: str) -> bool:
+    """Whether a space can't be told from the white space beside it by a cut before it."""
+    return bool(_BEGINS_WHITE.match(text) or _WHITE_AFTER_SPACE.search(text))
 
 
 class ByteIds(dict):
     """Word -> the ids of the word after a space, by the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
 
     The byte-level pre-tokenizer never lets a piece run from a non-space into a
-    space, so a text is cut there. Words that aren't known yet go to the library together, one behind
-    the other; the bytes of the pieces tell where each word's ids end. Words that may
-    hold a special string or end in white space go one by one.
+    space, so a text is cut there, nor from a letter into a sign, so signs after a word are taken apart. Words that
+    aren't known yet go to the library together, one behind the other; the bytes of the pieces tell where each word's
+    ids end. Words that may hold a special string or end in white space go one by one.
     """
 
     def __init__(self, json_path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library take CPU time
+        self.older: dict[str, bytes] = {}  # what was known before the last clearing
         self.bare: dict[str, bytes] = {}  # ids of chunks that don't begin with a space
         self.tok = Tokenizer.from_file(json_path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        shown = self.tok.pre_tokenizer.pre_tokenize_str(" a,") if self.tok.pre_tokenizer and not self.tok.normalizer else []
+        self.signs_apart = [at for _, at in shown] == [(0, 2), (2, 3)]
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(True)
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of a piece: the vocabulary spells a byte as a character
@@ -61,11 +75,15 @@ class ByteIds(dict):
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Ids of words that aren't known yet."""
+        """Ids of words that aren't known yet; of those that end in signs the letters go to the library, unless they are known."""
         text = "".join(words)
         special = [s for s in self.special if s in text]
         alone = {w for w in words if not w[-1:].strip() or any(s in w for s in special)} if special else {w for w in words if not w[-1:].strip()}
         together = [w for w in words if w not in alone] if alone else words
+        signed = {m[0]: m.groups() for m in map(_SIGNED.fullmatch, together) if m and m.end() <= CACHED_CHARS} if self.signs_apart else {}
+        if signed:
+            together = [w for w in together if w not in signed]
+            together += self.unknown({head for head, _ in signed.values()}.difference(together))
         if together:
             text = " " + " ".join(together)
             (found,) = self.tok.encode_batch_fast([text], add_special_tokens=False)
@@ -81,17 +99,31 @@ class ByteIds(dict):
                 alone.update(together)
         for w in alone:
             self[w] = self.encode(" " + w)
+        for w, (head, signs) in signed.items():
+            self[w] = self[head] + self.without_space(signs)
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Those of the words that aren't known; what was known before the last clearing is again."""
+        found = [w for w in words if w not in self]
+        if self.older:
+            self.update([(w, self.older[w]) for w in found if w in self.older])
+            found = [w for w in found if w not in self.older]
+        return found
 
     def after_spaces(self, words: list[str]) -> list[bytes]:
         """The ids of each word, taken after a space."""
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
         out = list(map(self.get, words))
-        if None in out:
-            new = list({w for w, ids in zip(words, out, strict=True) if ids is None})
-            self.learn(new)
-            out = [self[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
-            for w in new:
+        missed = list(compress(range(len(out)), map(is_, out, repeat(None))))
+        if missed:
+            new = {words[i] for i in missed}
+            if unknown := self.unknown(new):
+                self.learn(unknown)
+            for i in missed:
+                out[i] = self[words[i]]
+            for w in unknown:
                 if len(w) > CACHED_CHARS:
                     del self[w]
         return out
@@ -118,7 +150,7 @@ class ByteIds(dict):
             return b""
         if any(" " in s and s in text for s in self.special):
             return self.encode(text)
-        if _UNSAFE.search(text):
+        if _unsafe(text):
             found = (m.group() for m in _CHUNK.finditer(text))
             return b"".join(map(self.chunks, iter(lambda: list(islice(found, CHUNKS_AT_ONCE)), [])))
         out = []
@@ -129,6 +161,27 @@ class ByteIds(dict):
             out += self.after_spaces(words)
         return b"".join(out)
 
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        """All ids of each text; the words of neighbouring texts are looked up together."""
+        firsts, ends, words = [], [], []
+        for text in texts:
+            whole = len(text) > LONG_TEXT or _unsafe(text) or any(" " in s and s in text for s in self.special)
+            own = [] if whole or not text else text.split(" ")
+            firsts.append(self.ids(text) if whole else self.without_space(own[0]) if own else b"")
+            words += own[1:]
+            ends.append(len(words))
+            if len(words) >= WORDS_AT_ONCE:
+                yield from self.joined(firsts, words, ends)
+                firsts, ends, words = [], [], []
+        yield from self.joined(firsts, words, ends)
+
+    def joined(self, firsts: list[bytes], words: list[str], ends: list[int]) -> Iterator[bytes]:
+        """The ids of texts, each its first bytes and the words up to its end."""
+        got, at = self.after_spaces(words), 0
+        for first, to in zip(firsts, ends, strict=True):
+            yield b"".join([first, *got[at:to]])
+            at = to
+
 
 _LOADED: dict[str, ByteIds] = {}
 
@@ -149,8 +202,8 @@ def cut_pieces(
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = enc.ids(text) + end
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.ids_of(batch.column(1).to_pylist()), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     for at in range(0, n, window):
                         piece = ids[4 * at : 4 * (at + window)]
